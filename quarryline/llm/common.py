@@ -9,6 +9,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarryline.session import ship
+
 #: Words of every operator that counts words: runs without ASCII white space.
 #: ``bytes.split()`` cuts at exactly these characters.
 WORD_REGEX = r"[^\x20\x09-\x0D]+"
@@ -54,7 +56,7 @@ def partitions(spark: SparkSession) -> int:
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def text_bytes(column) -> list[bytes]:

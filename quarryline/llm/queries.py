@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.llm import exact_dedup, sentencepiece_codec, simhash
+from quarryline.llm import exact_dedup, langid, mixing, sentencepiece_codec, simhash, substring_dedup, topk_search, url_filter
 from quarryline.llm.common import read
 
 
@@ -39,6 +39,134 @@ FROM documents
 """
 
 
+def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.search(read(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
+OP3_SQL = """
+WITH v AS (
+    SELECT vec_id, [floor(64 * x::DOUBLE) for x in embedding] AS q
+    FROM embeddings
+    WHERE embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0
+), scored AS (
+    SELECT a.vec_id AS query_id, b.vec_id AS vec_id, list_inner_product(a.q, b.q)::BIGINT AS score
+    FROM v a JOIN v b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id
+)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score
+FROM scored
+QUALIFY rank <= 20
+"""
+
+#: Rules of the query: verdict, host, path.
+URL_RULES = (
+    ("allow", "com", "/"),
+    ("block", "example.com", "/en/"),
+    ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"),
+    ("block", "net", "/fr/"),
+)
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(read(spark, sf_dir, "pages"), URL_RULES)
+
+
+OP4_SQL = """
+WITH parts AS (
+    SELECT page_id,
+           translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+           regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path
+    FROM pages
+), rules(verdict, rule_host, rule_path) AS (
+    VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')
+)
+SELECT p.page_id, p.host, p.path,
+       (SELECT arg_max(rule_host || rule_path, length(rule_host || rule_path)) FROM rules
+        WHERE (p.host = rule_host OR ends_with(p.host, '.' || rule_host)) AND starts_with(p.path, rule_path)) AS rule,
+       coalesce((SELECT arg_max(verdict, length(rule_host || rule_path)) FROM rules
+        WHERE (p.host = rule_host OR ends_with(p.host, '.' || rule_host)) AND starts_with(p.path, rule_path)), 'allow') AS verdict
+FROM parts p
+"""
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    held_out = langid.fold() == 2
+    profiles = langid.train(docs.filter(~F.coalesce(held_out, F.lit(True))))
+    found = langid.identify(docs, profiles)
+    return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.remove_repeats(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP6_SQL = r"""
+WITH docs AS (
+    SELECT doc_id, [x for x in regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+') if x <> ''] AS w FROM documents
+), windows AS (
+    SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS words
+    FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM docs)
+), marked AS (
+    SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY words ORDER BY doc_id, i) AS n FROM windows) WHERE n > 1
+), gone AS (
+    SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS j FROM marked
+), gone_lists AS (
+    SELECT doc_id, list(j) AS js FROM gone GROUP BY doc_id
+), words AS (
+    SELECT doc_id, unnest(range(1, len(w) + 1)) AS j, unnest(w) AS word FROM docs
+), kept AS (
+    SELECT words.doc_id, string_agg(word, ' ' ORDER BY words.j) AS text, count(*) AS n
+    FROM words LEFT JOIN gone ON words.doc_id = gone.doc_id AND words.j = gone.j
+    WHERE gone.j IS NULL GROUP BY words.doc_id
+)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, (len(d.w) - coalesce(k.n, 0))::BIGINT AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
+FROM docs d LEFT JOIN kept k ON d.doc_id = k.doc_id
+"""
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.mix_sizes(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP8_SQL = r"""
+WITH docs AS (
+    SELECT doc_id, source, len([x for x in regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+') if x <> ''])::BIGINT AS size,
+           (('0x' || substr(md5('0:' || doc_id), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u
+    FROM documents
+), sources AS (
+    SELECT source, sum(size)::BIGINT AS source_size FROM docs GROUP BY source
+), weighted AS (
+    SELECT source, source_size, 2.0::DOUBLE * source_size AS cap,
+           ([3.0, 1.0, 2.0]::DOUBLE[])[((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INTEGER] AS weight,
+           sum(source_size) OVER () * 1.5::DOUBLE AS total
+    FROM sources
+), levels AS (
+    SELECT *, (total - coalesce(sum(cap) OVER before, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS level,
+           row_number() OVER (ORDER BY cap / weight, source NULLS LAST) AS place
+    FROM weighted
+    WINDOW before AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), targets AS (
+    SELECT source, source_size,
+           least(cap, coalesce((SELECT arg_min(level, place) FROM levels WHERE level * weight <= cap) * weight, cap)) AS target
+    FROM levels
+), parts AS (
+    SELECT *, floor(CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END)::BIGINT AS whole,
+           CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END - floor(CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END) AS part
+    FROM targets
+), ranked AS (
+    SELECT d.doc_id, d.size, p.source_size, p.target, p.whole, p.target - p.whole * p.source_size AS open, p.part,
+           sum(d.size) OVER (PARTITION BY d.source ORDER BY (d.u / (1 - d.u)) / (p.part / (1 - p.part)), d.doc_id ROWS UNBOUNDED PRECEDING) AS so_far
+    FROM docs d JOIN parts p ON d.source IS NOT DISTINCT FROM p.source
+)
+SELECT doc_id, size, source_size, target,
+       size * (whole + CASE WHEN part > 0 AND so_far * 2 - size < open * 2 THEN 1 ELSE 0 END) AS taken
+FROM ranked
+"""
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"), shingle=3, radius=3)
 
@@ -47,9 +175,20 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sentencepiece": op1_sentencepiece,
         "op2_exact_dedup": op2_exact_dedup,
+        "op3_topk_search": op3_topk_search,
+        "op4_url_filter": op4_url_filter,
+        "op5_language_id": op5_language_id,
+        "op6_substring_dedup": op6_substring_dedup,
+        "op8_mixing": op8_mixing,
         "op10_simhash": op10_simhash,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2_SQL}
+    return {
+        "op2_exact_dedup": OP2_SQL,
+        "op3_topk_search": OP3_SQL,
+        "op4_url_filter": OP4_SQL,
+        "op6_substring_dedup": OP6_SQL,
+        "op8_mixing": OP8_SQL,
+    }
