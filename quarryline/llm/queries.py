@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.llm import exact_dedup, langid, mixing, sentencepiece_codec, simhash, substring_dedup, topk_search, url_filter
+from quarryline.llm import chat_format, exact_dedup, langid, mixing, quality, sentencepiece_codec, simhash, substring_dedup, topk_search, url_filter
 from quarryline.llm.common import read
 
 
@@ -126,6 +126,26 @@ FROM docs d LEFT JOIN kept k ON d.doc_id = k.doc_id
 """
 
 
+#: Tools that calls in ``conversations`` may name.
+TOOL_SCHEMAS = {
+    "search": {"query": ("string", True), "limit": ("integer", False)},
+    "calculate": {"expression": ("string", True)},
+    "fetch": {"url": ("string", True), "headers": ("object", False)},
+}
+
+
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.format_chats(read(spark, sf_dir, "conversations"), TOOL_SCHEMAS)
+
+
+#: For messages in plain text, as all of ``conversations`` are.
+OP7_SQL = """
+SELECT conv_id, turn, role, turn AS order_turn, 0 AS level, 0 AS n_calls, 0::BIGINT AS n_linked, '' AS issues,
+       json_object('content', text, 'conv_id', conv_id, 'role', role, 'turn', turn)::VARCHAR AS json
+FROM conversations
+"""
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.mix_sizes(read(spark, sf_dir, "documents"))
     return found.select("doc_id", "size", "source_size", "target", "taken")
@@ -167,10 +187,22 @@ FROM ranked
 """
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hosts are sources; the path level below is the language section."""
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    return quality.classify(docs, labels, host=F.col("source"), path=F.col("lang"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"), shingle=3, radius=3)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sentencepiece": op1_sentencepiece,
@@ -179,8 +211,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_url_filter": op4_url_filter,
         "op5_language_id": op5_language_id,
         "op6_substring_dedup": op6_substring_dedup,
+        "op7_chat_format": op7_chat_format,
         "op8_mixing": op8_mixing,
+        "op9_quality": op9_quality,
         "op10_simhash": op10_simhash,
+        "pipeline": pipeline,
     }
 
 
@@ -190,5 +225,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_topk_search": OP3_SQL,
         "op4_url_filter": OP4_SQL,
         "op6_substring_dedup": OP6_SQL,
+        "op7_chat_format": OP7_SQL,
         "op8_mixing": OP8_SQL,
     }
