@@ -183,7 +183,7 @@ def _resolve(table: bytes, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return docs[at], (index - first[at]).astype(np.int32)
 
 
-def _chunks(batches: Iterator) -> Iterator[tuple[list[int], list[bytes]]]:
+def _chunks(batches: Iterator, chunk: int) -> Iterator[tuple[list[int], list[bytes]]]:
     docs: list[int] = []
     texts: list[bytes] = []
     size = 0
@@ -192,7 +192,7 @@ def _chunks(batches: Iterator) -> Iterator[tuple[list[int], list[bytes]]]:
             docs.append(doc)
             texts.append(text)
             size += len(text)
-            if size > CHUNK_BYTES:
+            if size > chunk:
                 yield docs, texts
                 docs, texts, size = [], [], 0
     if docs:
@@ -202,12 +202,12 @@ def _chunks(batches: Iterator) -> Iterator[tuple[list[int], list[bytes]]]:
 # Step 1: anchors
 
 
-def _probe(block: int, parts: int, groups: int):
+def _probe(block: int, parts: int, groups: int, chunk: int):
     """Fingerprints of all rolling windows, with a flag on index blocks."""
 
     def run(batches: Iterator) -> Iterator:
         out = _Out()
-        for docs, texts in _chunks(batches):
+        for docs, texts in _chunks(batches, chunk):
             layout = Layout(texts)
             at = layout.windows(block)
             if not len(at):
@@ -328,7 +328,7 @@ def _with_texts(batches: Iterator) -> Iterator[tuple[int, bytes, list[np.ndarray
                 yield doc, text, places.get(doc, [])
 
 
-def _extend(window: int, block: int, parts: int, groups: int):
+def _extend(window: int, block: int, parts: int, groups: int, chunk: int):
     """Windows around hits: mark repeats within a stretch, send on the rest."""
 
     def stretch(held, out):
@@ -370,7 +370,7 @@ def _extend(window: int, block: int, parts: int, groups: int):
             if places:
                 held.append((doc, text, places))
                 size += len(text)
-            if size > CHUNK_BYTES:
+            if size > chunk:
                 stretch(held, out)
                 held, size = [], 0
                 if out.full():
@@ -447,7 +447,7 @@ def _remove(window: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 20, parts: int | None = None, groups: int | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 20, parts: int | None = None, groups: int | None = None, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """One row per input row: id, ``n_words``, ``n_removed``, ``kept`` (the
     words that stay, joined by one space) and ``removed`` (the maximal removed
     spans as word offsets: begin, end, begin, end, ...)."""
@@ -466,9 +466,9 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     def owned(packed: DataFrame) -> DataFrame:
         return packed.repartition(n, "g").sortWithinPartitions("g")
 
-    probes = rows.mapInArrow(_probe(block, parts, groups), _PACKED)
+    probes = rows.mapInArrow(_probe(block, parts, groups, chunk_bytes), _PACKED)
     hits = materialise(owned(probes).mapInArrow(_match(groups), _PACKED), "substring-hits")
-    windows = meet(hits).mapInArrow(_extend(window, block, parts, groups), _PACKED)
+    windows = meet(hits).mapInArrow(_extend(window, block, parts, groups, chunk_bytes), _PACKED)
     marks = materialise(owned(windows).mapInArrow(_classes(groups), _PACKED), "substring-marks")
     out = meet(marks).mapInArrow(_remove(window), "doc_id long, n_words long, n_removed long, kept string, removed array<int>")
     return out.withColumn("doc_id", F.when(F.col("doc_id") != NULL_ID, F.col("doc_id"))).withColumnRenamed("doc_id", id_col)
