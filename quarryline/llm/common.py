@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -66,8 +67,11 @@ def text_bytes(column) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.large_binary()).to_pylist()]
 
 
-def null_safe_text(name: str = "text"):
-    return F.coalesce(F.col(name), F.lit(""))
+def slices(batches: Iterator, rows: int = 256) -> Iterator:
+    """Arrow batches in parts small enough to become Python objects."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def starts_of(lengths: np.ndarray) -> np.ndarray:

@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import materialise
+from quarryline.llm.common import materialise, slices
 
 PROFILE = 400
 MAX_LANGUAGES = 1000
@@ -80,7 +80,7 @@ def _train(batches: Iterator) -> Iterator:
             codes, n = np.unique(gram_codes("\n".join(texts)), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
 
-    for batch in batches:
+    for batch in slices(batches):
         for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             held.setdefault(lang, []).append(text)
             size += len(text)
@@ -139,7 +139,7 @@ def identify(docs: DataFrame, profiles: Profiles, *, text_col: str = "text", kee
         import pyarrow as pa
 
         classifier = Classifier(shared.value, length)
-        for batch in batches:
+        for batch in slices(batches):
             found = [classifier.predict(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
             cols = [pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *cols], names=[*names, "lang_pred", "score"])
