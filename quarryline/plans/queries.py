@@ -454,7 +454,7 @@ def job_claim_batch(spark, sf_dir):
 def job_fail_dead(spark, sf_dir):
     jobs = _jobs(spark, sf_dir)
     errors = jobs.filter("state = 'running' and id % 3 = 0").select("id", F.repeat(F.lit("boom "), 600).alias("error"))
-    return changefeed.fail(jobs, errors).select("id", "state", "lease_until", "worker", F.length("last_error").alias("error_chars"))
+    return changefeed.fail(jobs, errors).select("id", "state", F.coalesce("lease_until", F.lit(-1)).alias("lease_until"), "worker", F.coalesce(F.length("last_error"), F.lit(0)).alias("error_chars"))
 
 
 @query
