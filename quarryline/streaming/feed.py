@@ -48,9 +48,11 @@ def to_table(path: str) -> Callable[[DataFrame, int], None]:
     return handle
 
 
-def coalesced(events: DataFrame, *, timeout_ms: int = 10_000) -> DataFrame:
+def coalesced(events: DataFrame, *, timeout_ms: int | None = None) -> DataFrame:
     """Jobs coalesced by key in state: (path, kind, priority, events) each time
-    a key changes.  ``events`` has path, kind and priority."""
+    a key changes.  ``events`` has path, kind and priority.  With a timeout a
+    key that is quiet for so long leaves the state (for streams that run on;
+    a timeout keeps a run of what is available from ending)."""
 
     def update(key: tuple, rows: Iterator, state) -> Iterator:
         import pandas as pd
@@ -63,7 +65,8 @@ def coalesced(events: DataFrame, *, timeout_ms: int = 10_000) -> DataFrame:
             priority = min(priority, int(frame["priority"].fillna(changefeed.DEFAULT_PRIORITY).min()))
             n += len(frame)
         state.update((priority, n))
-        state.setTimeoutDuration(timeout_ms)
+        if timeout_ms is not None:
+            state.setTimeoutDuration(timeout_ms)
         yield pd.DataFrame({"path": [key[0]], "kind": [key[1]], "priority": [priority], "events": [n]})
 
-    return events.groupBy("path", "kind").applyInPandasWithState(update, "path string, kind string, priority int, events long", "priority int, events long", "update", "ProcessingTimeTimeout")
+    return events.groupBy("path", "kind").applyInPandasWithState(update, "path string, kind string, priority int, events long", "priority int, events long", "update", "NoTimeout" if timeout_ms is None else "ProcessingTimeTimeout")
