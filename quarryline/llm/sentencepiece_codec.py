@@ -23,6 +23,8 @@ from __future__ import annotations
 
 import heapq
 import re
+import sys
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +34,16 @@ from pyspark.sql import functions as F
 SPACE = "▁"
 #: Cached pieces of text in a worker; beyond it the cache starts afresh.
 CACHE_ENTRIES = 600_000
+#: Symbols up to which the agenda is a plain list.
+SHORT = 40
+
+
+def pack_ids(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit integers."""
+    packed = array("I", ids)
+    if sys.byteorder != "little":
+        packed.byteswap()
+    return packed.tobytes()
 
 
 class PieceEncoder:
@@ -54,6 +66,7 @@ class PieceEncoder:
             score = sp.get_score(self.ids[p])
             rank, last = (rank, last) if score == last else (rank + 1, score)
             self.rank[p] = rank
+        self.none = rank + 1
         self.bytes = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.byte_fallback = all(sp.is_byte(i) for i in self.bytes)
         self.unknown = sp.unk_id()
@@ -65,8 +78,31 @@ class PieceEncoder:
         self.whole = inner or breaks or not self.byte_fallback
         self.cut = re.compile(rf"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n").findall
 
+    def short_agenda(self, text: str) -> list[int]:
+        """``agenda`` for few symbols: its entries stand in a list by position,
+        where the first of the best ranks is the best score's leftmost pair."""
+        symbols = list(text)
+        rank, none = self.rank.get, self.none
+        ranks = [rank(a + b, none) for a, b in zip(symbols, symbols[1:])]  # noqa: B905
+        best = min(ranks, default=none)
+        while best != none:
+            i = ranks.index(best)
+            symbols[i] = merged = symbols[i] + symbols.pop(i + 1)
+            del ranks[i]
+            if i:
+                ranks[i - 1] = rank(symbols[i - 1] + merged, none)
+            if i < len(ranks):
+                ranks[i] = rank(merged + symbols[i + 1], none)
+            best = min(ranks, default=none)
+        try:
+            return [self.ids[s] for s in symbols]
+        except KeyError:
+            return self.to_ids(symbols)
+
     def agenda(self, text: str) -> list[int]:
         """Ids of normalised text by the agenda."""
+        if len(text) <= SHORT:
+            return self.short_agenda(text)
         symbols: list[str | None] = list(text)
         n = len(symbols)
         rank = self.rank.get
@@ -102,16 +138,19 @@ class PieceEncoder:
                     r = rank(symbols[h] + merged)
                     if r is not None:
                         push(heap, r << 64 | h << 32 | length + len(symbols[h]))
+        return self.to_ids([s for s in symbols if s is not None])
+
+    def to_ids(self, symbols: list[str]) -> list[int]:
+        """Ids of merged symbols; unknown ones fall back to bytes."""
         out: list[int] = []
         for s in symbols:
-            if s is not None:
-                i = self.ids.get(s)
-                if i is not None:
-                    out.append(i)
-                elif self.byte_fallback:
-                    out.extend(self.bytes[b] for b in s.encode())
-                elif not out or out[-1] != self.unknown:
-                    out.append(self.unknown)
+            i = self.ids.get(s)
+            if i is not None:
+                out.append(i)
+            elif self.byte_fallback:
+                out.extend(self.bytes[b] for b in s.encode())
+            elif not out or out[-1] != self.unknown:
+                out.append(self.unknown)
         return out
 
     def normalise(self, text: str) -> str:
@@ -133,12 +172,19 @@ class PieceEncoder:
         return out
 
     def check(self, pieces: list[str], ids: list[list[int]]) -> None:
-        """Compare pieces of text with the library.  A line break stands alone
-        in every text, so it parts a piece from the dummy prefix."""
-        head = [self.ids[SPACE], self.bytes[10]]
-        for p, mine, theirs in zip(pieces, ids, self.library.encode(["\n" + p for p in pieces], num_threads=1), strict=True):
-            if head + mine != theirs:
-                raise ValueError(f"the agenda and the library differ on {p!r}")
+        """Compare pieces of text with the library, many in one call: a line
+        break stands alone in every text, so joined by it they stay apart."""
+        mine, line = [self.ids[SPACE]], self.bytes[10]
+        for x in ids:
+            mine.append(line)
+            mine += x
+        theirs = self.library.encode("\n" + "\n".join(pieces))
+        if mine != theirs:
+            if len(pieces) == 1:
+                raise ValueError(f"the agenda and the library differ on {pieces[0]!r}")
+            for p, x in zip(pieces, ids, strict=True):
+                self.check([p], [x])
+            raise ValueError("the agenda and the library differ")
 
     def encode_batch(self, texts: list[str], cache: dict[str, bytes]) -> list[bytes]:
         """Ids of each text as packed little-endian 32-bit integers."""
@@ -146,8 +192,10 @@ class PieceEncoder:
             out = [self.agenda(self.normalise(t)) for t in texts]
             if out != self.library.encode(texts, num_threads=1):
                 raise ValueError("the agenda and the library differ")
-            return [np.array(x, dtype="<u4").tobytes() for x in out]
+            return [pack_ids(x) for x in out]
         packed = []
+        new_pieces: list[str] = []
+        new_ids: list[list[int]] = []
         for t in texts:
             pieces = self.pieces(t)
             new = [p for p in set(pieces) if p not in cache]
@@ -155,13 +203,14 @@ class PieceEncoder:
                 if len(cache) + len(new) > CACHE_ENTRIES:
                     cache.clear()
                     new = list(set(pieces))
-                for at in range(0, len(new), 20_000):
-                    part = new[at : at + 20_000]
-                    ids = [self.agenda(p) for p in part]
-                    self.check(part, ids)
-                    cache.update((p, np.array(x, dtype="<u4").tobytes()) for p, x in zip(part, ids, strict=True))
+                ids = [self.agenda(p) for p in new]
+                new_pieces += new
+                new_ids += ids
+                cache.update(zip(new, map(pack_ids, ids), strict=True))
             packed.append(b"".join(map(cache.__getitem__, pieces)))
-        if texts and packed[0] != np.array(self.library.encode(texts[0]), dtype="<u4").tobytes():
+        for at in range(0, len(new_pieces), 1000):
+            self.check(new_pieces[at : at + 1000], new_ids[at : at + 1000])
+        if texts and packed[0] != pack_ids(self.library.encode(texts[0])):
             raise ValueError("the agenda and the library differ on a whole text")
         return packed
 
@@ -188,8 +237,8 @@ def encode(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col
         import pyarrow as pa
 
         encoder, cache = _encoder(model_path)
-        head = np.array([encoder.begin] * begin, dtype="<u4").tobytes()
-        tail = np.array([encoder.end] * end, dtype="<u4").tobytes()
+        head = pack_ids([encoder.begin] * begin)
+        tail = pack_ids([encoder.end] * end)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
