@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quarryline.functions.code_text import short_hash
 from quarryline.operators.ignore import DENIED_DIRS, PROJECT_IGNORE, skip_reason
+from quarryline.session import ship
 
 
 def _relative(root: str):
@@ -21,20 +22,66 @@ def _relative(root: str):
     return F.substring(path, len(os.path.normpath(plain)) + 2, 1 << 20)
 
 
+def _hidden(root: str) -> list[str]:
+    """Files of a local folder that Spark's listing leaves out: a name on their
+    way starts with a dot or an underscore."""
+    plain = root.removeprefix("file://")
+    out = []
+    for folder, dirs, names in os.walk(plain) if "://" not in plain else ():
+        dirs[:] = [d for d in dirs if d not in DENIED_DIRS]
+        for name in names:
+            path = Path(folder, name).relative_to(plain).as_posix()
+            if any(part[0] in "._" for part in path.split("/")):
+                out.append(path)
+    return sorted(out)
+
+
+def _read_local(root: str):
+    """Reads listed files where their tasks run."""
+    plain = root.removeprefix("file://")
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            rows = []
+            for path in batch.column(0).to_pylist():
+                at = Path(plain, path)
+                try:
+                    rows.append((path, at.read_bytes(), str(at), at.stat().st_mtime * 1000, at.stat().st_size))
+                except OSError:
+                    continue  # gone or unreadable since it was listed
+            if rows:
+                cols = zip(*rows, strict=True)
+                types = (pa.string(), pa.binary(), pa.string(), pa.float64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["path", "content", "disk_path", "disk_mtime", "disk_size"])
+
+    return run
+
+
+def _listed(spark: SparkSession, root: str) -> DataFrame:
+    """All files below a folder: path, content, disk_path, disk_mtime, disk_size."""
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    rows = rows.select(_relative(root).alias("path"), "content", F.col("path").alias("disk_path"), (F.unix_micros("modificationTime") / 1000.0).alias("disk_mtime"), F.col("length").alias("disk_size"))
+    hidden = _hidden(root)
+    if hidden:
+        names = ship(spark).createDataFrame([(p,) for p in hidden], "path string")
+        rows = rows.unionByName(names.mapInArrow(_read_local(root), "path string, content binary, disk_path string, disk_mtime double, disk_size long"))
+    return rows
+
+
 def walk(spark: SparkSession, root: str, *, ignore_files: dict[str, str] | None = None, limit: int | None = None) -> DataFrame:
     """Files below a folder that path rules keep: path (relative), disk_path,
-    disk_mtime (ms), disk_size.  Contents are not read."""
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    rows = rows.select(_relative(root).alias("path"), F.col("path").alias("disk_path"), (F.unix_micros("modificationTime") / 1000.0).alias("disk_mtime"), F.col("length").alias("disk_size"))
+    disk_mtime (ms), disk_size."""
+    rows = _listed(spark, root).select("path", "disk_path", "disk_mtime", "disk_size")
     rows = rows.filter(skip_reason(F.col("path"), ignore_files).isNull())
     return rows.orderBy("path").limit(limit) if limit is not None else rows
 
 
 def read_texts(spark: SparkSession, root: str, *, ignore_files: dict[str, str] | None = None) -> DataFrame:
     """Kept files with their text (UTF-8) and hash: path, source, hash, size."""
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    rows = rows.select(_relative(root).alias("path"), "content", F.col("length").alias("size")).filter(skip_reason(F.col("path"), ignore_files).isNull())
-    return rows.select("path", F.expr("try_validate_utf8(decode(content, 'UTF-8'))").alias("source"), short_hash(F.col("content")).alias("hash"), "size")
+    rows = _listed(spark, root).filter(skip_reason(F.col("path"), ignore_files).isNull())
+    return rows.select("path", F.expr("try_validate_utf8(decode(content, 'UTF-8'))").alias("source"), short_hash(F.col("content")).alias("hash"), F.col("disk_size").alias("size"))
 
 
 def ignore_files(root: str) -> dict[str, str]:

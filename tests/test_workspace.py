@@ -13,7 +13,7 @@ def root(tmp_path):
     at = tmp_path / "tree"
     for name, text in {
         "src/pay.ts": "/** Pays. */\nexport function payInvoice(id: number) {\n    return sendMoney(id);\n}\n", "src/use.ts": 'import { payInvoice } from "./pay";\nexport function run() { payInvoice(1); }\n',
-        "notes.txt": "how to pay an invoice\n", "node_modules/x.js": "x\n", "big.txt": "z" * 600 + "\n", "skip.log": "x\n", ".gitignore": "*.log\n", "bad.dat": "a\0b",
+        "notes.txt": "how to pay an invoice\n", "node_modules/x.js": "x\n", "big.txt": "z" * 1100 + "\n", "skip.log": "x\n", "src/__init__.py": "", ".gitignore": "*.log\n", "bad.dat": "a\0b",
     }.items():
         p = at / name
         p.parent.mkdir(parents=True, exist_ok=True)
@@ -26,7 +26,7 @@ def test_tools(spark, root):
     w.cold_index()
     skipped = {r.path: r.skip_reason for r in w.files.filter("skip_reason is not null").collect()}
     assert skipped == {"big.txt": "minified", "bad.dat": "binary"}
-    assert w.list_files("src/") == ["src/pay.ts", "src/use.ts"]
+    assert w.list_files("src/") == ["src/__init__.py", "src/pay.ts", "src/use.ts"]
     found = json.loads(w.find("payInvoice"))
     assert found["spans"][0]["path"] == "src/pay.ts" and found["spans"][0]["trust"] == "verified"
     assert "sendMoney" in found["spans"][0]["text"] and found["index"]["fresh"]
@@ -35,11 +35,11 @@ def test_tools(spark, root):
     assert "error" in json.loads(w.expand("sp_unknown"))
     assert json.loads(w.symbol("payInvoice"))["symbols"][0]["path"] == "src/pay.ts"
     assert json.loads(w.outline("src"))["files"][0]["path"] == "src/pay.ts"
-    assert json.loads(w.status())["files"] == 6
+    assert json.loads(w.status())["files"] == 7
     assert w.graph()["edges"] == [{"source": "src/use.ts", "target": "src/pay.ts", "weight": 1, "kind": "imports"}]
     assert [c["caller"] for c in w.symbol_graph("payInvoice")["callers"]] == ["run"]
     assert w.file("src/pay.ts")["imported_by"] == ["src/use.ts"] and w.file("none") is None
-    assert w.internals()["totals"][0]["files"] == 6
+    assert w.internals()["totals"][0]["files"] == 7
     assert w.overview()["hotspots"]
 
     (root / "src/pay.ts").write_text("// moved\nexport function payBill() {}\n")
@@ -54,7 +54,7 @@ def test_walk_and_nested_repositories(spark, root):
     rules = source_files.ignore_files(str(root))
     assert set(rules) == {".gitignore"}
     got = [r.path for r in source_files.walk(spark, str(root), ignore_files=rules).orderBy("path").collect()]
-    assert got == [".gitignore", "bad.dat", "big.txt", "notes.txt", "src/pay.ts", "src/use.ts"]
+    assert got == [".gitignore", "bad.dat", "big.txt", "notes.txt", "src/__init__.py", "src/pay.ts", "src/use.ts"]
     assert source_files.walk(spark, str(root), limit=2).count() == 2
     (root / PROJECT_IGNORE).write_text("src/\n")
     again = source_files.walk(spark, str(root), ignore_files=source_files.ignore_files(str(root)))
