@@ -39,10 +39,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import materialise, mix64, partitions, starts_of, text_bytes
+from quarryline.llm.common import materialise, mix64, partitions, slices, starts_of, text_bytes
 
 #: Bytes of text that a task lays out at a time.
-CHUNK_BYTES = 3 << 20
+CHUNK_BYTES = 1_000_000
+#: Rows of an Arrow batch that become Python objects at a time.
+SLICE = 128
 #: Marks or hits that an owner gathers before it passes them on.
 FLUSH = 1 << 20
 NULL_ID = -(1 << 63)
@@ -187,7 +189,7 @@ def _chunks(batches: Iterator, chunk: int) -> Iterator[tuple[list[int], list[byt
     docs: list[int] = []
     texts: list[bytes] = []
     size = 0
-    for batch in batches:
+    for batch in slices(batches, SLICE):
         for doc, text in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), strict=True):
             docs.append(doc)
             texts.append(text)
@@ -246,7 +248,7 @@ def _probe(block: int, parts: int, groups: int, chunk: int):
 def _by_part(batches: Iterator) -> Iterator[tuple[int, list[tuple]]]:
     """Rows of each part (they come sorted by part); passed-on rows one by one."""
     part, held = None, []
-    for batch in batches:
+    for batch in slices(batches, SLICE):
         for g, kind, a, b, c in zip(*(x.to_pylist() for x in batch.columns), strict=True):
             if g < 0:
                 yield -1 - g, [(0, a, b, c)]
@@ -317,7 +319,7 @@ def _with_texts(batches: Iterator) -> Iterator[tuple[int, bytes, list[np.ndarray
     """Documents with the places that came for them; rows come sorted by group
     of documents, places first."""
     group, places = None, {}
-    for batch in batches:
+    for batch in slices(batches, SLICE):
         for g, kind, doc, text, a, b, c in zip(*(x.to_pylist() for x in batch.columns), strict=True):
             if g != group:
                 group, places = g, {}
@@ -438,7 +440,7 @@ def _remove(window: int):
             joined = b" ".join(kept)
             rows.append((doc, n, n - len(kept), joined, spans))
             size += len(joined) + 100
-            if size > CHUNK_BYTES:
+            if size > 4 << 20:
                 yield batch_of(rows)
                 rows, size = [], 0
         if rows:
@@ -455,7 +457,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         raise ValueError("a window has at least two words")
     spark = docs.sparkSession
     n = partitions(spark)
-    parts, groups, block = parts or 4 * n, groups or 16 * n, window // 2
+    parts, groups, block = parts or 2 * n, groups or 16 * n, window // 2
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
     texts = rows.select(F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int").alias("g"), F.lit(1).alias("kind"), "doc_id", "text", *(F.lit(None).cast("binary").alias(x) for x in "abc"))
 
