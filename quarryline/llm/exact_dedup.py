@@ -30,7 +30,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import materialise, partitions
+from quarryline.llm.common import materialise, partitions, slices
 
 #: Most bits of a key that the directory looks at.
 MAX_DEPTH = 18
@@ -93,7 +93,7 @@ def _pages(batches: Iterator) -> Iterator:
 
     held: dict[tuple, tuple] = {}
     size = 0
-    for batch in batches:
+    for batch in slices(batches):
         for bucket, key, text, doc in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             entry = (bucket, key, text)
             before = held.get(entry)
@@ -133,7 +133,7 @@ def _owners(batches: Iterator) -> Iterator:
             done.append((at[1], sha, keep, n))
         chain.clear()
 
-    for batch in batches:
+    for batch in slices(batches):
         for bucket, key, text, keep, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if (bucket, key) != at:
                 if at is not None:
