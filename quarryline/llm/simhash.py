@@ -36,7 +36,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import materialise, partitions, text_bytes
+from quarryline.llm.common import materialise, partitions, slices, text_bytes
 
 #: Rows of a bucket that are compared in one unit.
 TILE = 8192
@@ -108,7 +108,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in slices(batches):
             fps = []
             for text in text_bytes(batch.column(1)):
                 fps.append(majority(shingle_hashes(text, shingle, words)).astype(">u8").tobytes())
