@@ -56,6 +56,31 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def partition_keys(n: int, each: int = 1) -> np.ndarray:
+    """Integers that ``repartition(n, key)`` deals evenly, ``each`` to every
+    partition: Spark places an int by its Murmur3 hash (seed 42) modulo n.
+    Key i and key i + n go to the same partition."""
+
+    def rotated(x, r):
+        return x << np.uint32(r) | x >> np.uint32(32 - r)
+
+    found: list[list[int]] = [[] for _ in range(n)]
+    missing, start = n * each, 0
+    while missing:
+        k = np.arange(start, start + 4 * n + 1024, dtype=np.uint32)
+        start += len(k)
+        h = rotated(k * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593) ^ np.uint32(42)
+        h = rotated(h, 13) * np.uint32(5) + np.uint32(0xE6546B64) ^ np.uint32(4)
+        h = (h ^ h >> np.uint32(16)) * np.uint32(0x85EBCA6B)
+        h = (h ^ h >> np.uint32(13)) * np.uint32(0xC2B2AE35)
+        at = (h ^ h >> np.uint32(16)).astype(np.int32).astype(np.int64) % n
+        for key, p in zip(k.tolist(), at.tolist(), strict=True):
+            if len(found[p]) < each:
+                found[p].append(key)
+                missing -= 1
+    return np.array(found, dtype=np.int64).T.reshape(-1)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -39,7 +39,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import materialise, mix64, partitions, slices, starts_of, text_bytes
+from quarryline.llm.common import materialise, mix64, partition_keys, partitions, slices, starts_of, text_bytes
 
 #: Bytes of text that a task lays out at a time.
 CHUNK_BYTES = 1_000_000
@@ -103,8 +103,9 @@ class Layout:
         return mix64((sums[self.end[at + size - 1]] - sums[begin]) * powers.down[begin])
 
 
-def _part(h: np.ndarray, parts: int) -> np.ndarray:
-    return ((h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+def _part(h: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """The key of the hash range that each hash lies in."""
+    return keys[((h >> np.uint64(32)) * np.uint64(len(keys)) >> np.uint64(32)).astype(np.int64)]
 
 
 def _groups(*keys: np.ndarray) -> np.ndarray:
@@ -119,15 +120,15 @@ def _groups(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _group_of(docs: np.ndarray, groups: int) -> np.ndarray:
-    """Spark's ``pmod(xxhash64(doc_id), groups)``."""
+def _group_of(docs: np.ndarray, groups: np.ndarray) -> np.ndarray:
+    """The key at Spark's ``pmod(xxhash64(doc_id), number of keys)``."""
     from xxhash import xxh64_intdigest
 
     h = np.array([xxh64_intdigest(d.tobytes(), 42) for d in docs], dtype=np.uint64)
-    return h.astype(np.int64) % groups
+    return groups[h.astype(np.int64) % len(groups)]
 
 
-def _places(docs: np.ndarray, pos: np.ndarray, groups: int) -> Iterator[tuple]:
+def _places(docs: np.ndarray, pos: np.ndarray, groups: np.ndarray) -> Iterator[tuple]:
     """Places (document, word) as packed rows by group of documents."""
     if not len(docs):
         return
@@ -204,7 +205,7 @@ def _chunks(batches: Iterator, chunk: int) -> Iterator[tuple[list[int], list[byt
 # Step 1: anchors
 
 
-def _probe(block: int, parts: int, groups: int, chunk: int):
+def _probe(block: int, parts: np.ndarray, groups: np.ndarray, chunk: int):
     """Fingerprints of all rolling windows, with a flag on index blocks."""
 
     def run(batches: Iterator) -> Iterator:
@@ -265,7 +266,7 @@ def _by_part(batches: Iterator) -> Iterator[tuple[int, list[tuple]]]:
 class _Gather:
     """Places found by an owner, passed on in packed rows."""
 
-    def __init__(self, groups: int):
+    def __init__(self, groups: np.ndarray):
         self.groups, self.docs, self.pos, self.n, self.out = groups, [], [], 0, _Out()
 
     def add(self, docs, pos):
@@ -282,7 +283,7 @@ class _Gather:
             yield self.out.take()
 
 
-def _match(groups: int):
+def _match(groups: np.ndarray):
     """Owner of hash ranges: which windows meet an index block elsewhere."""
 
     def run(batches: Iterator) -> Iterator:
@@ -330,7 +331,7 @@ def _with_texts(batches: Iterator) -> Iterator[tuple[int, bytes, list[np.ndarray
                 yield doc, text, places.get(doc, [])
 
 
-def _extend(window: int, block: int, parts: int, groups: int, chunk: int):
+def _extend(window: int, block: int, parts: np.ndarray, groups: np.ndarray, chunk: int):
     """Windows around hits: mark repeats within a stretch, send on the rest."""
 
     def stretch(held, out):
@@ -385,7 +386,7 @@ def _extend(window: int, block: int, parts: int, groups: int, chunk: int):
     return run
 
 
-def _classes(groups: int):
+def _classes(groups: np.ndarray):
     """Owner of hash ranges: all but the earliest window of each class."""
 
     def run(batches: Iterator) -> Iterator:
@@ -449,7 +450,7 @@ def _remove(window: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 20, parts: int | None = None, groups: int | None = None, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 20, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """One row per input row: id, ``n_words``, ``n_removed``, ``kept`` (the
     words that stay, joined by one space) and ``removed`` (the maximal removed
     spans as word offsets: begin, end, begin, end, ...)."""
@@ -457,9 +458,10 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         raise ValueError("a window has at least two words")
     spark = docs.sparkSession
     n = partitions(spark)
-    parts, groups, block = parts or 2 * n, groups or 16 * n, window // 2
+    parts, groups, block = partition_keys(n, 2), partition_keys(n), window // 2
+    keys = F.split(F.lit(",".join(map(str, groups))), ",").cast("array<int>")
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
-    texts = rows.select(F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int").alias("g"), F.lit(1).alias("kind"), "doc_id", "text", *(F.lit(None).cast("binary").alias(x) for x in "abc"))
+    texts = rows.select(F.get(keys, F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")).alias("g"), F.lit(1).alias("kind"), "doc_id", "text", *(F.lit(None).cast("binary").alias(x) for x in "abc"))
 
     def meet(places: DataFrame) -> DataFrame:
         places = places.select("g", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("binary").alias("text"), "a", "b", "c")
