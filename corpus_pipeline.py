@@ -10,9 +10,10 @@ the last return the columns of ``documents``.
 3. SimHash near-dedup: five-word shingles, 256-bit fingerprints.  Texts whose
    shingle sets have a similarity of 0.8 differ in 39 of these bits on
    average (standard deviation under 6), unrelated texts in 128 (8).  Texts
-   within 50 bits are linked (97 % of pairs at similarity 0.8); candidates
+   within 50 bits are candidates (97 % of pairs at similarity 0.8); they
    come from 48 sampled bands of 16 bits, which find 97 % of pairs at
-   similarity 0.8 and over 99 % from 0.85.
+   similarity 0.8 and over 99 % from 0.85.  Candidates are verified: only
+   texts whose shingle sets have a Jaccard similarity of 0.8 are linked.
    Of each group the smallest doc_id stays.
 4. Mixing: documents are left out or repeated towards the source targets.
 5. SentencePiece: token count and digests for each document.
@@ -29,6 +30,7 @@ from quarryline.llm.queries import tokenizer_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 SHINGLE, WORDS, RADIUS = 5, 4, 50
+SIMILARITY = (4, 5)
 BANDS = simhash.sampled_bands(48, 16, 64 * WORDS)
 
 
@@ -60,8 +62,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = docs.select(*COLUMNS)
-    found = simhash.near_duplicates(docs, shingle=SHINGLE, words=WORDS, radius=RADIUS, bands=BANDS)
-    return _without(docs, found.filter("doc_id <> component_id"), {"doc_id": F.col("doc_id")})
+    found = simhash.near_copies(docs, threshold=SIMILARITY, shingle=SHINGLE, words=WORDS, radius=RADIUS, bands=BANDS)
+    return _without(docs, found.filter("not kept"), {"doc_id": F.col("doc_id")})
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -42,6 +42,8 @@ from quarryline.llm.common import materialise, partitions, slices, text_bytes
 TILE = 8192
 #: Rows of small buckets that share one bit-sliced block.
 BLOCK = 4096
+#: Shingle sets, and hashes in them, of a tile.
+SET_TILE, SET_HASHES = 1024, 2_000_000
 
 Bands = list[list[int]]
 
@@ -281,9 +283,14 @@ def _keys(bands: Bands):
 def near_edges(nodes: DataFrame, *, radius: int, bands: Bands, words: int = 1, tile: int = TILE) -> DataFrame:
     """Edges (a, b) that link the distinct fingerprints ``fp`` of ``nodes``:
     the same components as all pairs within the radius that share a band."""
-    spark = nodes.sparkSession
     keyed = nodes.select("fp").mapInArrow(_keys(bands), "band int, key long, fp binary")
-    keyed = materialise(keyed, "simhash-keyed")
+    return keyed_edges(materialise(keyed, "simhash-keyed"), radius=radius, words=words, tile=tile)
+
+
+def keyed_edges(keyed: DataFrame, *, radius: int, words: int = 1, tile: int = TILE) -> DataFrame:
+    """Edges (a, b) between rows (band, key, fp) of one band and key: the same
+    components as all of their pairs within the radius."""
+    spark = keyed.sparkSession
     large = keyed.groupBy("band", "key").count().filter(F.col("count") > tile).select(F.col("band").alias("lb"), F.col("key").alias("lk"), F.ceil(F.col("count") / tile).cast("int").alias("tiles"))
     large = materialise(large, "simhash-large")
     dealt = keyed.withColumns({"ta": F.lit(0), "tb": F.lit(0), "tile": F.lit(0)})
@@ -339,3 +346,135 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     alone = materialise(alone, "simhash-components")
     found = fps.join(alone, F.col("fp") == F.col("node"), "left")
     return found.select(F.col("doc_id").alias(id_col), F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
+
+
+# Verified near copies
+
+
+def alike(sets: list[np.ndarray], threshold: tuple[int, int], tile_of: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of sets (distinct hashes) whose Jaccard
+    similarity is at least the fraction ``threshold``.  With ``tile_of``, pairs
+    within one tile are left to the unit of that tile."""
+    n, (over, under) = len(sets), threshold
+    sizes = np.array([len(s) for s in sets], dtype=np.int64)
+    ends = np.cumsum(sizes)
+    values, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    holders = np.repeat(np.arange(n), sizes)[np.argsort(ids, kind="stable")]
+    starts = np.concatenate([[0], np.cumsum(np.bincount(ids, minlength=len(values)))])
+    forest, out = Forest(n), []
+    for i in range(n):
+        if len(out) == n - 1:
+            break
+        own = ids[ends[i] - sizes[i] : ends[i]]
+        first, count = starts[own], starts[own + 1] - starts[own]
+        at = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        shared = np.bincount(holders[at], minlength=n)
+        near = under * shared >= over * (sizes[i] + sizes - shared)
+        near[: i + 1] = False
+        if tile_of is not None:
+            near &= tile_of != tile_of[i]
+        out += [(i, j) for j in np.flatnonzero(near).tolist() if forest.join(i, j)]
+    return out
+
+
+def _prints(shingle: int, words: int):
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in slices(batches):
+            fps, sizes = [], []
+            for text in text_bytes(batch.column(2)):
+                hashes = shingle_hashes(text, shingle, words)
+                fps.append(majority(hashes).astype(">u8").tobytes())
+                sizes.append(len(hashes))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.binary()), pa.array(sizes, pa.int32())], names=["doc_id", "sha", "fp", "n"])
+
+    return run
+
+
+def _sets(shingle: int):
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in slices(batches):
+            sets = [np.unique(shingle_hashes(text, shingle, 1)[:, 0]).tobytes() for text in text_bytes(batch.column(2))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.binary())], names=["sha", "grp", "hashes"])
+
+    return run
+
+
+def _verify(threshold: tuple[int, int]):
+    """Units of work in, verified edges out.  Rows come sorted by unit."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        unit, shas, tiles, sets = None, [], [], []
+
+        def edges():
+            if len(sets) < 2:
+                return []
+            found = alike(sets, threshold, np.array(tiles) if unit[1] != unit[2] else None)
+            return [(shas[i], shas[j]) for i, j in found]
+
+        def out(pairs):
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*pairs, strict=True)], names=["a", "b"])
+
+        for batch in slices(batches):
+            pairs = []
+            for *key, tile, sha, hashes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != unit:
+                    pairs += edges()
+                    unit, shas, tiles, sets = key, [], [], []
+                shas.append(sha)
+                tiles.append(tile)
+                sets.append(np.frombuffer(hashes, dtype=np.uint64))
+            if pairs:
+                yield out(pairs)
+        if pairs := edges():
+            yield out(pairs)
+
+    return run
+
+
+def near_copies(docs: DataFrame, *, threshold: tuple[int, int], shingle: int, words: int, radius: int, bands: Bands, tile: int = TILE, set_tile: int = SET_TILE) -> DataFrame:
+    """One row per input row: ``doc_id``, ``text_sha256``, ``component_id`` (the
+    smallest id of the component) and ``kept``, which one row of a component is.
+
+    Components are those of the pairs whose shingle sets have a Jaccard
+    similarity of at least ``threshold``, a fraction.  SimHash only proposes
+    groups: fingerprints linked within the radius.  In each group all pairs of
+    shingle sets, as 64-bit hashes, are compared in units of two tiles.  Rows
+    without an id are kept.
+    """
+    spark = docs.sparkSession
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("sha"), text.alias("text"))
+    fps = materialise(rows.mapInArrow(_prints(shingle, words), "doc_id long, sha binary, fp binary, n int"), "simhash-fp")
+    nodes = materialise(fps.select("fp").distinct(), "simhash-nodes")
+    groups = materialise(components(near_edges(nodes, radius=radius, bands=bands, words=words, tile=tile)), "simhash-groups")
+
+    texts = fps.select("sha", "fp", "n").distinct().join(groups, F.col("fp") == F.col("node"), "left").select("sha", "n", F.coalesce("root", "fp").alias("grp"))
+    texts = materialise(texts, "simhash-texts")
+    sizes = texts.groupBy("grp").agg(F.count("*").alias("count"), F.sum("n").alias("hashes")).filter("count > 1")
+    tiles = F.greatest(F.ceil(F.col("count") / set_tile), F.ceil(F.col("hashes") / SET_HASHES)).cast("int")
+    sizes = sizes.select(F.col("grp").alias("g"), tiles.alias("tiles"))
+    chosen = materialise(texts.join(sizes, F.col("grp") == F.col("g")).select(F.col("sha").alias("s"), "grp", "tiles"), "simhash-chosen")
+    sets = rows.select("sha", "text").join(chosen.select("s", "grp"), F.col("sha") == F.col("s")).dropDuplicates(["sha"]).select("sha", "grp", "text")
+    sets = materialise(sets.mapInArrow(_sets(shingle), "sha binary, grp binary, hashes binary"), "simhash-sets")
+
+    dealt = sets.join(chosen.select("s", "tiles"), F.col("sha") == F.col("s")).withColumn("tile", F.pmod(F.xxhash64("sha"), "tiles").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    dealt = dealt.withColumns({"ta": F.least("tile", "other"), "tb": F.greatest("tile", "other")})
+    columns = ["grp", "ta", "tb", "tile", "sha", "hashes"]
+    dealt = dealt.select(*columns).repartition(partitions(spark), "grp", "ta", "tb").sortWithinPartitions("grp", "ta", "tb")
+    edges = materialise(dealt.mapInArrow(_verify(threshold), "a binary, b binary"), "simhash-verified")
+
+    member = materialise(components(edges), "simhash-members")
+    found = fps.join(member, F.col("sha") == F.col("node"), "left").select("doc_id", "sha", F.coalesce("root", "sha").alias("root"))
+    found = materialise(found, "simhash-found")
+    first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "sha")))
+    least = found.groupBy("root").agg(first.alias("least")).withColumnRenamed("root", "r")
+    found = found.join(least, F.col("root") == F.col("r"))
+    kept = F.col("doc_id").isNull() | ((F.col("doc_id") == F.col("least.doc_id")) & (F.col("sha") == F.col("least.sha")))
+    return found.select("doc_id", F.lower(F.hex("sha")).alias("text_sha256"), F.col("least.doc_id").alias("component_id"), kept.alias("kept"))

@@ -4,6 +4,8 @@ import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
+from quarryline.llm import simhash
+
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -67,3 +69,47 @@ def test_repeated_rows_and_empty_tables(spark, tables):
 def test_run(spark, sf_dir):
     out = corpus_pipeline.run(spark, sf_dir)
     assert out.count() > 100
+
+
+def shingle_set(text):
+    w = (text or "").lower().encode().split()
+    return {b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def kept_by_brute_force(rows):
+    """Ids that stay when all pairs at a similarity of 0.8 are linked."""
+    sets, forest = [shingle_set(r[1]) for r in rows], simhash.Forest(len(rows))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 5 * len(a & sets[j]) >= 4 * len(a | sets[j]):
+                forest.join(i, j)
+    least = {}
+    for i, r in enumerate(rows):
+        least[forest.root(i)] = min(least.get(forest.root(i), r[0]), r[0])
+    return set(least.values())
+
+
+def test_only_verified_near_copies_are_dropped(spark):
+    draw = random.Random(3)
+    words = ["".join(draw.choice("abcdefghij") for _ in range(5)) for _ in range(4000)]
+    rows = []
+    for k in range(12):
+        base = [draw.choice(words) for _ in range(150)]
+        for i, changed in enumerate((0, 2, 5, 6, 6)):  # similarity 1, 0.87, 0.7 and 0.66 to the first
+            w = list(base)
+            for at in range(10, 10 + 20 * changed, 20):
+                w[at] = draw.choice(words)
+            rows.append((10 * k + i, " ".join(w), "en", "s1", 0))
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    got = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()}
+    assert got == kept_by_brute_force(rows)
+
+
+@pytest.mark.parametrize("set_tile", [3, 1024])
+def test_large_groups_are_split_into_tiles(spark, set_tile):
+    draw = random.Random(4)
+    base = [str(draw.random()) for _ in range(200)]
+    rows = [(i, " ".join(base[: 60 + 3 * i]), "en", "s1", 0) for i in range(40)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    found = simhash.near_copies(docs, threshold=(4, 5), shingle=5, words=4, radius=120, bands=[[]], set_tile=set_tile)
+    assert {r.doc_id for r in found.filter("kept").collect()} == kept_by_brute_force(rows)
