@@ -7,7 +7,7 @@ the last return the columns of ``documents``.
 1. Language ID: profiles are learnt from the documents that carry a language;
    documents without any letter are rejected.
 2. Exact dedup: of equal texts the largest doc_id stays.
-3. SimHash near-dedup: five-word shingles, 256-bit fingerprints.  Texts whose
+3. SimHash near-dedup: distinct five-word shingles, 256-bit fingerprints.  Texts whose
    shingle sets have a similarity of 0.8 differ in 39 of these bits on
    average (standard deviation under 6), unrelated texts in 128 (8).  Texts
    within 50 bits are candidates (97 % of pairs at similarity 0.8); they

@@ -71,8 +71,9 @@ def sampled_bands(count: int, width: int, bits: int, seed: int = 0) -> Bands:
     return [sorted(draw.sample(range(bits), width)) for _ in range(count)]
 
 
-def shingle_hashes(text: bytes, size: int, words: int) -> np.ndarray:
-    """XXH64 hashes of a text's shingles, seeds 42, 43, ...: shape (n, words)."""
+def shingle_hashes(text: bytes, size: int, words: int, distinct: bool = False) -> np.ndarray:
+    """XXH64 hashes of a text's shingles, seeds 42, 43, ...: shape (n, words).
+    Repeated shingles count each time unless ``distinct``."""
     from xxhash import xxh64_intdigest
 
     tokens = text.lower().split()
@@ -85,6 +86,8 @@ def shingle_hashes(text: bytes, size: int, words: int) -> np.ndarray:
         ends = list(accumulate(len(t) + 1 for t in tokens))
         starts = [0, *ends]
         shingles = [joined[a : b - 1] for a, b in zip(starts, ends[size - 1 :], strict=False)]
+    if distinct:
+        shingles = list(dict.fromkeys(shingles))
     out = np.empty((len(shingles), words), dtype=np.uint64)
     for w in range(words):
         seed = 42 + w
@@ -384,7 +387,7 @@ def _prints(shingle: int, words: int):
         for batch in slices(batches):
             fps, sizes = [], []
             for text in text_bytes(batch.column(2)):
-                hashes = shingle_hashes(text, shingle, words)
+                hashes = shingle_hashes(text, shingle, words, distinct=True)
                 fps.append(majority(hashes).astype(">u8").tobytes())
                 sizes.append(len(hashes))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.binary()), pa.array(sizes, pa.int32())], names=["doc_id", "sha", "fp", "n"])
@@ -442,8 +445,9 @@ def near_copies(docs: DataFrame, *, threshold: tuple[int, int], shingle: int, wo
     smallest id of the component) and ``kept``, which one row of a component is.
 
     Components are those of the pairs whose shingle sets have a Jaccard
-    similarity of at least ``threshold``, a fraction.  SimHash only proposes
-    groups: fingerprints linked within the radius.  In each group all pairs of
+    similarity of at least ``threshold``, a fraction.  SimHash, here over each
+    text's distinct shingles, only proposes groups: fingerprints linked within
+    the radius.  In each group all pairs of
     shingle sets, as 64-bit hashes, are compared in units of two tiles.  Rows
     without an id are kept.
     """

@@ -1,6 +1,7 @@
 import random
 
 import corpus_pipeline
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -113,3 +114,11 @@ def test_large_groups_are_split_into_tiles(spark, set_tile):
     docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
     found = simhash.near_copies(docs, threshold=(4, 5), shingle=5, words=4, radius=120, bands=[[]], set_tile=set_tile)
     assert {r.doc_id for r in found.filter("kept").collect()} == kept_by_brute_force(rows)
+
+
+def test_repeated_shingles_count_once():
+    draw = random.Random(5)
+    texts = [" ".join(["de"] * 130 + [str(draw.random()) for _ in range(100)]).encode() for _ in range(2)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "sha": [b"a", b"b"], "text": [t.decode() for t in texts]})
+    a, b = next(simhash._prints(5, 4)(iter([batch]))).column(2).to_pylist()
+    assert (int.from_bytes(a, "big") ^ int.from_bytes(b, "big")).bit_count() > 90  # unrelated but for few shingles
