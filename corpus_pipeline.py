@@ -10,10 +10,10 @@ the last return the columns of ``documents``.
 3. SimHash near-dedup: distinct five-word shingles, 256-bit fingerprints.  Texts whose
    shingle sets have a similarity of 0.8 differ in 39 of these bits on
    average (standard deviation under 6), unrelated texts in 128 (8).  Texts
-   within 50 bits are candidates (97 % of pairs at similarity 0.8); they
-   come from 48 sampled bands of 16 bits, which find 97 % of pairs at
-   similarity 0.8 and over 99 % from 0.85.  Candidates are verified: only
-   texts whose shingle sets have a Jaccard similarity of 0.8 are linked.
+   within 64 bits that share one of 96 sampled bands of 14 bits are
+   candidates, as are texts of at most 40 shingles that share a shingle of
+   their prefixes.  Candidates are verified: only texts whose shingle sets
+   have a Jaccard similarity of 0.8 are linked.
    Of each group the smallest doc_id stays.
 4. Mixing: documents are left out or repeated towards the source targets.
 5. SentencePiece: token count and digests for each document.
@@ -29,9 +29,9 @@ from quarryline.llm.common import materialise, read
 from quarryline.llm.queries import tokenizer_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-SHINGLE, WORDS, RADIUS = 5, 4, 50
+SHINGLE, WORDS, RADIUS = 5, 4, 64
 SIMILARITY = (4, 5)
-BANDS = simhash.sampled_bands(48, 16, 64 * WORDS)
+BANDS = simhash.sampled_bands(96, 14, 64 * WORDS)
 
 
 def _without(docs: DataFrame, drop: DataFrame, keys: dict[str, object]) -> DataFrame:

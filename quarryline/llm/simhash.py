@@ -44,6 +44,9 @@ TILE = 8192
 BLOCK = 4096
 #: Shingle sets, and hashes in them, of a tile.
 SET_TILE, SET_HASHES = 1024, 2_000_000
+#: Sets of up to so many shingles also meet by shared shingles, within a radius
+#: in 256 bits that tells unrelated texts (128) from near ones (48 or less).
+SHORT, SHORT_RADIUS = 40, 96
 
 Bands = list[list[int]]
 
@@ -380,17 +383,26 @@ def alike(sets: list[np.ndarray], threshold: tuple[int, int], tile_of: np.ndarra
     return out
 
 
-def _prints(shingle: int, words: int):
+def prefix(hashes: np.ndarray, threshold: tuple[int, int]) -> np.ndarray:
+    """The least hashes of a set, so many that two sets as similar as the
+    threshold share one of them: such sets share at least ``threshold`` of
+    either's hashes."""
+    n, (over, under) = len(hashes), threshold
+    return np.sort(hashes)[: n + (-n * over // under) + 1]
+
+
+def _prints(shingle: int, words: int, threshold: tuple[int, int]):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in slices(batches):
-            fps, sizes = [], []
+            fps, sizes, keys = [], [], []
             for text in text_bytes(batch.column(2)):
                 hashes = shingle_hashes(text, shingle, words, distinct=True)
                 fps.append(majority(hashes).astype(">u8").tobytes())
                 sizes.append(len(hashes))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.binary()), pa.array(sizes, pa.int32())], names=["doc_id", "sha", "fp", "n"])
+                keys.append(prefix(hashes[:, 0], threshold).view(np.int64) if 0 < len(hashes) <= SHORT else [])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.binary()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "sha", "fp", "n", "keys"])
 
     return run
 
@@ -447,16 +459,21 @@ def near_copies(docs: DataFrame, *, threshold: tuple[int, int], shingle: int, wo
     Components are those of the pairs whose shingle sets have a Jaccard
     similarity of at least ``threshold``, a fraction.  SimHash, here over each
     text's distinct shingles, only proposes groups: fingerprints linked within
-    the radius.  In each group all pairs of
+    the radius in a band, and those of short texts that share a hash of their
+    ``prefix``.  In each group all pairs of
     shingle sets, as 64-bit hashes, are compared in units of two tiles.  Rows
     without an id are kept.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("sha"), text.alias("text"))
-    fps = materialise(rows.mapInArrow(_prints(shingle, words), "doc_id long, sha binary, fp binary, n int"), "simhash-fp")
+    fps = materialise(rows.mapInArrow(_prints(shingle, words, threshold), "doc_id long, sha binary, fp binary, n int, keys array<long>"), "simhash-fp")
     nodes = materialise(fps.select("fp").distinct(), "simhash-nodes")
-    groups = materialise(components(near_edges(nodes, radius=radius, bands=bands, words=words, tile=tile)), "simhash-groups")
+    banded = nodes.mapInArrow(_keys(bands), "band int, key long, fp binary")  # not kept: wider than the texts
+    near = keyed_edges(banded, radius=radius, words=words, tile=tile)
+    short = fps.select(F.lit(-1).alias("band"), F.explode("keys").alias("key"), "fp").distinct()
+    near = near.unionByName(keyed_edges(short, radius=SHORT_RADIUS * words // 4, words=words, tile=tile))
+    groups = materialise(components(near), "simhash-groups")
 
     texts = fps.select("sha", "fp", "n").distinct().join(groups, F.col("fp") == F.col("node"), "left").select("sha", "n", F.coalesce("root", "fp").alias("grp"))
     texts = materialise(texts, "simhash-texts")

@@ -122,3 +122,18 @@ def test_repeated_shingles_count_once():
     batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "sha": [b"a", b"b"], "text": [t.decode() for t in texts]})
     a, b = next(simhash._prints(5, 4)(iter([batch]))).column(2).to_pylist()
     assert (int.from_bytes(a, "big") ^ int.from_bytes(b, "big")).bit_count() > 90  # unrelated but for few shingles
+
+
+def test_recall_against_brute_force(spark):
+    draw = random.Random(6)
+    words = ["".join(draw.choice("abcdefghij") for _ in range(6)) for _ in range(5000)]
+    rows = []
+    for k in range(600):
+        base = [draw.choice(words) for _ in range(8 if k % 2 else 120)]
+        other = base + [draw.choice(words)] if k % 2 else base + [draw.choice(words) for _ in range(29)]
+        rows += [(2 * k, " ".join(base), "en", "s1", 0), (2 * k + 1, " ".join(other), "en", "s1", 0)]  # similarity 0.8 each
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    got = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()}
+    assert kept_by_brute_force(rows) == set(range(0, 1200, 2))
+    assert set(range(0, 1200, 2)) <= got
+    assert len(got) <= 603  # at most 3 of 600 missed
