@@ -5,7 +5,8 @@ sf_dir) and returns a table that the next one takes as its ``docs``.  All but
 the last return the columns of ``documents``.
 
 1. Language ID: profiles are learnt from the documents that carry a language;
-   documents without any letter are rejected.
+   documents without any letter are rejected, those alone where no document
+   carries a language.
 2. Exact dedup: of equal texts the largest doc_id stays.
 3. SimHash near-dedup: distinct five-word shingles, 256-bit fingerprints.  Texts whose
    shingle sets have a similarity of 0.8 differ in 39 of these bits on
@@ -21,6 +22,7 @@ the last return the columns of ``documents``.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,7 +48,8 @@ def _without(docs: DataFrame, drop: DataFrame, keys: dict[str, object]) -> DataF
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = docs.select(*COLUMNS)
-    found = langid.identify(docs, langid.train(docs), keep=tuple(COLUMNS))
+    profiles = langid.train(docs) or {"any": np.array([-1])}  # nothing to learn from: letters alone decide
+    found = langid.identify(docs, profiles, keep=tuple(COLUMNS))
     return found.filter(F.col("lang_pred") != langid.UNKNOWN).select(*COLUMNS)
 
 
@@ -63,7 +66,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = docs.select(*COLUMNS)
     found = simhash.near_copies(docs, threshold=SIMILARITY, shingle=SHINGLE, words=WORDS, radius=RADIUS, bands=BANDS)
-    return _without(docs, found.filter("not kept"), {"doc_id": F.col("doc_id")})
+    sha = F.sha2(F.coalesce("text", F.lit("")), 256)
+    return _without(docs, found.filter("not kept"), {"doc_id": F.col("doc_id"), "text_sha256": sha})
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -137,3 +137,15 @@ def test_recall_against_brute_force(spark):
     assert kept_by_brute_force(rows) == set(range(0, 1200, 2))
     assert set(range(0, 1200, 2)) <= got
     assert len(got) <= 603  # at most 3 of 600 missed
+
+
+def test_a_near_copy_takes_no_other_row_of_its_id(spark):
+    one, two = (" ".join(str(random.Random(s).random() + i) for i in range(60)) for s in (1, 2))
+    rows = [(1, one, "en", "s1", 0), (5, one + " more", "en", "s1", 0), (5, two, "en", "s1", 0)]
+    got = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, SCHEMA), "").collect()
+    assert {(r.doc_id, r.text) for r in got} == {(1, one), (5, two)}
+
+
+def test_documents_without_any_language(spark):
+    rows = [(1, "some words", None, "s1", 0), (2, "12 34", None, "s1", 0)]
+    assert [r.doc_id for r in corpus_pipeline.language_id(spark, spark.createDataFrame(rows, SCHEMA), "").collect()] == [1]
