@@ -23,15 +23,17 @@ SEPARATORS = r"[_\-./]+"
 CASE_BORDER = r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])"
 
 # Words that a full-text query leaves out.
-QUERY_STOPWORDS = frozenset(
-    "a an and are as at be but by can did do does for from had has have how i if in into is it its me of on or our out should that the"
-    " their then there these they this to up us was we were what when where which who why will with would you your".split()
-)
+QUERY_STOPWORDS = frozenset((
+    "a", "an", "and", "are", "as", "at", "be", "but", "by", "can", "did", "do", "does", "for", "from", "had", "has", "have", "how", "i", "if", "in",
+    "into", "is", "it", "its", "me", "of", "on", "or", "our", "out", "should", "that", "the", "their", "then", "there", "these", "they", "this", "to",
+    "up", "us", "was", "we", "were", "what", "when", "where", "which", "who", "why", "will", "with", "would", "you", "your",
+))
 # Words that a symbol query leaves out.
-SYMBOL_STOPWORDS = frozenset(
-    "a an and are as at be but by can do does for from get has have how i if in is it its me of on or our out set that the then this to"
-    " up us use we what when where which who why with you your".split()
-)
+SYMBOL_STOPWORDS = frozenset((
+    "a", "an", "and", "are", "as", "at", "be", "but", "by", "can", "do", "does", "for", "from", "get", "has", "have", "how", "i", "if", "in", "is",
+    "it", "its", "me", "of", "on", "or", "our", "out", "set", "that", "the", "then", "this", "to", "up", "us", "use", "we", "what", "when", "where",
+    "which", "who", "why", "with", "you", "your",
+))
 
 _NOT_TOKEN, _SEPARATORS, _BORDER = re.compile(NOT_TOKEN), re.compile(SEPARATORS), re.compile(CASE_BORDER)
 

@@ -62,26 +62,38 @@ def fail(jobs: DataFrame, errors: DataFrame) -> DataFrame:
     }).drop("_error", "_failed")
 
 
+def _to_pending(jobs: DataFrame, moved: Column, keys: tuple[str, ...]) -> DataFrame:
+    """Rows with ``_move``: true where a job becomes pending, null where it
+    goes, false where it is left alone.  A key has one pending job, so a job
+    moves only if none waits already, and of several the lowest id."""
+    rows = jobs.withColumn("_moved", F.coalesce(moved, F.lit(False)))
+    own = Window.partitionBy(*keys)
+    waits = F.max(F.col("state") == "pending").over(own)
+    first = F.min(F.when(F.col("_moved"), F.col("id"))).over(own)
+    move = F.when(~F.col("_moved"), F.lit(False)).when(~waits & (F.col("id") == first), F.lit(True))
+    return rows.withColumn("_move", move).drop("_moved")
+
+
 def sweep(jobs: DataFrame, now: int, keys: tuple[str, ...] = KEY) -> tuple[DataFrame, DataFrame]:
-    """Jobs after expired leases are resolved, and the ids that were expired.
-    An expired job waits again, or goes if a pending one has its key."""
-    expired = (F.col("state") == "running") & (F.col("lease_until") < now)
-    waiting = jobs.filter("state = 'pending'").select(*keys).distinct().withColumn("_waits", F.lit(True))
-    rows = jobs.withColumn("_expired", F.coalesce(expired, F.lit(False)))
-    order = Window.partitionBy(*keys, "_expired").orderBy(F.desc("enqueued_at"), F.desc("id"))
-    rows = rows.withColumn("_n", F.row_number().over(order)).join(waiting, list(keys), "left")
-    kept = rows.filter(~F.col("_expired") | (F.col("_waits").isNull() & (F.col("_n") == 1)))
-    kept = kept.withColumns({"state": F.when(F.col("_expired"), F.lit("pending")).otherwise(F.col("state")), "lease_until": F.when(~F.col("_expired"), F.col("lease_until")), "worker": F.when(~F.col("_expired"), F.col("worker"))})
-    return kept.select(*jobs.columns), rows.filter("_expired").select("id")
+    """Jobs after expired leases are resolved, and one row with ``recovered``,
+    the number of those that wait again.  An expired job goes if its key has a
+    pending one, also one that was recovered just before it (ids ascend)."""
+    rows = _to_pending(jobs, (F.col("state") == "running") & (F.col("lease_until") < now), keys)
+    kept = rows.filter("_move is not null")
+    left = {c: F.when(~F.col("_move"), F.col(c)) for c in ("lease_until", "worker")}
+    kept = kept.withColumns({"state": F.when(F.col("_move"), F.lit("pending")).otherwise(F.col("state")), **left})
+    return kept.select(*jobs.columns), rows.agg(F.count_if(F.col("_move")).alias("recovered"))
 
 
 def retry_dead(jobs: DataFrame, keys: tuple[str, ...] = KEY) -> DataFrame:
-    """Dead jobs wait again with no attempts counted, unless one waits already."""
-    waiting = jobs.filter("state = 'pending'").select(*keys).distinct().withColumn("_waits", F.lit(True))
-    rows = jobs.join(waiting, list(keys), "left")
-    dead = F.col("state") == "dead"
-    rows = rows.filter(~dead | F.col("_waits").isNull())
-    return rows.withColumns({"attempts": F.when(dead, F.lit(0)).otherwise(F.col("attempts")), "state": F.when(dead, F.lit("pending")).otherwise(F.col("state"))}).select(*jobs.columns)
+    """Dead jobs wait again, without attempts and error.  One goes if its key
+    has a pending job, also one that was revived just before it (ids ascend)."""
+    rows = _to_pending(jobs, F.col("state") == "dead", keys).filter("_move is not null")
+    return rows.withColumns({
+        "state": F.when(F.col("_move"), F.lit("pending")).otherwise(F.col("state")),
+        "attempts": F.when(F.col("_move"), F.lit(0)).otherwise(F.col("attempts")),
+        "last_error": F.when(~F.col("_move"), F.col("last_error")),
+    }).select(*jobs.columns)
 
 
 def depth(jobs: DataFrame) -> DataFrame:

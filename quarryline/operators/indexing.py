@@ -21,12 +21,14 @@ from quarryline.operators.parse import parse_files
 
 # Callees that no edge is kept for.
 COMMON_CALLEES = (
-    "log warn error info debug trace assert stringify parse push pop shift unshift slice splice map filter reduce forEach find some every join"
-    " split concat indexOf includes keys values entries then catch finally resolve reject all race toString valueOf test exec match replace trim"
-    " startsWith endsWith padStart padEnd get set has add delete call apply bind require length max min floor ceil round abs now from of isArray"
-    " describe it expect beforeEach afterEach beforeAll afterAll toBe toEqual mock spyOn print len str int float list dict append format println"
-    " printf sprintf panic make new unwrap expect_err clone into to_string push_str iter collect ok err"
-).split()
+    "log", "warn", "error", "info", "debug", "trace", "assert", "stringify", "parse", "push", "pop", "shift", "unshift", "slice", "splice", "map",
+    "filter", "reduce", "forEach", "find", "some", "every", "join", "split", "concat", "indexOf", "includes", "keys", "values", "entries", "then",
+    "catch", "finally", "resolve", "reject", "all", "race", "toString", "valueOf", "test", "exec", "match", "replace", "trim", "startsWith",
+    "endsWith", "padStart", "padEnd", "get", "set", "has", "add", "delete", "call", "apply", "bind", "require", "length", "max", "min", "floor",
+    "ceil", "round", "abs", "now", "from", "of", "isArray", "describe", "it", "expect", "beforeEach", "afterEach", "beforeAll", "afterAll", "toBe",
+    "toEqual", "mock", "spyOn", "print", "len", "str", "int", "float", "list", "dict", "append", "format", "println", "printf", "sprintf", "panic",
+    "make", "new", "unwrap", "expect_err", "clone", "into", "to_string", "push_str", "iter", "collect", "ok", "err",
+)
 
 Index = dict[str, DataFrame]
 
@@ -47,11 +49,12 @@ def line_windows(docs: DataFrame, window: int = 120) -> DataFrame:
 def line_windows_local(docs: DataFrame, window: int = 120) -> DataFrame:
     """``line_windows`` without a shuffle: windows are sliced out of each
     text's own line array.  For texts whose lines fit a task's memory."""
-    rows = docs.select("path", F.split("text", "\n").alias("lines"))
-    rows = rows.select("path", "lines", F.explode(F.sequence(F.lit(0), F.floor((F.size("lines") - 1) / window).cast("int"))).alias("ord"))
-    part = F.slice("lines", F.col("ord") * window + 1, window)
-    rows = rows.select("path", "ord", (F.col("ord") * window + 1).alias("start_line"), F.least((F.col("ord") + 1) * window, F.size("lines")).alias("end_line"), F.array_join(part, "\n").alias("body"))
-    return rows.filter(F.col("body").rlike(r"\S"))
+    lines = F.split("text", "\n")
+    windows = F.transform(F.sequence(F.lit(0), F.floor((F.size(lines) - 1) / window).cast("int")), lambda i: F.struct(
+        i.alias("ord"), (i * window + 1).alias("start_line"), F.least((i + 1) * window, F.size(lines)).alias("end_line"), F.array_join(F.slice(lines, i * window + 1, window), "\n").alias("body"),
+    ))
+    # Sliced before they are exploded: no row carries its whole text.
+    return docs.select("path", F.explode(windows).alias("w")).select("path", "w.*").filter(F.col("body").rlike(r"\S"))
 
 
 def text_chunks(docs: DataFrame, window: int = 120, lang: str = "text") -> DataFrame:
@@ -96,8 +99,14 @@ def edges(parsed: DataFrame) -> DataFrame:
     """Import edges, and one call edge for each caller and callee of a file."""
     imports = parsed.select("path", F.explode("imports").alias("i")).select("path", F.lit("").alias("src"), F.col("i.specifier").alias("dst"), F.lit("imports").alias("kind"), F.col("i.line").alias("line"))
     calls = parsed.select("path", F.posexplode("calls").alias("at", "c")).select("path", F.coalesce("c.caller", F.lit("")).alias("src"), F.col("c.name").alias("dst"), "at", F.col("c.line").alias("line"))
-    calls = calls.filter(interesting(F.col("dst"))).groupBy("path", "src", "dst").agg(F.min_by("line", "at").alias("line"))
-    return imports.unionByName(calls.withColumn("kind", F.lit("calls"))).withColumn("precision", F.lit("heuristic"))
+    return imports.unionByName(call_edges(calls)).withColumn("precision", F.lit("heuristic"))
+
+
+def call_edges(calls: DataFrame) -> DataFrame:
+    """One edge for each caller and callee of a file, at the first call (by
+    ``at``).  ``calls``: path, src, dst, at, line."""
+    rows = calls.filter(interesting(F.col("dst"))).groupBy("path", "src", "dst").agg(F.min_by("line", "at").alias("line"))
+    return rows.select("path", "src", "dst", F.lit("calls").alias("kind"), "line")
 
 
 def interesting(callee):

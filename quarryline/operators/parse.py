@@ -3,7 +3,9 @@
 Python goes through ``ast``.  TypeScript, JavaScript, Go and Rust go through a
 masking lexer (strings and comments become blanks of the same length) and a
 brace matcher; definitions are then patterns on the masked text.  A file that
-does not parse still gives what was found, with ``has_errors`` set.
+does not parse still gives what was found, with ``has_errors`` set.  A file
+that breaks the parser itself (nesting beyond any stack) is cut into windows of
+lines and marked the same way, so no file can fail another.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ from __future__ import annotations
 import ast
 import bisect
 import re
+from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -93,8 +96,14 @@ class _Python(ast.NodeVisitor):
 
     def visit_FunctionDef(self, node) -> None:
         self._define(node, "function")
+        for d in node.decorator_list:  # they stand outside the function
+            self.visit(d)
         self.functions.append(node.name)
-        self.generic_visit(node)
+        for name, value in ast.iter_fields(node):
+            if name != "decorator_list":
+                for part in value if isinstance(value, list) else [value]:
+                    if isinstance(part, ast.AST):
+                        self.visit(part)
         self.functions.pop()
 
     visit_AsyncFunctionDef = visit_FunctionDef
@@ -106,7 +115,7 @@ class _Python(ast.NodeVisitor):
         self.classes.pop()
 
     def visit_Import(self, node) -> None:
-        self.out.imports += [(a.name, node.lineno) for a in node.names]
+        self.out.imports += [(a.name, node.lineno) for a in node.names if a.asname is None]
 
     def visit_ImportFrom(self, node) -> None:
         if node.module and not node.level:
@@ -184,14 +193,23 @@ class _Masked:
         return bisect.bisect_right(self.line_starts, at)
 
     def doc(self, start: int) -> str | None:
-        found, boundary = [], start
-        for a, b in reversed(self.comments[: bisect.bisect_left(self.comments, (start, 0))]):
-            between = self.source[b:boundary]
-            if between.strip() or between.count("\n") > 1 or self.source[self.source.rfind("\n", 0, a) + 1 : a].strip():
+        """The comments that end right above: at most one line end between."""
+        found, boundary, at = [], start, bisect.bisect_left(self.comments, (start, 0)) - 1
+        while at >= 0:
+            a, b = self.comments[at]
+            above = self.visible(boundary, self.source)
+            if above != b or self.source.count("\n", b, boundary) > 1:
                 break
-            found.insert(0, self.source[a:b])
-            boundary = a
-        return "\n".join(found) or None
+            found.append(self.source[a:b])
+            boundary, at = a, at - 1
+        return "\n".join(reversed(found)) or None
+
+    def visible(self, at: int, text: str | None = None) -> int:
+        """Where the last character before ``at`` that is no white space ends."""
+        text = self.code if text is None else text
+        while at > 0 and text[at - 1].isspace():
+            at -= 1
+        return at
 
     def body(self, start: int, stop: str = ";") -> tuple[int, int]:
         """Where a declaration's body opens (its end, if it has none) and where
@@ -210,10 +228,12 @@ class _Masked:
 
 
 _NAME = r"[A-Za-z_$][\w$]*"
-_KEYWORDS = frozenset(
-    "pub if for while switch catch function return typeof await new super import constructor func go defer select range fn match loop"
-    " unsafe move in as where impl struct enum trait let const var else do throw delete void yield of case sizeof make".split()
-)
+# Words that look like calls before a parenthesis and are none.
+_KEYWORDS = frozenset((
+    "pub", "if", "for", "while", "switch", "catch", "function", "return", "typeof", "await", "new", "super", "import", "constructor", "func", "go",
+    "defer", "select", "range", "fn", "match", "loop", "unsafe", "move", "in", "as", "where", "impl", "struct", "enum", "trait", "let", "const", "var",
+    "else", "do", "throw", "async", "delete", "void", "yield", "of", "case", "sizeof", "make",
+))
 _TS_DEFS = re.compile(
     rf"(?P<export>\bexport\s+(?:default\s+)?)?(?P<node>\b(?:declare\s+)?(?:"
     rf"(?:async\s+)?function\s*\*?\s*(?P<function>{_NAME})\s*(?=[<(])"
@@ -233,6 +253,9 @@ _RUST_DEFS = re.compile(
     rf"(?P<node>(?:\bpub(?:\([^)]*\))?\s+)?(?:(?:default|async|unsafe|const|extern(?:\s*\"[^\"]*\")?)\s+)*\b(?:fn\s+(?P<function>{_NAME})|struct\s+(?P<struct>{_NAME})|enum\s+(?P<enum>{_NAME})"
     rf"|trait\s+(?P<interface>{_NAME})|mod\s+(?P<module>{_NAME})|const\s+(?P<constant>{_NAME})\s*:|static\s+(?:mut\s+)?(?P<static>{_NAME})\s*:))"
 )
+_WORD = re.compile(r"[\w$#]+")
+_MACRO = re.compile(r"\w!\s*[(\[{]")
+_GO_INTERFACE = re.compile(r"\binterface\s*\{")
 _CALL = re.compile(rf"(?P<name>{_NAME})\s*(?:::<[^()]*?>|<[\w$,\s\[\]|.]*>)?\(")
 
 
@@ -290,7 +313,7 @@ def _parse_braces(source: str, lang: str, out: Parsed) -> None:
                         at = stop + 1
                         continue
                 if c.isalnum() or c in "_$#":
-                    at += re.compile(r"[\w$#]+").match(m.code, at).end() - at
+                    at = _WORD.match(m.code, at).end()
                 else:
                     at += 1
         for d in _TS_IMPORT.finditer(m.code):
@@ -322,7 +345,7 @@ def _parse_braces(source: str, lang: str, out: Parsed) -> None:
                 brace = m.code.find("{", d.end(), stop)
                 body, end = len(source), m.close.get(brace, stop) if brace > 0 else stop - 1
             add(kind, d[kind], d.start(kind), d.start("node"), body, end, d.start("node"), "A" <= d[kind][0] <= "Z", kind == "type", kind in ("function", "method"))
-        for block in re.finditer(r"^import\s*(\(|\")", m.code, re.M):
+        for block in re.finditer(r"^import\s*(?:[\w.]+\s+)?(\(|\")", m.code, re.M):
             a = block.start(1)
             b = m.close.get(a, len(source)) if source[a] == "(" else m.code.find("\n", a) % (len(source) + 1)
             out.imports += [(q[1], m.line(a + q.start())) for q in re.finditer(r'"([^"\n]*)"', source[a : b + 1])]
@@ -334,22 +357,61 @@ def _parse_braces(source: str, lang: str, out: Parsed) -> None:
                 end = max(end, m.code.find(";", d.end()))
             else:
                 body, end = m.body(d.end(), ";")
-            name_at = d.start(kind)
+            name, name_at = d[kind], d.start(kind)
             kind = "constant" if kind == "static" else kind
-            add(kind, m.code[name_at : name_at + len(re.match(_NAME, m.code[name_at:])[0])], name_at, d.start("node"), body, end, d.start("node"), d["node"].startswith("pub "), kind == "module", kind == "function")
+            add(kind, name, name_at, d.start("node"), body, end, d.start("node"), d["node"].startswith("pub "), kind == "module", kind == "function")
         for d in re.finditer(rf"\buse\s+((?:{_NAME}::)*{_NAME})\s*;", m.code):
             out.imports.append((d[1], m.line(d.start(1))))
 
-    containers = sorted((s for s in spans if s.container), key=lambda s: s.end - s.start)
-    for symbol, span in zip(out.symbols, spans, strict=True):
-        symbol.parent = next((c.name for c in containers if c is not span and c.start <= span.start and span.end <= c.end), None)
-    functions = sorted((s for s in spans if s.function), key=lambda s: s.end - s.start)
+    for i, inner in zip(*_innermost([(s.start, s.end) for s in spans], [s if s.container else None for s in spans]), strict=True):
+        out.symbols[i].parent = inner and inner.name
+    calls, quiet = [], 0
+    # What stands inside macros and declared types looks like calls and is none.
+    opened = {"rust": _MACRO, "go": _GO_INTERFACE}.get(lang)
+    silent = [(d.end() - 1, m.close.get(d.end() - 1, 0)) for d in opened.finditer(m.code)] if opened else []
+    if lang != "go":
+        declared = ("struct", "enum") if lang == "rust" else ("interface", "type")
+        silent += [(span.start, span.end) for span, symbol in zip(spans, out.symbols, strict=True) if symbol.kind in declared]
+    silent = deque(sorted(silent))
     for c in _CALL.finditer(m.code):
         at = c.start("name")
-        before = m.code[:at].rstrip()[-12:]
-        if c["name"] in _KEYWORDS or at in names or re.search(r"\b(?:new|function|fn|func)$", before) or m.code[c.end("name") : c.end("name") + 1] == "!":
+        end = m.visible(at)
+        while silent and silent[0][0] < at:
+            quiet = max(quiet, silent.popleft()[1])
+        if at < quiet or (lang == "rust" and (m.code[max(0, end - 2) : end] == "::" or "<" in m.code[c.end("name") : c.end()])):
             continue
-        out.calls.append((c["name"], m.line(at), next((f.name for f in functions if f.start <= at <= f.end), None)))
+        if c["name"] in _KEYWORDS or at in names or _DEFINES.search(m.code, max(0, end - 12), end) or m.code[c.end("name") : c.end("name") + 1] == "!":
+            continue
+        calls.append((at, c["name"]))
+    functions = [s for s in spans if s.function]
+    marks = [None] * len(calls)
+    places = [(at, at) for at, _ in calls] + [(f.start, f.end) for f in functions]
+    for i, inner in zip(*_innermost(places, marks + functions), strict=True):
+        if i < len(calls):
+            at, name = calls[i]
+            out.calls.append((name, m.line(at), inner and inner.name))
+
+
+_DEFINES = re.compile(r"\b(?:new|function|fn|func)\Z")
+
+
+def _innermost(places: list[tuple[int, int]], owners: list) -> tuple[list[int], list]:
+    """For each place (start, end), in order of start: its number and the
+    innermost owner around it that is not its own.  One pass with a stack."""
+    order = sorted(range(len(places)), key=lambda i: (places[i][0], -places[i][1], owners[i] is None))
+    stack: list[tuple[int, object]] = []
+    found = []
+    for i in order:
+        start, end = places[i]
+        while stack and stack[-1][0] < start:
+            stack.pop()
+        found.append(next((o for stop, o in reversed(stack) if stop >= end), None))
+        if owners[i] is not None:
+            stack.append((end, owners[i]))
+    return order, found
+
+
+_GOES_ON = re.compile(r"\s*[.?:&|+*/]")
 
 
 def _statement_end(m: _Masked, at: int) -> int:
@@ -362,7 +424,7 @@ def _statement_end(m: _Masked, at: int) -> int:
             return at
         elif c in ")}]":
             return at - 1
-        elif c == "\n" and m.code[:at].rstrip()[-1:] not in "=+-*/%&|?:,<>(" and not re.match(r"\s*[.?:&|+*/]", m.code[at:]):
+        elif c == "\n" and m.code[max(0, m.visible(at) - 1)] not in "=+-*/%&|?:,<>(" and not _GOES_ON.match(m.code, at):
             return at - 1
         at += 1
     return len(m.code) - 1
@@ -390,9 +452,9 @@ def _deduplicate(symbols: list[Symbol]) -> list[Symbol]:
     return sorted(best.values(), key=lambda s: s.start_line)
 
 
-def _windows(first: int, last: int) -> Iterator[tuple[int, int]]:
+def _windows(first: int, last: int, symbol: str | None = None) -> Iterator[tuple[int, int, str | None]]:
     for a in range(first, last + 1, MAX_CHUNK_LINES):
-        yield a, min(a + MAX_CHUNK_LINES - 1, last)
+        yield a, min(a + MAX_CHUNK_LINES - 1, last), symbol
 
 
 def chunk_lines(symbols: list[Symbol], source: str) -> list[tuple[int, int, str | None]]:
@@ -401,8 +463,12 @@ def chunk_lines(symbols: list[Symbol], source: str) -> list[tuple[int, int, str
     lines = source.split("\n")
     if not symbols:
         return [(1, len(lines), None)]
-    spans = [(s.start_line, s.end_line) for s in symbols]
-    outer = [s for s in symbols if not any(a <= s.start_line and s.end_line <= b and (a, b) != (s.start_line, s.end_line) for a, b in spans)]
+    inside, reach = set(), 0
+    for a, b in sorted({(s.start_line, s.end_line) for s in symbols}, key=lambda x: (x[0], -x[1])):
+        if b <= reach:
+            inside.add((a, b))
+        reach = max(reach, b)
+    outer = [s for s in symbols if (s.start_line, s.end_line) not in inside]
     groups: list[list] = []  # first line, last line, names, small
     for s in outer:
         size = s.end_line - s.start_line + 1
@@ -413,14 +479,14 @@ def chunk_lines(symbols: list[Symbol], source: str) -> list[tuple[int, int, str
             last[2].append(s.name)
         else:
             groups.append([s.start_line, s.end_line, [s.name], small])
-    chunks = [(a, b, ", ".join(names)) for first, end, names, _ in groups for a, b in _windows(first, end)]
+    chunks = [c for first, end, names, _ in groups for c in _windows(first, end, ", ".join(names))]
 
     def blank(a: int, b: int) -> bool:
         return not any(x.strip() for x in lines[a - 1 : b])
 
     out, at = [], 1
     for chunk in [*sorted(chunks, key=lambda c: c[0]), (len(lines) + 1, 0, None)]:
-        out += [(a, b, None) for a, b in _windows(at, chunk[0] - 1) if not blank(a, b)]
+        out += [c for c in _windows(at, chunk[0] - 1) if not blank(c[0], c[1])]
         if chunk[1]:
             out.append(chunk)
         at = max(at, chunk[1] + 1)
@@ -433,12 +499,15 @@ def parse_source(source: str, path: str) -> Parsed | None:
     if lang is None:
         return None
     out = Parsed(lang)
-    if lang == "python":
-        _parse_python(source, out)
-    else:
-        _parse_braces(source, lang, out)
-    out.symbols = _deduplicate(out.symbols)
-    out.chunks = chunk_lines(out.symbols, source)
+    try:
+        if lang == "python":
+            _parse_python(source, out)
+        else:
+            _parse_braces(source, lang, out)
+        out.symbols = _deduplicate(out.symbols)
+        out.chunks = chunk_lines(out.symbols, source)
+    except (RecursionError, MemoryError, IndexError, ValueError):
+        out = Parsed(lang, has_errors=True, chunks=list(_windows(1, source.count("\n") + 1)))
     return out
 
 

@@ -49,17 +49,27 @@ def heading_chunks(docs: DataFrame) -> DataFrame:
 def overlapping_windows(docs: DataFrame, size: int = 120, overlap: float = 0.15) -> DataFrame:
     """Windows of lines of which each repeats the end of the one before."""
     step = max(1, size - int(size * overlap))
-    rows = docs.select("path", F.split("text", "\n").alias("lines"))
-    rows = rows.select("path", "lines", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil((F.size("lines") - size) / step), F.lit(0)).cast("int"))).alias("ord"))
-    return rows.select("path", "ord", (F.col("ord") * step + 1).alias("start_line"), F.least(F.col("ord") * step + size, F.size("lines")).alias("end_line"), F.array_join(F.slice("lines", F.col("ord") * step + 1, size), "\n").alias("body"))
+    lines = F.split("text", "\n")
+    last = F.greatest(F.ceil((F.size(lines) - size) / step), F.lit(0)).cast("int")
+    windows = F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(
+        i.alias("ord"), (i * step + 1).alias("start_line"), F.least(i * step + size, F.size(lines)).alias("end_line"), F.array_join(F.slice(lines, i * step + 1, size), "\n").alias("body"),
+    ))
+    return docs.select("path", F.explode(windows).alias("w")).select("path", "w.*")
 
 
 def evaluate(ranked: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
     """One row: recall at k and mean reciprocal rank over all queries.
     ``ranked``: query_id, id, rank; ``relevant``: query_id, id."""
-    hit = relevant.join(ranked.filter(F.col("rank") <= k), ["query_id", "id"], "left")
-    per = hit.groupBy("query_id").agg(F.count("rank").alias("found"), F.count("*").alias("wanted"), F.min("rank").alias("first"))
-    return per.agg(F.count("*").alias("queries"), F.round(F.avg(F.col("found") / F.col("wanted")), 6).alias("recall"), F.round(F.avg(F.coalesce(1.0 / F.col("first"), F.lit(0.0))), 6).alias("mrr"))
+    hits = relevant.join(ranked, ["query_id", "id"]).select("query_id", "rank")
+    return evaluate_counts(relevant.groupBy("query_id").agg(F.count("*").alias("wanted")), hits, k)
+
+
+def evaluate_counts(queries: DataFrame, hits: DataFrame, k: int) -> DataFrame:
+    """The same from how many rows each query wants (query_id, wanted) and the
+    ranks of those that it found (query_id, rank)."""
+    per = hits.filter(F.col("rank") <= k).groupBy("query_id").agg(F.count("*").alias("found"), F.min("rank").alias("first"))
+    per = queries.filter("wanted > 0").join(per, "query_id", "left")
+    return per.agg(F.count("*").alias("queries"), F.round(F.avg(F.coalesce("found", F.lit(0)) / F.col("wanted")), 6).alias("recall"), F.round(F.avg(F.coalesce(1.0 / F.col("first"), F.lit(0.0))), 6).alias("mrr"))
 
 
 def prior(score: Column, *, age_days: Column | None = None, centrality: Column | None = None, is_test: Column | None = None, half_life: float = 90.0) -> Column:

@@ -219,10 +219,16 @@ def expand(file_chunks: DataFrame, texts: DataFrame, span: str, before: int = 20
     """The lines around a span, clamped to its file; no row if the id is
     unknown."""
     rows = file_chunks.filter(T.span_id(F.col("content_hash"), F.col("path"), F.col("start_line"), F.col("end_line")) == span)
-    rows = rows.select("path", "start_line", "end_line").distinct().join(texts.select("path", "text"), "path")
-    last = F.size(F.split("text", "\n"))
-    first, end = F.greatest(F.lit(1), F.col("start_line") - before), F.least(last, F.col("end_line") + after)
-    return rows.select("path", first.alias("start_line"), end.alias("end_line"), T.line_slice(F.col("text"), first, end).alias("text"))
+    rows = expand_all(rows.select("path", "start_line", "end_line").distinct(), texts, before, after)
+    return rows.select("path", F.col("first_line").alias("start_line"), F.col("last_line").alias("end_line"), "text")
+
+
+def expand_all(places: DataFrame, texts: DataFrame, before: int, after: int) -> DataFrame:
+    """Places (path, start_line, end_line) with the lines around them:
+    ``first_line``, ``last_line`` and ``text``."""
+    rows = places.join(texts.select("path", F.col("text").alias("_text")), "path")
+    first, end = F.greatest(F.lit(1), F.col("start_line") - before), F.least(F.size(F.split("_text", "\n")), F.col("end_line") + after)
+    return rows.withColumns({"first_line": first, "last_line": end, "text": T.line_slice(F.col("_text"), first, end)}).drop("_text")
 
 
 def path_fuzzy(paths: DataFrame, query: str, limit: int = 20) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -54,3 +55,39 @@ def top_k(vectors: DataFrame, query: list[float], k: int = 20, *, id_col: str =
     rows = vectors.filter(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), vector_col)
     rows = rows.mapInArrow(run, "id long, score double").withColumn("score", F.round("score", 6))
     return rows.orderBy(F.desc("score"), "id").limit(k).withColumnRenamed("id", id_col)
+
+
+#: Rows and queries of a unit of ``top_k_each``.
+BLOCK_ROWS, GROUP_QUERIES = 65_536, 1024
+
+
+def top_k_each(vectors: DataFrame, queries: DataFrame, k: int, *, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """(query_id, id, score, rank): each query's k best rows but itself, ties by
+    id.  Blocks of rows meet groups of queries, both of bounded size, in one
+    matrix product each; a unit gives out at most k rows a query."""
+    rows = vectors.filter(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
+    asked = queries.filter(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
+    blocks, groups = max(1, math.ceil(rows.count() / BLOCK_ROWS)), max(1, math.ceil(asked.count() / GROUP_QUERIES))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = rows.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), every(groups).alias("group"), "id", "v")
+    right = asked.select(every(blocks).alias("block"), F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int").alias("group"), "id", "v")
+
+    def best(a, b):
+        import pandas as pd
+
+        out = {"query_id": [], "id": [], "score": []}
+        if len(a) and len(b):
+            ids, wanted = a["id"].to_numpy(), b["id"].to_numpy()
+            scores = np.round(np.stack(b["v"]).astype(np.float64) @ np.stack(a["v"]).astype(np.float64).T, 6)
+            scores[wanted[:, None] == ids[None, :]] = -np.inf
+            for q, row in zip(wanted.tolist(), scores, strict=True):
+                found = np.lexsort((ids, -row))[:k]
+                found = found[row[found] > -np.inf]
+                out["query_id"] += [q] * len(found)
+                out["id"] += ids[found].tolist()
+                out["score"] += row[found].tolist()
+        return pd.DataFrame(out).astype({"query_id": "int64", "id": "int64", "score": "float64"})
+
+    found = left.groupBy("block", "group").cogroup(right.groupBy("block", "group")).applyInPandas(best, "query_id long, id long, score double")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k)

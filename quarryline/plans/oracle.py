@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from quarryline.operators.ignore import DENIED_DIRS, DENIED_EXTENSIONS
 from quarryline.operators.prose import SECRETS
+from quarryline.plans import codebase_oracle
 from quarryline.plans.queries import NOW, PHRASE, WINDOW
 
 #: Windows of lines of every document as chunks.
@@ -31,25 +32,38 @@ def forms(raw: str) -> str:
     return f"list_distinct([lower({raw})] || [lower(p) for p in {parts}] || {words} || CASE WHEN len({words}) > 1 THEN [array_to_string({words}, '')] ELSE [] END)"
 
 
+def ordered_forms(raw: str) -> str:
+    """The same forms in the order that they are made, repeats included."""
+    parts = rf"[p for p in regexp_split_to_array({raw}, '[_\-./]+') if p <> '']"
+    cased = r"string_split(regexp_replace(regexp_replace(p, '([a-z0-9])([A-Z])', '\1 \2', 'g'), '([A-Z])([A-Z][a-z])', '\1 \2', 'g'), ' ')"
+    words = f"flatten([[lower(w) for w in {cased}] for p in {parts}])"
+    return f"[lower({raw})] || flatten([[lower(p)] || [lower(w) for w in {cased}] for p in {parts}]) || CASE WHEN len({words}) > 1 THEN [array_to_string({words}, '')] ELSE [] END"
+
+
 RAWS = "[r for r in regexp_split_to_array({0}, '[^A-Za-z0-9_.$/-]+') if r <> '']"
 FTS = r"[w for w in regexp_split_to_array(lower(strip_accents({0})), '[^\p{{L}}\p{{N}}]+') if w <> '']"
 IDENTS = r"list_distinct([lower(r) for r in regexp_split_to_array({0}, '[^A-Za-z0-9_.$/-]+') if length(r) BETWEEN 4 AND 80 AND (regexp_matches(r, '[a-z][A-Z]') OR contains(r, '_') OR contains(r, '.') OR regexp_matches(r, '^[A-Z0-9_]+$'))])"
 
 
-def bm25(terms: list[str], where: str = "true") -> str:
-    """CTEs up to ``hits`` (content_hash, score): phrases of one word."""
-    counts = ", ".join(f"len([w for w in body_w if w = '{t}']) + 2.0 * len([w for w in header_w if w = '{t}']) + 1.5 * coalesce(len([w for w in token_w if w = '{t}']), 0) AS f{i}" for i, t in enumerate(terms))
+def _occurrences(column: str, phrase: list[str]) -> str:
+    more = "".join(f" AND {column}[i + {k}] = '{w}'" for k, w in enumerate(phrase[1:], 1))
+    return f"coalesce(len([w for w, i in {column} if w = '{phrase[0]}'{more}]), 0)"
+
+
+def bm25(terms: list[list[str]], where: str = "true", chunks: str = CHUNKS) -> str:
+    """CTEs up to ``hits`` (content_hash, score) for phrases of words."""
+    counts = ", ".join(f"{_occurrences('body_w', t)} + 2.0 * {_occurrences('header_w', t)} + 1.5 * {_occurrences('token_w', t)} AS f{i}" for i, t in enumerate(terms))
     totals = ", ".join(f"count(*) FILTER (f{i} > 0) AS n{i}" for i in range(len(terms)))
     idf = lambda i: f"CASE WHEN ln((n - n{i} + 0.5) / (n{i} + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - n{i} + 0.5) / (n{i} + 0.5)) END"
     score = " + ".join(f"({idf(i)}) * f{i} * 2.2 / (f{i} + 1.2 * (0.25 + 0.75 * length / mean))" for i in range(len(terms)))
-    return rf"""{CHUNKS}, raws AS (
-    SELECT DISTINCT content_hash, unnest({RAWS.format("header || E'" + chr(92) + "n' || body")}) AS raw FROM chunks
+    return rf"""{chunks}, raws AS (
+    SELECT content_hash, unnest(raws) AS raw, generate_subscripts(raws, 1) AS nth FROM (SELECT content_hash, {RAWS.format("header || E'" + chr(92) + "n' || body")} AS raws FROM chunks)
 ), vocabulary AS (
-    SELECT raw, {forms("raw")} AS forms FROM (SELECT DISTINCT raw FROM raws)
+    SELECT raw, {ordered_forms("raw")} AS forms FROM (SELECT DISTINCT raw FROM raws)
 ), tokens AS (
-    SELECT DISTINCT content_hash, unnest(forms) AS form FROM raws JOIN vocabulary USING (raw)
+    SELECT content_hash, form, min((nth, pos)) AS first FROM (SELECT content_hash, nth, unnest(forms) AS form, generate_subscripts(forms, 1) AS pos FROM raws JOIN vocabulary USING (raw)) GROUP BY content_hash, form
 ), token_words AS (
-    SELECT content_hash, flatten(list({FTS.format("form")})) AS token_w FROM tokens GROUP BY content_hash
+    SELECT content_hash, flatten(list({FTS.format("form")} ORDER BY first)) AS token_w FROM tokens GROUP BY content_hash
 ), fts AS (
     SELECT c.content_hash, {FTS.format("c.body")} AS body_w, {FTS.format("c.header")} AS header_w, t.token_w
     FROM chunks c LEFT JOIN token_words t USING (content_hash)
@@ -64,7 +78,7 @@ def bm25(terms: list[str], where: str = "true") -> str:
 )"""
 
 
-_TERMS = PHRASE.lower().split()
+_TERMS = [[w] for w in PHRASE.lower().split()]
 _SPAN_ID = "'sp_' || substr(sha256(content_hash || ':' || path || ':' || start_line || ':' || end_line), 1, 12)"
 
 EVENTS = """
@@ -103,7 +117,28 @@ def _redact() -> str:
     return text
 
 
+#: The phrases of ``LANTERN_3``: as a whole, its parts, its parts joined.
+_NAME_PHRASES = [["lantern", "3"], ["lantern"], ["3"], ["lantern3"]]
+CODE_SEARCH = rf"""
+WITH {bm25(_NAME_PHRASES, chunks=codebase_oracle.CODE_CHUNKS)}, b AS (
+    SELECT path, start_line, end_line, content_hash, 0 AS arm, row_number() OVER (ORDER BY score DESC, path, start_line) AS rank FROM bm25 QUALIFY rank <= 30
+), t AS (
+    SELECT path, start_line, end_line, content_hash, 1 AS arm, row_number() OVER (ORDER BY path, start_line) AS rank FROM chunks
+    WHERE contains(array_to_string({IDENTS.format("body")}, ' '), 'lantern_3') QUALIFY rank <= 30
+), s AS (
+    SELECT path, start_line, end_line, NULL AS content_hash, 2 AS arm, row_number() OVER (ORDER BY lower(name) = 'lantern_3' DESC, exported DESC, length(name), path, start_line) AS rank FROM symbols
+    WHERE regexp_replace(lower(name), '[^a-z0-9]', '', 'g') IN ('lantern3', 'lantern') QUALIFY rank <= 30
+), fused AS (
+    SELECT path, start_line, end_line, round(sum(([1.0, 0.7, 1.3]::DOUBLE[])[arm + 1] / (60 + rank)), 9) AS score,
+           string_agg(['bm25', 'trigram', 'symbol'][arm + 1], '+' ORDER BY arm, rank) AS matched, min((arm, rank)) AS first
+    FROM (SELECT * FROM b UNION ALL SELECT * FROM t UNION ALL SELECT * FROM s) GROUP BY path, start_line, end_line
+)
+SELECT row_number() OVER (ORDER BY score DESC, first, path, start_line, end_line)::INTEGER AS rank, path, start_line, end_line, matched, round(score, 6) AS score
+FROM fused QUALIFY rank <= 10"""
+
 SQL: dict[str, str] = {
+    **codebase_oracle.SQL,
+    "code_search": CODE_SEARCH,
     "tokenize_docs": f"""
 WITH raws AS (SELECT DISTINCT doc_id, unnest({RAWS.format("text")}) AS raw FROM documents),
 vocabulary AS (SELECT raw, {forms("raw")} AS forms FROM (SELECT DISTINCT raw FROM raws)),
@@ -133,7 +168,8 @@ SELECT doc_id, CASE WHEN source = 'src11' THEN 'gitignored' WHEN source = 'src1'
 FROM documents""",
     "line_chunks": f"WITH {CHUNKS} SELECT path, ord, start_line, end_line, length(body)::INTEGER AS n_chars, md5(body) AS body_md5 FROM chunks",
     "chunk_addresses": f"WITH {CHUNKS} SELECT path, ord, content_hash, n_tokens, {_SPAN_ID} AS span_id FROM chunks",
-    "content_hash_dedupe": f"WITH {CHUNKS} SELECT substr(sha256(body), 1, 32) AS body_hash, count(*) AS places, min(path) AS first_path, max(n_tokens) AS n_tokens FROM chunks GROUP BY 1",
+    "content_hash_dedupe": f"""
+WITH {CHUNKS} SELECT substr(sha256('lang: text' || E'\\n---\\n' || body), 1, 32) AS content_hash, 'lang: text' AS header, md5(body) AS body_md5, 'block' AS kind, 'text' AS lang, n_tokens FROM (SELECT DISTINCT body, n_tokens FROM chunks)""",
     "gc_dead_chunks": f"""
 WITH {CHUNKS}, gone AS (SELECT d.path FROM docs d JOIN labels l USING (doc_id) WHERE l.toxic = 1)
 SELECT content_hash, n_tokens FROM chunks WHERE content_hash NOT IN (SELECT content_hash FROM chunks WHERE path NOT IN (SELECT path FROM gone))""",
@@ -153,7 +189,7 @@ SELECT path, ord::INTEGER AS ord, (ord * 17 + 1)::INTEGER AS start_line, least(o
 WITH {CHUNKS}, hits AS (SELECT path, start_line, end_line FROM chunks WHERE contains(array_to_string({IDENTS.format("body")}, ' '), 'ention.') ORDER BY path, start_line LIMIT 30)
 SELECT path, start_line, end_line, row_number() OVER (ORDER BY path, start_line)::INTEGER AS rank FROM hits""",
     "rrf_search": rf"""
-WITH {bm25(["ention", "ention"])}, b AS (
+WITH {bm25([["ention"], ["ention"]])}, b AS (
     SELECT path, start_line, end_line, content_hash, 0 AS arm, row_number() OVER (ORDER BY score DESC, path, start_line) AS rank FROM bm25 QUALIFY rank <= 60
 ), t AS (
     SELECT path, start_line, end_line, content_hash, 1 AS arm, row_number() OVER (ORDER BY path, start_line) AS rank FROM chunks
@@ -171,8 +207,14 @@ WITH s AS (SELECT p_name AS name, p_brand AS kind, p_brand || '/' || p_partkey A
 UNION ALL
 (SELECT * FROM s WHERE name = 'red widget' OR name ILIKE '%red widget%' ORDER BY name = 'red widget' DESC, exported DESC, length(name), path, start_line, name LIMIT 20)""",
     "symbol_arm": r"""
-SELECT c_mktsegment AS path, c_custkey::INTEGER AS start_line, c_name AS symbol, 1 AS rank FROM customer
-WHERE regexp_replace(lower(c_name), '[^a-z0-9]', '', 'g') IN ('customer000000042', 'customer000000007')""",
+WITH s AS (
+    SELECT c_mktsegment AS name, 'n' || c_nationkey AS path, c_custkey::INTEGER AS start_line, c_acctbal > 0 AS exported FROM customer
+    UNION ALL SELECT lower(c_name), c_mktsegment, c_custkey::INTEGER, true FROM customer
+), q(query, names, most) AS (
+    VALUES ('building', ['building'], 40), ('Auto mobile', ['automobile'], 15), ('customer#000000007', ['customer000000007', 'customer', '000000007'], 10)
+)
+SELECT query, path, start_line, name AS symbol, row_number() OVER (PARTITION BY query ORDER BY lower(name) = lower(query) DESC, exported DESC, length(name), path, start_line)::INTEGER AS rank
+FROM q JOIN s ON list_contains(names, regexp_replace(lower(name), '[^a-z0-9]', '', 'g')) QUALIFY rank <= any_value(most) OVER (PARTITION BY query)""",
     "scope_filter": rf"""
 WITH {CHUNKS} SELECT doc_id, starts_with(path, 'src1') AS plain, path GLOB 'src[12]/?5*' AS glob, path = 'src2/' OR starts_with(path, 'src2/') AS below, path ILIKE 'SRC_/%9.txt' AS liked FROM docs""",
     "path_fuzzy": rf"WITH {CHUNKS} SELECT path FROM docs WHERE regexp_matches(path, '(?s)s.*?1.*?/.*?7.*?7') ORDER BY length(path), path LIMIT 25",
@@ -188,8 +230,8 @@ WITH RECURSIVE spans AS (
 ), sizes AS (SELECT conv_id, count(*) AS n FROM spans GROUP BY conv_id)
 SELECT f.conv_id, array_to_string(f.ranks, ',') AS ranks, f.tokens::INTEGER AS tokens, len(f.ranks) < f.n AS truncated FROM fold f JOIN sizes z ON z.conv_id = f.conv_id AND z.n = f.n""",
     "expand_span": rf"""
-WITH {CHUNKS}, s AS (SELECT c.path, greatest(1, c.start_line - 5)::INTEGER AS first_line, least(len(d.lines), c.end_line + 5)::INTEGER AS last_line, d.lines FROM chunks c JOIN docs d USING (path) WHERE c.ord = 1)
-SELECT path, first_line, last_line, md5(array_to_string(lines[first_line:last_line], E'\n')) AS text_md5 FROM s""",
+WITH {CHUNKS}, s AS (SELECT c.path, c.start_line, c.end_line, greatest(1, c.start_line - 5)::INTEGER AS first_line, least(len(d.lines), c.end_line + 5)::INTEGER AS last_line, d.lines FROM chunks c JOIN docs d USING (path))
+SELECT path, start_line, end_line, first_line, last_line, md5(array_to_string(lines[first_line:last_line], E'\n')) AS text_md5 FROM s""",
     "verify_spans": rf"""
 WITH {CHUNKS} SELECT path,
     CASE WHEN doc_id % 7 = 0 THEN NULL WHEN doc_id % 5 = 0 THEN 'unverified' WHEN doc_id % 2 = 0 THEN 'stale-refreshed' ELSE 'verified' END AS trust,
@@ -231,7 +273,11 @@ SELECT source, target, count(*) AS weight FROM m WHERE source <> target GROUP BY
     "callers": "SELECT 'o' || l_orderkey AS path, l_linenumber AS line, 's' || l_suppkey AS caller FROM lineitem WHERE l_partkey = 7",
     "callees": "SELECT DISTINCT 'p' || l_partkey AS callee FROM lineitem WHERE l_suppkey = 3",
     "call_edges": """
-SELECT 's' || l_suppkey AS src, 'p' || l_partkey AS dst, min('o' || l_orderkey) AS path, count(*) AS sites FROM lineitem WHERE length('p' || l_partkey) > 2 GROUP BY 1, 2""",
+WITH c AS (
+    SELECT (l_orderkey % 100)::VARCHAR AS path, 's' || l_suppkey % 5 AS src, ['holdLine', 'map', 'ok', 'tieUp', 'println', 'go'][(l_partkey % 6 + 1)::INTEGER] AS dst, l_orderkey * 10 + l_linenumber AS nth, (l_orderkey % 997 * 10 + l_linenumber)::INTEGER AS line
+    FROM lineitem
+)
+SELECT path, src, dst, 'calls' AS kind, arg_min(line, nth) AS line FROM c WHERE dst IN ('holdLine', 'tieUp') GROUP BY path, src, dst""",
     "symbol_dedupe": """
 SELECT 'u' || user_id % 10 AS path, event_type AS name, (event_id % 50)::INTEGER AS start_line, CASE WHEN event_id % 3 = 0 THEN 'constant' ELSE 'function' END AS kind, event_id AS ord
 FROM events QUALIFY row_number() OVER (PARTITION BY user_id % 10, event_type, event_id % 50 ORDER BY event_id % 3 = 0, event_id) = 1""",
@@ -258,9 +304,9 @@ WITH {EVENTS} SELECT path, kind, min(coalesce(priority, 5)) AS priority, max(enq
     "job_enqueue": f"""
 WITH {EVENTS}, merged AS (
     SELECT path, kind, min(priority) AS priority, max(enqueued_at) AS enqueued_at FROM (
-        SELECT path, kind, priority, enqueued_at FROM jobs WHERE id % 5 = 0 AND state = 'pending' UNION ALL SELECT path, kind, coalesce(priority, 5), enqueued_at FROM events_ WHERE seq % 5 = 1
+        SELECT path, kind, priority, enqueued_at FROM jobs WHERE enqueued_at < {NOW} AND state = 'pending' UNION ALL SELECT path, kind, coalesce(priority, 5), enqueued_at FROM events_ WHERE enqueued_at >= {NOW}
     ) GROUP BY path, kind
-), now AS (SELECT 'pending' AS state, priority, enqueued_at FROM merged UNION ALL SELECT state, priority, enqueued_at FROM jobs WHERE id % 5 = 0 AND state <> 'pending')
+), now AS (SELECT 'pending' AS state, priority, enqueued_at FROM merged UNION ALL SELECT state, priority, enqueued_at FROM jobs WHERE enqueued_at < {NOW} AND state <> 'pending')
 SELECT state, count(*) AS n, sum(priority)::BIGINT AS priorities, max(enqueued_at) AS latest FROM now GROUP BY state""",
     "job_claim_batch": f"""
 WITH {EVENTS} SELECT id, path, kind, priority, 'running' AS state, attempts + 1 AS attempts, {NOW + 30_000}::BIGINT AS lease_until FROM jobs WHERE state = 'pending' AND kind IN ('click', 'view') ORDER BY priority, enqueued_at, id LIMIT 25""",
@@ -269,15 +315,17 @@ WITH {EVENTS}, f AS (SELECT *, state = 'running' AND id % 3 = 0 AS failed FROM j
 SELECT id, CASE WHEN failed THEN CASE WHEN attempts >= 5 THEN 'dead' ELSE 'pending' END ELSE state END AS state, coalesce(CASE WHEN NOT failed THEN lease_until END, -1) AS lease_until, CASE WHEN NOT failed THEN worker END AS worker, CASE WHEN failed THEN 2000 ELSE 0 END AS error_chars FROM f""",
     "job_complete": f"WITH {EVENTS} SELECT state, count(*) AS n FROM jobs WHERE state <> 'running' GROUP BY state",
     "lease_sweep": f"""
-WITH {EVENTS}, x AS (SELECT *, coalesce(state = 'running' AND lease_until < {NOW}, false) AS expired FROM jobs),
-w AS (SELECT DISTINCT path, kind FROM jobs WHERE state = 'pending'),
-k AS (SELECT x.*, row_number() OVER (PARTITION BY x.path, x.kind, expired ORDER BY enqueued_at DESC, id DESC) AS n, w.path IS NOT NULL AS waits FROM x LEFT JOIN w ON x.path = w.path AND x.kind = w.kind)
-SELECT CASE WHEN expired THEN 'pending' ELSE state END AS state, count(*) AS n, count(CASE WHEN NOT expired THEN lease_until END) AS leases FROM k WHERE NOT expired OR (NOT waits AND n = 1) GROUP BY 1
-UNION ALL SELECT 'expired', count(*), 0 FROM x WHERE expired""",
+WITH {EVENTS}, x AS (
+    SELECT *, coalesce(state = 'running' AND lease_until < {NOW}, false) AS expired, bool_or(state = 'pending') OVER (PARTITION BY path, kind) AS waits FROM jobs
+), k AS (
+    SELECT *, expired AND NOT waits AND row_number() OVER (PARTITION BY path, kind, expired ORDER BY id) = 1 AS moved FROM x
+)
+SELECT CASE WHEN moved THEN 'pending' ELSE state END AS state, count(*) AS n, sum(id)::BIGINT AS ids, count(CASE WHEN NOT moved THEN lease_until END) AS leases, count(CASE WHEN NOT moved THEN worker END) AS workers FROM k WHERE moved OR NOT expired GROUP BY 1
+UNION ALL SELECT 'recovered', count(*), 0, 0, 0 FROM k WHERE moved""",
     "retry_dead": f"""
-WITH {EVENTS}, w AS (SELECT DISTINCT path, kind FROM jobs WHERE state = 'pending')
-SELECT CASE WHEN state = 'dead' THEN 'pending' ELSE state END AS state, count(*) AS n, sum(CASE WHEN state = 'dead' THEN 0 ELSE attempts END)::BIGINT AS attempts
-FROM jobs WHERE state <> 'dead' OR (path, kind) NOT IN (SELECT (path, kind) FROM w) GROUP BY 1""",
+WITH {EVENTS}, x AS (SELECT *, bool_or(state = 'pending') OVER (PARTITION BY path, kind) AS waits, row_number() OVER (PARTITION BY path, kind, state ORDER BY id) AS n FROM jobs)
+SELECT id, path, kind, CASE WHEN state = 'dead' THEN 'pending' ELSE state END AS state, CASE WHEN state = 'dead' THEN 0 ELSE attempts END AS attempts, '' AS last_error
+FROM x WHERE state <> 'dead' OR (NOT waits AND n = 1)""",
     "queue_depth": f"WITH {EVENTS} SELECT count(*) FILTER (state = 'pending') AS pending, count(*) FILTER (state = 'running') AS running, count(*) FILTER (state = 'dead') AS dead FROM jobs",
     "debounce_sessions": """
 WITH x AS (SELECT user_id, ts, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS gap FROM events),
@@ -316,8 +364,8 @@ r AS (SELECT doc_id, 'issue' AS kind, unnest(regexp_extract_all(text, '#[0-9]+')
     UNION ALL SELECT doc_id, 'link', unnest(regexp_extract_all(text, 'https?://[^\s<>"'')\]]+')) FROM t)
 SELECT doc_id, kind, ref, count(*) AS n FROM r GROUP BY ALL""",
     "eval_recall_mrr": """
-WITH s AS (SELECT a.vec_id AS query_id, b.vec_id AS id, round(list_inner_product(b.embedding::DOUBLE[], a.embedding::DOUBLE[]), 6) AS score FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+WITH s AS (SELECT a.vec_id AS query_id, a.label AS wanted, b.vec_id AS id, b.label AS label, round(list_inner_product(b.embedding::DOUBLE[], a.embedding::DOUBLE[]), 6) AS score FROM embeddings a JOIN embeddings b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s),
-p AS (SELECT query_id, count(*) AS wanted, count(*) FILTER (rank <= 10) AS found, min(rank) FILTER (rank <= 10) AS first FROM r WHERE id % 7 = query_id % 7 GROUP BY query_id)
+p AS (SELECT query_id, count(*) FILTER (label = wanted) AS wanted, count(*) FILTER (label = wanted AND rank <= 10) AS found, min(rank) FILTER (label = wanted AND rank <= 10) AS first FROM r GROUP BY query_id HAVING count(*) FILTER (label = wanted) > 0)
 SELECT count(*) AS queries, round(avg(found / wanted), 6) AS recall, round(avg(coalesce(1.0::DOUBLE / first, 0)), 6) AS mrr FROM p""",
 }

@@ -15,12 +15,14 @@ from pyspark.sql import functions as F
 from quarryline.functions import code_text as T
 from quarryline.operators import changefeed, graph, ignore, indexing, prose, retrieval, status, vectors
 from quarryline.operators.parse import parse_files
+from quarryline.plans import codebase
 from quarryline.session import ship
 from quarryline.sources import git
 
 WINDOW = 20
 PHRASE = "GNU General Public License"
 WORD = "ention."
+NAME = "LANTERN_3"
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -120,8 +122,10 @@ def chunk_addresses(spark, sf_dir):
 
 @query
 def content_hash_dedupe(spark, sf_dir):
-    rows = chunk_rows(spark, sf_dir).select(T.short_hash(F.col("body")).alias("body_hash"), "path", "n_tokens")
-    return rows.groupBy("body_hash").agg(F.count("*").alias("places"), F.min("path").alias("first_path"), F.max("n_tokens").alias("n_tokens"))
+    """Chunks that say nothing of their place: equal bodies are one."""
+    rows = indexing.addressed(chunk_rows(spark, sf_dir).withColumn("header", F.lit("lang: text")))
+    rows = indexing.distinct_chunks(rows)
+    return rows.select("content_hash", "header", F.md5("body").alias("body_md5"), "kind", "lang", "n_tokens")
 
 
 @query
@@ -145,40 +149,32 @@ def overlapping_windows(spark, sf_dir):
     return prose.overlapping_windows(corpus(spark, sf_dir), 20, 0.15).select("path", "ord", "start_line", "end_line", F.md5("body").alias("body_md5"))
 
 
-SOURCES = (
-    ("src/billing/retry.ts", '/** Retries. */\nexport class Retry {\n    async run(op: () => void) {\n        return schedule(op);\n    }\n}\n\nexport const MAX_RETRY_MS = 30_000;\n'),
-    ("src/user/store.py", 'import os\nfrom a.b import c\n\n\nclass UserStore:\n    """Users."""\n\n    def get_user_by_id(self, key):\n        return lookup_row(key)\n\n\ndef _hidden():\n    pass\n'),
-    ("cmd/main.go", 'package main\n\nimport "fmt"\n\n// Server serves.\ntype Server struct {\n\tport int\n}\n\nfunc (s *Server) Start() error {\n\treturn listen(s.port)\n}\n'),
-    ("lib/pool.rs", "use std::fmt;\n\n/// A pool.\npub struct Pool { n: u32 }\n\npub fn open(n: u32) -> Pool {\n    connect(n)\n}\n"),
-    ("src/worker.ts", 'import { Retry } from "./billing/retry";\nimport { x } from "./missing";\n\nexport function work() {\n    getUserById(1);\n    getUserById(2);\n}\n'),
-)
-
-
-def source_files(spark: SparkSession) -> DataFrame:
-    return ship(spark).createDataFrame(SOURCES, "path string, source string")
+def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A code base of one file for each part."""
+    return codebase.code_files(read(spark, sf_dir, "part"))
 
 
 @query
 def parse_symbols(spark, sf_dir):
-    parsed = parse_files(source_files(spark))
+    parsed = parse_files(source_files(spark, sf_dir))
     rows = parsed.select("path", F.explode("symbols").alias("s")).select("path", "s.*")
     return rows.select("path", "name", "kind", "parent", "start_line", "end_line", "exported", "signature", "doc")
 
 
 @query
 def code_index_edges(spark, sf_dir):
-    return indexing.build(source_files(spark))["edges"]
+    return indexing.build(source_files(spark, sf_dir))["edges"]
 
 
 @query
 def code_import_graph(spark, sf_dir):
-    index = indexing.build(source_files(spark))
-    return graph.import_edges(index["edges"], source_files(spark).select("path"))
+    files = source_files(spark, sf_dir)
+    return graph.import_edges(indexing.build(files)["edges"], files.select("path"))
 
 
 @query
 def code_search(spark, sf_dir):
-    found = retrieval.search(indexing.build(source_files(spark)), "getUserById", limit=10)
+    found = retrieval.search(indexing.build(source_files(spark, sf_dir)), NAME, limit=10)
     return found.select("rank", "path", "start_line", "end_line", F.array_join("matched", "+").alias("matched"), F.round("score", 6).alias("score"))
 
 
@@ -217,9 +213,12 @@ def symbol_lookup(spark, sf_dir):
 
 @query
 def symbol_arm(spark, sf_dir):
-    rows = read(spark, sf_dir, "customer").select(F.col("c_name").alias("name"), F.col("c_mktsegment").alias("path"), F.col("c_custkey").cast("int").alias("start_line"), F.col("c_custkey").cast("int").alias("end_line"), (F.col("c_acctbal") > 0).alias("exported"))
+    """Customers as symbols: named by their segment, many share a name."""
+    rows = read(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("name"), F.concat(F.lit("n"), "c_nationkey").alias("path"), F.col("c_custkey").cast("int").alias("start_line"), F.col("c_custkey").cast("int").alias("end_line"), (F.col("c_acctbal") > 0).alias("exported"))
+    rows = rows.unionByName(read(spark, sf_dir, "customer").select(F.lower("c_name").alias("name"), F.col("c_mktsegment").alias("path"), F.col("c_custkey").cast("int").alias("start_line"), F.col("c_custkey").cast("int").alias("end_line"), F.lit(True).alias("exported")))
     rows = rows.withColumn("name_norm", T.normalize_name(F.col("name")))
-    return retrieval.symbol_arm(rows, "customer 000000042", 10).unionByName(retrieval.symbol_arm(rows, "Customer#000000007", 10)).select("path", "start_line", "symbol", "rank")
+    found = [retrieval.symbol_arm(rows, q, n).withColumn("query", F.lit(q)) for q, n in (("building", 40), ("Auto mobile", 15), ("customer#000000007", 10))]
+    return found[0].unionByName(found[1]).unionByName(found[2]).select("query", "path", "start_line", "symbol", "rank")
 
 
 @query
@@ -249,11 +248,10 @@ def pack_budget(spark, sf_dir):
 
 @query
 def expand_span(spark, sf_dir):
-    """The second chunk of every longer document with five lines around it."""
-    rows = chunk_rows(spark, sf_dir).filter("ord = 1").select("path", "start_line", "end_line")
-    rows = rows.join(corpus(spark, sf_dir).select("path", "text"), "path")
-    first, end = F.greatest(F.lit(1), F.col("start_line") - 5), F.least(F.size(F.split("text", "\n")), F.col("end_line") + 5)
-    return rows.select("path", first.alias("first_line"), end.alias("last_line"), F.md5(T.line_slice(F.col("text"), first, end)).alias("text_md5"))
+    """Every chunk with five lines around it."""
+    places = chunk_rows(spark, sf_dir).select("path", "start_line", "end_line", "content_hash")
+    rows = retrieval.expand_all(places, corpus(spark, sf_dir), 5, 5)
+    return rows.select("path", "start_line", "end_line", "first_line", "last_line", F.md5("text").alias("text_md5"))
 
 
 @query
@@ -386,9 +384,11 @@ def callees(spark, sf_dir):
 
 @query
 def call_edges(spark, sf_dir):
-    """One edge for each order, supplier and part: its first line."""
-    rows = _calls(spark, sf_dir).filter(indexing.interesting(F.col("dst")))
-    return rows.groupBy("src", "dst").agg(F.min_by("path", F.struct("path", "line")).alias("path"), F.count("*").alias("sites"))
+    """Items as calls: orders are files, suppliers call one of six names, of
+    which two are too common and two too short."""
+    name = F.element_at(F.array(*map(F.lit, ("holdLine", "map", "ok", "tieUp", "println", "go"))), (F.col("l_partkey") % 6 + 1).cast("int"))
+    rows = read(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 100).cast("string").alias("path"), F.concat(F.lit("s"), F.col("l_suppkey") % 5).alias("src"), name.alias("dst"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("at"), (F.col("l_orderkey") % 997 * 10 + F.col("l_linenumber")).cast("int").alias("line"))
+    return indexing.call_edges(rows)
 
 
 @query
@@ -426,7 +426,7 @@ def _jobs(spark, sf_dir):
     """Every event as a job in some state."""
     rows = _events(spark, sf_dir)
     state = F.element_at(F.array(*map(F.lit, ("pending", "running", "running", "dead"))), (F.col("seq") % 4 + 1).cast("int"))
-    return rows.select(F.col("seq").alias("id"), "workspace", "path", "kind", F.coalesce("priority", F.lit(5)).alias("priority"), state.alias("state"), "enqueued_at", F.when(state == "running", F.col("enqueued_at") + 30_000).alias("lease_until"), F.when(state == "running", F.lit("w1")).alias("worker"), (F.col("seq") % 6).cast("int").alias("attempts"), F.lit(None).cast("string").alias("last_error"), "payload")
+    return rows.select(F.col("seq").alias("id"), "workspace", "path", "kind", F.coalesce("priority", F.lit(5)).alias("priority"), state.alias("state"), "enqueued_at", F.when(state == "running", F.col("enqueued_at") + 30_000).alias("lease_until"), F.when(state == "running", F.lit("w1")).alias("worker"), (F.col("seq") % 6).cast("int").alias("attempts"), F.when(state == "dead", F.concat(F.lit("error "), "seq")).alias("last_error"), "payload")
 
 
 NOW = 1_705_000_000_000  # within the events' month
@@ -439,8 +439,9 @@ def job_coalesce(spark, sf_dir):
 
 @query
 def job_enqueue(spark, sf_dir):
-    jobs = _jobs(spark, sf_dir).filter("id % 5 = 0")
-    rows = changefeed.enqueue(jobs, _events(spark, sf_dir).filter("seq % 5 = 1"))
+    """Events before ``NOW`` are jobs in some state, later ones are enqueued."""
+    jobs = _jobs(spark, sf_dir).filter(F.col("enqueued_at") < NOW)
+    rows = changefeed.enqueue(jobs, _events(spark, sf_dir).filter(F.col("enqueued_at") >= NOW))
     return rows.groupBy("state").agg(F.count("*").alias("n"), F.sum("priority").alias("priorities"), F.max("enqueued_at").alias("latest"))
 
 
@@ -465,15 +466,16 @@ def job_complete(spark, sf_dir):
 
 @query
 def lease_sweep(spark, sf_dir):
-    jobs, expired = changefeed.sweep(_jobs(spark, sf_dir), NOW)
-    counts = jobs.groupBy("state").agg(F.count("*").alias("n"), F.count("lease_until").alias("leases"))
-    return counts.unionByName(expired.agg(F.lit("expired").alias("state"), F.count("*").alias("n"), F.lit(0).cast("long").alias("leases")))
+    jobs, recovered = changefeed.sweep(_jobs(spark, sf_dir), NOW)
+    counts = jobs.groupBy("state").agg(F.count("*").alias("n"), F.sum("id").alias("ids"), F.count("lease_until").alias("leases"), F.count("worker").alias("workers"))
+    zero = F.lit(0).cast("long")
+    return counts.unionByName(recovered.select(F.lit("recovered").alias("state"), F.col("recovered").alias("n"), zero.alias("ids"), zero.alias("leases"), zero.alias("workers")))
 
 
 @query
 def retry_dead(spark, sf_dir):
     jobs = changefeed.retry_dead(_jobs(spark, sf_dir))
-    return jobs.groupBy("state").agg(F.count("*").alias("n"), F.sum("attempts").alias("attempts"))
+    return jobs.select("id", "path", "kind", "state", "attempts", F.coalesce("last_error", F.lit("")).alias("last_error"))
 
 
 @query
@@ -549,11 +551,12 @@ def reference_links(spark, sf_dir):
 
 @query
 def eval_recall_mrr(spark, sf_dir):
-    """Vectors near each tenth vector: does its own label rank first?"""
-    e = read(spark, sf_dir, "embeddings")
-    ask = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.col("label").alias("wanted"))
-    pairs = e.join(ask, F.col("label") == F.col("wanted")).filter("vec_id <> query_id")
-    scored = pairs.select("query_id", F.col("vec_id").alias("id"), F.round(vectors.dot(F.col("embedding"), F.col("q")), 6).alias("score"))
-    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")))
-    relevant = scored.filter(F.col("id") % 7 == F.col("query_id") % 7).select("query_id", "id")
-    return prose.evaluate(ranked, relevant, 10)
+    """Vectors near each hundredth vector: do those of its own label rank first?"""
+    e = read(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    ranked = vectors.top_k_each(e, e.filter("vec_id % 100 = 0"), 10)
+    label = e.select(F.col("vec_id").alias("id"), "label")
+    asked = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("wanted"))
+    own = ranked.join(label, "id").join(asked, "query_id").filter(F.col("label") == F.col("wanted"))
+    sizes = label.groupBy("label").agg(F.count("*").alias("n")).withColumnRenamed("label", "wanted")
+    relevant = asked.join(sizes, "wanted").select("query_id", (F.col("n") - 1).alias("wanted"))
+    return prose.evaluate_counts(relevant, own.select("query_id", "rank"), 10)

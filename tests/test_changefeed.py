@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -39,29 +40,90 @@ def test_an_edit_during_a_run_is_a_new_job(spark):
     assert sorted(r.state for r in out.collect()) == ["pending", "running"]
 
 
-def test_claim_order_and_kinds(spark):
-    table = jobs(spark, *(job(i, f"bulk{i}", priority=20, at=i) for i in range(50)), job(99, "urgent", priority=0, at=500), job(100, "e", kind="embed", priority=0))
-    got = feed.claim(table, "me", 1000, n=3).collect()
-    assert [r.path for r in got] == ["urgent", "bulk0", "bulk1"]
-    assert {(r.state, r.worker, r.attempts, r.lease_until) for r in got} == {("running", "me", 1, 31_000)}
-
-
-def test_failures_end_in_death_and_retry(spark):
-    table = jobs(spark, job(1, state="running", attempts=4), job(2, "b", state="running", attempts=5), job(3, "c", state="running", attempts=1))
-    out = feed.fail(table, spark.createDataFrame([(1, "x" * 5000), (2, "y")], "id long, error string"))
-    got = {r.id: (r.state, len(r.last_error or ""), r.worker) for r in out.collect()}
-    assert got == {1: ("pending", 2000, None), 2: ("dead", 1, None), 3: ("running", 0, "w1")}
-    again = {r.id: (r.state, r.attempts) for r in feed.retry_dead(out).collect()}
-    assert again[2] == ("pending", 0)
-    assert feed.complete(table, spark.createDataFrame([(1,)], "id long")).count() == 2
-    assert feed.depth(out).first().asDict() == {"pending": 1, "running": 1, "dead": 1}
-
-
-def test_sweep(spark):
-    table = jobs(spark, job(1, state="running", lease=10), job(2, "b", state="running", lease=10), job(3, "b"), job(4, "c", state="running", lease=99))
-    left, expired = feed.sweep(table, 50)
-    assert {(r.id, r.state) for r in left.collect()} == {(1, "pending"), (3, "pending"), (4, "running")}
-    assert sorted(r.id for r in expired.collect()) == [1, 2]
+class Queue:
+    """The rules of the queue, one job after another, as a plain table."""
+
+    def __init__(self, rows):
+        self.rows = {r[0]: dict(zip([c.split()[0] for c in JOBS.split(", ")], r, strict=True)) for r in rows}
+
+    def _waits(self, key):
+        return any(r["state"] == "pending" and (r["path"], r["kind"]) == key for r in self.rows.values())
+
+    def _revive(self, chosen, **fields):
+        n = 0
+        for i in sorted(i for i, r in self.rows.items() if chosen(r)):
+            if self._waits((self.rows[i]["path"], self.rows[i]["kind"])):
+                del self.rows[i]
+            else:
+                self.rows[i].update(state="pending", **fields)
+                n += 1
+        return n
+
+    def sweep(self, now):
+        return self._revive(lambda r: r["state"] == "running" and r["lease_until"] is not None and r["lease_until"] < now, worker=None, lease_until=None)
+
+    def retry_dead(self):
+        return self._revive(lambda r: r["state"] == "dead", attempts=0, last_error=None)
+
+    def claim(self, worker, now, n, kinds):
+        order = sorted((r["priority"], r["enqueued_at"], i) for i, r in self.rows.items() if r["state"] == "pending" and r["kind"] in kinds)
+        for _, _, i in order[:n]:
+            self.rows[i].update(state="running", worker=worker, lease_until=now + 30_000, attempts=self.rows[i]["attempts"] + 1)
+        return [i for _, _, i in order[:n]]
+
+    def fail(self, i, error):
+        r = self.rows[i]
+        r.update(state="dead" if r["attempts"] >= 5 else "pending", last_error=error[:2000], worker=None, lease_until=None)
+
+    def table(self):
+        return sorted(tuple(r.values()) for r in self.rows.values())
+
+
+def random_jobs(seed):
+    """Several jobs a key in all states, at most one of them pending."""
+    draw, rows, waiting = random.Random(seed), [], set()
+    for i in range(40):
+        key = (draw.choice("abcdef"), draw.choice(("parse", "delete", "embed")))
+        state = draw.choice(("pending", "running", "running", "dead", "dead"))
+        if state == "pending" and key in waiting:
+            continue
+        waiting |= {key} if state == "pending" else set()
+        running = state == "running"
+        rows.append((i, "w", *key, draw.randint(0, 3), state, draw.randint(0, 50), draw.choice((10, 50, 90, None)) if running else None, "w1" if running else None, draw.randint(0, 6), "e" if state == "dead" else None, None))
+    draw.shuffle(rows)
+    return rows
+
+
+def table(df):
+    return sorted((tuple(r) for r in df.collect()), key=lambda r: r[0])
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_the_feed_keeps_the_rules_of_the_queue(spark, seed):
+    rows = random_jobs(seed)
+    df = jobs(spark, *rows)
+    queue = Queue(rows)
+    left, recovered = feed.sweep(df, 60)
+    assert recovered.first().recovered == queue.sweep(60)
+    assert table(left) == queue.table()
+    queue = Queue(rows)
+    queue.retry_dead()
+    assert table(feed.retry_dead(df)) == queue.table()
+    queue = Queue(rows)
+    claimed = feed.claim(df, "me", 1000, n=3)
+    ids = queue.claim("me", 1000, 3, ("parse", "delete"))
+    assert [r.id for r in claimed.collect()] == ids and all(tuple(r) in queue.table() for r in claimed.select(df.columns).collect())
+    errors = [(r[0], "x" * (3000 if r[0] % 2 else 3)) for r in rows if r[5] == "running"]
+    queue = Queue(rows)
+    for e in errors:
+        queue.fail(*e)
+    assert table(feed.fail(df, spark.createDataFrame(errors, "id long, error string")).select(df.columns)) == queue.table()
+
+
+def test_complete_and_depth(spark):
+    df = jobs(spark, job(1, state="running"), job(2, "b", state="dead"), job(3, "c"), job(4, "d"))
+    assert feed.depth(df).first().asDict() == {"pending": 2, "running": 1, "dead": 1}
+    assert sorted(r.id for r in feed.complete(df, spark.createDataFrame([(1,), (9,)], "id long")).collect()) == [2, 3, 4]
 
 
 @pytest.mark.parametrize(("mtime", "size", "text", "want"), [

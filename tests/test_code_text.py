@@ -1,4 +1,7 @@
+"""Text functions against their definitions, each other and SQLite."""
+
 import random
+import re
 import sqlite3
 
 import pytest
@@ -8,26 +11,51 @@ from pyspark.sql import functions as F
 
 from quarryline.functions import code_text as T
 
+WORDS = ["tide", "Buoy", "QUAY", "x", "7", "hull2"]
+JOINTS = ["", "_", "-", ".", "/", "__", "$"]
+
 
 def values(spark, items, f):
     rows = spark.createDataFrame(list(enumerate(items)), "i int, x string").withColumn("y", f(F.col("x")))
     return [r.y for r in rows.orderBy("i").collect()]
 
 
-NAMES = ["getUserById", "MAX_RETRY_MS", "http.Client", "HTTPServerConfig", "retry-policy", "Promise<T>", "Users", "", "a", "x_y.z/w-v", "naïve café", "$el", "__init__", "A1B2c3D"]
+def spelled(words, how):
+    """One name in a convention."""
+    return {
+        "camel": words[0] + "".join(w.title() for w in words[1:]), "pascal": "".join(w.title() for w in words), "snake": "_".join(words), "kebab": "-".join(words),
+        "loud": "_".join(words).upper(), "dotted": ".".join(words), "path": "/".join(words),
+    }[how]
+
+
+CONVENTIONS = ("camel", "pascal", "snake", "kebab", "loud", "dotted", "path")
+plain_words = st.lists(st.text("bcdfgh", min_size=2, max_size=6), min_size=2, max_size=5)
+
 
+@settings(max_examples=100, deadline=None)
+@given(plain_words)
+def test_conventions_share_their_words_and_their_joined_form(words):
+    for how in CONVENTIONS:
+        tokens = set(T.tokenize_text(spelled(words, how)))
+        assert {*words, "".join(words), spelled(words, how).lower()} <= tokens, how
+        assert T.normalize_text(spelled(words, how)) == "".join(words)
 
-def test_known_expansions():
-    assert T.tokenize_text("getUserById") == ["getuserbyid", "get", "user", "by", "id"] or set(T.tokenize_text("getUserById")) == {"getuserbyid", "get", "user", "by", "id"}
-    assert {"max_retry_ms", "max", "retry", "ms", "maxretryms"} <= set(T.tokenize_text("MAX_RETRY_MS"))
-    assert {"http", "server", "config"} <= set(T.tokenize_text("HTTPServerConfig"))
-    shared = [set(T.tokenize_text(x)) for x in ("getUserById", "get_user_by_id", "GetUserByID", "get-user-by-id")]
-    assert "getuserbyid" in set.intersection(*shared)
+
+@settings(max_examples=100, deadline=None)
+@given(st.text("XYZ", min_size=2, max_size=5), st.text("bcd", min_size=2, max_size=5))
+def test_capitals_before_a_word_stay_together(capitals, word):
+    assert {capitals.lower(), word} <= set(T.tokenize_text(capitals + word.title()))
+
+
+def test_nothing_is_stemmed_and_short_tokens_stay():
+    assert T.tokenize_text("Hulls<Q>") == ["hulls", "q"]
+    assert T.tokenize_text("") == T.tokenize_text(" ()=+ ") == []
 
 
 def test_arrow_and_native_forms_agree(spark):
     draw = random.Random(0)
-    texts = NAMES + [" ".join(draw.choice(NAMES) for _ in range(8)) for _ in range(50)] + ["".join(draw.choice("aBc1_.-/$ (é") for _ in range(20)) for _ in range(200)]
+    texts = ["", "naïve café", "__init__"] + [" ".join("".join(draw.choice(WORDS) + draw.choice(JOINTS) for _ in range(draw.randint(1, 5))) for _ in range(6)) for _ in range(60)]
+    texts += ["".join(draw.choice("aBc1_.-/$ (é") for _ in range(20)) for _ in range(200)]
     assert values(spark, texts, T.tokenize) == values(spark, texts, T.tokenize_native) == [T.tokenize_text(t) for t in texts]
 
 
@@ -41,8 +69,10 @@ def test_tokens_are_distinct_and_settled(text):
         assert t in T.tokenize_text(t)
 
 
-@pytest.mark.parametrize("query", ["foo:bar", 'say "hi"', "a*b", "(x)", "^anchor", "NOT this", "a OR b AND c", "src/**/x.ts", "-flag", "don't", "", "the of"])
-def test_hostile_queries_are_quoted(query):
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(['"', "'", "*", "^", ":", "(", ")", "-", "+", "{", "}", ",", "AND", "OR", "NOT", "NEAR", "keel", "Mast_2", "\\", ";", "\0x", " "]), max_size=9).map(lambda xs: " ".join(xs)))
+def test_no_query_is_a_syntax_error(query):
+    """Operator characters and words of full-text queries in any order."""
     con = sqlite3.connect(":memory:")
     con.execute("CREATE VIRTUAL TABLE t USING fts5(body)")
     expression = T.match_expression(query)
@@ -51,17 +81,36 @@ def test_hostile_queries_are_quoted(query):
 
 
 def test_stop_words_go_unless_nothing_is_left():
-    assert T.query_terms("how does the lease work") == ["lease", "work"]
-    assert T.query_terms("the of") == ["the", "of"]
+    assert T.query_terms("where is the anchor chain") == ["anchor", "chain"]
+    assert T.query_terms("is it") == ["is", "it"]
+    assert all(w in T.QUERY_STOPWORDS for w in ("where", "the", "is"))
+
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text("aB1_.", min_size=1, max_size=8), max_size=6))
+def test_identifiers_by_their_rule(words):
+    want = [w.lower() for w in words if 4 <= len(w) <= 80 and (re.search("[a-z][A-Z]", w) or "_" in w or "." in w or re.fullmatch("[A-Z0-9_]+", w))]
+    assert IDENTIFIERS(" (".join(words)) == list(dict.fromkeys(want))
 
-def test_identifiers(spark):
-    text = "plain Word getUser MAX_N sock_time a.b.c.d x ABCD 1234 " + "y_" * 50
-    assert values(spark, [text], T.identifiers) == [["getuser", "max_n", "sock_time", "a.b.c.d", "abcd", "1234"]]
+
+def IDENTIFIERS(text):  # noqa: N802
+    from pyspark.sql import SparkSession
+
+    spark = SparkSession.getActiveSession()
+    return spark.createDataFrame([(text,)], "x string").select(T.identifiers(F.col("x")).alias("y")).first().y
+
+
+@pytest.fixture(autouse=True)
+def _session(spark):
+    return spark
+
+
+def test_identifiers_have_4_to_80_characters(spark):
+    assert values(spark, ["a_b a_bc " + "k_" * 40 + " " + "k_" * 40 + "k"], T.identifiers) == [["a_bc", "k_" * 40]]
 
 
 def test_full_text_words_equal_sqlite(spark):
-    texts = ["Café CAFÉ naïve_x-y 12a", "Ünï ñandú straße", "a.b,c"]
+    texts = ["Été ÉTÉ über_x-y 12a", "Ünï ñandú straße", "a.b,c"]
     con = sqlite3.connect(":memory:")
     for t, words in zip(texts, values(spark, texts, T.fts_words), strict=True):
         assert words == T.fts_words_of(t)
@@ -75,24 +124,33 @@ def test_full_text_words_equal_sqlite(spark):
 
 def test_globs_equal_sqlite(spark):
     con = sqlite3.connect(":memory:")
-    paths = ["src/a.ts", "SRC/a.ts", "src/b/c.py", "s[x]c/a", "srx/a", "src", "a^b", "sr\nc/x"]
-    for scope in ("src/", "SRC/", "s?c", "*/b", "s[x]c", "s[a-z]c", "s[^r]", "a^", ""):
+    paths = ["keel/a.ts", "KEEL/a.ts", "keel/b/c.py", "ke[x]l/a", "kexl/a", "keel", "a^b", "ke\nl/x"]
+    for scope in ("keel/", "KEEL/", "ke?l", "*/b", "ke[x]l", "ke[a-z]l", "ke[^r]", "a^", ""):
         got = values(spark, paths, lambda c, s=scope: T.in_scope(c, s))
         assert got == [bool(con.execute("SELECT ? GLOB ?", [p, scope + "*"]).fetchone()[0]) for p in paths], scope
 
 
 def test_like_equals_sqlite(spark):
     con = sqlite3.connect(":memory:")
-    names = ["get_user", "getXuser", "GETUSER", "a\\b", "a%b", "axb"]
-    for pattern in ("%get_user%", "%a\\b%", "%a%b%", "%GETU%"):
+    names = ["tie_rope", "tieXrope", "TIEROPE", "a\\b", "a%b", "axb"]
+    for pattern in ("%tie_rope%", "%a\\b%", "%a%b%", "%TIER%"):
         got = values(spark, names, lambda c, p=pattern: T.like(c, p))
         assert got == [bool(con.execute("SELECT ? LIKE ?", [n, pattern]).fetchone()[0]) for n in names], pattern
 
 
-def test_lines_headers_and_languages(spark):
-    text = "a\nb\nc\nd"
-    assert values(spark, [text, None], lambda c: T.line_slice(c, F.lit(2), F.lit(3))) == ["b\nc", ""]
-    assert values(spark, [text], lambda c: T.line_slice(c, F.lit(-3), F.lit(99))) == [text]
-    assert values(spark, ["a/b/c.ts", "c.ts"], lambda c: T.header(c, F.lit("typescript"))) == ["file: a/b/c.ts\nmodule: b\nlang: typescript", "file: c.ts\nlang: typescript"]
-    got = values(spark, ["a.ts", "a.D.TSX", "x.pyi", "Makefile", "a.txt", "a.rs"], T.detect_lang)
-    assert got == ["typescript", "tsx", "python", None, None, "rust"] == [T.lang_of(p) for p in ["a.ts", "a.D.TSX", "x.pyi", "Makefile", "a.txt", "a.rs"]]
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.text("ab ", max_size=3), min_size=1, max_size=8), st.integers(-3, 12), st.integers(-3, 12))
+def test_line_slices(lines, a, b):
+    from pyspark.sql import SparkSession
+
+    rows = SparkSession.getActiveSession().createDataFrame([("\n".join(lines),)], "x string")
+    got = rows.select(T.line_slice(F.col("x"), F.lit(a), F.lit(b)).alias("y")).first().y
+    assert got == "\n".join(lines[max(a, 1) - 1 : max(b, 0)])
+
+
+def test_headers_and_languages(spark):
+    assert values(spark, [None], lambda c: T.line_slice(c, F.lit(2), F.lit(3))) == [""]
+    assert values(spark, ["deck/mast/sail.ts", "sail.ts"], lambda c: T.header(c, F.lit("typescript"))) == ["file: deck/mast/sail.ts\nmodule: mast\nlang: typescript", "file: sail.ts\nlang: typescript"]
+    paths = [f"deck.old/x{e.upper() if i % 2 else e}" for i, e in enumerate(T.EXTENSIONS)] + ["Makefile", "a.txt", ".rs", "a.ts.bak"]
+    want = [*T.EXTENSIONS.values(), None, None, "rust", None]
+    assert values(spark, paths, T.detect_lang) == want == [T.lang_of(p) for p in paths]

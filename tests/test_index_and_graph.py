@@ -3,10 +3,11 @@ import pytest
 from quarryline.operators import graph, indexing, prose, status, vectors
 
 FILES = [
-    ("src/queue.ts", "\n/** A queue. */\nexport class Queue {\n    put(x: number) { storeItem(x); storeItem(x); log(x); }\n}\n\nexport const MAX_SIZE = 10;\nexport function one() { return makeQueue(); }\n"),
-    ("src/worker.ts", 'import { Queue } from "./queue";\nimport { y } from "../lib/util.ts";\nexport function work() { makeQueue(); }\n'),
-    ("lib/util.ts", "export const y = 1;\n"),
-    ("lonely.py", "x = 1\n"),
+    ("quay/crane.ts", "// Lifts.\nexport class Crane {\n    lift(a: number) { return swingArm(a) + swingArm(a) + max(a); }\n}\nexport const REACH = 9;\nexport function spare() { return makeCrane(); }\n"),
+    ("quay/shift.ts", 'import { Crane } from "./crane";\nimport { y } from "../tools/rope.ts";\nimport { z } from "./lost";\nexport function start() { makeCrane(); }\n'),
+    ("tools/rope.ts", 'import "../quay/";\nexport const y = 1;\n'),
+    ("quay/index.ts", ""),
+    ("alone.py", "x = 1\n"),
 ]
 
 
@@ -20,25 +21,25 @@ def index(spark):
 
 
 def test_rows(index):
-    assert {r.name_norm for r in index["symbols"].collect()} >= {"queue", "put", "maxsize", "one", "work"}
-    calls = [(r.src, r.dst) for r in index["edges"].filter("kind = 'calls' and path = 'src/queue.ts'").collect()]
-    assert sorted(calls) == [("one", "makeQueue"), ("put", "storeItem")]  # one edge for two calls; log is too common
+    assert {r.name_norm for r in index["symbols"].collect()} == {"crane", "lift", "reach", "spare", "start", "y"}
+    calls = [(r.src, r.dst) for r in index["edges"].filter("kind = 'calls' and path = 'quay/crane.ts'").collect()]
+    assert sorted(calls) == [("lift", "swingArm"), ("spare", "makeCrane")]  # one edge for two calls; max is too common
     assert {r.precision for r in index["edges"].collect()} == {"heuristic"}
     head = index["chunks"].filter("kind = 'class'").first().header
-    assert head == "file: src/queue.ts\nmodule: src\nsignature: class Queue\ndoc: /** A queue. */\nlang: typescript"
+    assert head == "file: quay/crane.ts\nmodule: quay\nsignature: class Crane\ndoc: // Lifts.\nlang: typescript"
 
 
 def test_update_replaces_paths_and_keeps_chunks(spark, index):
     same = indexing.update(index, frame(spark, FILES[:1]))
     for name in index:
         assert same[name].count() == index[name].count()
-    new = indexing.update(index, frame(spark, [("src/queue.ts", "export function other() {}\n")]))
-    assert [r.name for r in new["symbols"].filter("path = 'src/queue.ts'").collect()] == ["other"]
+    new = indexing.update(index, frame(spark, [("quay/crane.ts", "export function other() {}\n")]))
+    assert [r.name for r in new["symbols"].filter("path = 'quay/crane.ts'").collect()] == ["other"]
     dead = indexing.garbage(new).count()
     assert dead > 0
     assert indexing.garbage(indexing.collect_garbage(new)).count() == 0
     gone = indexing.without_paths(index, frame(spark, FILES[:1]))
-    assert gone["symbols"].filter("path = 'src/queue.ts'").count() == 0 and gone["chunks"].count() == index["chunks"].count()
+    assert gone["symbols"].filter("path = 'quay/crane.ts'").count() == 0 and gone["chunks"].count() == index["chunks"].count()
 
 
 def test_equal_content_is_stored_once(spark):
@@ -67,20 +68,20 @@ def test_save_and_load(spark, index, tmp_path):
 def test_import_graph(spark, index):
     files = frame(spark, FILES)
     pairs = graph.import_edges(index["edges"], files)
-    assert {tuple(r) for r in pairs.collect()} == {("src/worker.ts", "src/queue.ts"), ("src/worker.ts", "lib/util.ts")}
+    assert {tuple(r) for r in pairs.collect()} == {("quay/shift.ts", "quay/crane.ts"), ("quay/shift.ts", "tools/rope.ts"), ("tools/rope.ts", "quay/index.ts")}
     nodes = spark.createDataFrame([(p, 1) for p, _ in FILES], "id string, weight int")
     g = graph.link_graph(pairs, nodes)
-    assert [r.id for r in g["isolated"].collect()] == ["lonely.py"] and g["nodes"].count() == 3
+    assert [r.id for r in g["isolated"].collect()] == ["alone.py"] and g["nodes"].count() == 4
     by_module = graph.link_graph(pairs, nodes, depth=1)
-    assert {(r.source, r.target) for r in by_module["edges"].collect()} == {("src", "lib")}
+    assert {(r.source, r.target) for r in by_module["edges"].collect()} == {("quay", "tools"), ("tools", "quay")}
     assert graph.link_graph(pairs, nodes, max_nodes=1)["nodes"].count() == 1
-    assert {r.caller for r in graph.callers(index["edges"], "makeQueue").collect()} == {"one", "work"}
-    assert [r.callee for r in graph.callees(index["edges"], "put").collect()] == ["storeItem"]
-    detail = graph.file_detail(index, files, "src/queue.ts").first()
-    assert detail.imported_by == ["src/worker.ts"] and detail.imports == [] and len(detail.symbols) == 4
+    assert {r.caller for r in graph.callers(index["edges"], "makeCrane").collect()} == {"spare", "start"}
+    assert [r.callee for r in graph.callees(index["edges"], "lift").collect()] == ["swingArm"]
+    detail = graph.file_detail(index, files, "quay/crane.ts").first()
+    assert detail.imported_by == ["quay/shift.ts"] and detail.imports == [] and len(detail.symbols) == 4
     assert graph.file_detail(index, files, "none").first() is None
     ranks = {r.id: r.rank for r in graph.pagerank(g["edges"], nodes, rounds=12).collect()}
-    assert sum(ranks.values()) == pytest.approx(1) and ranks["src/queue.ts"] > ranks["src/worker.ts"]
+    assert sum(ranks.values()) == pytest.approx(1) and ranks["quay/crane.ts"] > ranks["quay/shift.ts"]
 
 
 def test_status_of_nothing(spark):

@@ -1,114 +1,201 @@
-import pytest
-
-from quarryline.operators.parse import parse_files, parse_source
-
-TS = '''
-import { Thing } from "lib:thing";
-
-/** Sends again after failures. */
-export class Sender {
-    async send<T>(op: () => Promise<T>): Promise<T> {
-        return writeOut(op);
-    }
-}
-
-export const MAX_TRIES = 9_000;
-export const onClick = () => { goNow(); };
-export function simple(a: number): void {}
-interface Options { x: number }
-'''
-
+"""The parser against programs put together from single declarations.
 
-def kinds(p):
-    return [f"{s.kind}:{s.name}" for s in p.symbols]
+Each declaration states its symbols, imports and calls with lines from its own
+first line.  Random sequences of declarations then must give what was put in,
+at the place it was put, whatever stands beside it.
+"""
 
+import random
 
-def by_name(p, name):
-    return next(s for s in p.symbols if s.name == name)
-
-
-def test_typescript():
-    p = parse_source(TS, "src/mail/sender.ts")
-    assert kinds(p) == ["class:Sender", "method:send", "constant:MAX_TRIES", "function:onClick", "function:simple", "interface:Options"]
-    assert by_name(p, "Sender").doc == "/** Sends again after failures. */"
-    assert by_name(p, "Sender").exported and not by_name(p, "Options").exported
-    assert by_name(p, "send").parent == "Sender"
-    assert by_name(p, "simple").signature == "function simple(a: number): void"
-    assert p.imports == [("lib:thing", 2)]
-    assert ("writeOut", 7, "send") in p.calls
-    assert ("goNow", 12, None) in p.calls
-    assert not p.has_errors
-
-
-def test_python():
-    p = parse_source('import x\nfrom a.b import c\n\nclass Box:\n    """Holds."""\n    def put(self, v):\n        return store(v)\n\ndef _own(): pass\n\n# said above\ndef show(a,\n         b):\n    c.draw(a)\n', "m.py")
-    assert kinds(p) == ["class:Box", "function:put", "function:_own", "function:show"]
-    assert by_name(p, "Box").doc == '"""Holds."""'
-    assert by_name(p, "put").parent == "Box"
-    assert by_name(p, "show").doc == "# said above"
-    assert by_name(p, "show").signature == "def show(a, b):"
-    assert not by_name(p, "_own").exported
-    assert [i for i, _ in p.imports] == ["x", "a.b"]
-    assert ("store", 7, "put") in p.calls and ("draw", 14, "show") in p.calls
+import pytest
 
+from quarryline.operators import parse
+from quarryline.operators.parse import parse_files, parse_source
 
-def test_go():
-    p = parse_source('package main\n\nimport (\n\t"fmt"\n\t"os"\n)\n\n// Host hosts.\ntype Host struct {\n\tport int\n}\n\nfunc (h *Host) Run() error {\n\treturn open(h.port)\n}\n\nfunc quiet() {}\n\nconst Most = 10\n', "m.go")
-    assert kinds(p) == ["type:Host", "method:Run", "function:quiet", "constant:Most"]
-    assert by_name(p, "Host").doc == "// Host hosts."
-    assert [s.exported for s in p.symbols] == [True, True, False, True]
-    assert [i for i, _ in p.imports] == ["fmt", "os"]
-    assert ("open", 14, "Run") in p.calls
+# Text; symbols (kind, name, parent, first, last, exported); imports (name, line); calls (callee, line, caller).
+PARTS = {
+    "m.ts": [
+        ('import * as soil{n} from "soil/{n}";', [], [("soil/{n}", 1)], []),
+        ("import './effects{n}'", [], [("./effects{n}", 1)], []),
+        ("declare function probe{n}(depth: number): boolean;", [("function", "probe{n}", None, 1, 1, False)], [], []),
+        ("export default async function* harvest{n}(crate) {\n  yield weigh{n}(crate);\n}", [("function", "harvest{n}", None, 1, 3, True)], [], [("weigh{n}", 2, "harvest{n}")]),
+        ("class Orchard{n} extends Plot {\n  static rows = 3;\n\n  protected prune{n}(tree: Tree): void {\n    this.shears.snip{n}(tree, graft{n}());\n  }\n}",
+         [("class", "Orchard{n}", None, 1, 7, False), ("method", "prune{n}", "Orchard{n}", 4, 6, False)], [], [("snip{n}", 5, "prune{n}"), ("graft{n}", 5, "prune{n}")]),
+        ("export enum Season{n} {\n  Spring,\n  Fall,\n}", [("enum", "Season{n}", None, 1, 4, True)], [], []),
+        ("type Basket{n}<T> = {\n  fruit: T[];\n};", [("type", "Basket{n}", None, 1, 3, False)], [], []),
+        ("export interface Sower{n} {\n  sow(seed: Seed): void;\n}", [("interface", "Sower{n}", None, 1, 3, True)], [], []),
+        ("let ripeness{n} = measure{n}(\n  0.5,\n);", [("constant", "ripeness{n}", None, 1, 3, False)], [], [("measure{n}", 1, None)]),
+        ("const sorter{n} = async <T>(xs: T[]) => {\n  await shelve{n}<T>(xs);\n};", [("function", "sorter{n}", None, 1, 3, False)], [], [("shelve{n}", 2, None)]),
+        ("export const peel{n} = function (x) {\n  return x;\n};", [("function", "peel{n}", None, 1, 3, True)], [], []),
+        ('/* class No{n} {} */ // function nor{n}() {}\nlog{n}("function not{n}() {", `and ${1} not`);', [], [], [("log{n}", 2, None)]),
+    ],
+    "m.py": [
+        ("import kettle{n}, cup{n}.rim", [], [("kettle{n}", 1), ("cup{n}.rim", 1)], []),
+        ("import leaf{n} as lf", [], [], []),
+        ("from tins.box{n} import lid", [], [("tins.box{n}", 1)], []),
+        ("from . import jar{n}", [], [], []),
+        ("@cached{n}(1)\ndef blend{n}(*leaves, steep=3) -> str:\n    return pour{n}(leaves)", [("function", "blend{n}", None, 2, 3, True)], [], [("cached{n}", 1, None), ("pour{n}", 3, "blend{n}")]),
+        ("class Kettle{n}(Vessel):\n    'Holds water.'\n\n    @property\n    def _heat{n}(self):\n        return self.coil.gauge{n}()",
+         [("class", "Kettle{n}", None, 1, 6, True), ("function", "_heat{n}", "Kettle{n}", 5, 6, False)], [], [("gauge{n}", 6, "_heat{n}")]),
+        ("class _Spout{n}: ...", [("class", "_Spout{n}", None, 1, 1, False)], [], []),
+        ("async def brew{n}():\n    def inner{n}():\n        stir{n}()\n    await boil{n}(inner{n})", [("function", "brew{n}", None, 1, 4, True), ("function", "inner{n}", None, 2, 3, True)], [], [("stir{n}", 3, "inner{n}"), ("boil{n}", 4, "brew{n}")]),
+        ("x{n} = 'def no(): class No: f('", [], [], []),
+    ],
+    "m.go": [
+        ('import "net/{n}"', [], [("net/{n}", 1)], []),
+        ('import (\n\tt "a/{n}"\n\t_ "b/{n}"\n)', [], [("a/{n}", 2), ("b/{n}", 3)], []),
+        ("type Loom{n} interface {\n\tWeave(n int) error\n}", [("type", "Loom{n}", None, 1, 3, True)], [], []),
+        ("type thread{n} = string", [("type", "thread{n}", None, 1, 1, False)], [], []),
+        ("func (l *Loom{n}) Spin{n}(w Wool) (yarn Yarn, err error) {\n\treturn twist{n}(w), nil\n}", [("method", "Spin{n}", None, 1, 3, True)], [], [("twist{n}", 2, "Spin{n}")]),
+        ("func dye{n}[T any](xs []T) {\n\tfor range xs {\n\t\tvat.Dip{n}(`func no{n}() {`)\n\t}\n}", [("function", "dye{n}", None, 1, 5, False)], [], [("Dip{n}", 3, "dye{n}")]),
+        ("const Knots{n} = 12", [("constant", "Knots{n}", None, 1, 1, True)], [], []),
+        ("var free{n} = '{'", [], [], []),
+    ],
+    "m.rs": [
+        ("use mine::shaft{n};", [], [("mine::shaft{n}", 1)], []),
+        ("pub enum Ore{n} {\n    Iron,\n    Tin(u8),\n}", [("enum", "Ore{n}", None, 1, 4, True)], [], []),
+        ("struct Cart{n}(u32);", [("struct", "Cart{n}", None, 1, 1, False)], [], []),
+        ("pub trait Dig{n} {\n    fn deeper{n}(&self) -> bool;\n}", [("interface", "Dig{n}", None, 1, 3, True), ("function", "deeper{n}", None, 2, 2, False)], [], []),
+        ("mod vein{n} {\n    pub async fn follow{n}<'a>(x: &'a str) -> char {\n        trace{n}(x);\n        '}'\n    }\n}", [("module", "vein{n}", None, 1, 6, False), ("function", "follow{n}", "vein{n}", 2, 5, True)], [], [("trace{n}", 3, "follow{n}")]),
+        ('impl Cart{n} {\n    fn haul{n}(self) {\n        println!("{}", no{n}(1));\n        self.rail.push{n}(r#"fn no() {"#);\n        far::away{n}();\n    }\n}', [("function", "haul{n}", None, 2, 6, False)], [], [("push{n}", 4, "haul{n}")]),
+        ("pub(super) const DEPTH{n}: [u8; 2] = [1, 2];", [("constant", "DEPTH{n}", None, 1, 1, False)], [], []),
+        ("pub static mut LAMP{n}: u8 = 1;", [("constant", "LAMP{n}", None, 1, 1, True)], [], []),
+    ],
+}
+PARTS["m.js"] = [p for p in PARTS["m.ts"] if not any(x in p[0] for x in ("declare", "protected", "enum", "type ", "interface", "<T>"))]
+
+
+def program(path, seed, size=9):
+    """A random program and what it holds."""
+    draw = random.Random(f"{path}{seed}")
+    text, want = "", ([], [], [])
+    for n in range(size):
+        source, *told = draw.choice(PARTS[path])
+        line = text.count("\n")
+        fill = lambda x, n=n: x.replace("{n}", str(n)) if isinstance(x, str) else x
+        symbols, imports, calls = told
+        want[0].extend((k, fill(name), fill(parent), a + line, b + line, e) for k, name, parent, a, b, e in symbols)
+        want[1].extend((fill(name), a + line) for name, a in imports)
+        want[2].extend((fill(name), a + line, fill(caller)) for name, a, caller in calls)
+        text += fill(source) + "\n" * draw.choice((1, 2, 2, 3, 5))
+    return text, want
+
+
+def check_chunks(source, found):
+    """What holds for chunks of any program."""
+    lines = source.split("\n")
+    covered = [0] * (len(lines) + 2)
+    for a, b, _ in found.chunks:
+        assert 1 <= a <= b <= len(lines) and b - a < parse.MAX_CHUNK_LINES
+        for i in range(a, b + 1):
+            covered[i] += 1
+    assert all(covered[i] for i, line in enumerate(lines, 1) if line.strip())
+    assert all(any(x.strip() for x in lines[a - 1 : b]) for a, b, _ in found.chunks) or not source.strip()
+
+
+@pytest.mark.parametrize("seed", range(12))
+@pytest.mark.parametrize("path", sorted(PARTS))
+def test_random_programs(path, seed):
+    source, (symbols, imports, calls) = program(path, seed)
+    found = parse_source(source, path)
+    assert not found.has_errors, source
+    assert sorted((s.kind, s.name, s.parent or "", s.start_line, s.end_line, s.exported) for s in found.symbols) == sorted((k, n, p or "", a, b, e) for k, n, p, a, b, e in symbols), source
+    assert sorted(found.imports) == sorted(imports), source
+    assert sorted(map(str, found.calls)) == sorted(map(str, calls)), source
+    check_chunks(source, found)
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_cut_programs_still_give_chunks(seed):
+    path = random.Random(seed).choice(sorted(PARTS))
+    source, _ = program(path, seed)
+    cut = source[: random.Random(seed).randrange(len(source))]
+    check_chunks(cut, parse_source(cut, path))
+
+
+def signature(path, source):
+    return parse_source(source, path).symbols[0].signature
+
+
+def test_signatures_stop_before_the_body_and_at_400_characters():
+    assert signature("a.ts", "function  mash (\n a,\tb )  { }") == "function mash ( a, b )"
+    assert signature("a.py", "def mash(a: dict = {1: 2}, *, b=':'):\n    pass\n") == "def mash(a: dict = {1: 2}, *, b=':'):"
+    assert signature("a.go", "func Mash(a int,\n\tb int) int { return a }") == "func Mash(a int, b int) int"
+    long = "function f(" + ", ".join(f"p{i}" for i in range(300)) + ") {}"
+    assert signature("a.ts", long) == long[:400].strip()
+
+
+DOCS = [
+    ("a.ts", "// one\n// two\nconst q = 1;", "// one\n// two"), ("a.ts", "// far\n\nconst q = 1;", None), ("a.ts", "w(); // beside\nconst q = 1;", "// beside"),
+    ("a.ts", "/* wide\n   block */ // and more\nexport const q = 1;", "/* wide\n   block */\n// and more"), ("a.rs", "//! head\n/// of it\nstruct Q;", "//! head\n/// of it"),
+    ("a.py", "# said\ndef q():\n    'not this'\n", "# said"), ("a.py", "def q():\n    r'raw'\n", "r'raw'"), ("a.py", "def q():\n    1\n    'late'\n", None), ("a.go", "// said\nfunc q() {}", "// said"),
+]
+
+
+@pytest.mark.parametrize(("path", "source", "doc"), DOCS)
+def test_docs(path, source, doc):
+    assert parse_source(source, path).symbols[0].doc == doc
+
+
+def rows_of(n, name="v", gap=0):
+    return ("\n" * (gap + 1)).join(f"const {name}{i} = {i};" for i in range(n)) + "\n"
+
+
+def names(source):
+    return [c[2] for c in parse_source(source, "a.ts").chunks if c[2]]
+
+
+def test_limits_of_merging():
+    assert names(rows_of(2, gap=parse.MERGE_GAP)) == ["v0, v1"]
+    assert names(rows_of(2, gap=parse.MERGE_GAP + 1)) == ["v0", "v1"]
+    small = "const a = [\n" + "1,\n" * (parse.SMALL_LINES - 2) + "];\n"
+    large = "const a = [\n" + "1,\n" * (parse.SMALL_LINES - 1) + "];\n"
+    assert names(small + "const b = 2;\n") == ["a, b"] and names(large + "const b = 2;\n") == ["a", "b"]
+    chunks = parse_source(rows_of(100), "a.ts").chunks
+    assert [b - a + 1 for a, b, _ in chunks] == [parse.MAX_MERGED_LINES] * 2 + [100 - 2 * parse.MAX_MERGED_LINES]
 
 
-def test_rust():
-    p = parse_source("use std::io;\n\n/// One\n/// two\npub struct Pool { n: u32 }\n\npub trait Codec {\n    fn enc(&self);\n}\n\npub fn open(p: &str) -> Pool { connect(p) }\nfn own<'a>(x: &'a str) {}\npub const MOST: usize = 10;\npub(crate) fn near() {}\n", "m.rs")
-    assert kinds(p) == ["struct:Pool", "interface:Codec", "function:enc", "function:open", "function:own", "constant:MOST", "function:near"]
-    assert by_name(p, "Pool").doc == "/// One\n/// two"
-    assert by_name(p, "open").exported and not by_name(p, "own").exported and not by_name(p, "near").exported
-    assert p.imports == [("std::io", 1)]
-    assert ("connect", 11, "open") in p.calls
+@pytest.mark.parametrize("container", ["class C { }", "interface C { }", "enum C { }"])
+def test_containers_stand_alone(container):
+    assert names(f"const a = 1;\n{container}\nconst b = 2;\n") == ["a", "C", "b"]
 
 
-def test_small_neighbours_merge_and_containers_do_not():
-    assert parse_source("const a = 1;\nconst b = 2;\nconst c = 3;\n", "a.ts").chunks == [(1, 3, "a, b, c")]
-    p = parse_source("class Tiny {}\nconst a = 1;\nconst b = 2;\n", "a.ts")
-    assert [c[2] for c in p.chunks] == ["Tiny", "a, b"]
+@pytest.mark.parametrize("lines", [parse.MAX_CHUNK_LINES, parse.MAX_CHUNK_LINES + 1, 7 * parse.MAX_CHUNK_LINES + 5])
+def test_long_spans_are_cut(lines):
+    source = "class Long {\n" + "  // row\n" * (lines - 2) + "}"
+    sizes = [b - a + 1 for a, b, _ in parse_source(source, "a.ts").chunks]
+    assert sum(sizes) == lines and max(sizes) == parse.MAX_CHUNK_LINES and len(sizes) == -(-lines // parse.MAX_CHUNK_LINES)
 
 
-def test_long_functions_are_split():
-    body = "\n".join(f"  line{i}();" for i in range(300))
-    chunks = parse_source(f"function big() {{\n{body}\n}}", "a.ts").chunks
-    assert len(chunks) == 3 and all(b - a < 120 for a, b, _ in chunks)
+def test_files_without_symbols_and_without_parsers():
+    assert parse_source("", "a.go").chunks == [(1, 1, None)] and not parse_source("", "a.go").has_errors
+    assert parse_source("\n\n// said\n", "a.rs").chunks == [(1, 4, None)]
+    assert parse_source("fn main() {}", "a.txt") is None and parse_source("x", "Makefile") is None
 
 
-@pytest.mark.parametrize("source", [
-    "/**\n * About.\n */\n\nimport { x } from 'y';\n\nexport function elect() {}\n", "export function f() {}\n\nconst config = { n: 3 };\nsetup(config);\n",
-    "export function a() {}\n\n// note\n\nexport function b() {}", "export function a() {}\n\n\n\n\nexport function b() {}\n", "// only this\n", TS,
-])
-def test_chunks_cover_all_content(source):
-    covered = set()
-    for a, b, _ in parse_source(source, "a.ts").chunks:
-        assert a <= b
-        covered |= set(range(a, b + 1))
-    assert {i for i, line in enumerate(source.split("\n"), 1) if line.strip()} <= covered
+@pytest.mark.parametrize(("path", "source"), [("a.py", "x = " + "+".join(["1"] * 30_000)), ("a.py", "x = " + "-" * 5_000 + "1"), ("a.py", "(" * 3_000), ("a.py", "a\0b"), ("a.ts", "{" * 20_000), ("a.rs", "(" * 20_000)])
+def test_files_that_break_a_parser_are_marked(path, source):
+    found = parse_source(source, path)
+    assert found.has_errors
+    check_chunks(source, found)
 
 
-def test_damage_and_empties():
-    assert parse_source("export function broken( {\n  oops\n", "a.ts").has_errors
-    p = parse_source("def ok():\n    return go_on()\n\ndef broken(:\n", "a.py")
-    assert p.has_errors and kinds(p) == ["function:ok"] and p.chunks
-    assert parse_source("", "a.ts").chunks == [(1, 1, None)]
-    assert parse_source("x", "a.txt") is None
+def test_large_files_take_time_in_proportion():
+    import time
 
+    def seconds(n):
+        source = "".join(f"// d{i}\nexport function f{i}(a) {{\n  g{i}(a);\n}}\nconst c{i} = h{i}();\n" for i in range(n))
+        began = time.process_time()
+        assert len(parse_source(source, "a.ts").symbols) == 2 * n
+        return time.process_time() - began
 
-def test_strings_and_comments_hide_code():
-    p = parse_source('const s = "function no() {}"; // class No {}\n/* class Nor {} */\nfunction yes() { return `${"}"}`; }\n', "a.js")
-    assert kinds(p) == ["constant:s", "function:yes"] and not p.has_errors
+    seconds(100)
+    assert seconds(6_000) < 40 * max(seconds(600), 0.02)
 
 
 def test_parse_files(spark):
-    df = spark.createDataFrame([("a.ts", TS), ("b.txt", "x"), ("c.py", None)], "path string, source string")
+    source, (symbols, _, _) = program("m.rs", 1)
+    df = spark.createDataFrame([("x/m.rs", source), ("b.txt", "x"), ("c.py", None), ("deep.py", "(" * 3_000), (None, "x")], "path string, source string")
     got = {r.path: r for r in parse_files(df).collect()}
-    assert set(got) == {"a.ts", "c.py"}
-    assert len(got["a.ts"].symbols) == 6
+    assert set(got) == {"x/m.rs", "c.py", "deep.py"}
+    assert len(got["x/m.rs"].symbols) == len(symbols) and got["deep.py"].has_errors and got["c.py"].chunks

@@ -9,26 +9,29 @@ from pyspark.sql import functions as F
 
 from quarryline.functions import code_text as T
 from quarryline.operators import indexing, retrieval
+from quarryline.plans import codebase
 
-FILES = [
-    ("src/billing/plan.ts", '/** Charges customers monthly. */\nexport class BillingPlan {\n    charge(amount: number) {\n        return sendInvoice(amount);\n    }\n}\n\nexport const MAX_RETRY_MS = 30_000;\n'),
-    ("src/webhooks/check.ts", "/** Checks the signature of a webhook. */\nexport function validateWebhook(body: string) {\n    return verifySignature(body);\n}\n"),
-    ("src/user/store.py", 'class UserStore:\n    """Users by key."""\n\n    def get_user_by_id(self, key):\n        return lookup_row(key)\n'),
-    ("notes/read.txt", "plain words about signature and billing\n" * 3),
-]
+#: Ten files of the made code base and a page of notes.
+PARTS = [(k, 5 + k) for k in range(10)]
+NOTES = ("notes/log.txt", "the crew swung the crane while the tide fell\n" * 3)
 
 
 @pytest.fixture(scope="module")
-def index(spark):
-    files = spark.createDataFrame(FILES, "path string, source string")
+def files(spark):
+    made = codebase.code_files(spark.createDataFrame(PARTS, "p_partkey long, p_size int"))
+    return made.unionByName(spark.createDataFrame([NOTES], "path string, source string")).cache()
+
+
+@pytest.fixture(scope="module")
+def index(spark, files):
     out = {k: v.cache() for k, v in indexing.build(files).items()}
     out["fts"] = retrieval.fts_table(out["chunks"]).cache()
     return out
 
 
 @pytest.fixture(scope="module")
-def texts(spark):
-    return spark.createDataFrame(FILES, "path string, text string")
+def texts(files):
+    return files.withColumnRenamed("source", "text")
 
 
 def found(index, query, **options):
@@ -37,7 +40,7 @@ def found(index, query, **options):
 
 def test_bm25_equals_sqlite(spark):
     draw = random.Random(1)
-    words = ["alpha", "beta_gamma", "getUserById", "max", "retry", "ms", "MAX_RETRY_MS", "café", "x"]
+    words = ["keel", "aft_mast", "tieRopeTo", "low", "tide", "at", "LOW_TIDE_AT", "élan", "x"]
     rows = [(str(i), " ".join(draw.choice(words) for _ in range(draw.randint(3, 30))), f"file: f{i}\nlang: {draw.choice(words)}") for i in range(25)]
     chunks = spark.createDataFrame(rows, "content_hash string, body string, header string")
     con = sqlite3.connect(":memory:")
@@ -45,7 +48,7 @@ def test_bm25_equals_sqlite(spark):
     for i, body, head in rows:
         con.execute("INSERT INTO t(rowid, body, header, tokens) VALUES (?, ?, ?, ?)", (int(i) + 1, body, head, " ".join(T.tokenize_text(f"{head}\n{body}"))))
     fts = retrieval.fts_table(chunks).cache()
-    for query in ("alpha", "max_retry_ms", "getUserById retry", "café", "beta_gamma ms", "nothing here"):
+    for query in ("keel", "low_tide_at", "tieRopeTo tide", "élan", "aft_mast at", "nothing here"):
         got = {int(r.content_hash) + 1: r.score for r in retrieval.bm25(fts, query).collect()}
         want = {r[0]: -r[1] for r in con.execute("SELECT rowid, bm25(t, 1.0, 2.0, 1.5) FROM t WHERE t MATCH ?", [T.match_expression(query)])}
         assert set(got) == set(want), query
@@ -54,40 +57,40 @@ def test_bm25_equals_sqlite(spark):
 
 
 def test_arms_and_conventions(index):
-    assert found(index, "getUserById")[0][:2] == ("src/user/store.py", "get_user_by_id")
-    assert found(index, "validate webhook")[0][0] == "src/webhooks/check.ts"
-    assert "symbol" in found(index, "get user by id")[0][2]
-    assert any("trigram" in m for _, _, m in found(index, "etry_m"))
-    assert all("trigram" not in m for _, _, m in found(index, "retry policy words"))
+    for query in ("haul_6_0", "HAUL-6-0", "Haul60"):
+        top = found(index, query)[0]
+        assert top[:2] == ("d6/part_6.py", "haul_6_0") and "symbol" in top[2], query
+    assert any("trigram" in m for _, _, m in found(index, "ount_hul"))
+    assert all("trigram" not in m for _, _, m in found(index, "crane load words"))
     assert found(index, "") == [] and found(index, "((((") == []
 
 
 def test_scope_and_limit(index):
-    assert {p for p, _, _ in found(index, "signature", scope="src/webhooks/")} == {"src/webhooks/check.ts"}
-    assert {p for p, _, _ in found(index, "signature", scope="SRC/")} == set()
-    assert len(found(index, "signature billing user", limit=2)) == 2
+    assert {p for p, _, _ in found(index, "crane", scope="notes/")} == {"notes/log.txt"}
+    assert {p for p, _, _ in found(index, "crane", scope="d?/part_*.go")} == {"d2/part_2.go", "d0/part_7.go"}
+    assert found(index, "crane", scope="NOTES/") == []
+    assert len(found(index, "crane tide", limit=2)) == 2
 
 
 def test_scores_are_reciprocal_ranks(index):
-    rows = retrieval.search(index, "validateWebhook").collect()
+    rows = retrieval.search(index, "LANTERN_8").collect()
     top = max(rows, key=lambda r: r.score)
-    assert set(top.matched) == {"bm25", "trigram", "symbol"}
-    assert top.score <= (1.0 + 0.7 + 1.3) / 61 + 1e-9
+    assert set(top.matched) == {"bm25", "trigram", "symbol"} and top.path == "d1/part_8.rs"
+    assert top.score == pytest.approx((1.0 + 0.7 + 1.3) / 61, abs=1e-8)
 
 
-def test_live_text_and_missing_files(spark, index, texts):
-    rows = retrieval.search(index, "validateWebhook", texts=texts).collect()
-    assert any("verifySignature" in r.text for r in rows)
-    gone = retrieval.search(index, "validateWebhook", texts=texts.limit(0)).collect()
+def test_live_text_and_missing_files(index, texts):
+    rows = retrieval.search(index, "swing_round", texts=texts).collect()
+    assert any("return swing_round(wind, slack)" in r.text for r in rows)
+    gone = retrieval.search(index, "swing_round", texts=texts.limit(0)).collect()
     assert {r.text for r in gone} == {""}
 
 
 def test_lookup(index):
     names = lambda *a, **k: [r.name for r in retrieval.lookup_symbol(index["symbols"], *a, **k).collect()]
-    assert names("BillingPlan") == ["BillingPlan"]
-    assert names("GET_USER") == ["get_user_by_id"]
-    assert names("getUserById") == [] and names("getUserById", any_convention=True) == ["get_user_by_id"]
-    assert names("e", kind="class") == ["UserStore"] or set(names("e", kind="class")) == {"UserStore"}
+    assert names("fog4") == ["fog4"] and names("FOG") == ["fog9", "fog4"]
+    assert names("haul60") == [] and names("haul60", any_convention=True) == ["haul_6_0"]
+    assert names("Dock", kind="class") == ["Dock0", "Dock5"] and names("Dock", kind="method") == []
 
 
 def test_verify(spark, texts):
@@ -134,12 +137,12 @@ def test_fusion_does_not_depend_on_the_order_of_arms(spark):
 
 
 def test_outline_and_expand(index, texts):
-    rows = retrieval.outline(index["symbols"], "src/billing/").collect()
-    assert [s.name for s in rows[0].symbols] == ["BillingPlan", "charge", "MAX_RETRY_MS"]
-    assert retrieval.outline(index["symbols"], "src/bill").count() == 0
-    span = index["file_chunks"].filter("path = 'src/webhooks/check.ts'").select(T.span_id(F.col("content_hash"), F.col("path"), F.col("start_line"), F.col("end_line")).alias("id"), "start_line").orderBy(F.desc("start_line")).first()
+    rows = retrieval.outline(index["symbols"], "d0/").orderBy("path").collect()
+    assert [(r.path, [s.name for s in r.symbols][:2]) for r in rows] == [("d0/part_0.ts", ["DRAFT_0", "BEAM_0"]), ("d0/part_7.go", ["Crane7", "Lift"])]
+    assert retrieval.outline(index["symbols"], "d0/part").count() == 0
+    span = index["file_chunks"].filter("path = 'd4/part_4.js'").select(T.span_id(F.col("content_hash"), F.col("path"), F.col("start_line"), F.col("end_line")).alias("id"), "start_line").orderBy(F.desc("start_line")).first()
     r = retrieval.expand(index["file_chunks"], texts, span.id, 1, 99).first()
-    assert r.path == "src/webhooks/check.ts" and r.start_line >= 1 and "verifySignature" in r.text
+    assert (r.path, r.start_line) == ("d4/part_4.js", span.start_line - 1) and r.text.startswith("\nfunction knot4_0")
     assert retrieval.expand(index["file_chunks"], texts, "sp_none").first() is None
 
 
