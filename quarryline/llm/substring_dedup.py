@@ -10,25 +10,29 @@ doc_id, or in the same document at an earlier word).
    block of its own document, and the other document's rolling window there
    is the same.  Index and probes meet by hash in owner tasks, packed as
    arrays of 32-bit fingerprints within hash ranges.
-2. Extension.  A hit is extended to the windows around it.  Their word
-   sequences are compared through 128-bit hashes (96 bits travel beyond the
-   range they are dealt by): in each hash class the earliest window stays and
-   the others are marked, so runs of marked windows are the maximal exact
-   repeats.
-3. Removal.  Marked windows go back to their documents.
-
-Each step first combines within a bounded stretch of text (``CHUNK_BYTES``):
-of equal windows there only the earliest moves on, so a passage that a third
-of all documents share travels once per stretch, and no step makes pairs.
-Texts move by groups of documents (a hash of doc_id); steps are cut by tables
-in the shared folder.
+2. Extension.  A hit is extended to the windows around it, and these meet in
+   the same way: only windows whose fingerprint comes twice go on.
+3. Comparison.  The words themselves decide.  Windows that go on travel as
+   stretches of text, to owners by the least block hash inside of them (so
+   neighbours travel together and equal windows meet).  Of each class of equal
+   word sequences the earliest window stays and the others are marked; runs of
+   marked windows are the maximal exact repeats.  Hashes only propose: no
+   collision of any of them can change a result.
+4. Removal.  Marked windows go back to their documents.
+
+Each step first combines within a bounded stretch of text (``CHUNK_BYTES``),
+and a task remembers what it lately sent: a passage that a third of all
+documents share travels once or twice for each task, and no step makes pairs.
+Texts move by groups of documents (a hash of doc_id), groups and hash ranges
+are made to hold about ``GROUP_BYTES`` of text each, and steps are cut by
+tables in the shared folder.
 
 Defined results: null and empty texts have no words and keep nothing (the
-empty string).  A null doc_id comes before every other.  Rows with the same
-doc_id are one document: equal windows at equal places in them do not remove
-each other, and a removal in one holds for all.  Texts shorter than a window
-lose nothing.  Very long texts are read whole.  Extra columns are left out;
-an empty table gives an empty result.
+empty string).  A null doc_id is taken as the least one, -2**63.  Rows with the
+same doc_id are one document: equal windows at equal places in them do not
+remove each other, and a removal in one holds for all.  Texts shorter than a
+window lose nothing.  Very long texts are read whole.  Extra columns are left
+out; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -43,6 +47,10 @@ from quarryline.llm.common import materialise, mix64, partition_keys, partitions
 
 #: Bytes of text that a task lays out at a time.
 CHUNK_BYTES = 1_000_000
+#: Bytes of text that a group of documents holds about.
+GROUP_BYTES = 32 << 20
+#: Stretches of text that a task remembers as sent.
+REMEMBERED = 100_000
 #: Rows of an Arrow batch that become Python objects at a time.
 SLICE = 128
 #: Marks or hits that an owner gathers before it passes them on.
@@ -94,6 +102,10 @@ class Layout:
             return np.zeros(0, dtype=np.int64)
         return np.flatnonzero(self.doc[: n - size + 1] == self.doc[size - 1 :])
 
+    def text(self, first: int, last: int) -> bytes:
+        """Words first to last of one document, with one space between them."""
+        return self.bytes[self.begin[first] : self.end[last]].tobytes()
+
     def hashes(self, at: np.ndarray, size: int, seed: int) -> np.ndarray:
         powers = _POWERS.setdefault(seed, Powers(seed))
         powers.reach(len(self.bytes))
@@ -202,42 +214,66 @@ def _chunks(batches: Iterator, chunk: int) -> Iterator[tuple[list[int], list[byt
         yield docs, texts
 
 
-# Step 1: anchors
+# Steps 1 and 2: fingerprints
+
+
+class _Recent:
+    """Hashes that a task has lately sent twice.  Windows with them are hits
+    already, so they need not be sent again; those whose owner may not know of
+    an anchor yet are sent all the same."""
+
+    def __init__(self, bits: int = 18):
+        self.shift = np.uint64(64 - bits)
+        self.hash, self.state = np.zeros(1 << bits, dtype=np.uint64), np.zeros(1 << bits, dtype=np.uint8)
+
+    def known(self, h: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+        slot = (h >> self.shift).astype(np.int64)
+        state = np.where(self.hash[slot] == h, self.state[slot], 0)
+        times, anchored = state & 3, state & 4
+        self.hash[slot], self.state[slot] = h, np.minimum(times + 1, 2) | anchored | anchor.astype(np.uint8) << 2
+        return (times == 2) & (~anchor | (anchored > 0))
+
+
+def _send(docs: list[int], layout: Layout, at: np.ndarray, size: int, indexed: np.ndarray, parts: np.ndarray, groups: np.ndarray, recent: _Recent, out: _Out) -> None:
+    """Fingerprints of windows to the owners of hash ranges, with a flag on
+    anchors; what repeats within this stretch or was sent twice is a hit."""
+    h = layout.hashes(at, size, 1)
+    order = np.argsort(h, kind="stable")
+    starts = _groups(h[order])
+    counts = np.diff(np.append(starts, len(order)))
+    anchor = np.logical_or.reduceat(indexed[order], starts)
+    first = order[starts]
+    known = recent.known(h[first], anchor)
+    shared = (counts > 1) | known
+    hits = at[order[np.repeat(shared, counts)]]
+    ids = np.array(docs, dtype=np.int64)
+    for g, a, b, c in _places(ids[layout.doc[hits]], hits - layout.first[layout.doc[hits]], groups):
+        out.add(-1 - g, 0, a, b, c)
+    first, anchor, shared = first[~known], anchor[~known], shared[~known]
+    part, index = _part(h[first], parts), at[first]
+    by = np.lexsort((index, part))
+    part, index, first = part[by], index[by], first[by]
+    flags = anchor[by].astype(np.int64) * 2 + ~shared[by]
+    prints = (h[first] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    table = _table(docs, layout)
+    cuts = np.append(_groups(part), len(part))
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        gaps = np.diff(index[a:b], prepend=0) << 2 | flags[a:b]
+        gaps = gaps.astype(np.uint16 if gaps.max() < 65_536 else np.uint32)
+        out.add(int(part[a]), gaps.itemsize, prints[a:b].tobytes(), gaps.tobytes(), table)
 
 
 def _probe(block: int, parts: np.ndarray, groups: np.ndarray, chunk: int):
-    """Fingerprints of all rolling windows, with a flag on index blocks."""
+    """All rolling windows of a block's length; blocks of the index are anchors."""
 
     def run(batches: Iterator) -> Iterator:
-        out = _Out()
+        out, recent = _Out(), _Recent()
         for docs, texts in _chunks(batches, chunk):
             layout = Layout(texts)
             at = layout.windows(block)
             if not len(at):
                 continue
-            h = layout.hashes(at, block, 1)
-            indexed = (at - layout.first[layout.doc[at]]) % block == 0
-            order = np.argsort(h, kind="stable")
-            starts = _groups(h[order])
-            counts = np.diff(np.append(starts, len(order)))
-            anchor = np.logical_or.reduceat(indexed[order], starts)
-            first, shared = order[starts], counts > 1
-            # Windows that repeat within this stretch are hits already.
-            hits = at[order[np.repeat(shared, counts)]]
-            ids = np.array(docs, dtype=np.int64)
-            for g, a, b, c in _places(ids[layout.doc[hits]], hits - layout.first[layout.doc[hits]], groups):
-                out.add(-1 - g, 0, a, b, c)
-            part, index = _part(h[first], parts), at[first]
-            by = np.lexsort((index, part))
-            part, index, first = part[by], index[by], first[by]
-            flags = anchor[by].astype(np.int64) * 2 + ~shared[by]
-            prints = (h[first] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-            table = _table(docs, layout)
-            cuts = np.append(_groups(part), len(part))
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                gaps = np.diff(index[a:b], prepend=0) << 2 | flags[a:b]
-                gaps = gaps.astype(np.uint16 if gaps.max() < 65_536 else np.uint32)
-                out.add(int(part[a]), gaps.itemsize, prints[a:b].tobytes(), gaps.tobytes(), table)
+            _send(docs, layout, at, block, (at - layout.first[layout.doc[at]]) % block == 0, parts, groups, recent, out)
             if out.full():
                 yield out.take()
         if out.rows:
@@ -313,12 +349,12 @@ def _match(groups: np.ndarray):
     return run
 
 
-# Steps 2 and 3: places meet their texts
+# Steps 2 to 4: places meet their texts
 
 
-def _with_texts(batches: Iterator) -> Iterator[tuple[int, bytes, list[np.ndarray]]]:
-    """Documents with the places that came for them; rows come sorted by group
-    of documents, places first."""
+def _with_texts(batches: Iterator) -> Iterator[tuple[int, int, bytes, bool, list[np.ndarray]]]:
+    """Group, id, text, whether the id is null, and the places that came for a
+    document.  Rows come sorted by group of documents, places first."""
     group, places = None, {}
     for batch in slices(batches, SLICE):
         for g, kind, doc, text, a, b, c in zip(*(x.to_pylist() for x in batch.columns), strict=True):
@@ -328,66 +364,195 @@ def _with_texts(batches: Iterator) -> Iterator[tuple[int, bytes, list[np.ndarray
                 for d, pos in _unplace(a, b, c):
                     places.setdefault(d, []).append(pos)
             else:
-                yield doc, text, places.get(doc, [])
+                yield g, doc, text, kind == 2, places.get(doc, [])
 
 
-def _extend(window: int, block: int, parts: np.ndarray, groups: np.ndarray, chunk: int):
-    """Windows around hits: mark repeats within a stretch, send on the rest."""
+def _stretches(batches: Iterator, chunk: int) -> Iterator[tuple[int, list[int], Layout, np.ndarray]]:
+    """Documents with places, some at a time: group, ids, layout, and a mark on
+    each word where a place is."""
 
-    def stretch(held, out):
-        held.sort(key=lambda x: x[0])
+    def laid():
         docs = [d for d, _, _ in held]
         layout = Layout([t for _, t, _ in held])
-        hit = np.zeros(len(layout.doc) + 1, dtype=np.int64)
+        mark = np.zeros(len(layout.doc), dtype=bool)
         for i, (_, _, places) in enumerate(held):
             for pos in places:
-                pos = pos[pos < layout.counts[i]]  # noqa: PLW2901
-                hit[layout.first[i] + pos + 1] = 1
-        sums = np.cumsum(hit)
-        at = layout.windows(window)
-        at = at[sums[at + window - block + 1] > sums[at]]
-        if not len(at):
-            return
-        h1, h2 = layout.hashes(at, window, 2), layout.hashes(at, window, 3)
-        ids = np.array(docs, dtype=np.int64)
-        order = np.lexsort((h2, h1))  # stable: earliest first within a class
-        starts = _groups(h1[order], h2[order])
-        counts = np.diff(np.append(starts, len(order)))
-        doc, pos = ids[layout.doc[at[order]]], at[order] - layout.first[layout.doc[at[order]]]
-        later = (doc != np.repeat(doc[starts], counts)) | (pos != np.repeat(pos[starts], counts))
-        for g, a, b, c in _places(doc[later], pos[later], groups):
-            out.add(-1 - g, 0, a, b, c)
-        first = order[starts]
-        part = _part(h1[first], parts)
-        by = np.argsort(part, kind="stable")
-        part, first = part[by], first[by]
-        table = _table(docs, layout)
-        cuts = np.append(_groups(part), len(part))
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            own = first[a:b]
-            out.add(int(part[a]), 1, h1[own].tobytes(), (h2[own] >> np.uint64(32)).astype(np.uint32).tobytes() + at[own].astype(np.uint32).tobytes(), table)
+                mark[layout.first[i] + pos[pos < layout.counts[i]]] = True
+        return group, docs, layout, mark
+
+    group, held, size = None, [], 0
+    for g, doc, text, _, places in _with_texts(batches):
+        if held and (g != group or size > chunk):
+            yield laid()
+            held, size = [], 0
+        group = g
+        if places:
+            held.append((doc, text, places))
+            size += len(text)
+    if held:
+        yield laid()
+
+
+def _extend(window: int, block: int, parts: np.ndarray, groups: np.ndarray, chunk: int):
+    """Windows around hits; each is an anchor, so any two that agree are hits."""
 
     def run(batches: Iterator) -> Iterator:
-        out, held, size = _Out(), [], 0
-        for doc, text, places in _with_texts(batches):
-            if places:
-                held.append((doc, text, places))
-                size += len(text)
-            if size > chunk:
-                stretch(held, out)
-                held, size = [], 0
-                if out.full():
-                    yield out.take()
-        if held:
-            stretch(held, out)
+        out, recent = _Out(), _Recent()
+        for _, docs, layout, mark in _stretches(batches, chunk):
+            sums = starts_of(mark)
+            at = layout.windows(window)
+            at = at[sums[at + window - block + 1] > sums[at]]
+            if len(at):
+                _send(docs, layout, at, window, np.ones(len(at), dtype=bool), parts, groups, recent, out)
+            if out.full():
+                yield out.take()
         if out.rows:
             yield out.take()
 
     return run
 
 
-def _classes(groups: np.ndarray):
-    """Owner of hash ranges: all but the earliest window of each class."""
+# Step 3: comparison
+
+
+def equal_before(layout: Layout, at: np.ndarray, size: int) -> np.ndarray:
+    """For each window (of words ``at``) the first of them with the same words.
+
+    Windows meet by hash; then their bytes are compared, in runs of neighbours
+    whose counterparts are neighbours too.  Where a hash lied, its class is
+    told apart by the bytes themselves.
+    """
+    h = layout.hashes(at, size, 2)
+    order = np.argsort(h, kind="stable")
+    starts = _groups(h[order])
+    same = np.arange(len(at))
+    same[order] = np.repeat(order[starts], np.diff(np.append(starts, len(order))))
+    later = np.flatnonzero(same != np.arange(len(at)))
+    if not len(later):
+        return same
+    a, b = at[later], at[same[later]]
+    cuts = np.append(np.flatnonzero(np.concatenate([[True], (np.diff(a) != 1) | (np.diff(b) != 1)])), len(a))
+    liars = set()
+    for x, y in zip(cuts[:-1].tolist(), (cuts[1:] - 1).tolist(), strict=True):
+        if layout.text(a[x], a[y] + size - 1) != layout.text(b[x], b[y] + size - 1):
+            liars.update(same[later[x : y + 1]].tolist())
+    if liars:
+        told: dict[bytes, int] = {}
+        for i in np.flatnonzero(np.isin(same, list(liars))).tolist():
+            same[i] = told.setdefault(layout.text(at[i], at[i] + size - 1), i)
+    return same
+
+
+def _least(values: np.ndarray, width: int) -> np.ndarray:
+    """The least of each ``width`` neighbours."""
+    done = 1
+    while done < width:
+        step = min(done, width - done)
+        values = np.minimum(values[:-step], values[step:])
+        done += step
+    return values
+
+
+def _compare_near(window: int, block: int, parts: np.ndarray, groups: np.ndarray, chunk: int):
+    """Windows that met their like: mark repeats within a stretch and within
+    the task, send the others' text to the owners."""
+
+    def run(batches: Iterator) -> Iterator:
+        out, sent, group = _Out(), {}, None
+        for g, docs, layout, mark in _stretches(batches, chunk):
+            if g != group:  # documents come in order within a group
+                group, sent = g, {}
+            at = layout.windows(window)
+            at = at[mark[at]]
+            if not len(at):
+                continue
+            ids = np.array(docs, dtype=np.int64)
+            doc, pos = ids[layout.doc[at]], at - layout.first[layout.doc[at]]
+            if len(set(docs)) < len(docs):
+                by = np.lexsort((pos, doc))
+                at, doc, pos = at[by], doc[by], pos[by]
+            same = equal_before(layout, at, window)
+            later = (doc != doc[same]) | (pos != pos[same])
+            gone_doc, gone_pos = [doc[later]], [pos[later]]
+            own = np.flatnonzero(same == np.arange(len(at)))
+            at, doc, pos = at[own], doc[own], pos[own]
+
+            every = np.full(len(layout.doc) + window, np.iinfo(np.uint64).max, dtype=np.uint64)
+            blocks = layout.windows(block)
+            every[blocks] = layout.hashes(blocks, block, 1)
+            least = _least(every, window - block + 1)[at]
+            new = np.concatenate([[True], (np.diff(at) != 1) | (least[1:] != least[:-1])])
+            cuts = np.append(np.flatnonzero(new), len(at))
+            part = _part(mix64(least[cuts[:-1]]), parts)
+            table = _table(docs, layout)
+            rows: dict[int, tuple[list, list]] = {}
+            for x, y, to in zip(cuts[:-1].tolist(), cuts[1:].tolist(), part.tolist(), strict=True):
+                text = layout.text(at[x], at[y - 1] + window - 1)
+                place = (int(doc[x]), int(pos[x]))
+                before = sent.get(text)
+                if before is not None and before < place:
+                    gone_doc.append(doc[x:y])
+                    gone_pos.append(pos[x:y])
+                    continue
+                if before is None:
+                    if len(sent) >= REMEMBERED:
+                        sent.clear()
+                    sent[text] = place
+                entries, texts = rows.setdefault(to, ([], []))
+                entries.append((int(at[x]), y - x, int(least[x])))
+                texts.append(text)
+            for to, (entries, texts) in rows.items():
+                first, count, key = zip(*entries, strict=True)
+                packed = np.array(key, dtype=np.uint64).tobytes() + np.array(first, dtype=np.uint32).tobytes() + np.array(count, dtype=np.uint32).tobytes()
+                out.add(to, 1, packed, b"\n".join(texts), table)
+            for place in _places(np.concatenate(gone_doc), np.concatenate(gone_pos), groups):
+                out.add(-1 - place[0], 0, *place[1:])
+            if out.full():
+                yield out.take()
+        if out.rows:
+            yield out.take()
+
+    return run
+
+
+def _compare_far(window: int, groups: np.ndarray, chunk: int):
+    """Owner of hash ranges: all but the earliest of equal windows.  Equal
+    stretches are one from the start; the others are laid out some at a time,
+    those with one least block hash together."""
+
+    def distinct(rows, found):
+        held: dict[bytes, tuple[int, int, int]] = {}
+        gone = []
+        for _, a, b, table in rows:
+            n = len(a) // 16
+            keys, index, counts = np.frombuffer(a, np.uint64, n), np.frombuffer(a, np.uint32, n, 8 * n), np.frombuffer(a, np.uint32, n, 12 * n)
+            docs, pos = _resolve(table, index.astype(np.int64))
+            for text, doc, p, count, key in zip(b.split(b"\n"), docs.tolist(), pos.tolist(), counts.tolist(), keys.tolist(), strict=True):
+                old = held.get(text)
+                if old is None or (doc, p) < old[1:]:
+                    held[text] = (key, doc, p)
+                    if old is None:
+                        continue
+                    doc, p = old[1:]  # noqa: PLW2901
+                if (doc, p) != held[text][1:]:
+                    gone.append((doc, p, count))
+        if gone:
+            doc, p, count = (np.array(x, dtype=np.int64) for x in zip(*gone, strict=True))
+            found.add(np.repeat(doc, count), np.repeat(p, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count))
+        return sorted((*place, text) for text, place in held.items())
+
+    def compared(stretches, found):
+        stretches.sort(key=lambda x: x[1:3])
+        layout = Layout([x[3] for x in stretches])
+        at = layout.windows(window)
+        doc = np.array([x[1] for x in stretches], dtype=np.int64)[layout.doc[at]]
+        pos = np.array([x[2] for x in stretches], dtype=np.int64)[layout.doc[at]] + at - layout.first[layout.doc[at]]
+        by = np.lexsort((pos, doc))
+        at, doc, pos = at[by], doc[by], pos[by]
+        same = equal_before(layout, at, window)
+        later = (doc != doc[same]) | (pos != pos[same])
+        if later.any():
+            found.add(doc[later], pos[later])
 
     def run(batches: Iterator) -> Iterator:
         found = _Gather(groups)
@@ -395,24 +560,24 @@ def _classes(groups: np.ndarray):
             if rows[0][0] == 0:
                 found.out.add(part, 0, *rows[0][1:])
             else:
-                h1 = np.concatenate([np.frombuffer(a, dtype=np.uint64) for _, a, _, _ in rows])
-                halves = [np.frombuffer(b, dtype=np.uint32).reshape(2, -1) for _, _, b, _ in rows]
-                h2 = np.concatenate([x[0] for x in halves])
-                places = [_resolve(table, x[1].astype(np.int64)) for (_, _, _, table), x in zip(rows, halves, strict=True)]
-                doc, pos = (np.concatenate(x) for x in zip(*places, strict=True))
-                order = np.lexsort((pos, doc, h2, h1))
-                starts = _groups(h1[order], h2[order])
-                counts = np.diff(np.append(starts, len(order)))
-                doc, pos = doc[order], pos[order]
-                later = (doc != np.repeat(doc[starts], counts)) | (pos != np.repeat(pos[starts], counts))
-                if later.any():
-                    found.add(doc[later], pos[later])
+                own, size = [], 0
+                for stretch in distinct(rows, found):
+                    if size > chunk and stretch[0] != own[-1][0]:
+                        compared(own, found)
+                        own, size = [], 0
+                        yield from found.take()
+                    own.append(stretch)
+                    size += len(stretch[3])
+                compared(own, found)
             yield from found.take()
         yield from found.take(last=True)
 
     return run
 
 
+# Step 4: removal
+
+
 def _remove(window: int):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -425,7 +590,7 @@ def _remove(window: int):
             return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_words", "n_removed", "kept", "removed"])
 
         rows, size = [], 0
-        for doc, text, places in _with_texts(batches):
+        for _, doc, text, unnamed, places in _with_texts(batches):
             words = text.split()
             n, spans, kept = len(words), [], words
             if places:
@@ -439,7 +604,7 @@ def _remove(window: int):
                 turns = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
                 spans = turns.tolist()
             joined = b" ".join(kept)
-            rows.append((doc, n, n - len(kept), joined, spans))
+            rows.append((None if unnamed else doc, n, n - len(kept), joined, spans))
             size += len(joined) + 100
             if size > 4 << 20:
                 yield batch_of(rows)
@@ -457,22 +622,27 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     if window < 2:
         raise ValueError("a window has at least two words")
     spark = docs.sparkSession
-    n = partitions(spark)
-    parts, groups, block = partition_keys(n, 2), partition_keys(n), window // 2
+    block = window // 2
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.when(F.col(id_col).isNull(), 2).otherwise(1).alias("kind"), text.cast("binary").alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(partitions(spark), -(-size // GROUP_BYTES))
+    parts, groups = partition_keys(n, 2), partition_keys(n)
     keys = F.split(F.lit(",".join(map(str, groups))), ",").cast("array<int>")
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
-    texts = rows.select(F.get(keys, F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")).alias("g"), F.lit(1).alias("kind"), "doc_id", "text", *(F.lit(None).cast("binary").alias(x) for x in "abc"))
+    texts = rows.select(F.get(keys, F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")).alias("g"), "kind", "doc_id", "text", *(F.lit(None).cast("binary").alias(x) for x in "abc"))
 
     def meet(places: DataFrame) -> DataFrame:
         places = places.select("g", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("binary").alias("text"), "a", "b", "c")
-        return places.unionByName(texts).repartition(n, "g").sortWithinPartitions("g", "kind", "doc_id")
+        return places.unionByName(texts).repartition(n, "g").sortWithinPartitions("g", F.col("kind") > 0, "doc_id")
 
     def owned(packed: DataFrame) -> DataFrame:
         return packed.repartition(n, "g").sortWithinPartitions("g")
 
-    probes = rows.mapInArrow(_probe(block, parts, groups, chunk_bytes), _PACKED)
+    probes = rows.select("doc_id", "text").mapInArrow(_probe(block, parts, groups, chunk_bytes), _PACKED)
     hits = materialise(owned(probes).mapInArrow(_match(groups), _PACKED), "substring-hits")
     windows = meet(hits).mapInArrow(_extend(window, block, parts, groups, chunk_bytes), _PACKED)
-    marks = materialise(owned(windows).mapInArrow(_classes(groups), _PACKED), "substring-marks")
+    met = materialise(owned(windows).mapInArrow(_match(groups), _PACKED), "substring-met")
+    stretches = meet(met).mapInArrow(_compare_near(window, block, parts, groups, chunk_bytes), _PACKED)
+    marks = materialise(owned(stretches).mapInArrow(_compare_far(window, groups, chunk_bytes), _PACKED), "substring-marks")
     out = meet(marks).mapInArrow(_remove(window), "doc_id long, n_words long, n_removed long, kept string, removed array<int>")
-    return out.withColumn("doc_id", F.when(F.col("doc_id") != NULL_ID, F.col("doc_id"))).withColumnRenamed("doc_id", id_col)
+    return out.withColumnRenamed("doc_id", id_col)

@@ -47,3 +47,54 @@ def test_empty(spark):
 def test_bad_window(spark):
     with pytest.raises(ValueError, match="two words"):
         substring_dedup.remove_repeats(spark.createDataFrame([], "doc_id long, text string"), window=1)
+
+
+def thue_morse(n, flip):
+    return "".join("ab"[(bin(i).count("1") + flip) & 1] for i in range(n))
+
+
+def test_texts_on_which_polynomial_hashes_collide(spark):
+    """A Thue-Morse word and its complement agree in every polynomial modulo
+    2**64, whatever its base."""
+    tail = " ".join(f"w{i}" for i in range(19))
+    rows = [(i, f"{thue_morse(1024, i % 2)} {tail}" + f" end{i}" * (i > 1)) for i in range(6)]
+    layout = substring_dedup.Layout([t.encode() for _, t in rows[:2]])
+    h = layout.hashes(layout.windows(20), 20, 1)
+    assert h[0] == h[1]  # else this tests nothing
+    for chunk in (1, 1 << 20):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        got = substring_dedup.remove_repeats(docs, chunk_bytes=chunk).collect()
+        assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept) for r in got), key=str) == brute(rows, 20)
+        assert {r.doc_id: r.n_removed for r in got}[1] == 0
+
+
+def test_classes_hold_where_every_hash_is_equal():
+    class Liar(substring_dedup.Layout):
+        def hashes(self, at, size, seed):
+            return super().hashes(at, size, seed) & 1
+
+    draw = random.Random(2)
+    texts = [" ".join(draw.choice("abc") for _ in range(30)).encode() for _ in range(20)]
+    layout = Liar(texts)
+    at = layout.windows(4)
+    words = [layout.text(i, i + 3) for i in at]
+    first = {}
+    for i, w in enumerate(words):
+        first.setdefault(w, i)
+    assert substring_dedup.equal_before(layout, at, 4).tolist() == [first[w] for w in words]
+
+
+@pytest.mark.parametrize("remembered", [1, 100_000])
+def test_a_passage_in_every_document(spark, monkeypatch, remembered):
+    """One hot passage at different places, a long text, and ids in no order."""
+    monkeypatch.setattr(substring_dedup, "REMEMBERED", remembered)
+    draw = random.Random(3)
+    passage = " ".join(f"p{i}" for i in range(55))
+    rows = [(draw.randrange(1 << 40) - (1 << 39), " ".join(f"u{d}_{i}" for i in range(draw.randint(0, 30))) + " " + passage + f" z{d}") for d in range(300)]
+    rows += [(7, " ".join(str(i % 997) for i in range(20_000))), (8, "long" * 100_000), (-(1 << 63), passage), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = substring_dedup.remove_repeats(docs, chunk_bytes=2000).collect()
+    named = [((substring_dedup.NULL_ID if r.doc_id is None else r.doc_id), r.n_words, r.n_removed, r.kept) for r in got]
+    want = [((substring_dedup.NULL_ID if d is None else d), *rest) for d, *rest in brute(rows, 20)]
+    assert sorted(named) == sorted(want)
+    assert sum(r.doc_id is None for r in got) == 1
