@@ -8,21 +8,26 @@ score stand as planes.  The best rows are then selected from the most
 significant plane downward, keeping the rows surely in and the rows still
 tied with the k-th; rows tied to the last bit are resolved exactly by id.
 
-Negative weights add the complement of an attribute; values are shifted to
-be non-negative; both only add a constant to all scores of a query, which is
-taken off again.
+A weight is written in signed digits of which few are not zero; a negative one
+adds the complement of an attribute.  Values are shifted to be non-negative.
+Both only add a constant to all scores of a query, which is taken off again.
+
+A block has as many planes as its own values need, whatever their width, and
+vectors of very different magnitude go to different blocks, so an outlier
+costs its own block alone.
 
 Work is dealt in pairs of one index block and one group of queries.  Both are
 of bounded size, so no task holds more than one of each, and each pair gives
 at most k rows a query.
 
 Defined results: vectors that are null or hold null or non-finite components,
-rows without an id, and vectors with a component of ``64 * x`` beyond 2**26
-take no part.  Shorter vectors count as padded with zeros.  Of rows that repeat a query's id one
-(the least vector) asks; rows with the query's id are its own and never
-candidates; rows that repeat another id are each a candidate.  Equal scores
-order by smaller id.  A table with fewer candidates than k gives them all; an
-empty one gives nothing.  Extra columns are left out.
+and rows without an id, take no part.  Shorter vectors count as padded with
+zeros.  Of rows that repeat a query's id one (the least vector) asks; rows with
+the query's id are its own and never candidates; rows that repeat another id
+are each a candidate.  Equal scores order by smaller id.  Components of any
+finite size are exact; a score in the result that no 64-bit integer holds is an
+error, never a wrong number.  A table with fewer candidates than k gives them
+all; an empty one gives nothing.  Extra columns are left out.
 """
 
 from __future__ import annotations
@@ -38,9 +43,10 @@ from quarryline.llm.common import materialise, partitions
 
 #: Rows of an index block, a multiple of 64.
 BLOCK_ROWS = 16_384
-#: Queries of a group.
-GROUP_QUERIES = 512
-LIMIT = 1 << 26
+#: Queries of a group: about as many bytes as a block of the index.
+GROUP_QUERIES = 4096
+#: Magnitudes of quantised components from which vectors go to other blocks.
+CLASSES = (1 << 10, 1 << 31)
 
 
 def _csa(a, b, c):
@@ -49,18 +55,33 @@ def _csa(a, b, c):
     return t ^ c, (a & b) | (t & c)
 
 
-def _reduce(addends: np.ndarray) -> np.ndarray:
-    """Addends (n, planes, words) to two, plane p weighing 2**p."""
+def _reduce(addends: np.ndarray, most: int) -> np.ndarray:
+    """Addends (n, planes, words) to two, plane p weighing 2**p.  Their sum is
+    at most ``most``, so no partial sum needs a plane beyond it."""
+    planes = max(1, most.bit_length())
     while len(addends) > 2:
         m = len(addends) // 3
         s, c = _csa(addends[:m], addends[m : 2 * m], addends[2 * m : 3 * m])
         left = addends[3 * m :]
-        out = np.zeros((2 * m + len(left), addends.shape[1] + 1, addends.shape[2]), dtype=np.uint64)
-        out[:m, :-1], out[m : 2 * m, 1:], out[2 * m :, :-1] = s, c, left
+        width = min(addends.shape[1] + 1, planes)
+        out = np.zeros((2 * m + len(left), width, addends.shape[2]), dtype=np.uint64)
+        own = min(width, addends.shape[1])
+        out[:m, :own], out[m : 2 * m, 1:], out[2 * m :, :own] = s[:, :own], c[:, : width - 1], left[:, :own]
         addends = out
     return addends
 
 
+def signed_digits(weights: np.ndarray) -> list[np.ndarray]:
+    """Digits -1, 0 and 1 of integers, from the lowest: no two neighbours of
+    one number are both set, so a third of them is set on average."""
+    out = []
+    while weights.any():
+        digit = np.where(weights & 1, 2 - (weights & 3), 0)
+        out.append(digit.astype(np.int8))
+        weights = (weights - digit) >> 1
+    return out
+
+
 class Block:
     """Bit planes (attributes, bits, words) of up to ``BLOCK_ROWS`` vectors,
     whose ids ascend."""
@@ -76,7 +97,7 @@ class Block:
     def pack(values: np.ndarray, low: int, bits: int) -> np.ndarray:
         n, dims = values.shape
         words = -(-n // 64)
-        shifted = np.zeros((words * 64, dims), dtype=np.int64)
+        shifted = np.zeros((words * 64, dims), dtype=np.int64 if bits < 63 else object)
         shifted[:n] = values - low
         out = np.empty((dims, bits, words), dtype=np.uint64)
         for b in range(bits):
@@ -85,25 +106,25 @@ class Block:
 
     def scores(self, query: np.ndarray) -> tuple[np.ndarray, int]:
         """Planes of all rows' scores, and the constant to add to them."""
-        dims, bits, words = self.planes.shape
-        weight = np.abs(query)
-        top = int(weight.max(initial=0)).bit_length()
+        _, bits, words = self.planes.shape
         full = (1 << bits) - 1
-        constant = self.low * int(query.sum()) - full * int(weight[query < 0].sum())
-        limit = max(1, int(weight.sum()) * full).bit_length() + 1
-        flip = np.where(query < 0, np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(0))[:, None, None]
+        constant, most = self.low * int(query.sum()), 0
         parts = []
-        for b in range(top):
-            own = np.flatnonzero(weight >> b & 1)
+        for b, digit in enumerate(signed_digits(query)):
+            own = np.flatnonzero(digit)
             if len(own):
-                parts.append((b, _reduce(self.planes[own] ^ flip[own])))
-        width = max([limit, *(b + p.shape[1] for b, p in parts)])
-        addends = np.zeros((sum(len(p) for _, p in parts), width, words), dtype=np.uint64)
+                flip = np.where(digit[own] < 0, np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(0))[:, None, None]
+                parts.append((b, _reduce(self.planes[own] ^ flip, len(own) * full)))
+                constant -= full * int((digit < 0).sum()) << b
+                most += len(own) * full << b
+        limit = max(1, most.bit_length())
+        addends = np.zeros((sum(len(p) for _, p in parts), limit, words), dtype=np.uint64)
         at = 0
         for b, p in parts:
-            addends[at : at + len(p), b : b + p.shape[1]] = p
+            width = min(p.shape[1], limit - b)
+            addends[at : at + len(p), b : b + width] = p[:, :width]
             at += len(p)
-        two = _reduce(addends)
+        two = _reduce(addends, most)
         if len(two) < 2:
             return (two[0] if len(two) else np.zeros((1, words), dtype=np.uint64)), constant
         total = np.empty((limit, words), dtype=np.uint64)
@@ -134,9 +155,10 @@ class Block:
         rows = self._rows(sure)
         rows = np.concatenate([rows, self._rows(tied)[: k - len(rows)]])  # equal scores: ids ascend with rows
         word, bit = rows >> 6, (rows & 63).astype(np.uint64)
-        scores = np.full(len(rows), constant, dtype=np.int64)
+        kind = np.int64 if max(len(planes), constant.bit_length()) < 62 else object
+        scores = np.full(len(rows), constant, dtype=kind)
         for p in range(len(planes)):
-            scores += (planes[p][word] >> bit & np.uint64(1)).astype(np.int64) << p
+            scores = scores + ((planes[p][word] >> bit & np.uint64(1)).astype(np.int64).astype(kind) << p)
         return self.ids[rows], scores
 
     @staticmethod
@@ -145,19 +167,34 @@ class Block:
 
 
 def quantised(rows: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
-    """``id`` and ``v``, the vector as integers floor(scale * x)."""
-    v = F.col(vector_col)
-    rows = rows.select(F.col(id_col).cast("long").alias("id"), F.transform(v, lambda x: F.lit(scale).cast("double") * x.cast("double")).alias("v"))
-    rows = rows.filter(F.col("id").isNotNull() & F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < LIMIT)))
-    return rows.select("id", F.transform("v", lambda x: F.floor(x).cast("int")).alias("v"))
-
-
-def _vectors(column, dims: int) -> np.ndarray:
-    lengths = np.diff(column.offsets.to_numpy())
-    flat = column.flatten().to_numpy(zero_copy_only=False)
+    """``id``, ``class`` (of magnitude) and the vector floor(scale * x): as
+    integers ``v``, or as doubles ``w`` where they do not fit."""
+    x = F.col(vector_col)
+    rows = rows.select(F.col(id_col).cast("long").alias("id"), F.transform(x, lambda x: x.cast("double")).alias("x"))
+    rows = rows.filter(F.col("id").isNotNull() & F.col("x").isNotNull() & F.forall("x", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
+    floor = F.transform("x", lambda x: F.floor(F.lit(scale).cast("double") * x))
+    top = F.coalesce(F.array_max(F.transform("x", lambda x: F.abs(F.lit(scale).cast("double") * x))), F.lit(0.0)) + 1
+    kind = F.when(top < CLASSES[0], 0).when(top < CLASSES[1], 1).otherwise(2)
+    wide = F.transform("x", lambda x: F.lit(scale).cast("double") * x)  # beyond 2**31 Python takes the floor
+    return rows.select("id", kind.alias("class"), F.when(kind < 2, F.transform(floor, lambda y: y.cast("int"))).alias("v"), F.when(kind == 2, wide).alias("w"))
+
+
+def _exact(column) -> list[list[int]]:
+    return [[math.floor(x) for x in row] for row in column.to_pylist()]
+
+
+def _matrix(narrow, wide, dims: int) -> np.ndarray:
+    """Vectors of one kind as rows, padded with zeros."""
+    if wide.null_count < len(wide):
+        out = np.zeros((len(wide), dims), dtype=object)
+        for i, row in enumerate(_exact(wide)):
+            out[i, : len(row)] = row
+        return out
+    lengths = np.diff(narrow.offsets.to_numpy())
+    flat = narrow.flatten().to_numpy(zero_copy_only=False)
     if len(lengths) and (lengths == dims).all():
-        return flat.reshape(-1, dims)
-    out = np.zeros((len(lengths), dims), dtype=np.int32)
+        return flat.reshape(-1, dims).astype(np.int64)
+    out = np.zeros((len(lengths), dims), dtype=np.int64)
     at = 0
     for i, n in enumerate(lengths):
         out[i, :n] = flat[at : at + n]
@@ -165,28 +202,35 @@ def _vectors(column, dims: int) -> np.ndarray:
     return out
 
 
-def _index(dims: int, low: int, bits: int):
+_INDEX = "block int, low string, bits int, ids binary, data binary"
+
+
+def _index(dims: int):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         def row(block, ids, values):
             ids, values = np.concatenate(ids), np.concatenate(values)
-            return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([ids.tobytes()], pa.binary()), pa.array([Block.pack(values, low, bits).tobytes()], pa.binary())], names=["block", "ids", "data"])
+            low, high = min(0, int(values.min(initial=0))), max(0, int(values.max(initial=0)))
+            bits = max(1, (high - low).bit_length())
+            data = Block.pack(values, low, bits).tobytes()
+            types = (pa.int32(), pa.string(), pa.int32(), pa.binary(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((block, str(low), bits, ids.tobytes(), data), types, strict=True)], names=["block", "low", "bits", "ids", "data"])
 
         at, ids, values, n = None, [], [], 0
         for batch in batches:
-            blocks = batch.column(0).to_numpy()
-            vectors = _vectors(batch.column(2), dims)
-            own = batch.column(1).to_numpy()
+            blocks, own = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             cuts = [0, *(np.flatnonzero(np.diff(blocks)) + 1), len(blocks)]
             for a, b in zip(cuts, cuts[1:], strict=False):
+                vectors = _matrix(batch.column(2).slice(a, b - a), batch.column(3).slice(a, b - a), dims) if b > a else None
+                first = a
                 while a < b:
                     if n and (blocks[a] != at or n == BLOCK_ROWS):
                         yield row(at, ids, values)
                         ids, values, n = [], [], 0
                     at, end = int(blocks[a]), min(b, a + BLOCK_ROWS - n)
                     ids.append(own[a:end])
-                    values.append(vectors[a:end])
+                    values.append(vectors[a - first : end - first])
                     n += end - a
                     a = end
         if n:
@@ -195,7 +239,7 @@ def _index(dims: int, low: int, bits: int):
     return run
 
 
-def _search(dims: int, low: int, bits: int, k: int):
+def _search(dims: int, k: int):
     """Units sorted by (block, group), index rows before queries."""
 
     def run(batches: Iterator) -> Iterator:
@@ -204,19 +248,19 @@ def _search(dims: int, low: int, bits: int, k: int):
         unit, blocks = None, []
         for batch in batches:
             out: list[tuple] = []
-            for block, group, kind, qid, ids, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for block, group, kind, qid, low, bits, ids, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (block, group) != unit:
                     unit, blocks = (block, group), []
                 if kind == 0:
                     rows = np.frombuffer(ids, dtype=np.int64)
-                    blocks.append(Block(rows, np.frombuffer(data, dtype=np.uint64).reshape(dims, bits, -1), low))
+                    blocks.append(Block(rows, np.frombuffer(data, dtype=np.uint64).reshape(dims, bits, -1), int(low)))
                 else:
-                    query = np.frombuffer(data, dtype=np.int32).astype(np.int64)
+                    query = np.frombuffer(data, dtype=np.int32).astype(np.int64) if bits == 0 else np.array([math.floor(x) for x in np.frombuffer(data, dtype=np.float64).tolist()], dtype=object)
                     for b in blocks:
                         found, scores = b.top(qid, query, k)
                         out.append((np.full(len(found), qid, dtype=np.int64), found, scores))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["query_id", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*out, strict=True)], names=["query_id", "vec_id", "score"])
 
     return run
 
@@ -225,9 +269,15 @@ def _query_rows(dims: int):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        def padded(row, kind):
+            out = np.zeros(dims, dtype=kind)
+            out[: len(row)] = row
+            return out.tobytes()
+
         for batch in batches:
-            vectors = np.ascontiguousarray(_vectors(batch.column(1), dims), dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([v.tobytes() for v in vectors], pa.binary())], names=["id", "data"])
+            narrow, wide = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            data = [padded(v, np.int32) if v is not None else padded(w, np.float64) for v, w in zip(narrow, wide, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([int(v is None) for v in narrow], pa.int32()), pa.array(data, pa.binary())], names=["id", "bits", "data"])
 
     return run
 
@@ -237,24 +287,33 @@ def search(rows: DataFrame, is_query: Column, *, id_col: str = "vec_id", vector_
     k best rows.  ``is_query`` is a condition on the column ``id``."""
     spark = rows.sparkSession
     vectors = materialise(quantised(rows, id_col, vector_col, scale), "topk-vectors")
-    asking = materialise(vectors.filter(is_query).groupBy("id").agg(F.min("v").alias("v")), "topk-queries")
-    n, low, high, dims = vectors.agg(F.count("*"), F.min(F.array_min("v")), F.max(F.array_max("v")), F.max(F.size("v"))).first()
-    queries = asking.count()
-    low, high, dims = min(low or 0, 0), max(high or 0, 0), max(dims or 1, 1)
-    bits = max(1, (high - low).bit_length())
-    blocks, groups = max(1, math.ceil(n / BLOCK_ROWS)), max(1, math.ceil(queries / GROUP_QUERIES))
-
-    dealt = vectors.select(F.pmod(F.monotonically_increasing_id(), F.lit(blocks)).cast("int").alias("block"), "id", "v")
+    asking = vectors.filter(is_query).groupBy("id").agg(F.min(F.struct(F.coalesce(F.transform("v", lambda x: x.cast("double")), "w"), "v", "w")).alias("q"))
+    asking = materialise(asking.select("id", "q.v", "q.w"), "topk-queries")
+    shape = vectors.groupBy("class").agg(F.count("*").alias("n"), F.max(F.size(F.coalesce(F.transform("v", lambda x: x.cast("double")), "w"))).alias("dims")).collect()  # three rows at most
+    dims = max([1, *(r.dims for r in shape)])
+    first, blocks, bounds = {}, 0, []
+    for r in sorted(shape, key=lambda r: r["class"]):
+        first[r["class"]] = blocks
+        bounds.append((r["class"], blocks, math.ceil(r.n / BLOCK_ROWS)))
+        blocks += bounds[-1][2]
+    blocks = max(1, blocks)
+    tasks = 2 * partitions(spark)
+    groups = max(1, math.ceil(asking.count() / GROUP_QUERIES), math.ceil(tasks / blocks))
+
+    turn, block = F.monotonically_increasing_id(), F.lit(0)
+    for kind, start, n in bounds:
+        block = F.when(F.col("class") == kind, F.lit(start) + F.pmod(turn, F.lit(n))).otherwise(block)
+    dealt = vectors.select(block.cast("int").alias("block"), "id", "v", "w")
     dealt = dealt.repartition(min(blocks, 8 * partitions(spark)), "block").sortWithinPartitions("block", "id")
-    index = materialise(dealt.mapInArrow(_index(dims, low, bits), "block int, ids binary, data binary"), "topk-index")
-    packed = asking.mapInArrow(_query_rows(dims), "id long, data binary")
+    index = materialise(dealt.mapInArrow(_index(dims), _INDEX), "topk-index")
+    packed = asking.mapInArrow(_query_rows(dims), "id long, bits int, data binary")
     packed = packed.withColumn("group", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int"))
 
     each_group, each_block = F.sequence(F.lit(0), F.lit(groups - 1)), F.sequence(F.lit(0), F.lit(blocks - 1))
-    work = index.select("block", F.explode(each_group).alias("group"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("qid"), "ids", "data")
-    work = work.unionByName(packed.select(F.explode(each_block).alias("block"), "group", F.lit(1).alias("kind"), F.col("id").alias("qid"), F.lit(None).cast("binary").alias("ids"), "data"))
-    tasks = max(partitions(spark), min(2 * blocks * groups, 4096))
-    work = work.repartition(tasks, "block", "group").sortWithinPartitions("block", "group", "kind")
-    best = work.mapInArrow(_search(dims, low, bits, k), "query_id long, vec_id long, score long")
+    null = F.lit(None)
+    work = index.select("block", F.explode(each_group).alias("group"), F.lit(0).alias("kind"), null.cast("long").alias("qid"), "low", "bits", "ids", "data")
+    work = work.unionByName(packed.select(F.explode(each_block).alias("block"), "group", F.lit(1).alias("kind"), F.col("id").alias("qid"), null.cast("string").alias("low"), "bits", null.cast("binary").alias("ids"), "data"))
+    work = work.repartition(max(partitions(spark), min(2 * blocks * groups, 4096)), "block", "group").sortWithinPartitions("block", "group", "kind")
+    best = work.mapInArrow(_search(dims, k), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -61,3 +61,27 @@ def test_block_scores_are_exact():
 def test_empty(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert topk_search.search(df, F.col("id") % 10 == 0).count() == 0
+
+
+def test_components_of_any_size(spark):
+    """Outliers take part exactly; a score beyond 64 bits is an error."""
+    draw = random.Random(4)
+    rows = [(i, [draw.uniform(-1, 1) for _ in range(4)]) for i in range(60)]
+    rows += [(100, [2e6, 0.0, -1.0, 0.5]), (101, [-(2.0**24), 3.0, 0.0, 0.0]), (110, [0.0, 2.0**30, 1.0, 0.25]), (102, [2.0**-3, 0.0, 0.0, 2.0**40 + 0.25]), (120, [1.5, 0.0, 2.0**36 + 0.5, 0.0]), (103, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(2)
+    got = topk_search.search(df, F.col("id") % 10 == 0, k=9)
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got.collect()) == brute(rows, lambda i: i % 10 == 0, 9)
+    huge = spark.createDataFrame([(0, [1e30]), (1, [1e30])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="(?i)overflow|too large|too big|out of bounds|convert"):
+        topk_search.search(huge, F.col("id") == 0).collect()
+
+
+def test_signed_digits():
+    import numpy as np
+
+    for kind, most in ((np.int64, 1000), (object, 1 << 80)):
+        draw = random.Random(5)
+        w = np.array([draw.randint(-most, most) for _ in range(50)] + [0, 1, -1], dtype=kind)
+        digits = topk_search.signed_digits(w)
+        assert [sum(int(d[i]) << b for b, d in enumerate(digits)) for i in range(len(w))] == w.tolist()
+        assert all(not (a & b).any() for a, b in zip(digits, digits[1:], strict=False))
