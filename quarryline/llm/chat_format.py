@@ -10,7 +10,9 @@ are plain content.
   earliest answers it.
 * Order is topological: a call comes after the calls whose identifier its
   arguments name as ``{"$ref": id}``, and a result after its call.  Levels are
-  found in rounds over the call table; calls on a cycle get no level.
+  found in rounds from the calls that wait for none: each round follows the
+  edges out of its frontier, until a frontier is empty.  Calls without a level
+  then stand on a cycle or wait for one, however long the chains are.
 * Arguments are checked against each tool's schema.
 * Each message becomes one line of canonical JSON: keys sorted, no spaces,
   empty fields left out, arguments likewise.
@@ -24,18 +26,21 @@ formatted each; of exactly repeated calls the identifier links all rows of
 that call's turn.  ``issues`` names what is wrong, in alphabetical order and
 joined by commas: ``bad_arguments``, ``cyclic_call``, ``repeated_call``,
 ``repeated_result``, ``unanswered_call``, ``unknown_call`` (a result without a
-call), ``unknown_tool``.  Extra columns are left out; an empty table gives an
-empty result.
+call), ``unknown_tool``.  White space around a JSON object does not matter; a
+text that is no JSON object of this form, however long, is plain content, and
+very long texts stay whole in their line.  Equal turns order by position in the
+message.  Extra columns are left out; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import materialise
+from quarryline.llm.common import materialise, partitions
 
 #: Tool name to parameters: name to (type, required).  Types: string, integer,
 #: number, boolean, object, array.
@@ -66,35 +71,51 @@ def _valid(name: Column, arguments: Column, schemas: Schemas) -> Column:
     return ok
 
 
-def _levels(calls: DataFrame, max_rounds: int) -> DataFrame:
-    """``conv_id``, ``call_id`` and ``level`` of calls that depend on others.
-
-    Each round gives a level to the calls whose dependencies all have one.
-    """
+def _levels(calls: DataFrame) -> DataFrame:
+    """``conv_id``, ``call_id`` and ``level`` (null on cycles) of the calls that
+    depend on others."""
     found = F.regexp_extract_all(F.col("arguments"), F.lit(r'\{\s*"\$ref"\s*:\s*"([^"\\]*)"\s*\}'), 1)
     edges = calls.select("conv_id", "call_id", F.explode(F.array_distinct(found)).alias("on_id"))
     known = calls.select(F.col("conv_id").alias("c"), F.col("call_id").alias("i"))
     edges = materialise(edges.join(known, (F.col("conv_id") == F.col("c")) & (F.col("on_id") == F.col("i"))).select("conv_id", "call_id", "on_id"), "chat-edges")
-    heads = edges.select("conv_id", "call_id").distinct()
-    free = edges.select("conv_id", F.col("on_id").alias("call_id")).distinct().join(heads, ["conv_id", "call_id"], "left_anti")
-    done = materialise(free.withColumn("level", F.lit(0)), "chat-levels")
-    for _ in range(max_rounds):
-        level = done.select(F.col("conv_id").alias("c"), F.col("call_id").alias("i"), "level")
-        new = edges.join(done, ["conv_id", "call_id"], "left_anti")
-        new = new.join(level, (F.col("conv_id") == F.col("c")) & (F.col("on_id") == F.col("i")), "left")
-        new = new.groupBy("conv_id", "call_id").agg(F.max("level").alias("high"), F.count(F.when(F.col("level").isNull(), 1)).alias("open"))
-        new = materialise(new.filter("open = 0").select("conv_id", "call_id", (F.col("high") + 1).alias("level")), "chat-levels")
-        if new.isEmpty():
+    keys = ["conv_id", "call_id"]
+    need = materialise(edges.groupBy(*keys).agg(F.count("*").alias("need")), "chat-need")
+    frontier = edges.select("conv_id", F.col("on_id").alias("call_id")).distinct().join(need, keys, "left_anti")
+    level, done, waiting = 0, [], None
+    while True:
+        # Calls that the frontier frees a dependency of, with those freed before.
+        touched = edges.join(frontier.withColumnRenamed("call_id", "on_id"), ["conv_id", "on_id"]).groupBy(*keys).agg(F.count("*").alias("got"))
+        if waiting is not None:
+            touched = touched.unionByName(waiting).groupBy(*keys).agg(F.sum("got").alias("got"))
+        level += 1
+        touched = materialise(touched.join(need, keys), "chat-touched")
+        frontier, waiting = touched.filter("got = need").select(*keys), touched.filter("got < need").select(*keys, "got")
+        if frontier.isEmpty():
             break
-        done = materialise(done.unionByName(new), "chat-levels")
-    return heads.join(done, ["conv_id", "call_id"], "left")
+        done.append(frontier.withColumn("level", F.lit(level)))
+        if len(done) == 32:
+            done = [materialise(reduce(DataFrame.unionByName, done), "chat-levels")]
+    levels = need.select(*keys)
+    if not done:
+        return levels.withColumn("level", F.lit(None).cast("int"))
+    return levels.join(reduce(DataFrame.unionByName, done), keys, "left")
+
+
+#: Rows of a join's smaller side that each partition may hash.
+HASHED_ROWS = 1_000_000
+
+
+def _hashed(table: DataFrame) -> DataFrame:
+    """A stored table as the hashed side of a join, if its parts fit."""
+    fits = table.count() <= HASHED_ROWS * partitions(table.sparkSession)
+    return table.hint("shuffle_hash") if fits else table
 
 
-def format_chats(messages: DataFrame, schemas: Schemas | None = None, *, max_rounds: int = 1000) -> DataFrame:
+def format_chats(messages: DataFrame, schemas: Schemas | None = None) -> DataFrame:
     """One row for each message: ``conv_id``, ``turn``, ``role``, ``order_turn``,
     ``level``, ``n_calls``, ``n_linked``, ``issues`` and ``json``."""
     schemas = schemas or {}
-    parsed = F.when(F.col("text").startswith("{"), F.from_json("text", _MESSAGE))
+    parsed = F.when(F.col("text").rlike(r"^[ \t\r\n]*\{"), F.from_json("text", _MESSAGE))
     structured = F.col("m.content").isNotNull() | F.col("m.tool_call_id").isNotNull() | F.col("m.tool_calls").isNotNull()
     rows = messages.select(F.col("conv_id"), F.col("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
     rows = rows.withColumn("m", parsed).withColumn("m", F.when(structured, F.col("m")))
@@ -108,14 +129,15 @@ def format_chats(messages: DataFrame, schemas: Schemas | None = None, *, max_rou
         calls = materialise(calls, "chat-calls")
         first = calls.filter("conv_id is not null and call_id is not null").groupBy("conv_id", "call_id").agg(F.min_by(F.struct("turn", "n", "arguments"), F.struct("turn", "n")).alias("f"))
         first = materialise(first.select("conv_id", "call_id", F.col("f.turn").alias("call_turn"), F.col("f.n").alias("call_n"), F.col("f.arguments").alias("arguments")), "chat-first")
-        levels = materialise(_levels(first, max_rounds), "chat-order")
+        levels = materialise(_levels(first), "chat-order")
         results = rows.filter("m.tool_call_id is not null").select("row", "conv_id", "turn", F.col("m.tool_call_id").alias("call_id"))
-        answer = results.groupBy("conv_id", "call_id").agg(F.min("turn").alias("result_turn"))
-        linked = first.drop("arguments").join(answer.hint("shuffle_hash"), ["conv_id", "call_id"], "left").join(levels.withColumn("ordered", F.lit(True)), ["conv_id", "call_id"], "left")
+        answer = materialise(results.groupBy("conv_id", "call_id").agg(F.min("turn").alias("result_turn")), "chat-answers")
+        linked = first.drop("arguments").join(_hashed(answer), ["conv_id", "call_id"], "left").join(levels.withColumn("ordered", F.lit(True)), ["conv_id", "call_id"], "left")
         linked = materialise(linked, "chat-linked")
 
         keys = ["conv_id", "call_id"]
-        asked = calls.join(linked.hint("shuffle_hash"), keys, "left")
+        linked = _hashed(linked)
+        asked = calls.join(linked, keys, "left")
         valid = _valid(F.col("name"), F.col("arguments"), schemas)
         original = F.coalesce((F.col("turn") == F.col("call_turn")) & (F.col("n") == F.col("call_n")), F.lit(False))
         cyclic = F.col("ordered").isNotNull() & F.col("level").isNull()
@@ -130,7 +152,7 @@ def format_chats(messages: DataFrame, schemas: Schemas | None = None, *, max_rou
                 F.when(~original, F.lit("repeated_call")), F.when(original & F.col("result_turn").isNull(), F.lit("unanswered_call")),
             )).alias("issues"),
         )
-        answered = results.join(linked.hint("shuffle_hash"), keys, "left").select(
+        answered = results.join(linked, keys, "left").select(
             "row",
             F.lit(None).cast("struct<n int, call_id string, name string, arguments string>").alias("call"),
             (F.coalesce("level", F.lit(0)) + 1).alias("level"),

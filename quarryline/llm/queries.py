@@ -134,15 +134,54 @@ TOOL_SCHEMAS = {
 }
 
 
+def tool_dialogues(conversations: DataFrame) -> DataFrame:
+    """Conversations as dialogues with tools.  Each user turn calls a tool,
+    in turn one of four (the last is unknown, the third gets a bad argument),
+    and refers to the call of the turn at half its number; the assistant turn
+    after it is the result.  Other turns stay plain."""
+    turn, text = F.col("turn"), F.col("text")
+    at = (turn % 4).cast("int")
+    name = F.element_at(F.array(*map(F.lit, ("search", "calculate", "fetch", "translate"))), at + 1)
+    arguments = F.struct(
+        F.when(at == 0, text).alias("query"), F.when(at == 0, turn).alias("limit"), F.when(at == 1, text).alias("expression"), F.when(at == 2, turn).alias("url"), F.when(at == 3, text).alias("text"),
+        F.when(turn > 0, F.struct(F.concat(F.lit("t"), F.floor(turn / 2)).alias("$ref"))).alias("after"),
+    )
+    call = F.struct(F.concat(F.lit("t"), turn).alias("id"), name.alias("name"), arguments.alias("arguments"))
+    asks = F.to_json(F.struct(text.alias("content"), F.array(call).alias("tool_calls")))
+    answers = F.to_json(F.struct(text.alias("content"), F.concat(F.lit("t"), turn - 1).alias("tool_call_id")))
+    return conversations.select("conv_id", "turn", "role", F.when(F.col("role") == "user", asks).when(F.col("role") == "assistant", answers).otherwise(text).alias("text"))
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat_format.format_chats(read(spark, sf_dir, "conversations"), TOOL_SCHEMAS)
+    return chat_format.format_chats(tool_dialogues(read(spark, sf_dir, "conversations")), TOOL_SCHEMAS)
 
 
-#: For messages in plain text, as all of ``conversations`` are.
 OP7_SQL = """
-SELECT conv_id, turn, role, turn AS order_turn, 0 AS level, 0 AS n_calls, 0::BIGINT AS n_linked, '' AS issues,
-       json_object('content', text, 'conv_id', conv_id, 'role', role, 'turn', turn)::VARCHAR AS json
-FROM conversations
+WITH RECURSIVE calls AS (
+    SELECT conv_id, turn, text, turn % 4 AS tool, turn // 2 AS parent FROM conversations WHERE role = 'user'
+), edges AS (
+    SELECT c.conv_id, c.turn, c.parent FROM calls c JOIN calls p ON p.conv_id = c.conv_id AND p.turn = c.parent AND c.turn > 0
+), levels AS (
+    SELECT conv_id, turn, 0 AS level FROM calls WHERE (conv_id, turn) NOT IN (SELECT (conv_id, turn) FROM edges)
+    UNION ALL
+    SELECT e.conv_id, e.turn, l.level + 1 FROM edges e JOIN levels l ON l.conv_id = e.conv_id AND l.turn = e.parent
+), asked AS (
+    SELECT c.*, l.level, EXISTS (SELECT 1 FROM conversations r WHERE r.role = 'assistant' AND r.conv_id = c.conv_id AND r.turn = c.turn + 1) AS answered,
+           ['search', 'calculate', 'fetch', 'translate'][tool + 1] AS name,
+           CASE WHEN c.turn > 0 THEN '{"after":' || json_object('$ref', 't' || parent)::VARCHAR || ',' ELSE '{' END
+           || substr((CASE tool WHEN 0 THEN json_object('limit', c.turn, 'query', text) WHEN 1 THEN json_object('expression', text) WHEN 2 THEN json_object('url', c.turn) ELSE json_object('text', text) END)::VARCHAR, 2) AS arguments
+    FROM calls c JOIN levels l ON l.conv_id = c.conv_id AND l.turn = c.turn
+)
+SELECT m.conv_id, m.turn, m.role, m.turn AS order_turn, coalesce(a.level, b.level + 1, CASE WHEN m.role = 'assistant' THEN 1 ELSE 0 END)::INTEGER AS level,
+       CASE WHEN m.role = 'user' THEN 1 ELSE 0 END AS n_calls, (coalesce(a.answered, false) OR b.turn IS NOT NULL)::BIGINT AS n_linked,
+       CASE WHEN m.role = 'user' THEN array_to_string([x FOR x IN [CASE WHEN a.tool = 2 THEN 'bad_arguments' END, CASE WHEN NOT a.answered THEN 'unanswered_call' END, CASE WHEN a.tool = 3 THEN 'unknown_tool' END] IF x IS NOT NULL], ',')
+            WHEN m.role = 'assistant' AND b.turn IS NULL THEN 'unknown_call' ELSE '' END AS issues,
+       (CASE WHEN m.role = 'user' THEN json_object('content', m.text, 'conv_id', m.conv_id, 'role', m.role, 'tool_calls', [{'arguments': a.arguments, 'id': 't' || m.turn, 'name': a.name}], 'turn', m.turn)
+             WHEN m.role = 'assistant' THEN json_object('content', m.text, 'conv_id', m.conv_id, 'role', m.role, 'tool_call_id', 't' || (m.turn - 1), 'turn', m.turn)
+             ELSE json_object('content', m.text, 'conv_id', m.conv_id, 'role', m.role, 'turn', m.turn) END)::VARCHAR AS json
+FROM conversations m
+LEFT JOIN asked a ON m.role = 'user' AND a.conv_id = m.conv_id AND a.turn = m.turn
+LEFT JOIN asked b ON m.role = 'assistant' AND b.conv_id = m.conv_id AND b.turn = m.turn - 1
 """
 
 

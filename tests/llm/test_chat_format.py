@@ -1,4 +1,5 @@
 import json
+import random
 
 from quarryline.llm.chat_format import format_chats
 from quarryline.llm.queries import TOOL_SCHEMAS
@@ -56,10 +57,38 @@ def test_linking_order_validation_and_lines(spark):
         assert r.json == json.dumps(json.loads(r.json), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
 
-def test_long_dependency_chain(spark):
-    calls = [call(f"c{i}", "calculate", {"expression": {"$ref": f"c{i - 1}"}} if i else {"expression": "1"}) for i in range(5)]
+def chained(n, after):
+    return [call(f"c{i}", "calculate", {"expression": [{"$ref": f"c{k}"} for k in after(i)]} if after(i) else {"expression": "1"}) for i in range(n)]
+
+
+def levels(spark, calls):
     df = spark.createDataFrame([(1, i, "assistant", message(tool_calls=[c])) for i, c in enumerate(calls)], "conv_id long, turn long, role string, text string")
-    assert sorted((r.turn, r.level) for r in format_chats(df, TOOL_SCHEMAS).collect()) == [(i, i) for i in range(5)]
+    return {r.turn: (r.level, "cyclic_call" in r.issues) for r in format_chats(df, TOOL_SCHEMAS).collect()}
+
+
+def test_levels_are_longest_paths(spark):
+    draw = random.Random(0)
+    edges = {i: sorted(draw.sample(range(i), min(i, draw.randint(0, 3)))) for i in range(30)}
+    want = {}
+    for i in range(30):
+        want[i] = (max((want[k][0] + 1 for k in edges[i]), default=0), False)
+    assert levels(spark, chained(30, edges.get)) == want
+
+
+def test_chains_have_no_bound_and_cycles_hold_what_waits_for_them(spark):
+    n = 40  # more rounds than are kept apart
+    got = levels(spark, chained(n, lambda i: [i - 1] if 0 < i < n - 3 else [n - 2] if i == n - 3 else [n - 3] if i == n - 2 else [n - 2] if i == n - 1 else []))
+    assert got == {**{i: (i, False) for i in range(n - 3)}, n - 3: (0, True), n - 2: (0, True), n - 1: (0, True)}
+
+
+def test_white_space_and_very_long_texts(spark):
+    long = "x" * 2_000_000
+    rows = [(1, 0, "assistant", " \n\t" + message(content=long, tool_calls=[call("a", "calculate", {"expression": "y" * 1_000_000})]) + "\n"), (1, 1, "tool", " " + message(tool_call_id="a")), (1, 2, "user", long)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r.turn: r for r in format_chats(df, TOOL_SCHEMAS).collect()}
+    assert (got[0].n_calls, got[0].n_linked, got[0].issues, got[1].n_linked) == (1, 1, "", 1)
+    assert json.loads(got[0].json)["content"] == long == json.loads(got[2].json)["content"]
+    assert len(json.loads(json.loads(got[0].json)["tool_calls"][0]["arguments"])["expression"]) == 1_000_000
 
 
 def test_empty(spark):
