@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -23,11 +26,14 @@ _CHECKPOINT_DIR = "spark.checkpoint.dir"
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is read from ``spark.checkpoint.dir``.  Only where nobody set one (a
-    single-machine session, as in tests) a temporary folder is made.
+    It is read from ``spark.checkpoint.dir``.  Where nobody set one, a session
+    on a single machine (as in tests) gets a temporary folder; on a cluster that
+    is an error, as no other machine would see that folder.
     """
     root = spark.sparkContext.getConf().get(_CHECKPOINT_DIR) or spark.conf.get(_CHECKPOINT_DIR, None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="quarryline-")
         spark.conf.set(_CHECKPOINT_DIR, root)
     return root.rstrip("/")
@@ -42,15 +48,33 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_root(spark)}/quarryline/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
-    try:
+    with _cleaned(spark):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_LOCK = threading.Lock()
+_WRITERS = {"n": 0, "before": "false"}
+
+
+@contextmanager
+def _cleaned(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files go with their query while any thread writes a table; the
+    setting is put back when the last one is done."""
+    with _LOCK:
+        if _WRITERS["n"] == 0:
+            _WRITERS["before"] = spark.conf.get(_CLEANUP, "false")
+            spark.conf.set(_CLEANUP, "true")
+        _WRITERS["n"] += 1
+    try:
+        yield
+    finally:
+        with _LOCK:
+            _WRITERS["n"] -= 1
+            if _WRITERS["n"] == 0:
+                spark.conf.set(_CLEANUP, _WRITERS["before"])
+
+
 def partitions(spark: SparkSession) -> int:
     """Shuffle partitions that the session asks for."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -10,7 +10,8 @@ crosses from a word into the space before the next one.  Texts are therefore
 cut there, and each distinct piece of text goes through the agenda once per
 worker; a bounded cache keeps its ids.  Each Arrow batch checks every piece
 that is new to the cache, and one whole document, against the sentencepiece
-library; a difference raises.  Vocabularies that allow merges across words
+library; a difference raises.  (That cutting never changes the ids follows from
+the vocabulary, and a property test holds it against the library.)  Vocabularies that allow merges across words
 are encoded as whole texts.
 
 Defined results: a null or empty text has no pieces, only the begin and end
@@ -21,6 +22,7 @@ out of the result.  An empty table gives an empty result.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import re
 import sys
@@ -47,12 +49,12 @@ def pack_ids(ids: list[int]) -> bytes:
 
 
 class PieceEncoder:
-    """Agenda encoder over the vocabulary of a sentencepiece model file."""
+    """Agenda encoder over the vocabulary of a sentencepiece model."""
 
-    def __init__(self, model_path: str):
+    def __init__(self, model: bytes):
         import sentencepiece
 
-        self.library = sp = sentencepiece.SentencePieceProcessor(model_file=model_path)
+        self.library = sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         size = sp.vocab_size()
         special = {i for i in range(size) if sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i)}
         self.ids = {sp.id_to_piece(i): i for i in range(size) if i not in special}
@@ -215,14 +217,30 @@ class PieceEncoder:
         return packed
 
 
+#: Bytes of a model file at most; this bounds what is broadcast.
+MAX_MODEL = 64 << 20
 _ENCODERS: dict[str, tuple[PieceEncoder, dict[str, bytes]]] = {}
 
 
-def _encoder(model_path: str) -> tuple[PieceEncoder, dict[str, bytes]]:
+def read_model(path: str) -> bytes:
+    with open(path, "rb") as f:
+        model = f.read(MAX_MODEL + 1)
+    if len(model) > MAX_MODEL:
+        raise ValueError(f"a model file of more than {MAX_MODEL} bytes")
+    return model
+
+
+def _shared(spark, path: str):
+    """The model's bytes for the workers, and their digest."""
+    model = read_model(path)
+    return spark.sparkContext.broadcast(model), hashlib.sha256(model).hexdigest()
+
+
+def _encoder(shared, key: str) -> tuple[PieceEncoder, dict[str, bytes]]:
     """One encoder and cache for each worker process and model."""
-    if model_path not in _ENCODERS:
-        _ENCODERS[model_path] = (PieceEncoder(model_path), {})
-    return _ENCODERS[model_path]
+    if key not in _ENCODERS:
+        _ENCODERS[key] = (PieceEncoder(shared.value), {})
+    return _ENCODERS[key]
 
 
 def encode(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col: str = "text", begin: bool = True, end: bool = True, decode: bool = True) -> DataFrame:
@@ -230,13 +248,15 @@ def encode(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col
 
     Returns the id column, ``ids`` (binary: little-endian unsigned 32-bit
     integers) and ``decoded`` (the library's decoding of these ids, null
-    unless ``decode``).  ``model_path`` must be readable on every executor.
+    unless ``decode``).  The model is read on the driver and sent to the
+    workers.
     """
+    shared, key = _shared(docs.sparkSession, model_path)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        encoder, cache = _encoder(model_path)
+        encoder, cache = _encoder(shared, key)
         head = pack_ids([encoder.begin] * begin)
         tail = pack_ids([encoder.end] * end)
         for batch in batches:
@@ -254,11 +274,12 @@ def encode(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col
 
 def decode(ids: DataFrame, model_path: str, *, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """Decode packed ids with the library; null ids decode to the empty string."""
+    shared, key = _shared(ids.sparkSession, model_path)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        encoder, _ = _encoder(model_path)
+        encoder, _ = _encoder(shared, key)
         for batch in batches:
             texts = [encoder.library.decode(np.frombuffer(x or b"", dtype="<u4").tolist()) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["id", "text"])

@@ -1,10 +1,13 @@
+import hashlib
 import random
 
 import numpy as np
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 
 from quarryline.llm import sentencepiece_codec as codec
-from quarryline.llm.queries import tokenizer_path
+from quarryline.llm.queries import op1_sentencepiece, tokenizer_path
 
 MODEL = tokenizer_path()
 PARTS = ["a", "b", " ", "  ", "\n", "\r", "\t", "é", "▁", "<0x0A>", "<s>", "</s>", "日本", "😀", "\0", "the", "ing", " ", "�"]
@@ -12,7 +15,7 @@ PARTS = ["a", "b", " ", "  ", "\n", "\r", "\t", "é", "▁", "<0x0A>", "<s>", "<
 
 @pytest.fixture(scope="module")
 def encoder():
-    return codec.PieceEncoder(MODEL)
+    return codec.PieceEncoder(codec.read_model(MODEL))
 
 
 def test_ids_equal_the_library(encoder):
@@ -27,6 +30,42 @@ def test_whole_text_agenda_equals_pieces(encoder):
     assert encoder.agenda(encoder.normalise(text)) == encoder.library.encode(text)
 
 
+texts_of = st.lists(st.one_of(st.sampled_from(PARTS), st.text(max_size=6), st.text("aehinost ▁\n", max_size=90)), max_size=8).map("".join)
+
+
+@settings(max_examples=400, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(texts_of)
+def test_cutting_never_changes_the_ids(encoder, text):
+    text = text.encode("utf-8", "replace").decode()
+    pieces = encoder.pieces(text)
+    assert "".join(pieces) == encoder.normalise(text)
+    cut = [i for p in pieces for i in encoder.agenda(p)]
+    assert cut == encoder.agenda(encoder.normalise(text)) == encoder.library.encode(text)
+
+
+@settings(max_examples=400, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.one_of(st.text("aehinost▁", max_size=codec.SHORT), st.text(max_size=codec.SHORT)))
+def test_both_agendas_agree(encoder, text):
+    """Pieces of few symbols take a plain list, longer ones a heap."""
+    text = text.encode("utf-8", "replace").decode()
+    short = encoder.short_agenda(text)
+    before, codec.SHORT = codec.SHORT, -1
+    try:
+        assert encoder.agenda(text) == short
+    finally:
+        codec.SHORT = before
+
+
+def test_query_equals_the_library(spark, sf_dir, encoder):
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()}
+    got = op1_sentencepiece(spark, sf_dir).collect()
+    assert sorted(r.doc_id for r in got) == sorted(docs)
+    for r in got:
+        ids = encoder.library.encode(docs[r.doc_id], add_bos=True, add_eos=True)
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(np.array(ids, dtype="<u4").tobytes()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256(encoder.library.decode(ids).encode()).hexdigest()
+
+
 def test_small_cache_starts_afresh(encoder, monkeypatch):
     monkeypatch.setattr(codec, "CACHE_ENTRIES", 3)
     texts = ["one two three four five six", "six five four seven"]
