@@ -4,9 +4,11 @@ The index lives in tables of the shared folder.  Keys are 64-bit hashes of
 whole texts.  A directory maps a prefix of the key to a bucket; a bucket that
 holds more keys than its capacity splits, and the directory doubles whenever
 the split needs one more bit than it has.  The directory is built from a
-histogram of at most ``2**MAX_DEPTH`` prefix counts, so what reaches the
-driver is bounded whatever the corpus.  Buckets still overfull at that depth
-simply grow longer chains: owners stream them, so nothing is dropped.
+histogram of at most ``2**MAX_DEPTH`` prefix counts, so what reaches the driver
+is bounded whatever the corpus; the capacity follows the number of keys, so
+that even keys never need more depth than that.  Buckets of uneven keys that
+are still overfull there grow longer chains: owners stream them in key order,
+so nothing is dropped.
 
 Page builders combine equal texts of their part of the input (a bounded
 number of bytes at a time) before anything moves; a text that makes up a third
@@ -27,13 +29,16 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import materialise, partitions, slices
+from quarryline.llm.common import materialise, partitions, slices, starts_of
 
 #: Most bits of a key that the directory looks at.
 MAX_DEPTH = 18
+#: Keys that a bucket holds at least before it splits.
+CAPACITY = 1024
 #: Bytes of text that a page builder combines before it passes them on.
 PAGE_BYTES = 16 << 20
 
@@ -43,71 +48,71 @@ class Directory:
 
     def __init__(self, counts: dict[int, int], capacity: int, max_depth: int = MAX_DEPTH):
         """``counts``: keys by their first ``max_depth`` bits."""
-        self.depth, self.slots = 0, [0]
-        self.local = [0]  # depth of each bucket
-        held = [sorted(counts.items())]
-        todo = [0]
+        prefixes = np.array(sorted(counts), dtype=np.int64)
+        sums = starts_of(np.array([counts[p] for p in prefixes.tolist()], dtype=np.int64))
+
+        def held(prefix: int, local: int) -> int:
+            a, b = np.searchsorted(prefixes, [prefix << max_depth - local, prefix + 1 << max_depth - local])
+            return int(sums[b] - sums[a])
+
+        self.local: list[int] = []  # depth of each bucket, in key order
+        todo = [(0, 0)]
         while todo:
-            bucket = todo.pop()
-            if sum(n for _, n in held[bucket]) <= capacity or self.local[bucket] == max_depth:
-                continue
-            if self.local[bucket] == self.depth:  # no bit left to tell the halves apart
-                self.slots = [b for b in self.slots for _ in (0, 1)]
-                self.depth += 1
-            self.local[bucket] += 1
-            bit = max_depth - self.local[bucket]
-            new = len(held)
-            held.append([x for x in held[bucket] if x[0] >> bit & 1])
-            held[bucket] = [x for x in held[bucket] if not x[0] >> bit & 1]
-            self.local.append(self.local[bucket])
-            first = self.slots.index(bucket)
-            span = 1 << (self.depth - self.local[bucket])
-            for at in range(first + span, first + 2 * span):
-                self.slots[at] = new
-            todo += [bucket, new]
-
-    def bucket(self, key):
-        """The bucket of a 64-bit key column."""
+            prefix, local = todo.pop()
+            if local < max_depth and held(prefix, local) > capacity:
+                todo += [(2 * prefix + 1, local + 1), (2 * prefix, local + 1)]
+            else:
+                self.local.append(local)
+        self.depth = max(self.local)
+        #: Bucket of each slot; a bucket of lesser depth fills several slots.
+        self.slots = np.repeat(np.arange(len(self.local)), 1 << self.depth - np.array(self.local)).tolist()
+
+    def bucket(self, keys: np.ndarray) -> np.ndarray:
+        """Buckets of 64-bit keys."""
         if not self.depth:
-            return F.lit(0)
-        slots = F.split(F.lit(",".join(map(str, self.slots))), ",").cast("array<int>")
-        return F.get(slots, F.shiftrightunsigned(key, 64 - self.depth).cast("int"))
+            return np.zeros(len(keys), dtype=np.int64)
+        return np.array(self.slots)[(keys.view(np.uint64) >> np.uint64(64 - self.depth)).astype(np.int64)]
 
 
-def _pages(batches: Iterator) -> Iterator:
-    """Combine equal texts of a bounded stretch of the input."""
+def _pages(shared):
+    """Combine equal texts of a bounded stretch of the input, by bucket."""
     import pyarrow as pa
 
-    def page(held):
+    def page(held, directory):
         keys = list(held)
+        key = np.array([k[0] for k in keys], dtype=np.int64)
         return pa.RecordBatch.from_arrays(
             [
-                pa.array([k[0] for k in keys], pa.int32()),
-                pa.array([k[1] for k in keys], pa.int64()),
-                pa.array([k[2] for k in keys], pa.large_binary()).cast(pa.binary()),
+                pa.array(directory.bucket(key).astype(np.int32)),
+                pa.array(key),
+                pa.array([k[1] for k in keys], pa.large_binary()).cast(pa.binary()),
                 pa.array([held[k][0] for k in keys], pa.int64()),
                 pa.array([held[k][1] for k in keys], pa.int64()),
             ],
             names=["bucket", "key", "text", "keep_id", "n"],
         )
 
-    held: dict[tuple, tuple] = {}
-    size = 0
-    for batch in slices(batches):
-        for bucket, key, text, doc in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            entry = (bucket, key, text)
-            before = held.get(entry)
-            if before is None:
-                size += len(text) + 200
-                held[entry] = (doc, 1)
-            else:
-                ids = [x for x in (doc, before[0]) if x is not None]
-                held[entry] = (max(ids, default=None), before[1] + 1)
-            if size > PAGE_BYTES:
-                yield page(held)
-                held, size = {}, 0
-    if held:
-        yield page(held)
+    def run(batches: Iterator) -> Iterator:
+        directory = shared.value
+        held: dict[tuple, tuple] = {}
+        size = 0
+        for batch in slices(batches):
+            for key, text, doc in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                entry = (key, text)
+                before = held.get(entry)
+                if before is None:
+                    size += len(text) + 200
+                    held[entry] = (doc, 1)
+                else:
+                    ids = [x for x in (doc, before[0]) if x is not None]
+                    held[entry] = (max(ids, default=None), before[1] + 1)
+                if size > PAGE_BYTES:
+                    yield page(held, directory)
+                    held, size = {}, 0
+        if held:
+            yield page(held, directory)
+
+    return run
 
 
 def _owners(batches: Iterator) -> Iterator:
@@ -154,11 +159,12 @@ def _owners(batches: Iterator) -> Iterator:
         yield flush()
 
 
-def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024, max_depth: int = MAX_DEPTH, key: Callable = F.xxhash64) -> DataFrame:
+def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", capacity: int | None = None, max_depth: int = MAX_DEPTH, key: Callable = F.xxhash64) -> DataFrame:
     """One row per input row: id, ``keep_id``, ``group_size``, ``kept``, ``text_sha256``.
 
     ``key`` makes the 64-bit key of a text column; a poor one only makes
-    longer chains.
+    longer chains.  A bucket holds ``capacity`` keys, by default ``CAPACITY`` or
+    so many more that the directory stays within its depth.
     """
     spark = docs.sparkSession
     n = partitions(spark)
@@ -168,10 +174,11 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ca
 
     prefix = F.shiftrightunsigned("key", 64 - max_depth).alias("prefix")
     counts = {r[0]: r[1] for r in entries.select("key").distinct().groupBy(prefix).count().collect()}  # at most 2**max_depth
-    directory = Directory(counts, capacity, max_depth)
+    capacity = capacity or max(CAPACITY, sum(counts.values()) >> max_depth - 3)
+    directory = spark.sparkContext.broadcast(Directory(counts, capacity, max_depth))
 
-    pages = rows.select(directory.bucket(F.col("key")).alias("bucket"), "key", F.col("text").cast("binary").alias("text"), "doc_id")
-    pages = pages.mapInArrow(_pages, "bucket int, key long, text binary, keep_id long, n long")
+    pages = rows.select("key", F.col("text").cast("binary").alias("text"), "doc_id")
+    pages = pages.mapInArrow(_pages(directory), "bucket int, key long, text binary, keep_id long, n long")
     ranges = pages.repartition(n, "bucket").sortWithinPartitions("bucket", "key")
     classes = ranges.mapInArrow(_owners, "key long, sha binary, keep_id long, group_size long")
     classes = materialise(classes.filter("group_size > 1"), "dedup-classes")

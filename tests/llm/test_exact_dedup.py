@@ -1,6 +1,7 @@
 import hashlib
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -52,3 +53,23 @@ def test_directory_doubles_only_where_needed():
     assert (whole.depth, whole.slots) == (0, [0])
     full = exact_dedup.Directory({3: 100}, 5, 2)  # cannot split further: a longer chain
     assert full.depth == 2
+
+
+def test_deep_directories_take_seconds():
+    import time
+
+    draw = np.random.default_rng(0)
+    counts = {int(p): 8 for p in draw.permutation(1 << 18)[:200_000]}
+    began = time.process_time()
+    d = exact_dedup.Directory(counts, 8)
+    assert d.depth == 18 and len(d.slots) == 1 << 18
+    assert time.process_time() - began < 30
+    keys = draw.integers(-(1 << 63), 1 << 63, 1000)
+    assert d.bucket(keys).tolist() == [d.slots[(int(k) & (1 << 64) - 1) >> 46] for k in keys]
+
+
+def test_capacity_follows_the_number_of_keys(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "CAPACITY", 2)
+    rows = [(i, f"t{i % 90}") for i in range(200)] + [(None, None), (3, "long " * 60_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert result(exact_dedup.dedup(docs, max_depth=4)) == brute(rows)
