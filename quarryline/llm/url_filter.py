@@ -11,12 +11,15 @@ broadcast; more than ``MAX_RULES`` rules are refused, which bounds it.
 Defined results: host is what follows the first ``://`` up to ``/``, ``?``,
 ``#`` or the end, with A-Z lower-cased; path is what follows up to ``?``, ``#``
 or the end.  A null url, or one without ``://``, has both empty and no rule.
-Without a rule the verdict is ``default``.  Repeated rows give repeated
+Without a rule the verdict is ``default``.  Very long urls are judged whole, at
+a cost in proportion to their length, however many rules there are.  Repeated rows give repeated
 results; extra columns are left out; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import uuid
+from bisect import insort
 from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame
@@ -36,11 +39,12 @@ class _Node:
 
 
 class _Path:
-    __slots__ = ("next", "tails")
+    __slots__ = ("lengths", "next", "tails")
 
     def __init__(self):
         self.next: dict[str, _Path] = {}
         self.tails: dict[str, tuple[str, str]] = {}  # unfinished segment to (rule, verdict)
+        self.lengths: list[int] = []  # of the tails, longest first
 
 
 class Trie:
@@ -64,6 +68,8 @@ class Trie:
                 at = at.next.setdefault(segment, _Path())
             if at.tails.get(tail, ("", "allow"))[1] == "allow":
                 at.tails[tail] = (host + path, verdict)
+            if len(tail) not in at.lengths:
+                insort(at.lengths, len(tail), key=lambda n: -n)
 
     def judge(self, host: str, path: str) -> tuple[str, str] | None:
         """(rule, verdict) of the longest match."""
@@ -81,15 +87,28 @@ class Trie:
     def _path(at: _Path, segments: list[str]) -> tuple[str, str] | None:
         best = None
         for segment in segments:
-            fits = [t for t in at.tails if segment.startswith(t)]
-            if fits:
-                best = at.tails[max(fits, key=len)]
+            for n in at.lengths:
+                found = at.tails.get(segment[:n]) if n <= len(segment) else None
+                if found:
+                    best = found
+                    break
             at = at.next.get(segment)
             if at is None:
                 break
         return best
 
 
+_TRIES: dict[str, Trie] = {}
+
+
+def _trie(key: str, rules) -> Trie:
+    """The trie of a broadcast list of rules, made once in each worker process."""
+    if key not in _TRIES:
+        _TRIES.clear()
+        _TRIES[key] = Trie(rules.value)
+    return _TRIES[key]
+
+
 _LOWER = {c: c + 32 for c in range(65, 91)}
 
 
@@ -111,13 +130,14 @@ def split_url(url: str | None) -> tuple[str, str]:
 def judge_urls(pages: DataFrame, rules: Iterable[Rule], *, id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
     """One row per input row: id, ``host``, ``path``, ``rule`` (host and path
     of the rule that decided, else null) and ``verdict``."""
-    trie = pages.sparkSession.sparkContext.broadcast(tuple(rules))
-    Trie(trie.value)  # refuses bad rules before any task starts
+    rules = tuple(rules)
+    Trie(rules)  # refuses bad rules before any task starts
+    shared, key = pages.sparkSession.sparkContext.broadcast(rules), uuid.uuid4().hex
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        judge = Trie(trie.value).judge
+        judge = _trie(key, shared).judge
         for batch in batches:
             parts = [split_url(u) for u in batch.column(1).to_pylist()]
             found = [judge(h, p) or (None, default) for h, p in parts]

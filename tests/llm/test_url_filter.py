@@ -48,3 +48,39 @@ def test_default_and_bad_rules(spark):
     assert url_filter.judge_urls(pages, [], default="block").first().verdict == "block"
     with pytest.raises(ValueError, match="verdict"):
         url_filter.Trie([("maybe", "a", "/")])
+
+
+def test_many_rules_on_one_node_and_very_long_urls():
+    import time
+
+    rules = [("block" if i % 2 else "allow", "a.com", f"/p{i}") for i in range(100_000)]
+    judge = url_filter.Trie(rules).judge
+    began = time.process_time()
+    for i in range(0, 20_000, 7):
+        assert judge("x.a.com", f"/p{i}/y") == (f"a.com/p{i}", "block" if i % 2 else "allow")
+    assert judge("a.com", "/q") is None and judge("a.com", "/p99999999")[0] == "a.com/p99999"
+    assert judge("a.com", "/p1" + "x/" * 500_000) == ("a.com/p1", "block")
+    assert time.process_time() - began < 2
+
+
+def test_one_trie_for_each_worker():
+    class Shared:
+        value = (("block", "a.com", "/"),)
+
+    assert url_filter._trie("k", Shared) is url_filter._trie("k", Shared)
+    assert url_filter._trie("other", Shared) is not url_filter._trie("k", Shared)
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_random_rules_against_brute_force(seed):
+    import random
+
+    draw = random.Random(seed)
+    host = lambda: ".".join(draw.choice(["a", "b", "c", ""]) for _ in range(draw.randint(1, 3)))
+    path = lambda: "".join(draw.choice(["/", "/", "p", "q"]) for _ in range(draw.randint(0, 6)))
+    rules = [(draw.choice(["allow", "block"]), host(), path()) for _ in range(60)]
+    judge = url_filter.Trie(rules).judge
+    for _ in range(400):
+        h, p = host(), path()
+        p = p if not p or p.startswith("/") else "/" + p
+        assert (judge(h, p) or (None, "allow")) == brute(f"http://{h}{p}", rules)[2:], (h, p)
