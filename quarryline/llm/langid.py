@@ -140,12 +140,16 @@ def identify(docs: DataFrame, profiles: Profiles, *, text_col: str = "text", kee
 
         classifier = Classifier(shared.value, length)
         for batch in slices(batches):
-            found = [classifier.predict(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
+            found = [classifier.predict(t) for t in batch.column(at).to_pylist()]
             cols = [pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *cols], names=[*names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *cols], names=[*names, "lang_pred", "score"])
 
     names = [f"k{i}" for i in range(len(keep))]
     rows = docs.select(*(F.col(c).alias(k) for c, k in zip(keep, names, strict=True)), F.col(text_col).cast("string").alias("text"))
+    at = len(names)
+    if text_col in keep and dict(docs.dtypes)[text_col] == "string":  # the text is there already
+        at = keep.index(text_col)
+        rows = rows.drop("text")
     schema = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in names)
     out = rows.mapInArrow(run, f"{schema + ', ' if schema else ''}lang_pred string, score double")
     return out.select(*(F.col(k).alias(c) for c, k in zip(keep, names, strict=True)), "lang_pred", "score")

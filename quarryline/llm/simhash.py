@@ -17,13 +17,16 @@ as soon as every pair of the block exceeds the radius.  Buckets larger than
 bucket gives out a spanning forest of its links, never all pairs.
 
 Components come from alternating large-star and small-star rounds over tables
-in the shared folder until the edges no longer change.
+in the shared folder until the edges no longer change.  Keys that many rows
+share (the centre of a star, a fingerprint of a third of all rows) are joined
+where the rows are, by a broadcast of at most ``HOT_KEYS`` of them.
 
 Defined results: a null text counts as empty; a document without words has
 fingerprint zero and links like any other; with fewer words than a shingle,
 the whole sequence is the one shingle.  Rows that repeat a doc_id are each
 fingerprinted.  Ties of a bit (set in exactly half) give 0.  Extra columns are
-left out; an empty table gives an empty result.
+left out; an empty table gives an empty result.  Very long texts are hashed
+whole, some of their shingles at a time being summed.
 """
 
 from __future__ import annotations
@@ -181,6 +184,8 @@ class Forest:
 
 def links(fps: np.ndarray, runs: np.ndarray, radius: int, tile_of: np.ndarray | None = None) -> list[tuple[int, int]]:
     """A spanning forest of the pairs within the radius, within runs of rows.
+    Pairs of one tree are masked out, and nothing is compared once each run is
+    one tree: a dense bucket gives out its tree and not its pairs.
 
     ``runs`` numbers the run of each row; rows of a run are adjacent.  With
     ``tile_of``, pairs within one tile are left to the unit of that tile.
@@ -188,14 +193,18 @@ def links(fps: np.ndarray, runs: np.ndarray, radius: int, tile_of: np.ndarray |
     n = len(fps)
     planes = planes_of(fps)
     forest, out = Forest(n), []
-    longest = int(np.bincount(runs - runs[0]).max()) if n else 0
-    for d in range(1, longest):
-        same = runs[d:] == runs[:-d]
+    label = np.arange(n)  # of the tree that a row is in
+    length = np.bincount(runs - runs[0]) if n else np.zeros(0, dtype=np.int64)
+    trees = int(np.maximum(length - 1, 0).sum())  # edges until every run is one tree
+    for d in range(1, int(length.max(initial=0))):
+        if len(out) == trees:
+            break
+        open_ = (runs[d:] == runs[:-d]) & (label[d:] != label[:-d])
         if tile_of is not None:
-            same &= tile_of[d:] != tile_of[:-d]
-        if not same.any():
+            open_ &= tile_of[d:] != tile_of[:-d]
+        if not open_.any():
             continue
-        lanes = int.from_bytes(np.packbits(same, bitorder="little").tobytes(), "little")
+        lanes = int.from_bytes(np.packbits(open_, bitorder="little").tobytes(), "little")
         near = within(planes, d, lanes, radius)
         while near:
             low = near & -near
@@ -203,6 +212,8 @@ def links(fps: np.ndarray, runs: np.ndarray, radius: int, tile_of: np.ndarray |
             near ^= low
             if forest.join(i, i + d):
                 out.append((i, i + d))
+                a, b = label[i], label[i + d]
+                label[label == max(a, b)] = min(a, b)
     return out
 
 
@@ -310,31 +321,53 @@ def keyed_edges(keyed: DataFrame, *, radius: int, words: int = 1, tile: int = TI
     return materialise(dealt.mapInArrow(_compare(words, radius), "a binary, b binary").distinct(), "simhash-edges")
 
 
-def components(edges: DataFrame, *, max_rounds: int = 60) -> DataFrame:
+#: At most so many keys are hot: those that more than this share of all rows
+#: has, and more than ``HOT_ROWS`` rows.
+HOT_KEYS, HOT_ROWS = 1000, 256
+
+
+def hot_join(rows: DataFrame, key: str, table: DataFrame, total: int, how: str = "inner") -> DataFrame:
+    """Rows with the columns of a table that has one row for each key ``c`` and
+    the number of ``rows`` with it.  Rows of hot keys do not move: there are at
+    most ``HOT_KEYS`` such keys (they share twice ``total`` rows at most), which
+    are broadcast.  The others meet in a join, where no key has more than its
+    bounded share."""
+    most = max(HOT_ROWS, 2 * total // HOT_KEYS)
+    payload = [c for c in table.columns if c not in ("c", "rows")]
+    hot = table.filter(F.col("rows") > most).select(F.col("c").alias("_hc"), F.lit(True).alias("_hot"), *(F.col(c).alias(f"_h_{c}") for c in payload))
+    marked = rows.join(F.broadcast(hot), F.col(key) == F.col("_hc"), "left")
+    here = marked.filter("_hot is not null").select(*rows.columns, *(F.col(f"_h_{c}").alias(c) for c in payload))
+    cold = table.filter(F.col("rows") <= most).drop("rows")
+    rest = marked.filter("_hot is null").select(*rows.columns).join(cold, F.col(key) == F.col("c"), how).select(*rows.columns, *payload)
+    return here.unionByName(rest)
+
+
+def components(edges: DataFrame) -> DataFrame:
     """Components of edges (a, b): rows (node, root) for every node with an
     edge, root being the smallest node of the component.
 
     Alternates large-star and small-star.  Each round is a table in the
-    shared folder; rounds stop when no edge changes.
+    shared folder; rounds stop when no edge changes, which they do after a
+    number of them that grows with the logarithm of a component.
     """
     edges = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges = materialise(edges, "star")
     before = None
-    for _ in range(max_rounds):
+    while True:
+        n = edges.count()
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, F.col("u") == F.col("c")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("rows")).select(F.col("u").alias("c"), F.least("u", "m").alias("m"), "rows")
+        least = materialise(least, "star-least")
+        large = hot_join(both.filter("v > u"), "u", least, n).select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = materialise(large.filter("u <> v").distinct(), "star")
-        least = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "c")
-        small = large.join(least, F.col("u") == F.col("c"))
+        least = materialise(large.groupBy(F.col("u").alias("c")).agg(F.min("v").alias("m"), F.count("*").alias("rows")), "star-least")
+        small = hot_join(large, "u", least, large.count())
         moved = small.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
         edges = materialise(moved.filter("u <> v").distinct(), "star")
         seen = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == before:
             break
         before = seen
-    else:
-        raise RuntimeError("the components did not settle")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
@@ -343,14 +376,13 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     the smallest id reachable over links of at most ``radius`` bits."""
     bands = bands or paired_bands(radius, 64 * words)
     fps = materialise(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle, words=words), "simhash-fp")
-    nodes = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "simhash-nodes")
+    nodes = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("rows")), "simhash-nodes")
     edges = near_edges(nodes, radius=radius, bands=bands, words=words, tile=tile)
     member = materialise(components(edges), "simhash-members")
-    named = member.join(nodes, F.col("node") == F.col("fp"), "left").groupBy("root").agg(F.min("least_id").alias("least_id"))
-    linked = member.join(named.withColumnRenamed("root", "r"), F.col("root") == F.col("r")).select(F.col("node"), F.col("least_id").alias("component"))
-    alone = nodes.join(linked, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("node"), F.coalesce("component", "least_id").alias("component_id"))
-    alone = materialise(alone, "simhash-components")
-    found = fps.join(alone, F.col("fp") == F.col("node"), "left")
+    named = member.join(nodes, F.col("node") == F.col("fp"), "left").groupBy(F.col("root").alias("c")).agg(F.min("least_id").alias("component"), F.count("*").alias("rows"))
+    linked = hot_join(member, "root", materialise(named, "simhash-named"), member.count()).select("node", "component")
+    alone = nodes.join(linked, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("c"), F.coalesce("component", "least_id").alias("component_id"), "rows")
+    found = hot_join(fps, "fp", materialise(alone, "simhash-components"), fps.count())
     return found.select(F.col("doc_id").alias(id_col), F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
@@ -391,7 +423,7 @@ def prefix(hashes: np.ndarray, threshold: tuple[int, int]) -> np.ndarray:
     return np.sort(hashes)[: n + (-n * over // under) + 1]
 
 
-def _prints(shingle: int, words: int, threshold: tuple[int, int]):
+def _prints(shingle: int, words: int, threshold: tuple[int, int], short: int = SHORT):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
@@ -401,7 +433,7 @@ def _prints(shingle: int, words: int, threshold: tuple[int, int]):
                 hashes = shingle_hashes(text, shingle, words, distinct=True)
                 fps.append(majority(hashes).astype(">u8").tobytes())
                 sizes.append(len(hashes))
-                keys.append(prefix(hashes[:, 0], threshold).view(np.int64) if 0 < len(hashes) <= SHORT else [])
+                keys.append(prefix(hashes[:, 0], threshold).view(np.int64) if 0 < len(hashes) <= short else [])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.binary()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "sha", "fp", "n", "keys"])
 
     return run
@@ -452,7 +484,7 @@ def _verify(threshold: tuple[int, int]):
     return run
 
 
-def near_copies(docs: DataFrame, *, threshold: tuple[int, int], shingle: int, words: int, radius: int, bands: Bands, tile: int = TILE, set_tile: int = SET_TILE) -> DataFrame:
+def near_copies(docs: DataFrame, *, threshold: tuple[int, int], shingle: int, words: int, radius: int, bands: Bands, exact: bool = False, tile: int = TILE, set_tile: int = SET_TILE) -> DataFrame:
     """One row per input row: ``doc_id``, ``text_sha256``, ``component_id`` (the
     smallest id of the component) and ``kept``, which one row of a component is.
 
@@ -460,27 +492,28 @@ def near_copies(docs: DataFrame, *, threshold: tuple[int, int], shingle: int, wo
     similarity of at least ``threshold``, a fraction.  SimHash, here over each
     text's distinct shingles, only proposes groups: fingerprints linked within
     the radius in a band, and those of short texts that share a hash of their
-    ``prefix``.  In each group all pairs of
-    shingle sets, as 64-bit hashes, are compared in units of two tiles.  Rows
-    without an id are kept.
+    ``prefix``.  With ``exact`` texts of every length meet by their prefixes, at
+    any distance of fingerprints, so that no pair is missed.  In each group all
+    pairs of shingle sets, as 64-bit hashes, are compared in units of two tiles.
+    Rows without an id are kept.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("sha"), text.alias("text"))
-    fps = materialise(rows.mapInArrow(_prints(shingle, words, threshold), "doc_id long, sha binary, fp binary, n int, keys array<long>"), "simhash-fp")
+    fps = materialise(rows.mapInArrow(_prints(shingle, words, threshold, 1 << 62 if exact else SHORT), "doc_id long, sha binary, fp binary, n int, keys array<long>"), "simhash-fp")
     nodes = materialise(fps.select("fp").distinct(), "simhash-nodes")
     banded = nodes.mapInArrow(_keys(bands), "band int, key long, fp binary")  # not kept: wider than the texts
     near = keyed_edges(banded, radius=radius, words=words, tile=tile)
     short = fps.select(F.lit(-1).alias("band"), F.explode("keys").alias("key"), "fp").distinct()
-    near = near.unionByName(keyed_edges(short, radius=SHORT_RADIUS * words // 4, words=words, tile=tile))
+    near = near.unionByName(keyed_edges(short, radius=64 * words if exact else SHORT_RADIUS * words // 4, words=words, tile=tile))
     groups = materialise(components(near), "simhash-groups")
 
     texts = fps.select("sha", "fp", "n").distinct().join(groups, F.col("fp") == F.col("node"), "left").select("sha", "n", F.coalesce("root", "fp").alias("grp"))
     texts = materialise(texts, "simhash-texts")
     sizes = texts.groupBy("grp").agg(F.count("*").alias("count"), F.sum("n").alias("hashes")).filter("count > 1")
     tiles = F.greatest(F.ceil(F.col("count") / set_tile), F.ceil(F.col("hashes") / SET_HASHES)).cast("int")
-    sizes = sizes.select(F.col("grp").alias("g"), tiles.alias("tiles"))
-    chosen = materialise(texts.join(sizes, F.col("grp") == F.col("g")).select(F.col("sha").alias("s"), "grp", "tiles"), "simhash-chosen")
+    sizes = materialise(sizes.select(F.col("grp").alias("c"), tiles.alias("tiles"), F.col("count").alias("rows")), "simhash-sizes")
+    chosen = materialise(hot_join(texts, "grp", sizes, texts.count()).select(F.col("sha").alias("s"), "grp", "tiles"), "simhash-chosen")
     sets = rows.select("sha", "text").join(chosen.select("s", "grp"), F.col("sha") == F.col("s")).dropDuplicates(["sha"]).select("sha", "grp", "text")
     sets = materialise(sets.mapInArrow(_sets(shingle), "sha binary, grp binary, hashes binary"), "simhash-sets")
 
@@ -495,7 +528,7 @@ def near_copies(docs: DataFrame, *, threshold: tuple[int, int], shingle: int, wo
     found = fps.join(member, F.col("sha") == F.col("node"), "left").select("doc_id", "sha", F.coalesce("root", "sha").alias("root"))
     found = materialise(found, "simhash-found")
     first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "sha")))
-    least = found.groupBy("root").agg(first.alias("least")).withColumnRenamed("root", "r")
-    found = found.join(least, F.col("root") == F.col("r"))
+    least = found.groupBy(F.col("root").alias("c")).agg(first.alias("least"), F.count("*").alias("rows"))
+    found = hot_join(found, "root", materialise(least, "simhash-least"), found.count())
     kept = F.col("doc_id").isNull() | ((F.col("doc_id") == F.col("least.doc_id")) & (F.col("sha") == F.col("least.sha")))
     return found.select("doc_id", F.lower(F.hex("sha")).alias("text_sha256"), F.col("least.doc_id").alias("component_id"), kept.alias("kept"))

@@ -86,3 +86,10 @@ def test_held_out_accuracy(spark):
     rows = found.join(truth, "doc_id").collect()
     assert len(rows) > 200
     assert sum(r.lang == r.lang_pred for r in rows) / len(rows) > 0.98
+
+
+def test_equal_distances_go_to_the_first_language(spark):
+    rows = [(i, "one two three", lang) for i, lang in enumerate(["zz", "aa", "mm", "aa"])] + [(9, "one", None), (10, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(docs, langid.train(docs)).collect()}
+    assert {v[0] for k, v in got.items() if k < 10} == {"aa"} and got[10] == ("und", 0.0)

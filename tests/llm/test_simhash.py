@@ -3,8 +3,10 @@ import random
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from quarryline.llm import simhash
+from quarryline.llm.queries import op10_simhash
 
 
 def fingerprint(text, size=3, seed=42):
@@ -83,3 +85,33 @@ def test_chains_and_stars(spark):
 
 def test_empty(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_a_dense_bucket_takes_seconds():
+    """8,192 near copies: their tree, not their 33 million pairs."""
+    import time
+
+    draw = random.Random(3)
+    rows = np.array([[sum(1 << b for b in draw.sample(range(64), draw.randint(0, 1)))] for _ in range(8192)], dtype=np.uint64)
+    began = time.process_time()
+    assert len(simhash.links(rows, np.zeros(8192, dtype=int), 3)) == 8191
+    assert time.process_time() - began < 20
+
+
+@pytest.mark.parametrize(("hot", "how"), [(1, "inner"), (3, "left"), (1000, "inner")])
+def test_hot_join(spark, monkeypatch, hot, how):
+    monkeypatch.setattr(simhash, "HOT_ROWS", hot)
+    rows = spark.createDataFrame([(i % 7 if i % 3 else 0, i) for i in range(60)] + [(None, 1)], "k int, v int")
+    table = rows.filter("k < 5").groupBy(F.col("k").alias("c")).agg(F.max("v").alias("m"), F.count("*").alias("rows"))
+    got = simhash.hot_join(rows, "k", table, 61, how)
+    want = rows.join(table.drop("rows"), F.col("k") == F.col("c"), how).select("k", "v", "m")
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_query_against_brute_force(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
+    prints = [fingerprint(r.text) for r in docs]
+    roots = components(prints, 3)
+    least = {q: min(r.doc_id for r, x in zip(docs, roots, strict=True) if x == q) for q in set(roots)}
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in op10_simhash(spark, sf_dir).collect()}
+    assert got == {r.doc_id: (f"{p:016x}", least[q]) for r, p, q in zip(docs, prints, roots, strict=True)}
