@@ -1,25 +1,34 @@
 """Operator 8: mix sources to target weights by Pareto order sampling.
 
-Each source gets a target size in words.  All of its documents are wanted
-``target / source_size`` times: whole copies are certain, and the fraction
-that is left is the inclusion probability of one more copy.  Documents are
-ranked by their random odds divided by their inclusion odds, and the sample
-takes them in rank order until its words reach what the whole copies leave
-open (the document at the cut is in if that comes nearer).  The random number
-of a document is a digest of its id and the seed, so reruns agree.
-
-The cut is found without sorting a source: ranks are counted into ``BINS``
-bins (grouped sums with map-side combining), the bin of the cut is found from
-these sums, and only its documents are put in order.  A source is therefore
-never gathered in one task.  The result of planning is one row for each
-source; applying it to documents is a join with that table, which Spark
-broadcasts only if its measured size is under the session's threshold.
+Each source gets a target size in words.  Its documents are wanted in
+proportion to a measure, here about the square root of their words: long
+documents more often than short ones, yet none so often that it passes
+``MOST`` copies.  A document wanted c times gives ``floor(c)`` whole copies for
+certain; what is left of c is its inclusion probability for one more.
+
+Documents are ranked by their random odds divided by their own inclusion odds,
+and the sample takes them in rank order until its words reach what the whole
+copies leave open (the document at the cut is in if that comes nearer).  The
+random number of a document is a digest of its id and the seed, so reruns agree.
+
+How often documents of one measure are wanted follows from sums over the
+measure's values for each source: the largest ones stop at ``MOST``, the others
+share the rest.  The measure is an integer of few distinct values (of the
+order of a hundred for each doubling of length twice over; a text of a million
+words has 16,000), so a source's values are sorted in one task whatever its
+size.  The cut is found without sorting a source: ranks are counted into
+``BINS`` bins (grouped sums with map-side combining), the bin of the cut is
+found from these sums, and only its documents are put in order.  The result of
+planning is one row for each source; applying it to documents is a join with
+that table, which Spark broadcasts only if its measured size is under the
+session's threshold.  Sources themselves, one row each, are sorted in one task.
 
 Defined results: a null text has size 0; null sources are one source, last in
-order.  Sources of size 0 have target 0.  A null doc_id has its own random
-number and comes first among equal ranks.  Rows that repeat a doc_id share a
-rank and are taken or left together.  Extra columns are kept by ``mix`` and
-left out of ``plan``; an empty table gives an empty result.
+order.  Sources of size 0 have target 0, and documents of size 0 no copies.  A
+null doc_id has its own random number and comes first among equal ranks.  Rows
+that repeat a doc_id with texts of one measure share a rank and are taken or
+left together.  Very long texts are counted whole.  Extra columns are kept by
+``mix`` and left out of ``plan``; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,6 +39,8 @@ from pyspark.sql import functions as F
 from quarryline.llm.common import WORD_REGEX, materialise
 
 BINS = 4096
+#: Copies of a document at most, and so a source's target against its size.
+MOST = 2.0
 #: Weights of the sources in order of their names, repeating.
 WEIGHTS = (3.0, 1.0, 2.0)
 
@@ -38,13 +49,18 @@ def size_of(text_col: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD_REGEX)), F.lit(0)).cast("long")
 
 
+def measure_of(size: Column) -> Column:
+    """The measure of a document by its words: 16 times the square root."""
+    return F.floor(F.sqrt(size.cast("double")) * 16.0).cast("long")
+
+
 def uniform(id_col: str, seed: int) -> Column:
     """A number strictly between 0 and 1 from the id: 52 bits of its MD5."""
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("long").cast("double") + 0.5) / float(1 << 52)
 
 
-def targets(sizes: DataFrame, *, share: float = 1.5, most: float = 2.0, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
+def targets(sizes: DataFrame, *, share: float = 1.5, most: float = MOST, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
     """``source``, ``source_size`` and ``target`` from (source, source_size).
 
     Targets share ``share`` times the total by weight, but stop at ``most``
@@ -70,29 +86,55 @@ def _odds(u: Column, p: Column) -> Column:
     return (u / (F.lit(1.0) - u)) / (p / (F.lit(1.0) - p))
 
 
+def _wanted(rows: DataFrame) -> DataFrame:
+    """Adds ``whole`` copies and the chance ``part`` of one more, for rows with
+    their measure and their source's ``rate``."""
+    wanted = F.least(F.col("most"), F.col("rate") * F.col("measure"))
+    wanted = F.when(F.col("measure") > 0, F.coalesce(wanted, F.col("most"))).otherwise(F.lit(0.0))
+    rows = rows.withColumn("wanted", wanted).withColumn("whole", F.floor("wanted").cast("long"))
+    return rows.withColumn("part", F.col("wanted") - F.col("whole"))
+
+
 def _ranked(rows: DataFrame) -> DataFrame:
     """Adds ``rank`` (null where no copy is left to chance) and its bin."""
-    rank = F.when((F.col("part") > 0) & (F.col("part") < 1), _odds(F.col("u"), F.col("part")))
+    rank = F.when(F.col("part") > 0, _odds(F.col("u"), F.col("part")))
     rows = rows.withColumn("rank", rank)
     return rows.withColumn("bin", F.floor(F.col("rank") / (F.col("rank") + 1.0) * BINS).cast("int"))
 
 
 def thin(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 0) -> DataFrame:
-    """``doc_id``, ``source``, ``size`` and the random number ``u``."""
+    """``doc_id``, ``source``, ``size``, ``measure`` and the random number ``u``."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size_of(text_col).alias("size"))
-    return rows.withColumn("u", uniform("doc_id", seed))
-
-
-def plan(sized: DataFrame, **options) -> DataFrame:
-    """One row for each source: ``source_size``, ``target``, ``whole`` copies,
-    the chance ``part`` of one more, and the rank and id of the cut."""
-    sizes = materialise(sized.groupBy("source").agg(F.sum("size").alias("source_size")), "mix-sizes")
-    wanted = targets(sizes, **options)
-    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    wanted = wanted.withColumn("whole", F.floor(ratio).cast("long"))
-    wanted = materialise(wanted.withColumns({"part": ratio - F.col("whole"), "open": F.col("target") - F.col("whole") * F.col("source_size")}), "mix-targets")
-
-    ranked = _ranked(_with(sized, wanted, "part", "open"))
+    return rows.withColumns({"measure": measure_of(F.col("size")), "u": uniform("doc_id", seed)})
+
+
+def rates(classes: DataFrame, wanted: DataFrame, most: float) -> DataFrame:
+    """How many copies a unit of the measure is worth in each source, so that
+    all sizes times copies give its target; null where all are wanted ``most``
+    times.  ``classes``: source, measure and their words.  With the largest
+    measures first, those that stop at ``most`` come first."""
+    rows = _with(classes.filter("measure > 0"), wanted, "source_size", "target").filter(F.col("target") < F.lit(most) * F.col("source_size"))
+    down = Window.partitionBy("source").orderBy(F.desc("measure"))
+    before = F.coalesce(F.sum("words").over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    product = F.col("words").cast("decimal(38,0)") * F.col("measure")
+    rest = F.sum(product.cast("decimal(38,0)")).over(down.rowsBetween(0, Window.unboundedFollowing))
+    rows = rows.withColumn("rate", (F.col("target") - F.lit(most) * before.cast("double")) / rest.cast("double"))
+    rows = rows.filter(F.col("rate") * F.col("measure") <= F.lit(most))
+    return rows.groupBy("source").agg(F.max_by("rate", "measure").alias("rate"))
+
+
+def plan(sized: DataFrame, *, share: float = 1.5, most: float = MOST, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
+    """One row for each source: ``source_size``, ``target``, the ``rate`` of its
+    copies, and the rank and id of the cut."""
+    classes = materialise(sized.groupBy("source", "measure").agg(F.sum("size").alias("words")), "mix-classes")
+    sizes = classes.groupBy("source").agg(F.sum("words").alias("source_size"))
+    wanted = materialise(targets(sizes, share=share, most=most, weights=weights), "mix-targets")
+    rate = materialise(rates(classes, wanted, most), "mix-rates")
+    wanted = _with(wanted, rate, "rate").withColumn("most", F.lit(float(most)))
+    certain = _wanted(_with(classes, wanted, "rate", "most")).groupBy("source").agg(F.sum(F.col("words") * F.col("whole")).alias("certain"))
+    wanted = materialise(_with(wanted, certain, "certain").withColumn("open", F.col("target") - F.col("certain")).drop("certain"), "mix-wanted")
+
+    ranked = _ranked(_wanted(_with(sized, wanted, "rate", "most", "open")))
     bins = ranked.filter("bin is not null").groupBy("source", "bin").agg(F.sum("size").alias("words"), F.first("open").alias("open"))
     up_to = Window.partitionBy("source").orderBy("bin")
     cut = bins.withColumn("reached", F.sum("words").over(up_to)).filter(F.col("reached") >= F.col("open"))
@@ -128,14 +170,15 @@ def copies(rows: DataFrame) -> Column:
     return F.coalesce("whole", F.lit(0)) + sampled.cast("long")
 
 
-_PLAN = ("source_size", "target", "whole", "part", "cut_bin", "cut_rank", "cut_id")
+_PLAN = ("source_size", "target", "rate", "most", "cut_bin", "cut_rank", "cut_id")
 
 
 def decide(sized: DataFrame, planned: DataFrame) -> DataFrame:
-    """``doc_id``, ``size``, ``source_size``, ``target``, ``copies``, ``taken``."""
-    rows = _ranked(_with(sized, planned, *_PLAN))
+    """``doc_id``, ``size``, ``source_size``, ``target``, ``wanted`` (copies on
+    average), ``copies`` and ``taken``."""
+    rows = _ranked(_wanted(_with(sized, planned, *_PLAN)))
     rows = rows.withColumn("copies", copies(rows))
-    return rows.select("doc_id", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+    return rows.select("doc_id", "size", "source_size", "target", "wanted", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def sized_table(docs: DataFrame, **columns) -> DataFrame:
@@ -144,7 +187,8 @@ def sized_table(docs: DataFrame, **columns) -> DataFrame:
 
 def mix_sizes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 0, **options) -> DataFrame:
     """One row per input row: id, ``size``, ``source_size``, ``target``,
-    ``copies`` and ``taken`` (words that the mix takes, repeats counted)."""
+    ``wanted``, ``copies`` and ``taken`` (words that the mix takes, repeats
+    counted)."""
     sized = sized_table(docs, id_col=id_col, text_col=text_col, source_col=source_col, seed=seed)
     return decide(sized, plan(sized, **options)).withColumnRenamed("doc_id", id_col)
 
@@ -153,7 +197,7 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     """The mixed corpus: the rows of ``docs``, each as often as it is taken."""
     names = {"id_col": id_col, "text_col": text_col, "source_col": source_col}
     planned = plan(sized_table(docs, seed=seed, **names), **options)
-    whole = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), uniform(id_col, seed).alias("u"))
-    rows = _ranked(_with(whole, planned, *_PLAN))
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), uniform(id_col, seed).alias("u"), measure_of(size_of(text_col)).alias("measure"))
+    rows = _ranked(_wanted(_with(rows, planned, *_PLAN)))
     rows = rows.withColumn("copies", copies(rows)).filter("copies > 0")
     return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("row.*")

@@ -211,14 +211,24 @@ WITH docs AS (
     SELECT source, source_size,
            least(cap, coalesce((SELECT arg_min(level, place) FROM levels WHERE level * weight <= cap) * weight, cap)) AS target
     FROM levels
+), measured AS (
+    SELECT *, floor(sqrt(size::DOUBLE) * 16.0::DOUBLE)::BIGINT AS measure FROM docs
+), classes AS (
+    SELECT source, measure, sum(size)::BIGINT AS words FROM measured GROUP BY source, measure
+), tried AS (
+    SELECT c.source, measure, (target - 2.0::DOUBLE * coalesce(sum(words) OVER (down ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE)
+           / (sum(words * measure) OVER (down ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS rate
+    FROM classes c JOIN targets t ON c.source IS NOT DISTINCT FROM t.source WHERE measure > 0 AND target < 2.0::DOUBLE * source_size
+    WINDOW down AS (PARTITION BY c.source ORDER BY measure DESC)
+), rates AS (
+    SELECT source, arg_max(rate, measure) AS rate FROM tried WHERE rate * measure <= 2.0::DOUBLE GROUP BY source
+), wanted AS (
+    SELECT m.*, t.source_size, t.target, CASE WHEN measure > 0 THEN coalesce(least(2.0::DOUBLE, r.rate * measure), 2.0::DOUBLE) ELSE 0.0::DOUBLE END AS wanted
+    FROM measured m JOIN targets t ON m.source IS NOT DISTINCT FROM t.source LEFT JOIN rates r ON m.source IS NOT DISTINCT FROM r.source
 ), parts AS (
-    SELECT *, floor(CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END)::BIGINT AS whole,
-           CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END - floor(CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END) AS part
-    FROM targets
+    SELECT *, floor(wanted)::BIGINT AS whole, wanted - floor(wanted) AS part, target - sum(size * floor(wanted)::BIGINT) OVER (PARTITION BY source) AS open FROM wanted
 ), ranked AS (
-    SELECT d.doc_id, d.size, p.source_size, p.target, p.whole, p.target - p.whole * p.source_size AS open, p.part,
-           sum(d.size) OVER (PARTITION BY d.source ORDER BY (d.u / (1 - d.u)) / (p.part / (1 - p.part)), d.doc_id ROWS UNBOUNDED PRECEDING) AS so_far
-    FROM docs d JOIN parts p ON d.source IS NOT DISTINCT FROM p.source
+    SELECT *, sum(CASE WHEN part > 0 THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY CASE WHEN part > 0 THEN (u / (1 - u)) / (part / (1 - part)) END NULLS LAST, doc_id ROWS UNBOUNDED PRECEDING) AS so_far FROM parts
 )
 SELECT doc_id, size, source_size, target,
        size * (whole + CASE WHEN part > 0 AND so_far * 2 - size < open * 2 THEN 1 ELSE 0 END) AS taken
@@ -227,9 +237,10 @@ FROM ranked
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hosts are sources; the path level below is the language section."""
+    """``documents`` has no url: its ``source`` is where a document comes from,
+    and so the host; the language is the section below it."""
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
-    return quality.classify(docs, labels, host=F.col("source"), path=F.col("lang"))
+    return quality.classify(docs, labels, levels=[F.col("source"), F.col("lang")])
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,3 +1,5 @@
+import hashlib
+import math
 import random
 
 import pytest
@@ -47,13 +49,66 @@ def test_targets_are_met(mixed):
         s = source[r.doc_id, r.size]
         assert r.source_size == sizes[s]
         assert r.target == pytest.approx(want[s])
-        assert r.taken in (0, r.size, 2 * r.size)
+        assert r.taken in (0, r.size, 2 * r.size) and abs(r.taken - r.wanted * r.size) < max(r.size, 1)
         taken[s] += r.taken
     for s, t in taken.items():
         if s != "big":  # one document of 3,000 words
             assert abs(t - want[s]) <= 16
 
 
+def test_wanted_copies_follow_the_measure(mixed):
+    """Against a plain search for the rate: words times wanted copies give the
+    target, and wanted copies are in proportion to the measure up to 2."""
+    rows, _, got = mixed
+    source = {(d, len((t or "").split())): s for d, t, s in rows}
+    by_source = {}
+    for r in got:
+        by_source.setdefault(source[r.doc_id, r.size], []).append(r)
+    seen = 0
+    for own in by_source.values():
+        target = own[0].target
+        assert sum(r.size * r.wanted for r in own) == pytest.approx(target)
+        if target < 2 * own[0].source_size:
+            measure = lambda r: math.floor(math.sqrt(r.size) * 16)
+            low, high = 0.0, 2.0
+            for _ in range(200):
+                rate = (low + high) / 2
+                low, high = (rate, high) if sum(r.size * min(2.0, rate * measure(r)) for r in own) < target else (low, rate)
+            assert all(r.wanted == pytest.approx(min(2.0, low * measure(r))) for r in own)
+            seen += len({r.wanted for r in own}) > 5
+    assert seen > 2  # probabilities differ within a source
+
+
+def test_ranks_follow_each_documents_own_odds(mixed):
+    """The sample is the first in order of random odds by inclusion odds."""
+    rows, _, got = mixed
+    source = {(d, len((t or "").split())): s for d, t, s in rows}
+    by_source, swapped = {}, 0
+    for r in got:
+        part = r.wanted - math.floor(r.wanted)
+        if part > 0:
+            u = (int(hashlib.md5(f"0:{'null' if r.doc_id is None else r.doc_id}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+            by_source.setdefault(source[r.doc_id, r.size], []).append((u / (1 - u) / (part / (1 - part)), u, r.copies > math.floor(r.wanted)))
+    for own in by_source.values():
+        chosen, left = [x for x in own if x[2]], [x for x in own if not x[2]]
+        if chosen and left:
+            assert max(x[0] for x in chosen) <= min(x[0] for x in left)
+            swapped += max(x[1] for x in chosen) > min(x[1] for x in left)
+    assert swapped  # the order is not that of the random numbers alone
+
+
+def test_inclusion_comes_near_its_probability(spark):
+    rows = [(i, "w " * (1 + i % 40), "a") for i in range(400)] + [(1000 + i, "w " * 200, "b") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").cache()
+    short = long = n = 0
+    for seed in range(8):
+        got = mixing.mix_sizes(docs, seed=seed, share=0.6).filter("source_size < 8500 and doc_id < 400").collect()
+        short += sum(r.copies for r in got if r.size <= 5)
+        long += sum(r.copies for r in got if r.size > 35)
+        n += sum(r.wanted for r in got if r.size > 35) / sum(r.wanted for r in got if r.size <= 5)
+    assert long / short == pytest.approx(n / 8, rel=0.35) and long > 1.5 * short
+
+
 def test_reruns_and_other_layouts_agree(mixed):
     _, docs, got = mixed
     again = mixing.mix_sizes(docs.repartition(2)).collect()

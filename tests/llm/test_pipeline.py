@@ -149,3 +149,57 @@ def test_a_near_copy_takes_no_other_row_of_its_id(spark):
 def test_documents_without_any_language(spark):
     rows = [(1, "some words", None, "s1", 0), (2, "12 34", None, "s1", 0)]
     assert [r.doc_id for r in corpus_pipeline.language_id(spark, spark.createDataFrame(rows, SCHEMA), "").collect()] == [1]
+
+
+def test_predicted_languages_fill_gaps(spark):
+    base = [("the cat and the dog were in the house", "en"), ("der Hund und die Katze waren in dem Haus", "de")]
+    rows = [(i, *base[i % 2], "s", 0) for i in range(20)] + [(100, base[0][0], None, "s", 0), (101, base[1][0], None, "s", 0), (102, base[1][0], "en", "s", 0)]
+    got = {r.doc_id: r.lang for r in corpus_pipeline.language_id(spark, spark.createDataFrame(rows, SCHEMA), "").collect()}
+    assert (got[100], got[101], got[102]) == ("en", "de", "en") and len(got) == len(rows)
+
+
+def test_recall_on_the_tables(spark):
+    """What the near-duplicate stage drops of sf0.01, against all pairs."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select(*corpus_pipeline.COLUMNS)
+    docs = corpus_pipeline.drop_copies(spark, corpus_pipeline.language_id(spark, docs, ""), "").cache()
+    rows = [tuple(r) for r in docs.collect()]
+    want = {r[0] for r in rows} - kept_by_brute_force(rows)
+    dropped = {r[0] for r in rows} - {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()}
+    print(f"near copies at 0.8: {len(want)}, dropped {len(want & dropped)}, clean ones dropped {len(dropped - want)}")
+    assert want and len(want & dropped) >= 0.9 * len(want)
+    assert not dropped - want
+
+
+def test_exact_candidates_miss_nothing(spark):
+    draw = random.Random(8)
+    words = ["".join(draw.choice("abcdefghij") for _ in range(6)) for _ in range(3000)]
+    rows = []
+    for k in range(150):
+        base = [draw.choice(words) for _ in range(draw.choice((6, 60, 200)))]
+        n = max(1, (len(base) - 4) // 4)
+        rows += [(2 * k, " ".join(base), "en", "s1", 0), (2 * k + 1, " ".join(base + [draw.choice(words) for _ in range(n)]), "en", "s1", 0)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    found = simhash.near_copies(docs, threshold=(4, 5), shingle=5, words=4, radius=0, bands=simhash.sampled_bands(1, 14, 256), exact=True)
+    assert {r.doc_id for r in found.filter("kept").collect()} == kept_by_brute_force(rows)
+
+
+def test_edge_cases_of_every_stage(spark):
+    """Nulls in every column, repeated and null ids, ties, a very long text and
+    extra columns with names that stages use."""
+    long = " ".join(str(i * 7919 % 10007) + "w" for i in range(60_000))
+    rows = [
+        (None, "words without any id here", None, None, None), (1, None, None, None, None), (2, "", "en", "s", 0), (3, long, "en", None, 1), (4, long + " end", None, "s", 1),
+        (5, "equal words", "en", "s", 1), (5, "equal words", "en", "s", 1), (6, "equal words", "de", "t", 1), (7, "a", "en", "s", 1), (7, "b", "en", "s", 1), (None, "equal words", "en", "s", 1),
+    ]
+    docs = spark.createDataFrame([(*r, 1, "x", b"y") for r in rows], SCHEMA + ", key long, lang_pred string, sha binary").repartition(3)
+    for n, (_, stage) in enumerate(corpus_pipeline.STAGES, 1):
+        docs = stage(spark, docs, "").cache()
+        if n < 5:
+            assert docs.columns == corpus_pipeline.COLUMNS
+        if n == 1:
+            assert docs.count() == 9
+        if n == 2:
+            assert sorted(((r.doc_id, r.text) for r in docs.collect()), key=str) == sorted([(None, rows[0][1]), (3, long), (4, long + " end"), (6, "equal words"), (7, "a"), (7, "b")], key=str)
+        if n == 3:
+            assert {r.doc_id for r in docs.collect()} == {None, 3, 6, 7} and docs.count() == 5
+    assert docs.count() > 0
