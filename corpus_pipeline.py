@@ -4,9 +4,9 @@
 sf_dir) and returns a table that the next one takes as its ``docs``.  All but
 the last return the columns of ``documents``.
 
-1. Language ID: profiles are learnt from the documents that carry a language;
-   documents without any letter are rejected, those alone where no document
-   carries a language.
+1. Language ID: profiles are learnt from the documents that carry a language.
+   Documents without any letter are rejected; where a document carries no
+   language the predicted one is filled in (none where no document carries one).
 2. Exact dedup: of equal texts the largest doc_id stays.
 3. SimHash near-dedup: distinct five-word shingles, 256-bit fingerprints.  Texts whose
    shingle sets have a similarity of 0.8 differ in 39 of these bits on
@@ -18,6 +18,20 @@ the last return the columns of ``documents``.
    Of each group the smallest doc_id stays.
 4. Mixing: documents are left out or repeated towards the source targets.
 5. SentencePiece: token count and digests for each document.
+
+Candidates for longer texts come from sampled bands, so a pair at a similarity
+of 0.8 is missed once in some thousands; the exact way is ``EXACT = True``,
+which lets texts of every length meet by the hashes of their prefixes, at the
+cost of a row for each fifth shingle.
+
+Defined results, in each stage: null and empty texts hold no letter and go in
+the first; further on they would count as empty texts, equal to each other.
+Very long texts are handled whole.  Of equal texts and of groups of near copies
+one row stays, also where rows repeat a doc_id; rows without a doc_id are
+never dropped as near copies, and among copies they are the first to go.  Ties
+of the language go to the one that sorts first.  A null source is a source of
+its own.  Empty tables give empty tables.  Extra columns, whatever their names,
+are left out at the first stage.
 """
 
 from __future__ import annotations
@@ -31,7 +45,10 @@ from quarryline.llm.common import materialise, read
 from quarryline.llm.queries import tokenizer_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Stands for a language where none was learnt.
+ANY = "any"
 SHINGLE, WORDS, RADIUS = 5, 4, 64
+EXACT = False
 SIMILARITY = (4, 5)
 BANDS = simhash.sampled_bands(96, 14, 64 * WORDS)
 
@@ -48,9 +65,10 @@ def _without(docs: DataFrame, drop: DataFrame, keys: dict[str, object]) -> DataF
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = docs.select(*COLUMNS)
-    profiles = langid.train(docs) or {"any": np.array([-1])}  # nothing to learn from: letters alone decide
-    found = langid.identify(docs, profiles, keep=tuple(COLUMNS))
-    return found.filter(F.col("lang_pred") != langid.UNKNOWN).select(*COLUMNS)
+    profiles = langid.train(docs) or {ANY: np.array([-1])}  # nothing to learn from: letters alone decide
+    found = langid.identify(docs, profiles, keep=tuple(COLUMNS)).filter(F.col("lang_pred") != langid.UNKNOWN)
+    known = F.coalesce("lang", F.nullif("lang_pred", F.lit(ANY)))
+    return found.withColumn("lang", known).select(*COLUMNS)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,7 +83,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = docs.select(*COLUMNS)
-    found = simhash.near_copies(docs, threshold=SIMILARITY, shingle=SHINGLE, words=WORDS, radius=RADIUS, bands=BANDS)
+    found = simhash.near_copies(docs, threshold=SIMILARITY, shingle=SHINGLE, words=WORDS, radius=RADIUS, bands=BANDS, exact=EXACT)
     sha = F.sha2(F.coalesce("text", F.lit("")), 256)
     return _without(docs, found.filter("not kept"), {"doc_id": F.col("doc_id"), "text_sha256": sha})
 
