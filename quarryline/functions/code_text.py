@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -35,6 +36,7 @@ SYMBOL_STOPWORDS = frozenset((
     "which", "who", "why", "with", "you", "your",
 ))
 
+_TOKEN = re.compile(NOT_TOKEN.replace("[^", "["))
 _NOT_TOKEN, _SEPARATORS, _BORDER = re.compile(NOT_TOKEN), re.compile(SEPARATORS), re.compile(CASE_BORDER)
 
 
@@ -77,16 +79,15 @@ def _tokenize(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     def tokens(text: str | None):
         if text is None:
             return None
-        out: dict[str, None] = {}
-        for raw in _NOT_TOKEN.split(text):
-            if raw:
-                forms = known.get(raw)
-                if forms is None:
-                    if len(known) > 200_000:
-                        known.clear()
-                    forms = known[raw] = expand(raw)
-                out.update(dict.fromkeys(forms))
-        return list(out)
+        found = []
+        for raw in dict.fromkeys(_TOKEN.findall(text)):
+            forms = known.get(raw)
+            if forms is None:
+                if len(known) > 200_000:
+                    known.clear()
+                forms = known[raw] = expand(raw)
+            found.append(forms)
+        return list(dict.fromkeys(chain.from_iterable(found)))
 
     for series in texts:
         yield series.map(tokens, na_action=None)

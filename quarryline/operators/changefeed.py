@@ -19,23 +19,33 @@ KEY = ("workspace", "path", "kind")
 def coalesce_events(events: DataFrame, keys: tuple[str, ...] = KEY) -> DataFrame:
     """One pending job for each key: most urgent priority, latest time, latest
     payload that is not null.  ``seq`` breaks ties of time."""
-    order = F.struct("enqueued_at", "seq")
-    return events.groupBy(*keys).agg(
+    return events.groupBy(*keys).agg(*_coalesced(F.struct("enqueued_at", "seq")), F.count("*").alias("events"))
+
+
+def _coalesced(order: Column) -> list[Column]:
+    return [
         F.min(F.coalesce("priority", F.lit(DEFAULT_PRIORITY))).alias("priority"), F.max("enqueued_at").alias("enqueued_at"),
-        F.max_by("payload", F.when(F.col("payload").isNotNull(), order)).alias("payload"), F.count("*").alias("events"),
-    )
+        F.max_by("payload", F.when(F.col("payload").isNotNull(), order)).alias("payload"),
+    ]
 
 
 def enqueue(jobs: DataFrame, events: DataFrame, keys: tuple[str, ...] = KEY) -> DataFrame:
-    """Events join pending jobs of their key; running jobs are left alone, so
-    an edit during a run makes a new job."""
-    pending = jobs.filter("state = 'pending'").select(*keys, "priority", "enqueued_at", "payload", F.lit(-1).cast("long").alias("seq"))
-    new = events.select(*keys, "priority", "enqueued_at", "payload", F.col("seq").cast("long").alias("seq"))
-    merged = coalesce_events(pending.unionByName(new), keys).drop("events").withColumn("state", F.lit("pending"))
-    rest = jobs.filter("state <> 'pending'")
-    extra = {c: t for c, t in jobs.dtypes if c not in merged.columns}
-    merged = merged.withColumns({c: F.lit(0 if c == "attempts" else None).cast(t) for c, t in extra.items()}) if extra else merged
-    return rest.unionByName(merged)
+    """Events join the pending job of their key, which keeps its id, attempts
+    and error; running jobs are left alone, so an edit during a run makes a new
+    job, whose id is larger than any before."""
+    extra = {c: t for c, t in jobs.dtypes if c not in (*keys, "priority", "enqueued_at", "payload", "state")}
+    own = ["priority", "enqueued_at", "payload"]
+    pending = jobs.filter("state = 'pending'").select(*keys, *own, *extra, F.lit(-1).cast("long").alias("seq"))
+    new = events.select(*keys, *own, *(F.lit(None).cast(t).alias(c) for c, t in extra.items()), F.col("seq").cast("long").alias("seq"))
+    order = F.struct("enqueued_at", "seq")
+    merged = pending.unionByName(new).groupBy(*keys).agg(*_coalesced(order), *(F.max(c).alias(c) for c in extra))  # of a key one pending job at most has them
+    merged = merged.withColumn("state", F.lit("pending"))
+    if "attempts" in extra:
+        merged = merged.withColumn("attempts", F.coalesce("attempts", F.lit(0)))
+    if "id" in extra:
+        last = jobs.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_last"))  # one row
+        merged = merged.join(F.broadcast(last)).withColumn("id", F.coalesce("id", F.col("_last") + 1 + F.monotonically_increasing_id())).drop("_last")
+    return jobs.filter("state <> 'pending'").unionByName(merged.select(*jobs.columns))
 
 
 def claim(jobs: DataFrame, worker: str, now: int, *, n: int = 1, kinds: tuple[str, ...] = ("parse", "delete"), lease_ms: int = LEASE_MS) -> DataFrame:

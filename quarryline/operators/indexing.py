@@ -9,11 +9,26 @@ Tables (all DataFrames):
 
 A chunk is addressed by the hash of its header and body, so equal content is
 stored once.  An update replaces all rows of the paths that it names.
+
+Search reads inverted tables, made by ``searchable`` and kept with the index:
+
+* ``postings``: term, content_hash, length, and the term's places in ``body``,
+  ``header`` and ``tokens``
+* ``stats``: n chunks and their total length, in rows that add up
+* ``idents``: identifier, content_hash
+* ``grams``: three characters, identifier (each identifier once)
+
+They are stored by ``bucket``, a hash of the first column, and sorted within, so
+a query reads the buckets and row groups of its own terms.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import uuid
+import zlib
+from collections.abc import Iterable, Iterator
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarryline.functions import code_text as T
@@ -113,6 +128,68 @@ def interesting(callee):
     return (F.length(callee) > 2) & ~callee.isin(*COMMON_CALLEES)
 
 
+#: Buckets of the inverted tables.
+BUCKETS = 64
+_INVERTED = {"postings": "term", "idents": "ident", "grams": "gram"}
+
+
+def bucket(key: Column) -> Column:
+    return (F.crc32(key.cast("binary")) % BUCKETS).cast("int")
+
+
+def in_buckets(column: str, keys: Iterable[str]) -> Column:
+    """Rows of an inverted table with one of some keys, by bucket and key."""
+    keys = list(keys)
+    return F.col("bucket").isin(sorted({zlib.crc32(k.encode()) % BUCKETS for k in keys})) & F.col(column).isin(keys)
+
+
+def _places(batches: Iterator) -> Iterator:
+    """Chunks with their words by column to one row for each term."""
+    import pyarrow as pa
+
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            rows = []
+            for chunk, length, *columns in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                found: dict[str, tuple[list, list, list]] = {}
+                for k, words in enumerate(columns):
+                    for i, w in enumerate(words):
+                        places = found.get(w)
+                        if places is None:
+                            places = found[w] = ([], [], [])
+                        places[k].append(i)
+                rows += [(w, chunk, length, *places) for w, places in found.items()]
+            if rows:
+                kinds = (pa.string(), pa.string(), pa.int32(), *[pa.list_(pa.int32())] * 3)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["term", "content_hash", "length", "body", "header", "tokens"])
+
+
+def fts_table(chunks: DataFrame) -> DataFrame:
+    """Full-text words of each chunk by column, and their number."""
+    rows = chunks.select("content_hash", T.fts_words(F.col("body")).alias("body"), T.fts_words(F.col("header")).alias("header"), T.fts_words(T.token_column(F.concat_ws("\n", "header", "body"))).alias("tokens"))
+    return rows.withColumn("length", F.size("body") + F.size("header") + F.size("tokens"))
+
+
+def inverted(chunks: DataFrame) -> Index:
+    """The search tables of chunks."""
+    fts = fts_table(chunks).select("content_hash", "length", "body", "header", "tokens")
+    postings = fts.mapInArrow(_places, "term string, content_hash string, length int, body array<int>, header array<int>, tokens array<int>")
+    # Each chunk has words (its header names its path), so its length stands in its postings once for each term.
+    stats = fts.agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("total"))
+    idents = chunks.select(F.explode(T.identifiers(F.col("body"))).alias("ident"), "content_hash")
+    names = idents.select("ident").distinct()
+    starts = F.sequence(F.lit(1), F.length("ident") - 2)
+    grams = names.select(F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring(F.col("ident"), i, F.lit(3))))).alias("gram"), "ident")
+    out = {"postings": postings, "idents": idents, "grams": grams}
+    return {"stats": stats} | {name: t.withColumn("bucket", bucket(F.col(_INVERTED[name]))) for name, t in out.items()}
+
+
+def searchable(index: Index) -> Index:
+    """The index with its search tables."""
+    return index | inverted(index["chunks"])
+
+
 _BY_PATH = ("file_chunks", "symbols", "edges")
 
 
@@ -128,7 +205,12 @@ def update(index: Index, files: DataFrame, *, window: int = 120) -> Index:
     kept, new = without_paths(index, files), build(files, window=window)
     out = {name: kept[name].unionByName(new[name]) for name in _BY_PATH}
     fresh = new["chunks"].join(index["chunks"].select("content_hash"), "content_hash", "left_anti")
-    return out | {"chunks": index["chunks"].unionByName(fresh)}
+    out["chunks"] = index["chunks"].unionByName(fresh)
+    if "postings" in index:
+        more = inverted(fresh)
+        more["grams"] = more["grams"].join(index["grams"], ["bucket", "gram", "ident"], "left_anti")
+        out |= {name: index[name].unionByName(more[name]) for name in more}
+    return out
 
 
 def garbage(index: Index) -> DataFrame:
@@ -137,8 +219,16 @@ def garbage(index: Index) -> DataFrame:
 
 
 def collect_garbage(index: Index) -> Index:
-    live = index["chunks"].join(index["file_chunks"].select("content_hash").distinct(), "content_hash", "left_semi")
-    return index | {"chunks": live}
+    used = index["file_chunks"].select("content_hash").distinct()
+    out = index | {"chunks": index["chunks"].join(used, "content_hash", "left_semi")}
+    if "postings" in index:
+        gone = garbage(index).select("content_hash")
+        lost = index["postings"].join(gone, "content_hash").groupBy("content_hash").agg(F.first("length").alias("length"))
+        lost = lost.agg((-F.count("*")).alias("n"), (-F.coalesce(F.sum("length"), F.lit(0))).alias("total"))
+        out |= {name: index[name].join(used, "content_hash", "left_semi") for name in ("postings", "idents")}
+        # Grams of identifiers that no chunk holds any more lead nowhere and do no harm.
+        out["stats"] = index["stats"].unionByName(lost)
+    return out
 
 
 def deduplicated_symbols(symbols: DataFrame) -> DataFrame:
@@ -148,20 +238,32 @@ def deduplicated_symbols(symbols: DataFrame) -> DataFrame:
     return symbols.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
 
 
-SCHEMA_VERSION = 3
+SCHEMA_VERSION = 4
+_META = "key string, value string"
 
 
 def save(index: Index, path: str) -> None:
-    """Write all tables and the schema version as Parquet."""
-    for name, table in index.items():
-        table.write.mode("overwrite").parquet(f"{path}/{name}")
+    """Write all tables as Parquet.  They go to a folder of their own, which
+    ``current`` names only once all of them stand, so a write that fails leaves
+    the index as it was."""
     spark = next(iter(index.values())).sparkSession
-    spark.createDataFrame([("schema_version", str(SCHEMA_VERSION))], "key string, value string").coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
-
-
-def load(spark, path: str) -> Index:
+    name = f"v-{uuid.uuid4().hex}"
+    for table, rows in index.items():
+        if table in _INVERTED:
+            key = _INVERTED[table]
+            rest = "content_hash" if table != "grams" else "ident"
+            rows = rows.repartitionByRange("bucket", key, rest).sortWithinPartitions("bucket", key, rest)  # noqa: PLW2901
+            rows.write.partitionBy("bucket").parquet(f"{path}/{name}/{table}")
+        else:
+            rows.write.parquet(f"{path}/{name}/{table}")
+    meta = [("schema_version", str(SCHEMA_VERSION)), ("folder", name), ("tables", ",".join(index))]
+    spark.createDataFrame(meta, _META).coalesce(1).write.mode("overwrite").parquet(f"{path}/current")
+
+
+def load(spark: SparkSession, path: str) -> Index:
     """Open a saved index; another schema version is an error, never a migration."""
-    found = spark.read.parquet(f"{path}/meta").filter("key = 'schema_version'").first()
-    if found is None or int(found.value) != SCHEMA_VERSION:
-        raise ValueError(f"index has schema version {found and found.value}; this engine reads {SCHEMA_VERSION}")
-    return {name: spark.read.parquet(f"{path}/{name}") for name in ("chunks", *_BY_PATH)}
+    meta = {r.key: r.value for r in spark.read.schema(_META).parquet(f"{path}/current").collect()}
+    found = meta.get("schema_version")
+    if found != str(SCHEMA_VERSION):
+        raise ValueError(f"index has schema version {found}; this engine reads {SCHEMA_VERSION}")
+    return {name: spark.read.parquet(f"{path}/{meta['folder']}/{name}") for name in meta["tables"].split(",")}

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarryline.functions import code_text as T
+from quarryline.operators import indexing
 
 # Column weights and constants of the full-text score.
 COLUMN_WEIGHTS = {"body": 1.0, "header": 2.0, "tokens": 1.5}
@@ -18,13 +21,6 @@ RANK_CONSTANT = 60
 SPAN_COST, VARIETY = 32, 3
 
 
-def fts_table(chunks: DataFrame) -> DataFrame:
-    """Full-text words of each chunk by column, and their number.  Worth
-    saving: later queries read only words."""
-    rows = chunks.select("content_hash", T.fts_words(F.col("body")).alias("body"), T.fts_words(F.col("header")).alias("header"), T.fts_words(T.token_column(F.concat_ws("\n", "header", "body"))).alias("tokens"))
-    return rows.withColumn("length", F.size("body") + F.size("header") + F.size("tokens"))
-
-
 def _phrase_count(words: Column, phrase: list[str]) -> Column:
     """How often a phrase of consecutive words occurs."""
     if len(phrase) == 1:
@@ -39,19 +35,53 @@ def _phrase_count(words: Column, phrase: list[str]) -> Column:
     return F.size(F.filter(words, fits))
 
 
+def _phrases(query: str) -> list[list[str]]:
+    return [p for p in (T.fts_words_of(t) for t in T.query_terms(query)) if p]
+
+
 def bm25(fts: DataFrame, query: str) -> DataFrame:
     """``content_hash`` and ``score`` (higher is better) of chunks that hold any
-    of the query's phrases.  Statistics cover the whole table."""
-    phrases = [p for p in (T.fts_words_of(t) for t in T.query_terms(query)) if p]
+    of the query's phrases.  Statistics cover the whole table.  For chunks
+    without an index: every word is read."""
+    phrases = _phrases(query)
     if not phrases:
         return fts.select("content_hash", F.lit(0.0).alias("score")).limit(0)
     weight = [sum((F.lit(w) * _phrase_count(F.col(c), p) for c, w in COLUMN_WEIGHTS.items()), F.lit(0.0)) for p in phrases]
-    rows = fts.select("content_hash", "length", F.array(*weight).alias("f")).persist()  # read twice: for the totals and the scores
-    totals = rows.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *(F.count(F.when(F.col("f")[i] > 0, 1)).alias(f"n{i}") for i in range(len(phrases))))
+    rows = fts.select("content_hash", "length", F.array(*weight).alias("f"))
+    stats = fts.agg(F.count("*").alias("n"), F.sum("length").alias("total"))
+    return _scored(rows, stats, len(phrases))
+
+
+def bm25_postings(postings: DataFrame, stats: DataFrame, query: str) -> DataFrame:
+    """The same from an index: only rows of the query's terms are read."""
+    phrases = _phrases(query)
+    terms = list(dict.fromkeys(w for p in phrases for w in p))
+    if not terms:
+        return postings.select("content_hash", F.lit(0.0).alias("score")).limit(0)
+    at = lambda t, c: F.col(f"t{terms.index(t)}.{c}")
+    places = F.struct(*COLUMN_WEIGHTS)
+    rows = postings.filter(indexing.in_buckets("term", terms)).groupBy("content_hash").agg(
+        F.max("length").alias("length"), *(F.max_by(places, F.when(F.col("term") == t, 1)).alias(f"t{i}") for i, t in enumerate(terms)),
+    )
+
+    def times(phrase: list[str], c: str) -> Column:
+        first = at(phrase[0], c)
+        if len(phrase) > 1:
+            first = F.filter(first, lambda i: reduce(lambda a, b: a & b, (F.array_contains(at(w, c), i + k) for k, w in enumerate(phrase[1:], 1))))
+        return F.coalesce(F.size(first), F.lit(0)) if len(phrase) == 1 else F.coalesce(F.when(reduce(lambda a, b: a & b, (at(w, c).isNotNull() for w in phrase)), F.size(first)), F.lit(0))
+
+    weight = [sum((F.lit(w) * F.greatest(times(p, c), F.lit(0)) for c, w in COLUMN_WEIGHTS.items()), F.lit(0.0)) for p in phrases]
+    return _scored(rows.select("content_hash", "length", F.array(*weight).alias("f")), stats, len(phrases))
+
+
+def _scored(rows: DataFrame, stats: DataFrame, phrases: int) -> DataFrame:
+    """Scores of rows (content_hash, length, f: weighted counts by phrase)."""
+    found = rows.agg(*(F.count(F.when(F.col("f")[i] > 0, 1)).alias(f"n{i}") for i in range(phrases)))
+    totals = stats.agg(F.sum("n").alias("n"), (F.sum("total") / F.sum("n")).alias("mean")).join(found)
     rows = rows.filter(F.exists("f", lambda x: x > 0)).join(F.broadcast(totals))  # one row
     norm = K1 * (1 - B + B * F.col("length") / F.col("mean"))
     score = F.lit(0.0)
-    for i in range(len(phrases)):
+    for i in range(phrases):
         raw = F.log((F.col("n") - F.col(f"n{i}") + 0.5) / (F.col(f"n{i}") + 0.5))
         idf = F.when(raw <= 0, F.lit(COMMON_IDF)).otherwise(raw)
         score = score + idf * F.col("f")[i] * (K1 + 1) / (F.col("f")[i] + norm)
@@ -72,8 +102,9 @@ def _ranked(rows: DataFrame, arm: str, limit: int, *order: Column) -> DataFrame:
     return best.select("path", "start_line", "end_line", symbol.alias("symbol"), F.col("content_hash") if "content_hash" in rows.columns else F.lit(None).cast("string").alias("content_hash"), F.lit(arm).alias("arm"), F.lit(ARMS.index(arm)).alias("arm_at"), rank.alias("rank"))
 
 
-def bm25_arm(fts: DataFrame, file_chunks: DataFrame, query: str, limit: int, scope: str | None = None) -> DataFrame:
-    hits = _located(bm25(fts, query), file_chunks, scope).withColumn("score", F.round("score", 6))
+def bm25_arm(index: dict[str, DataFrame], query: str, limit: int, scope: str | None = None) -> DataFrame:
+    hits = bm25_postings(index["postings"], index["stats"], query) if "postings" in index else bm25(indexing.fts_table(index["chunks"]), query)
+    hits = _located(hits, index["file_chunks"], scope).withColumn("score", F.round("score", 6))
     return _ranked(hits, "bm25", limit, F.desc("score"), F.col("path"), F.col("start_line"))
 
 
@@ -83,10 +114,21 @@ def trigram_applies(query: str) -> bool:
     return 3 <= len(q) <= 64 and not any(c.isspace() for c in q)
 
 
-def trigram_arm(chunks: DataFrame, file_chunks: DataFrame, query: str, limit: int, scope: str | None = None) -> DataFrame:
-    """Chunks whose identifiers hold the query as a substring, any case."""
-    hits = T.with_idents(chunks).filter(F.col("idents").contains(query.strip().lower())).select("content_hash")
-    return _ranked(_located(hits, file_chunks, scope), "trigram", limit, F.col("path"), F.col("start_line"))
+def trigram_arm(index: dict[str, DataFrame], query: str, limit: int, scope: str | None = None) -> DataFrame:
+    """Chunks whose identifiers hold the query as a substring, any case.
+
+    The query has no white space, so it stands within one identifier.  With an
+    index, identifiers that hold all of its three-character parts are verified,
+    and only their chunks are read."""
+    wanted = query.strip().lower()
+    if "grams" in index:
+        grams = {wanted[i : i + 3] for i in range(len(wanted) - 2)}
+        names = index["grams"].filter(indexing.in_buckets("gram", grams)).groupBy("ident").agg(F.countDistinct("gram").alias("n"))
+        names = names.filter((F.col("n") == len(grams)) & F.col("ident").contains(wanted)).select("ident", indexing.bucket(F.col("ident")).alias("bucket"))
+        hits = index["idents"].join(names, ["bucket", "ident"]).select("content_hash").distinct()
+    else:
+        hits = T.with_idents(index["chunks"]).filter(F.col("idents").contains(wanted)).select("content_hash")
+    return _ranked(_located(hits, index["file_chunks"], scope), "trigram", limit, F.col("path"), F.col("start_line"))
 
 
 def symbol_names(query: str) -> list[str]:
@@ -134,14 +176,13 @@ def per_arm(limit: int) -> int:
     return max(3 * limit, 30)
 
 
-def search(index: dict[str, DataFrame], query: str, *, scope: str | None = None, limit: int = 20, texts: DataFrame | None = None) -> DataFrame:
+def search(index: dict[str, DataFrame], query: str, *, scope: str | None = None, limit: int = 20, texts: DataFrame | None = None, weights: dict[str, float] | None = None) -> DataFrame:
     """Fused spans; with ``texts`` (path, text) each also has its live ``text``."""
     n = per_arm(limit)
-    fts = index["fts"] if "fts" in index else fts_table(index["chunks"])
-    arms = [bm25_arm(fts, index["file_chunks"], query, n, scope), symbol_arm(index["symbols"], query, n, scope)]
+    arms = [bm25_arm(index, query, n, scope), symbol_arm(index["symbols"], query, n, scope)]
     if trigram_applies(query):  # a plan without the arm, rather than an arm without rows
-        arms.insert(1, trigram_arm(index["chunks"], index["file_chunks"], query, n, scope))
-    found = fuse(*arms, limit=limit)
+        arms.insert(1, trigram_arm(index, query, n, scope))
+    found = fuse(*arms, limit=limit, weights=weights)
     return found if texts is None else with_text(found, texts)
 
 
@@ -223,6 +264,16 @@ def expand(file_chunks: DataFrame, texts: DataFrame, span: str, before: int = 20
     return rows.select("path", F.col("first_line").alias("start_line"), F.col("last_line").alias("end_line"), "text")
 
 
+def place_of(index: dict[str, DataFrame], span: str) -> dict | None:
+    """Path and lines of a span id: of a chunk, or of a symbol that no chunk
+    was found with."""
+    by = lambda content: T.span_id(content, F.col("path"), F.col("start_line"), F.col("end_line")) == span
+    rows = index["file_chunks"].filter(by(F.col("content_hash"))).select("path", "start_line", "end_line")
+    rows = rows.unionByName(index["symbols"].filter(by(F.col("path"))).select("path", "start_line", "end_line"))
+    row = rows.first()
+    return row and row.asDict()
+
+
 def expand_all(places: DataFrame, texts: DataFrame, before: int, after: int) -> DataFrame:
     """Places (path, start_line, end_line) with the lines around them:
     ``first_line``, ``last_line`` and ``text``."""

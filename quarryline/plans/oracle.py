@@ -136,6 +136,10 @@ WITH {bm25(_NAME_PHRASES, chunks=codebase_oracle.CODE_CHUNKS)}, b AS (
 SELECT row_number() OVER (ORDER BY score DESC, first, path, start_line, end_line)::INTEGER AS rank, path, start_line, end_line, matched, round(score, 6) AS score
 FROM fused QUALIFY rank <= 10"""
 
+#: Tokens of ``PHRASES`` as phrases: each as a whole, its parts, its parts joined.
+_PHRASES = [["public", "license"], ["public"], ["license"], ["publiclicense"], ["foundation", "software"], ["foundation"], ["software"], ["foundationsoftware"]]
+PHRASE_HITS = f"WITH {bm25(_PHRASES)} SELECT path, start_line, score FROM bm25 ORDER BY score DESC, path, start_line LIMIT 30"
+
 SQL: dict[str, str] = {
     **codebase_oracle.SQL,
     "code_search": CODE_SEARCH,
@@ -185,6 +189,8 @@ WITH {CHUNKS}, w AS (SELECT path, lines, unnest(range(0, greatest(ceil((len(line
 SELECT path, ord::INTEGER AS ord, (ord * 17 + 1)::INTEGER AS start_line, least(ord * 17 + 20, len(lines))::INTEGER AS end_line, md5(array_to_string(lines[ord * 17 + 1:ord * 17 + 20], E'\n')) AS body_md5 FROM w""",
     "bm25_topk": f"WITH {bm25(_TERMS)} SELECT path, start_line, score FROM bm25 ORDER BY score DESC, path, start_line LIMIT 30",
     "bm25_scoped": f"WITH {bm25(_TERMS, chr(39).join(['starts_with(c.path, ', 'src1', ')']))} SELECT path, start_line, score FROM bm25 ORDER BY score DESC, path, start_line LIMIT 30",
+    "bm25_phrases": PHRASE_HITS,
+    "bm25_without_index": PHRASE_HITS,
     "trigram_search": f"""
 WITH {CHUNKS}, hits AS (SELECT path, start_line, end_line FROM chunks WHERE contains(array_to_string({IDENTS.format("body")}, ' '), 'ention.') ORDER BY path, start_line LIMIT 30)
 SELECT path, start_line, end_line, row_number() OVER (ORDER BY path, start_line)::INTEGER AS rank FROM hits""",

@@ -7,6 +7,7 @@ the spans to pack, embeddings the vector arm.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -16,11 +17,12 @@ from quarryline.functions import code_text as T
 from quarryline.operators import changefeed, graph, ignore, indexing, prose, retrieval, status, vectors
 from quarryline.operators.parse import parse_files
 from quarryline.plans import codebase
-from quarryline.session import ship
+from quarryline.session import shared_folder, ship
 from quarryline.sources import git
 
 WINDOW = 20
 PHRASE = "GNU General Public License"
+PHRASES = "public-license foundation.software"
 WORD = "ention."
 NAME = "LANTERN_3"
 
@@ -46,10 +48,20 @@ def chunk_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return indexing.text_chunks(corpus(spark, sf_dir), WINDOW)
 
 
-def corpus_index(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    rows = chunk_rows(spark, sf_dir)
-    symbols = spark.createDataFrame([], "path string, name string, kind string, start_line int, end_line int, exported boolean, name_norm string")
-    return {"chunks": rows.select("content_hash", "header", "body", "kind", "lang", "n_tokens"), "file_chunks": rows.select("path", "ord", "start_line", "end_line", "content_hash"), "symbols": symbols}
+_READY: dict[tuple[str, str], str] = {}
+
+
+def ready_index(spark: SparkSession, sf_dir: str) -> indexing.Index:
+    """The stored index of the corpus, made once for an application."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _READY:
+        rows = chunk_rows(spark, sf_dir)
+        symbols = spark.createDataFrame([], "path string, name string, kind string, start_line int, end_line int, exported boolean, name_norm string")
+        index = {"chunks": rows.select("content_hash", "header", "body", "kind", "lang", "n_tokens"), "file_chunks": rows.select("path", "ord", "start_line", "end_line", "content_hash"), "symbols": symbols}
+        path = f"{shared_folder(spark)}/quarryline-index/{uuid.uuid4().hex}"
+        indexing.save(indexing.searchable(index), path)
+        _READY[key] = path
+    return indexing.load(spark, _READY[key])
 
 
 # Text functions
@@ -174,17 +186,16 @@ def code_import_graph(spark, sf_dir):
 
 @query
 def code_search(spark, sf_dir):
-    found = retrieval.search(indexing.build(source_files(spark, sf_dir)), NAME, limit=10)
+    found = retrieval.search(indexing.searchable(indexing.build(source_files(spark, sf_dir))), NAME, limit=10)
     return found.select("rank", "path", "start_line", "end_line", F.array_join("matched", "+").alias("matched"), F.round("score", 6).alias("score"))
 
 
 # Retrieval
 
 
-def _bm25(spark, sf_dir, scope=None):
-    rows = chunk_rows(spark, sf_dir)
-    index = corpus_index(spark, sf_dir)
-    hits = retrieval._located(retrieval.bm25(retrieval.fts_table(rows), PHRASE), index["file_chunks"], scope)
+def _bm25(spark, sf_dir, query=PHRASE, scope=None):
+    index = ready_index(spark, sf_dir)
+    hits = retrieval._located(retrieval.bm25_postings(index["postings"], index["stats"], query), index["file_chunks"], scope)
     hits = hits.select("path", "start_line", F.round("score", 6).alias("score"))
     return hits.orderBy(F.desc("score"), "path", "start_line").limit(30)
 
@@ -196,13 +207,27 @@ def bm25_topk(spark, sf_dir):
 
 @query
 def bm25_scoped(spark, sf_dir):
-    return _bm25(spark, sf_dir, "src1")
+    return _bm25(spark, sf_dir, scope="src1")
+
+
+@query
+def bm25_phrases(spark, sf_dir):
+    """Tokens of several words are phrases."""
+    return _bm25(spark, sf_dir, PHRASES)
+
+
+@query
+def bm25_without_index(spark, sf_dir):
+    """The same hits from the chunks themselves."""
+    rows = chunk_rows(spark, sf_dir)
+    hits = retrieval.bm25(indexing.fts_table(rows), PHRASES).select("content_hash", F.round("score", 6).alias("score"))
+    hits = rows.select("content_hash", "path", "start_line").join(hits, "content_hash").select("path", "start_line", "score")
+    return hits.orderBy(F.desc("score"), "path", "start_line").limit(30)
 
 
 @query
 def trigram_search(spark, sf_dir):
-    index = corpus_index(spark, sf_dir)
-    return retrieval.trigram_arm(index["chunks"], index["file_chunks"], WORD, 30).select("path", "start_line", "end_line", "rank")
+    return retrieval.trigram_arm(ready_index(spark, sf_dir), WORD, 30).select("path", "start_line", "end_line", "rank")
 
 
 @query
@@ -223,7 +248,7 @@ def symbol_arm(spark, sf_dir):
 
 @query
 def rrf_search(spark, sf_dir):
-    found = retrieval.search(corpus_index(spark, sf_dir), WORD, limit=20)
+    found = retrieval.search(ready_index(spark, sf_dir), WORD, limit=20)
     return found.select("rank", "path", "start_line", "end_line", F.array_join("matched", "+").alias("matched"), F.round("score", 6).alias("score"), "id")
 
 

@@ -4,91 +4,118 @@ from __future__ import annotations
 
 import json
 import os
+import re
+import stat
 import time
+from collections.abc import Iterable, Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryline.functions.code_text import short_hash
-from quarryline.operators.ignore import DENIED_DIRS, PROJECT_IGNORE, skip_reason
+from quarryline.operators.ignore import PROJECT_IGNORE, should_skip_directory, skip_reason
 from quarryline.session import ship
 
 
-def _relative(root: str):
-    """Path below the root, with slashes, whatever the file system's scheme."""
-    plain = root.rstrip("/").split("://", 1)[-1].removeprefix("file:")
-    path = F.regexp_replace(F.col("path"), r"^[a-z0-9]+:/*", "/")
-    return F.substring(path, len(os.path.normpath(plain)) + 2, 1 << 20)
+def _plain(root: str) -> str | None:
+    """The path of a folder of the local file system, none for other stores."""
+    at = re.sub(r"^file:/*(?=/)", "", root)
+    return None if "://" in at else at
 
 
-def _hidden(root: str) -> list[str]:
-    """Files of a local folder that Spark's listing leaves out: a name on their
-    way starts with a dot or an underscore."""
-    plain = root.removeprefix("file://")
-    out = []
-    for folder, dirs, names in os.walk(plain) if "://" not in plain else ():
-        dirs[:] = [d for d in dirs if d not in DENIED_DIRS]
+def _local_tree(root: str) -> Iterator[tuple]:
+    for folder, dirs, names in os.walk(root):  # unreadable folders give nothing
+        dirs[:] = [d for d in dirs if not should_skip_directory(d)]
         for name in names:
-            path = Path(folder, name).relative_to(plain).as_posix()
-            if any(part[0] in "._" for part in path.split("/")):
-                out.append(path)
-    return sorted(out)
-
-
-def _read_local(root: str):
+            at = Path(folder, name)
+            try:
+                found = at.stat()
+            except OSError:
+                continue
+            if stat.S_ISREG(found.st_mode):
+                yield at.relative_to(root).as_posix(), str(at), found.st_mtime * 1000, found.st_size
+
+
+def _stored_tree(spark: SparkSession, root: str) -> Iterator[tuple]:
+    """The same by Spark's own file systems."""
+    top = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    todo = [("", top)]
+    while todo:
+        above, folder = todo.pop()
+        for found in fs.listStatus(folder):
+            name = found.getPath().getName()
+            if not found.isDirectory():
+                yield above + name, found.getPath().toString(), float(found.getModificationTime()), found.getLen()
+            elif not should_skip_directory(name):
+                todo.append((f"{above}{name}/", found.getPath()))
+
+
+def listing(spark: SparkSession, root: str) -> DataFrame:
+    """Names of all files below a folder: path, disk_path, disk_mtime (ms),
+    disk_size.  Denied directories are not entered.  The names of one
+    workspace are listed on the driver; nothing is read."""
+    plain = _plain(root)
+    rows = list(_local_tree(plain) if plain else _stored_tree(spark, root))
+    return ship(spark).createDataFrame(rows, "path string, disk_path string, disk_mtime double, disk_size long")
+
+
+def _read_local(batches: Iterator) -> Iterator:
     """Reads listed files where their tasks run."""
-    plain = root.removeprefix("file://")
-
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            rows = []
-            for path in batch.column(0).to_pylist():
-                at = Path(plain, path)
-                try:
-                    rows.append((path, at.read_bytes(), str(at), at.stat().st_mtime * 1000, at.stat().st_size))
-                except OSError:
-                    continue  # gone or unreadable since it was listed
-            if rows:
-                cols = zip(*rows, strict=True)
-                types = (pa.string(), pa.binary(), pa.string(), pa.float64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["path", "content", "disk_path", "disk_mtime", "disk_size"])
-
-    return run
-
-
-def _listed(spark: SparkSession, root: str) -> DataFrame:
-    """All files below a folder: path, content, disk_path, disk_mtime, disk_size."""
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    rows = rows.select(_relative(root).alias("path"), "content", F.col("path").alias("disk_path"), (F.unix_micros("modificationTime") / 1000.0).alias("disk_mtime"), F.col("length").alias("disk_size"))
-    hidden = _hidden(root)
-    if hidden:
-        names = ship(spark).createDataFrame([(p,) for p in hidden], "path string")
-        rows = rows.unionByName(names.mapInArrow(_read_local(root), "path string, content binary, disk_path string, disk_mtime double, disk_size long"))
-    return rows
+    import pyarrow as pa
+
+    for batch in batches:
+        for row in batch.to_pylist():
+            try:
+                content = Path(row["disk_path"]).read_bytes()
+            except OSError:
+                continue  # gone or unreadable since it was listed
+            yield pa.RecordBatch.from_pylist([{**row, "content": content}], schema=pa.schema([*batch.schema, ("content", pa.binary())]))
 
 
 def walk(spark: SparkSession, root: str, *, ignore_files: dict[str, str] | None = None, limit: int | None = None) -> DataFrame:
     """Files below a folder that path rules keep: path (relative), disk_path,
     disk_mtime (ms), disk_size."""
-    rows = _listed(spark, root).select("path", "disk_path", "disk_mtime", "disk_size")
-    rows = rows.filter(skip_reason(F.col("path"), ignore_files).isNull())
+    rows = listing(spark, root).filter(skip_reason(F.col("path"), ignore_files).isNull())
     return rows.orderBy("path").limit(limit) if limit is not None else rows
 
 
-def read_texts(spark: SparkSession, root: str, *, ignore_files: dict[str, str] | None = None) -> DataFrame:
-    """Kept files with their text (UTF-8) and hash: path, source, hash, size."""
-    rows = _listed(spark, root).filter(skip_reason(F.col("path"), ignore_files).isNull())
-    return rows.select("path", F.expr("try_validate_utf8(decode(content, 'UTF-8'))").alias("source"), short_hash(F.col("content")).alias("hash"), F.col("disk_size").alias("size"))
+def read_texts(spark: SparkSession, root: str, *, ignore_files: dict[str, str] | None = None, paths: Iterable[str] | None = None) -> DataFrame:
+    """Kept files with their text (UTF-8) and hash: path, source, hash, size,
+    mtime.  Files are listed, filtered and only then read; with ``paths`` only
+    these are looked at."""
+    plain = _plain(root)
+    if paths is None:
+        kept = walk(spark, root, ignore_files=ignore_files)
+    else:
+        named = []
+        for path in dict.fromkeys(paths):
+            at = Path(plain or "/", path)
+            if plain and at.is_file():
+                named.append((path, str(at), at.stat().st_mtime * 1000, at.stat().st_size))
+            elif not plain:
+                named.append((path, f"{root.rstrip('/')}/{path}", None, None))
+        kept = ship(spark).createDataFrame(named, "path string, disk_path string, disk_mtime double, disk_size long").filter(skip_reason(F.col("path"), ignore_files).isNull())
+    if plain:
+        rows = kept.mapInArrow(_read_local, "path string, disk_path string, disk_mtime double, disk_size long, content binary")
+    else:
+        there = [(r.path, r.disk_path) for r in kept.select("path", "disk_path").collect()]  # names of one workspace
+        raw = spark.read.format("binaryFile").option("ignoreMissingFiles", True).load([d for _, d in there]) if there else None
+        names = spark.createDataFrame(there, "path string, disk_path string")
+        rows = names.withColumns({"content": F.lit(None).cast("binary"), "disk_mtime": F.lit(0.0), "disk_size": F.lit(0)}).limit(0)
+        if raw is not None:
+            raw = raw.select(F.col("path").alias("_at"), "content", (F.unix_micros("modificationTime") / 1000.0).alias("disk_mtime"), F.col("length").alias("disk_size"))
+            rows = names.join(raw, F.col("disk_path") == F.col("_at"))
+    text = F.expr("try_validate_utf8(decode(content, 'UTF-8'))")
+    return rows.select("path", text.alias("source"), short_hash(F.col("content")).alias("hash"), F.col("disk_size").alias("size"), F.col("disk_mtime").alias("mtime"))
 
 
 def ignore_files(root: str) -> dict[str, str]:
     """Texts of all ignore files below a local folder, by relative path."""
     out = {}
     for folder, dirs, names in os.walk(root):
-        dirs[:] = [d for d in dirs if d not in DENIED_DIRS]
+        dirs[:] = [d for d in dirs if not should_skip_directory(d)]
         for name in names:
             if name in (".gitignore", PROJECT_IGNORE):
                 p = Path(folder, name)

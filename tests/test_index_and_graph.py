@@ -1,6 +1,7 @@
 import pytest
+from pyspark.sql import functions as F
 
-from quarryline.operators import graph, indexing, prose, status, vectors
+from quarryline.operators import graph, indexing, prose, retrieval, status, vectors
 
 FILES = [
     ("quay/crane.ts", "// Lifts.\nexport class Crane {\n    lift(a: number) { return swingArm(a) + swingArm(a) + max(a); }\n}\nexport const REACH = 9;\nexport function spare() { return makeCrane(); }\n"),
@@ -17,7 +18,11 @@ def frame(spark, files):
 
 @pytest.fixture(scope="module")
 def index(spark):
-    return {k: v.cache() for k, v in indexing.build(frame(spark, FILES)).items()}
+    return {k: v.cache() for k, v in indexing.searchable(indexing.build(frame(spark, FILES))).items()}
+
+
+def totals(index):
+    return tuple(index["stats"].agg({"n": "sum", "total": "sum"}).first())
 
 
 def test_rows(index):
@@ -32,12 +37,18 @@ def test_rows(index):
 def test_update_replaces_paths_and_keeps_chunks(spark, index):
     same = indexing.update(index, frame(spark, FILES[:1]))
     for name in index:
-        assert same[name].count() == index[name].count()
+        assert name == "stats" or same[name].count() == index[name].count()
+    assert totals(same) == totals(index)
     new = indexing.update(index, frame(spark, [("quay/crane.ts", "export function other() {}\n")]))
     assert [r.name for r in new["symbols"].filter("path = 'quay/crane.ts'").collect()] == ["other"]
     dead = indexing.garbage(new).count()
     assert dead > 0
-    assert indexing.garbage(indexing.collect_garbage(new)).count() == 0
+    clean = indexing.collect_garbage(new)
+    assert indexing.garbage(clean).count() == 0
+    anew = indexing.searchable({k: v for k, v in clean.items() if k in ("chunks", "file_chunks", "symbols", "edges")})
+    assert totals(clean) == totals(anew)  # kept up or made anew, the search tables are the same
+    for name in ("postings", "idents"):
+        assert sorted(map(str, clean[name].collect())) == sorted(map(str, anew[name].select(clean[name].columns).collect()))
     gone = indexing.without_paths(index, frame(spark, FILES[:1]))
     assert gone["symbols"].filter("path = 'quay/crane.ts'").count() == 0 and gone["chunks"].count() == index["chunks"].count()
 
@@ -59,8 +70,18 @@ def test_windows_by_both_plans(spark):
 
 def test_save_and_load(spark, index, tmp_path):
     indexing.save(index, str(tmp_path))
-    assert indexing.load(spark, str(tmp_path))["symbols"].count() == index["symbols"].count()
-    spark.createDataFrame([("schema_version", "1")], "key string, value string").write.mode("overwrite").parquet(f"{tmp_path}/meta")
+    again = indexing.load(spark, str(tmp_path))
+    for name in index:
+        assert sorted(map(str, again[name].select(index[name].columns).collect())) == sorted(map(str, index[name].collect())), name
+    hits = [retrieval.search(x, "swingArm").orderBy("rank").collect() for x in (index, again)]
+    assert hits[0] == hits[1] and hits[0]
+    plan = again["postings"].filter(indexing.in_buckets("term", ["crane", "arm"]))._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan.replace("#", "") or "PartitionFilters: [bucket" in plan
+    assert "PushedFilters: [In(term" in plan
+    with pytest.raises(Exception, match="."):
+        indexing.save(index | {"edges": index["edges"].withColumn("bad", F.raise_error(F.lit("broken")))}, str(tmp_path))
+    assert indexing.load(spark, str(tmp_path))["edges"].count() == index["edges"].count()  # a write that fails changes nothing
+    spark.createDataFrame([("schema_version", "1")], "key string, value string").write.mode("overwrite").parquet(f"{tmp_path}/current")
     with pytest.raises(ValueError, match="schema version 1"):
         indexing.load(spark, str(tmp_path))
 
@@ -104,5 +125,5 @@ def test_prose(spark):
     text = "see #12 and ENG-45: TODO https://x.org/a #12"
     refs = {(r.kind, r.ref, r.n) for r in prose.references(spark.createDataFrame([(1, text)], "id int, text string"), "id").collect()}
     assert refs == {("issue", "#12", 2), ("ticket", "ENG-45", 1), ("todo", "TODO", 1), ("link", "https://x.org/a", 1)}
-    secret = spark.createDataFrame([("key AKIA" + "A" * 16 + ' password = "hunter2hunter2" end',)], "t string").select(prose.redacted(__import__("pyspark").sql.functions.col("t")).alias("t")).first().t
+    secret = spark.createDataFrame([("key AKIA" + "A" * 16 + ' password = "hunter2hunter2" end',)], "t string").select(prose.redacted(F.col("t")).alias("t")).first().t
     assert secret == "key [redacted:aws-key] [redacted:assigned] end"

@@ -24,9 +24,7 @@ def files(spark):
 
 @pytest.fixture(scope="module")
 def index(spark, files):
-    out = {k: v.cache() for k, v in indexing.build(files).items()}
-    out["fts"] = retrieval.fts_table(out["chunks"]).cache()
-    return out
+    return {k: v.cache() for k, v in indexing.searchable(indexing.build(files)).items()}
 
 
 @pytest.fixture(scope="module")
@@ -47,9 +45,11 @@ def test_bm25_equals_sqlite(spark):
     con.execute("CREATE VIRTUAL TABLE t USING fts5(body, header, tokens, tokenize='unicode61')")
     for i, body, head in rows:
         con.execute("INSERT INTO t(rowid, body, header, tokens) VALUES (?, ?, ?, ?)", (int(i) + 1, body, head, " ".join(T.tokenize_text(f"{head}\n{body}"))))
-    fts = retrieval.fts_table(chunks).cache()
+    fts, index = indexing.fts_table(chunks).cache(), indexing.inverted(chunks)
+    index = {k: v.cache() for k, v in index.items()}
     for query in ("keel", "low_tide_at", "tieRopeTo tide", "élan", "aft_mast at", "nothing here"):
-        got = {int(r.content_hash) + 1: r.score for r in retrieval.bm25(fts, query).collect()}
+        got = {int(r.content_hash) + 1: r.score for r in retrieval.bm25_postings(index["postings"], index["stats"], query).collect()}
+        assert {k: pytest.approx(v) for k, v in got.items()} == {int(r.content_hash) + 1: r.score for r in retrieval.bm25(fts, query).collect()}
         want = {r[0]: -r[1] for r in con.execute("SELECT rowid, bm25(t, 1.0, 2.0, 1.5) FROM t WHERE t MATCH ?", [T.match_expression(query)])}
         assert set(got) == set(want), query
         for k, v in want.items():
