@@ -42,9 +42,11 @@ from pyspark.sql import functions as F
 from quarryline.llm.common import materialise, partitions
 
 #: Rows of an index block, a multiple of 64.
-BLOCK_ROWS = 16_384
+BLOCK_ROWS = 65_536
 #: Queries of a group: about as many bytes as a block of the index.
 GROUP_QUERIES = 4096
+#: Rows times queries that a task adds up together, as they fit a core's cache.
+TOGETHER = 16_384
 #: Magnitudes of quantised components from which vectors go to other blocks.
 CLASSES = (1 << 10, 1 << 31)
 
@@ -56,17 +58,25 @@ def _csa(a, b, c):
 
 
 def _reduce(addends: np.ndarray, most: int) -> np.ndarray:
-    """Addends (n, planes, words) to two, plane p weighing 2**p.  Their sum is
-    at most ``most``, so no partial sum needs a plane beyond it."""
+    """Addends (n, queries, planes, words), which are used up, to two; plane p
+    weighs 2**p.  Their sum is at most ``most``, so no partial sum needs a plane
+    beyond it."""
     planes = max(1, most.bit_length())
     while len(addends) > 2:
-        m = len(addends) // 3
-        s, c = _csa(addends[:m], addends[m : 2 * m], addends[2 * m : 3 * m])
-        left = addends[3 * m :]
-        width = min(addends.shape[1] + 1, planes)
-        out = np.zeros((2 * m + len(left), width, addends.shape[2]), dtype=np.uint64)
-        own = min(width, addends.shape[1])
-        out[:m, :own], out[m : 2 * m, 1:], out[2 * m :, :own] = s[:, :own], c[:, : width - 1], left[:, :own]
+        n, queries, own, words = addends.shape
+        m, width = n // 3, min(own + 1, planes)
+        own = min(width, own)
+        a, b, c = addends[:m, :, :own], addends[m : 2 * m, :, :own], addends[2 * m : 3 * m, :, :own]
+        out = np.empty((n - m, queries, width, words), dtype=np.uint64)
+        t = a ^ b
+        a &= b
+        np.bitwise_xor(t, c, out=out[:m, :, :own])
+        t &= c
+        np.bitwise_or(t[:, :, : width - 1], a[:, :, : width - 1], out=out[m : 2 * m, :, 1:])
+        out[m : 2 * m, :, 0] = 0
+        out[2 * m :, :, :own] = addends[3 * m :, :, :own]
+        if width > own:
+            out[:m, :, own:] = out[2 * m :, :, own:] = 0
         addends = out
     return addends
 
@@ -87,7 +97,8 @@ class Block:
     whose ids ascend."""
 
     def __init__(self, ids: np.ndarray, planes: np.ndarray, low: int):
-        self.ids, self.planes, self.low = ids, planes, low
+        none = np.zeros((1, *planes.shape[1:]), dtype=np.uint64)  # what queries with fewer addends add
+        self.ids, self.planes, self.low = ids, np.concatenate([planes, none]), low
         words = planes.shape[2]
         valid = np.zeros(words * 64, dtype=np.uint8)
         valid[: len(ids)] = 1
@@ -104,38 +115,50 @@ class Block:
             out[:, b] = np.packbits(np.ascontiguousarray((shifted >> b & 1).astype(np.uint8).T), axis=1, bitorder="little").view(np.uint64)
         return out
 
-    def scores(self, query: np.ndarray) -> tuple[np.ndarray, int]:
-        """Planes of all rows' scores, and the constant to add to them."""
-        _, bits, words = self.planes.shape
-        full = (1 << bits) - 1
-        constant, most = self.low * int(query.sum()), 0
+    def scores(self, queries: np.ndarray) -> tuple[np.ndarray, list[int]]:
+        """Planes of all rows' scores, (planes, queries, words), and the
+        constant to add to them for each query."""
+        n, bits, words = len(queries), *self.planes.shape[1:]
+        full, none = (1 << bits) - 1, len(self.planes) - 1
+        constants, most = [self.low * sum(q.tolist()) for q in queries], 0
         parts = []
-        for b, digit in enumerate(signed_digits(query)):
-            own = np.flatnonzero(digit)
-            if len(own):
-                flip = np.where(digit[own] < 0, np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(0))[:, None, None]
-                parts.append((b, _reduce(self.planes[own] ^ flip, len(own) * full)))
-                constant -= full * int((digit < 0).sum()) << b
-                most += len(own) * full << b
+        for b, digits in enumerate(signed_digits(queries)):
+            counts = np.count_nonzero(digits, axis=1)
+            high = int(counts.max())
+            if not high:
+                continue
+            own, flip = np.full((high, n), none), np.zeros((high, n), dtype=np.uint64)
+            for i, row in enumerate(digits):
+                at = np.flatnonzero(row)
+                own[: len(at), i] = at
+                flip[: len(at), i] = np.where(row[at] < 0, np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(0))
+                constants[i] -= full * int((row < 0).sum()) << b
+            addends = self.planes[own]
+            addends ^= flip[:, :, None, None]
+            parts.append((b, _reduce(addends, high * full)))
+            most += high * full << b
         limit = max(1, most.bit_length())
-        addends = np.zeros((sum(len(p) for _, p in parts), limit, words), dtype=np.uint64)
+        addends = np.zeros((sum(len(p) for _, p in parts), n, limit, words), dtype=np.uint64)
         at = 0
         for b, p in parts:
-            width = min(p.shape[1], limit - b)
-            addends[at : at + len(p), b : b + width] = p[:, :width]
+            width = min(p.shape[2], limit - b)
+            addends[at : at + len(p), :, b : b + width] = p[:, :, :width]
             at += len(p)
         two = _reduce(addends, most)
         if len(two) < 2:
-            return (two[0] if len(two) else np.zeros((1, words), dtype=np.uint64)), constant
-        total = np.empty((limit, words), dtype=np.uint64)
-        carry = np.zeros(words, dtype=np.uint64)
+            return (two[0].transpose(1, 0, 2) if len(two) else np.zeros((1, n, words), dtype=np.uint64)), constants
+        total = np.empty((limit, n, words), dtype=np.uint64)
+        carry = np.zeros((n, words), dtype=np.uint64)
         for p in range(limit):
-            total[p], carry = _csa(two[0][p], two[1][p], carry)
-        return total, constant
+            total[p], carry = _csa(two[0][:, p], two[1][:, p], carry)
+        return total, constants
 
-    def top(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best rows that are not the query's own."""
-        planes, constant = self.scores(query)
+    def top(self, query_ids: list[int], queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query ids and scores of the k best rows that are not its own."""
+        planes, constants = self.scores(queries)
+        return [self._select(planes[:, i], c, q, k) for i, (q, c) in enumerate(zip(query_ids, constants, strict=True))]
+
+    def _select(self, planes: np.ndarray, constant: int, query_id: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         tied = self.valid.copy()
         a, b = np.searchsorted(self.ids, query_id, "left"), np.searchsorted(self.ids, query_id, "right")
         for i in range(a, b):
@@ -156,9 +179,10 @@ class Block:
         rows = np.concatenate([rows, self._rows(tied)[: k - len(rows)]])  # equal scores: ids ascend with rows
         word, bit = rows >> 6, (rows & 63).astype(np.uint64)
         kind = np.int64 if max(len(planes), constant.bit_length()) < 62 else object
+        found = (planes[:, word] >> bit & np.uint64(1)).astype(np.int64).astype(kind)
         scores = np.full(len(rows), constant, dtype=kind)
         for p in range(len(planes)):
-            scores = scores + ((planes[p][word] >> bit & np.uint64(1)).astype(np.int64).astype(kind) << p)
+            scores = scores + (found[p] << p)
         return self.ids[rows], scores
 
     @staticmethod
@@ -245,22 +269,34 @@ def _search(dims: int, k: int):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        unit, blocks = None, []
+        unit, blocks, asked = None, [], []
+
+        def answers():
+            """Queries of one kind, some at a time, against the unit's blocks."""
+            out = []
+            asked.sort(key=lambda q: q[1].dtype == object)
+            while asked:
+                together = max(1, TOGETHER // max([1, *(len(b.ids) for b in blocks)]))
+                own = [q for q in asked[:together] if q[1].dtype == asked[0][1].dtype]
+                del asked[: len(own)]
+                ids = [q for q, _ in own]
+                for b in blocks:
+                    for q, (found, scores) in zip(ids, b.top(ids, np.array([v for _, v in own]), k), strict=True):
+                        out.append((np.full(len(found), q, dtype=np.int64), found, scores))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*out, strict=True)], names=["query_id", "vec_id", "score"])
+
         for batch in batches:
-            out: list[tuple] = []
             for block, group, kind, qid, low, bits, ids, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (block, group) != unit:
+                    yield from answers()
                     unit, blocks = (block, group), []
                 if kind == 0:
                     rows = np.frombuffer(ids, dtype=np.int64)
                     blocks.append(Block(rows, np.frombuffer(data, dtype=np.uint64).reshape(dims, bits, -1), int(low)))
                 else:
-                    query = np.frombuffer(data, dtype=np.int32).astype(np.int64) if bits == 0 else np.array([math.floor(x) for x in np.frombuffer(data, dtype=np.float64).tolist()], dtype=object)
-                    for b in blocks:
-                        found, scores = b.top(qid, query, k)
-                        out.append((np.full(len(found), qid, dtype=np.int64), found, scores))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*out, strict=True)], names=["query_id", "vec_id", "score"])
+                    asked.append((qid, np.frombuffer(data, dtype=np.int32).astype(np.int64) if bits == 0 else np.array([math.floor(x) for x in np.frombuffer(data, dtype=np.float64).tolist()], dtype=object)))
+        yield from answers()
 
     return run
 

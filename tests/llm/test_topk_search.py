@@ -51,11 +51,11 @@ def test_block_scores_are_exact():
     draw = np.random.default_rng(1)
     values = draw.integers(-64, 65, (100, 16))
     block = Block(np.arange(100), Block.pack(values, -64, 8), -64)
-    for _ in range(10):
-        q = draw.integers(-64, 65, 16)
-        ids, scores = block.top(7, q, 100)
-        want = sorted(((-int(values[i] @ q), i) for i in range(100) if i != 7))
-        assert sorted(zip((-scores).tolist(), ids.tolist(), strict=True)) == want
+    for n in (1, 3, 10):
+        queries = draw.integers(-64, 65, (n, 16)) * draw.integers(0, 2, (n, 1))  # some are zero
+        for q, (ids, scores) in zip(queries, block.top([7] * n, queries, 100), strict=True):
+            want = sorted(((-int(values[i] @ q), i) for i in range(100) if i != 7))
+            assert sorted(zip((-scores).tolist(), ids.tolist(), strict=True)) == want
 
 
 def test_empty(spark):
