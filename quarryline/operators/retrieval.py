@@ -250,6 +250,16 @@ def pack(spans: DataFrame, max_tokens: int, *, by: list[str] | None = None, cost
     return rows.select(*by, F.col("packed.kept").alias("spans"), F.col("packed.tokens").alias("tokens"), (F.size("packed.kept") < F.size("items")).alias("truncated"))
 
 
+def envelope(packed: DataFrame, jobs: DataFrame) -> DataFrame:
+    """Packed answers as JSON, each with the state of the index: whether jobs
+    wait, and how many.  Other columns of ``packed`` are kept."""
+    waits = jobs.agg(F.count_if(F.col("state") == "pending").alias("queue_depth"))  # one row
+    rows = packed.join(F.broadcast(waits))
+    state = F.struct((F.col("queue_depth") == 0).alias("fresh"), "queue_depth", F.lit(0).alias("vector_coverage"), F.lit(0).alias("precise_coverage"))
+    body = F.struct(state.alias("index"), "spans", "tokens", "truncated")
+    return rows.select(*(c for c in packed.columns if c not in ("spans", "tokens", "truncated")), F.to_json(body).alias("json"))
+
+
 def outline(symbols: DataFrame, path: str) -> DataFrame:
     """Symbols of a file or of all files below a directory, one row a file."""
     rows = symbols.filter(T.under(F.col("path"), path))

@@ -140,6 +140,21 @@ FROM fused QUALIFY rank <= 10"""
 _PHRASES = [["public", "license"], ["public"], ["license"], ["publiclicense"], ["foundation", "software"], ["foundation"], ["software"], ["foundationsoftware"]]
 PHRASE_HITS = f"WITH {bm25(_PHRASES)} SELECT path, start_line, score FROM bm25 ORDER BY score DESC, path, start_line LIMIT 30"
 
+PACKED = """
+spans AS (
+    SELECT conv_id, (turn + 1)::INTEGER AS rank, role || (turn % 4) AS path, ceil(length(text) / 4.0)::INTEGER + 32 AS cost, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) AS n FROM conversations
+), fold AS (
+    SELECT conv_id, 0::BIGINT AS n, 0::BIGINT AS tokens, []::VARCHAR[] AS paths, []::STRUCT(rank INTEGER, path VARCHAR, cost INTEGER)[] AS kept FROM (SELECT DISTINCT conv_id FROM conversations)
+    UNION ALL
+    SELECT f.conv_id, s.n, CASE WHEN take THEN f.tokens + s.cost ELSE f.tokens END, CASE WHEN take THEN list_distinct(f.paths || [s.path]) ELSE f.paths END,
+           CASE WHEN take THEN f.kept || [{'rank': s.rank, 'path': s.path, 'cost': s.cost}] ELSE f.kept END
+    FROM fold f JOIN spans s ON s.conv_id = f.conv_id AND s.n = f.n + 1,
+         LATERAL (SELECT NOT (f.tokens + s.cost > 400 OR (list_contains(f.paths, s.path) AND len(f.paths) < 3)) AS take)
+), sizes AS (SELECT conv_id, count(*) AS n FROM spans GROUP BY conv_id
+), packed AS (
+    SELECT f.conv_id, f.kept, f.tokens::INTEGER AS tokens, len(f.kept) < f.n AS truncated FROM fold f JOIN sizes z ON z.conv_id = f.conv_id AND z.n = f.n
+)"""
+
 SQL: dict[str, str] = {
     **codebase_oracle.SQL,
     "code_search": CODE_SEARCH,
@@ -224,17 +239,10 @@ FROM q JOIN s ON list_contains(names, regexp_replace(lower(name), '[^a-z0-9]', '
     "scope_filter": rf"""
 WITH {CHUNKS} SELECT doc_id, starts_with(path, 'src1') AS plain, path GLOB 'src[12]/?5*' AS glob, path = 'src2/' OR starts_with(path, 'src2/') AS below, path ILIKE 'SRC_/%9.txt' AS liked FROM docs""",
     "path_fuzzy": rf"WITH {CHUNKS} SELECT path FROM docs WHERE regexp_matches(path, '(?s)s.*?1.*?/.*?7.*?7') ORDER BY length(path), path LIMIT 25",
-    "pack_budget": """
-WITH RECURSIVE spans AS (
-    SELECT conv_id, (turn + 1)::INTEGER AS rank, role || (turn % 4) AS path, ceil(length(text) / 4.0)::INTEGER + 32 AS cost, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) AS n FROM conversations
-), fold AS (
-    SELECT conv_id, 0::BIGINT AS n, 0::BIGINT AS tokens, []::VARCHAR[] AS paths, []::VARCHAR[] AS ranks FROM (SELECT DISTINCT conv_id FROM conversations)
-    UNION ALL
-    SELECT f.conv_id, s.n, CASE WHEN take THEN f.tokens + s.cost ELSE f.tokens END, CASE WHEN take THEN list_distinct(f.paths || [s.path]) ELSE f.paths END, CASE WHEN take THEN f.ranks || [s.rank::VARCHAR] ELSE f.ranks END
-    FROM fold f JOIN spans s ON s.conv_id = f.conv_id AND s.n = f.n + 1,
-         LATERAL (SELECT NOT (f.tokens + s.cost > 400 OR (list_contains(f.paths, s.path) AND len(f.paths) < 3)) AS take)
-), sizes AS (SELECT conv_id, count(*) AS n FROM spans GROUP BY conv_id)
-SELECT f.conv_id, array_to_string(f.ranks, ',') AS ranks, f.tokens::INTEGER AS tokens, len(f.ranks) < f.n AS truncated FROM fold f JOIN sizes z ON z.conv_id = f.conv_id AND z.n = f.n""",
+    "pack_budget": f"WITH RECURSIVE {PACKED} SELECT conv_id, array_to_string([k.rank::VARCHAR for k in kept], ',') AS ranks, tokens, truncated FROM packed",
+    "tool_response_json": f"""
+WITH RECURSIVE {PACKED}, {EVENTS}, w AS (SELECT count(*) FILTER (state = 'pending') AS n FROM jobs)
+SELECT conv_id, json_object('index', {{'fresh': n = 0, 'queue_depth': n, 'vector_coverage': 0, 'precise_coverage': 0}}, 'spans', kept, 'tokens', tokens, 'truncated', truncated)::VARCHAR AS json FROM packed, w""",
     "expand_span": rf"""
 WITH {CHUNKS}, s AS (SELECT c.path, c.start_line, c.end_line, greatest(1, c.start_line - 5)::INTEGER AS first_line, least(len(d.lines), c.end_line + 5)::INTEGER AS last_line, d.lines FROM chunks c JOIN docs d USING (path))
 SELECT path, start_line, end_line, first_line, last_line, md5(array_to_string(lines[first_line:last_line], E'\n')) AS text_md5 FROM s""",
@@ -251,7 +259,6 @@ i AS (SELECT *, sum((reach IS NULL OR start_line > reach + 5)::INTEGER) OVER (PA
 SELECT path, min(start_line) AS start_line, max(end_line) AS end_line, max(score) AS score FROM i GROUP BY path, island""",
     "outline": """
 SELECT p_brand || '/' || p_type AS path, string_agg(p_partkey || ':' || p_name, ';' ORDER BY p_partkey) AS symbols FROM part WHERE p_brand = 'Brand#1' GROUP BY 1""",
-    "tool_response_json": "SELECT n_nationkey, json_object('name', n_name, 'line', n_nationkey)::VARCHAR AS json FROM nation",
     "status_counts": f"""
 WITH {CHUNKS}, f AS (
     SELECT quality IS NOT NULL AS indexed, CASE WHEN quality = 1 THEN 'ok' WHEN toxic = 1 THEN 'errors' END AS parse_state, CASE WHEN lang <> 'es' THEN CASE WHEN lang = 'en' THEN 'text' ELSE lang END END AS lang

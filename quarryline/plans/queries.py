@@ -264,10 +264,14 @@ def path_fuzzy(spark, sf_dir):
     return retrieval.path_fuzzy(corpus(spark, sf_dir).select("path"), "s1/77", 25)
 
 
+def _packed(spark, sf_dir):
+    rows = read(spark, sf_dir, "conversations").select("conv_id", (F.col("turn") + 1).cast("int").alias("rank"), F.concat("role", (F.col("turn") % 4).cast("string")).alias("path"), "text")
+    return retrieval.pack(rows, 400, by=["conv_id"])
+
+
 @query
 def pack_budget(spark, sf_dir):
-    rows = read(spark, sf_dir, "conversations").select("conv_id", (F.col("turn") + 1).cast("int").alias("rank"), F.concat("role", (F.col("turn") % 4).cast("string")).alias("path"), "text")
-    packed = retrieval.pack(rows, 400, by=["conv_id"])
+    packed = _packed(spark, sf_dir)
     return packed.select("conv_id", F.array_join(F.transform("spans", lambda s: s["rank"].cast("string")), ",").alias("ranks"), "tokens", "truncated")
 
 
@@ -305,8 +309,8 @@ def outline(spark, sf_dir):
 
 @query
 def tool_response_json(spark, sf_dir):
-    rows = read(spark, sf_dir, "nation")
-    return rows.select("n_nationkey", F.to_json(F.struct(F.col("n_name").alias("name"), F.col("n_nationkey").alias("line"))).alias("json"))
+    """Packed answers in their envelope; events play the jobs."""
+    return retrieval.envelope(_packed(spark, sf_dir), _jobs(spark, sf_dir))
 
 
 # Status and graphs

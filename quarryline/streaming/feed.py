@@ -25,6 +25,21 @@ def file_stream(spark: SparkSession, root: str, *, files_per_trigger: int = 1000
     return rows.select("path", F.col("modificationTime").alias("ts"), F.col("length").alias("size"))
 
 
+def follow(workspace, checkpoint: str, *, priority: int = changefeed.DEFAULT_PRIORITY, drain: bool = True) -> None:
+    """Take what appeared below a workspace's folder since the last time: each
+    file is a parse job in its queue, several events of one path being one job.
+    With ``drain`` the jobs are done at once."""
+    prefix = workspace.root.rstrip("/") + "/"
+
+    def handle(batch: DataFrame, number: int) -> None:
+        paths = batch.select(F.regexp_replace("path", r"^[a-z0-9]+:/*", "/").alias("path")).distinct().collect()  # files of one micro-batch
+        workspace.enqueue((r.path.removeprefix(prefix), "parse", priority) for r in paths)
+        if drain:
+            workspace.drain()
+
+    run_once(file_stream(workspace.spark, workspace.root), checkpoint, handle)
+
+
 def debounced(events: DataFrame, key: str = "user_id", ts: str = "ts", gap: str = "200 milliseconds") -> DataFrame:
     return changefeed.debounce(events, key, ts, gap)
 

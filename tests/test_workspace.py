@@ -10,6 +10,7 @@ from quarryline.plans import server
 from quarryline.plans.workspace import Workspace
 from quarryline.sources import files as source_files
 from quarryline.sources import git
+from quarryline.streaming import feed
 
 
 @pytest.fixture
@@ -88,6 +89,17 @@ def test_a_failing_file_fails_alone(spark, root, monkeypatch):
     assert [(r.path, r.state, r.attempts) for r in w.jobs.collect()] == [("notes.txt", "dead", 5)]
 
 
+def test_new_files_reach_the_index_by_the_stream(spark, root, tmp_path):
+    w = Workspace(spark, str(root), clock=lambda: 1000)
+    w.cold_index()
+    feed.follow(w, str(tmp_path / "checkpoint"), drain=False)
+    assert "deck/use.ts" in {r.path for r in w.jobs.collect()}  # the first time all files are new
+    w.drain()
+    (root / "deck" / "later.ts").write_text("export function hoistFlag() {}\n")
+    feed.follow(w, str(tmp_path / "checkpoint"))
+    assert w.jobs.count() == 0 and json.loads(w.symbol("hoistFlag"))["symbols"][0]["path"] == "deck/later.ts"
+
+
 def test_server_routes_and_command_line(spark, root, tmp_path):
     out = io.StringIO()
     run = lambda *args: server.main(["--root", str(root), *args], spark=spark, out=out, home=str(tmp_path / "home"))
