@@ -423,7 +423,7 @@ def prefix(hashes: np.ndarray, threshold: tuple[int, int]) -> np.ndarray:
     return np.sort(hashes)[: n + (-n * over // under) + 1]
 
 
-def _prints(shingle: int, words: int, threshold: tuple[int, int], short: int = SHORT):
+def _prints(shingle: int, words: int, threshold: tuple[int, int] = (4, 5), short: int = SHORT):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
