@@ -65,6 +65,8 @@ class IgnoreFile:
 
     def __init__(self, lines: list[str]):
         self.rules = [r for r in map(self._rule, lines) if r]
+        #: Character classes differ between regular expression dialects.
+        self.plain = not any("[" in x for x in lines)
 
     @staticmethod
     def _rule(line: str) -> tuple[re.Pattern, bool, bool] | None:
@@ -127,6 +129,24 @@ class IgnoreFile:
         return verdict
 
 
+    def opinion_of(self, path: Column) -> Column:
+        """``opinion`` by built-in expressions, for rules without classes."""
+        parts = F.split(path, "/")
+        steps = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.struct(F.array_join(F.slice(parts, 1, n), "/").alias("at"), (n == F.size(parts)).alias("last")))
+
+        def step(state: Column, x: Column) -> Column:
+            here = F.lit(None).cast("boolean")
+            for pattern, negated, folder_only in self.rules:  # the last rule that matches counts
+                fits = x["at"].rlike(rf"\A(?:{pattern.pattern})\z")
+                here = F.when(fits & ~x["last"] if folder_only else fits, F.lit(not negated)).otherwise(here)
+            verdict = F.coalesce(here, state["verdict"])
+            closed = state["closed"] | (F.coalesce(verdict, F.lit(False)) & ~x["last"])
+            return F.when(state["closed"], state).otherwise(F.struct(verdict.alias("verdict"), closed.alias("closed")))
+
+        start = F.struct(F.lit(None).cast("boolean").alias("verdict"), F.lit(False).alias("closed"))
+        return F.aggregate(steps, start, step, lambda state: state["verdict"])
+
+
 class IgnoreRules:
     """Ignore files by directory; the deepest opinion wins."""
 
@@ -143,17 +163,36 @@ class IgnoreRules:
         parts, verdict = path.split("/"), None
         for i in range(len(parts)):
             rules = self.by_dir.get("/".join(parts[:i]), {})
-            for name, label in ((".gitignore", "gitignored"), (PROJECT_IGNORE, "projectignored")):
+            for name, label in _labels():
                 opinion = rules[name].opinion("/".join(parts[i:])) if name in rules else None
                 if opinion is not None:
                     verdict = label if opinion else None
         return verdict
 
+    def reason_of(self, path: Column) -> Column:
+        """``reason`` by built-in expressions."""
+        verdict = F.lit(None).cast("string")
+        for folder in sorted(self.by_dir, key=lambda d: (d.count("/"), d) if d else (-1, d)):
+            below = F.substring(path, len(folder) + 2, 1 << 30) if folder else path
+            for name, label in _labels():
+                if name in self.by_dir[folder]:
+                    opinion = self.by_dir[folder][name].opinion_of(below)
+                    own = F.when(opinion, F.lit(label)).when(opinion.isNull(), verdict)
+                    verdict = F.when(path.startswith(folder + "/"), own).otherwise(verdict) if folder else own
+        return F.when(~path.startswith(".."), verdict)
+
+
+def _labels() -> tuple[tuple[str, str], ...]:
+    return ((".gitignore", "gitignored"), (PROJECT_IGNORE, "projectignored"))
+
 
 def ignored_reason(files: Mapping[str, str]):
-    """Column function of the ignore files' verdict.  The files themselves are
-    small and go to tasks with the function."""
+    """Column function of the ignore files' verdict: built-in expressions, but
+    for rules with character classes, which Arrow batches take.  The files
+    themselves are small and go to tasks with the function."""
     rules = IgnoreRules(files)
+    if all(f.plain for own in rules.by_dir.values() for f in own.values()):
+        return rules.reason_of
 
     @F.pandas_udf("string")
     def reason(paths: Iterator[pd.Series]) -> Iterator[pd.Series]:

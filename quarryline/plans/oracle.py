@@ -182,7 +182,7 @@ SELECT doc_id, path, CASE WHEN path = '' OR len(list_intersect(parts, {_LIST(DEN
     WHEN len([e for e in {_LIST(DENIED_EXTENSIONS)} if ends_with(lower(name), e)]) > 0 THEN 'denied-extension' END AS reason
 FROM y""",
     "ignore_file_rules": r"""
-SELECT doc_id, CASE WHEN source = 'src11' THEN 'gitignored' WHEN source = 'src1' AND starts_with(doc_id::VARCHAR, '7') THEN 'gitignored'
+SELECT doc_id, CASE WHEN source = 'src11' THEN 'gitignored' WHEN source = 'src1' AND starts_with(doc_id::VARCHAR, '7') AND length(doc_id::VARCHAR) <> 2 THEN 'gitignored'
     WHEN source = 'src2' AND length(doc_id::VARCHAR) = 2 AND starts_with(doc_id::VARCHAR, '9') THEN 'gitignored' END AS reason
 FROM documents""",
     "line_chunks": f"WITH {CHUNKS} SELECT path, ord, start_line, end_line, length(body)::INTEGER AS n_chars, md5(body) AS body_md5 FROM chunks",

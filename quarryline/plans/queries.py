@@ -114,7 +114,7 @@ def path_skip_rules(spark, sf_dir):
 
 @query
 def ignore_file_rules(spark, sf_dir):
-    files = {".gitignore": "*.log\n/only-root/\nsrc11/\n", "src1/.gitignore": "!keep.log\n7*.txt\n", "src2/.gitignore": "**/9?.txt\n"}
+    files = {".gitignore": "*.log\n/only-root/\nsrc11/\n", "src1/.gitignore": "!keep.log\n7*.txt\n!7?.txt\n", "src2/.gitignore": "**/9?.txt\n"}
     rows = corpus(spark, sf_dir)
     reason = ignore.ignored_reason(files)
     return rows.select("doc_id", reason(F.col("path")).alias("reason"))

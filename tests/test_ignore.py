@@ -38,3 +38,18 @@ def test_content_rules(spark):
 
 def test_directories():
     assert ignore.should_skip_directory("node_modules") and not ignore.should_skip_directory("src")
+
+
+def test_built_in_form_agrees(spark):
+    import random
+
+    draw = random.Random(0)
+    name = lambda: draw.choice(["a", "b", "ab", "x.log", "gen", ""])
+    for _ in range(6):
+        rule = lambda: draw.choice(["", "!", "", ""]) + draw.choice(["", "/", "**/", "a/"]) + draw.choice(["a", "*", "a*", "?", "gen", "*.log", "a/**", "**/b", "a.b", "(a", "+"]) + draw.choice(["", "/"])
+        files = {d + n: "\n".join(rule() for _ in range(3)) for d in ("", "a/", "a/b/", "gen/") for n in (".gitignore", ignore.PROJECT_IGNORE) if draw.random() < 0.7}
+        paths = list({"/".join(filter(None, (name() for _ in range(draw.randint(1, 4))))) or "a" for _ in range(80)} | {"../a", "a.b", "(a", "+"})
+        rules = ignore.IgnoreRules(files)
+        rows = spark.createDataFrame([(p,) for p in paths], "path string").select("path", rules.reason_of(F.col("path")).alias("r"))
+        assert {r.path: r.r for r in rows.collect()} == {p: rules.reason(p) for p in paths}, files
+    assert "Python" in spark.range(1).select(ignore.ignored_reason({".gitignore": "[ab].ts"})(F.lit("a.ts")))._jdf.queryExecution().toString()
