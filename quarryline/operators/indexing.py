@@ -24,12 +24,14 @@ a query reads the buckets and row groups of its own terms.
 
 from __future__ import annotations
 
+import json
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quarryline.functions import code_text as T
 from quarryline.operators.parse import parse_files
@@ -256,7 +258,7 @@ def save(index: Index, path: str) -> None:
             rows.write.partitionBy("bucket").parquet(f"{path}/{name}/{table}")
         else:
             rows.write.parquet(f"{path}/{name}/{table}")
-    meta = [("schema_version", str(SCHEMA_VERSION)), ("folder", name), ("tables", ",".join(index))]
+    meta = [("schema_version", str(SCHEMA_VERSION)), ("folder", name), ("tables", ",".join(index)), *((f"schema of {t}", rows.schema.json()) for t, rows in index.items())]
     spark.createDataFrame(meta, _META).coalesce(1).write.mode("overwrite").parquet(f"{path}/current")
 
 
@@ -266,4 +268,5 @@ def load(spark: SparkSession, path: str) -> Index:
     found = meta.get("schema_version")
     if found != str(SCHEMA_VERSION):
         raise ValueError(f"index has schema version {found}; this engine reads {SCHEMA_VERSION}")
-    return {name: spark.read.parquet(f"{path}/{meta['folder']}/{name}") for name in meta["tables"].split(",")}
+    schema = lambda name: StructType.fromJson(json.loads(meta[f"schema of {name}"]))  # noqa: E731 - so no file is opened for it
+    return {name: spark.read.schema(schema(name)).parquet(f"{path}/{meta['folder']}/{name}") for name in meta["tables"].split(",")}
