@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from quarryline.llm.common import materialise, mix64, slices, starts_of, text_bytes
 
 #: Most labelled rows that the regression is fitted on.
-SAMPLE = 8_000
+SAMPLE = 4_000
 #: Bits of a hashed feature.
 BITS = 16
 #: Bytes of text whose features are made at a time.
@@ -104,8 +104,10 @@ def fit(index: np.ndarray, times: np.ndarray, starts: np.ndarray, dense: np.ndar
     """Weights of a ridge logistic regression by L-BFGS.  Features come as
     distinct ``index`` with how many ``times`` they stand in each text.  The
     mean of hashed weights is small, so their ridge is small too."""
-    rows = np.repeat(np.arange(len(y)), np.diff(starts))
-    share = times / np.maximum(np.bincount(rows, weights=times, minlength=len(y)), 1)[rows]
+    rows = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(starts))
+    share = (times / np.maximum(np.bincount(rows, weights=times, minlength=len(y)), 1)[rows]).astype(np.float32)
+    index = index.astype(np.int32)
+    del times
     size = 1 + DENSE + (1 << BITS)
     penalty = np.full(size, ridge)
     penalty[0], penalty[1 + DENSE :] = 0.0, ridge * 1e-2
@@ -225,12 +227,13 @@ def classify(docs: DataFrame, labels: DataFrame, *, levels: Sequence[Column], te
     taught = taught.mapInArrow(_counted, "y double, feature binary, times binary, dense binary").collect()
     if not taught:
         return rows.select("doc_id", F.lit(0.5).alias("doc_score"), F.lit(0.5).alias("site_rate"), F.lit(0.5).alias("score"))
-    index = [np.frombuffer(r.feature, np.int32) for r in taught]
-    weights = fit(
-        np.concatenate(index).astype(np.int64), np.concatenate([np.frombuffer(r.times, np.int32) for r in taught]).astype(float), starts_of(np.array([len(x) for x in index])),
-        np.array([np.frombuffer(r.dense) for r in taught]), np.array([r.y for r in taught]),
-    )
-    del taught, index
+    parts = [np.frombuffer(r.feature, np.int32) for r in taught]
+    starts = starts_of(np.array([len(x) for x in parts]))
+    index, times = np.concatenate(parts), np.concatenate([np.frombuffer(r.times, np.int32) for r in taught])
+    dense, y = np.array([np.frombuffer(r.dense) for r in taught]), np.array([r.y for r in taught])
+    del taught, parts
+    weights = fit(index, times, starts, dense, y)
+    del index, times
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     names = ["doc_id", *keys, "logit"]
