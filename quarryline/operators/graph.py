@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarryline.functions.code_text import EXTENSIONS
-from quarryline.session import shared_folder
+from quarryline.session import stored
 
 
 def _resolved_path(path: Column, specifier: Column) -> Column:
@@ -82,17 +80,11 @@ def file_detail(index: dict[str, DataFrame], files: DataFrame, path: str) -> Dat
     return out
 
 
-def _stored(df: DataFrame) -> DataFrame:
-    path = f"{shared_folder(df.sparkSession)}/quarryline-index/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def pagerank(links: DataFrame, nodes: DataFrame, *, rounds: int = 10, damping: float = 0.85, cut=None) -> DataFrame:
     """Import centrality: (id, rank), ranks summing to one.  ``cut`` takes a
     frame and returns it with its lineage cut; by default the links and every
     fifth round are written to the shared folder."""
-    cut = cut or _stored
+    cut = cut or stored
     n = nodes.count()
     out = links.groupBy("source").agg(F.sum("weight").alias("total"))
     share = cut(links.join(out, "source").select("source", "target", (F.col("weight") / F.col("total")).alias("share")))

@@ -27,7 +27,7 @@ from __future__ import annotations
 import json
 import uuid
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -48,6 +48,7 @@ COMMON_CALLEES = (
 )
 
 Index = dict[str, DataFrame]
+Hold = Callable[[DataFrame], DataFrame]
 
 
 def line_windows(docs: DataFrame, window: int = 120) -> DataFrame:
@@ -85,10 +86,10 @@ def addressed(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"content_hash": T.content_hash(F.col("header"), F.col("body")), "n_tokens": T.token_estimate(F.col("body"))})
 
 
-def build(files: DataFrame, *, window: int = 120) -> Index:
+def build(files: DataFrame, *, window: int = 120, hold: Hold = lambda df: df) -> Index:
     """Index of files (path, source).  Files without a parser are cut into
-    windows of lines."""
-    parsed = parse_files(files)
+    windows of lines.  ``hold`` keeps a table that is read more than once."""
+    parsed = hold(parse_files(files))
     symbols = parsed.select("path", F.explode("symbols").alias("s")).select("path", "s.*")
     symbols = symbols.withColumn("name_norm", T.normalize_name(F.col("name")))
     spans = parsed.select("path", "source", "lang", F.posexplode("chunks").alias("ord", "c"))
@@ -173,13 +174,14 @@ def fts_table(chunks: DataFrame) -> DataFrame:
     return rows.withColumn("length", F.size("body") + F.size("header") + F.size("tokens"))
 
 
-def inverted(chunks: DataFrame) -> Index:
-    """The search tables of chunks."""
-    fts = fts_table(chunks).select("content_hash", "length", "body", "header", "tokens")
+def inverted(chunks: DataFrame, hold: Hold = lambda df: df) -> Index:
+    """The search tables of chunks.  ``hold`` keeps a table that is read more
+    than once: cached or stored."""
+    fts = hold(fts_table(chunks).select("content_hash", "length", "body", "header", "tokens"))
     postings = fts.mapInArrow(_places, "term string, content_hash string, length int, body array<int>, header array<int>, tokens array<int>")
-    # Each chunk has words (its header names its path), so its length stands in its postings once for each term.
     stats = fts.agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("total"))
     idents = chunks.select(F.explode(T.identifiers(F.col("body"))).alias("ident"), "content_hash")
+    idents = hold(idents)
     names = idents.select("ident").distinct()
     starts = F.sequence(F.lit(1), F.length("ident") - 2)
     grams = names.select(F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring(F.col("ident"), i, F.lit(3))))).alias("gram"), "ident")
@@ -187,9 +189,9 @@ def inverted(chunks: DataFrame) -> Index:
     return {"stats": stats} | {name: t.withColumn("bucket", bucket(F.col(_INVERTED[name]))) for name, t in out.items()}
 
 
-def searchable(index: Index) -> Index:
+def searchable(index: Index, hold: Hold = lambda df: df) -> Index:
     """The index with its search tables."""
-    return index | inverted(index["chunks"])
+    return index | inverted(index["chunks"], hold)
 
 
 _BY_PATH = ("file_chunks", "symbols", "edges")
@@ -201,15 +203,15 @@ def without_paths(index: Index, paths: DataFrame) -> Index:
     return index | {name: index[name].join(gone, "path", "left_anti") for name in _BY_PATH}
 
 
-def update(index: Index, files: DataFrame, *, window: int = 120) -> Index:
+def update(index: Index, files: DataFrame, *, window: int = 120, hold: Hold = lambda df: df) -> Index:
     """The index after files are read anew: rows of their paths are replaced,
     chunks already known by hash are kept."""
-    kept, new = without_paths(index, files), build(files, window=window)
+    kept, new = without_paths(index, files), build(files, window=window, hold=hold)
     out = {name: kept[name].unionByName(new[name]) for name in _BY_PATH}
     fresh = new["chunks"].join(index["chunks"].select("content_hash"), "content_hash", "left_anti")
     out["chunks"] = index["chunks"].unionByName(fresh)
     if "postings" in index:
-        more = inverted(fresh)
+        more = inverted(fresh, hold)
         more["grams"] = more["grams"].join(index["grams"], ["bucket", "gram", "ident"], "left_anti")
         out |= {name: index[name].unionByName(more[name]) for name in more}
     return out

@@ -325,7 +325,7 @@ SELECT state, count(*) AS n, sum(priority)::BIGINT AS priorities, max(enqueued_a
 WITH {EVENTS} SELECT id, path, kind, priority, 'running' AS state, attempts + 1 AS attempts, {NOW + 30_000}::BIGINT AS lease_until FROM jobs WHERE state = 'pending' AND kind IN ('click', 'view') ORDER BY priority, enqueued_at, id LIMIT 25""",
     "job_fail_dead": f"""
 WITH {EVENTS}, f AS (SELECT *, state = 'running' AND id % 3 = 0 AS failed FROM jobs)
-SELECT id, CASE WHEN failed THEN CASE WHEN attempts >= 5 THEN 'dead' ELSE 'pending' END ELSE state END AS state, coalesce(CASE WHEN NOT failed THEN lease_until END, -1) AS lease_until, CASE WHEN NOT failed THEN worker END AS worker, CASE WHEN failed THEN 2000 ELSE 0 END AS error_chars FROM f""",
+SELECT id, CASE WHEN failed THEN CASE WHEN attempts >= 5 THEN 'dead' ELSE 'pending' END ELSE state END AS state, coalesce(CASE WHEN NOT failed THEN lease_until END, -1) AS lease_until, CASE WHEN NOT failed THEN worker END AS worker, CASE WHEN failed THEN 2000 WHEN state = 'dead' THEN length('error ' || id) ELSE 0 END AS error_chars FROM f""",
     "job_complete": f"WITH {EVENTS} SELECT state, count(*) AS n FROM jobs WHERE state <> 'running' GROUP BY state",
     "lease_sweep": f"""
 WITH {EVENTS}, x AS (

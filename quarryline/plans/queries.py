@@ -17,7 +17,7 @@ from quarryline.functions import code_text as T
 from quarryline.operators import changefeed, graph, ignore, indexing, prose, retrieval, status, vectors
 from quarryline.operators.parse import parse_files
 from quarryline.plans import codebase
-from quarryline.session import shared_folder, ship
+from quarryline.session import shared_folder, ship, stored
 from quarryline.sources import git
 
 WINDOW = 20
@@ -55,11 +55,11 @@ def ready_index(spark: SparkSession, sf_dir: str) -> indexing.Index:
     """The stored index of the corpus, made once for an application."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _READY:
-        rows = chunk_rows(spark, sf_dir)
+        rows = stored(chunk_rows(spark, sf_dir))
         symbols = spark.createDataFrame([], "path string, name string, kind string, start_line int, end_line int, exported boolean, name_norm string")
         index = {"chunks": rows.select("content_hash", "header", "body", "kind", "lang", "n_tokens"), "file_chunks": rows.select("path", "ord", "start_line", "end_line", "content_hash"), "symbols": symbols}
         path = f"{shared_folder(spark)}/quarryline-index/{uuid.uuid4().hex}"
-        indexing.save(indexing.searchable(index), path)
+        indexing.save(indexing.searchable(index, stored), path)
         _READY[key] = path
     return indexing.load(spark, _READY[key])
 
@@ -186,7 +186,9 @@ def code_import_graph(spark, sf_dir):
 
 @query
 def code_search(spark, sf_dir):
-    found = retrieval.search(indexing.searchable(indexing.build(source_files(spark, sf_dir))), NAME, limit=10)
+    index = indexing.build(source_files(spark, sf_dir), hold=stored)
+    index["chunks"] = stored(index["chunks"])
+    found = retrieval.search(indexing.searchable(index, stored), NAME, limit=10)
     return found.select("rank", "path", "start_line", "end_line", F.array_join("matched", "+").alias("matched"), F.round("score", 6).alias("score"))
 
 

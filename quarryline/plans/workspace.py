@@ -83,10 +83,10 @@ class Workspace:
         rows = texts.withColumn("reason", ignore.content_reason(F.col("source"), F.col("size"))).cache()
         kept = rows.filter("reason is null and source is not null")
         if self.index is None:
-            index = indexing.searchable(indexing.build(kept.select("path", "source")))
+            index = indexing.searchable(indexing.build(kept.select("path", "source"), hold=DataFrame.cache), DataFrame.cache)
         else:
             gone = self.spark.createDataFrame([(p,) for p in named], "path string").join(kept, "path", "left_anti")
-            index = indexing.update(indexing.without_paths(self.index, gone), kept.select("path", "source"))
+            index = indexing.update(indexing.without_paths(self.index, gone), kept.select("path", "source"), hold=DataFrame.cache)
             self.files = self.files.join(gone, "path", "left_anti")
         self.index = {k: v.cache() for k, v in index.items()}
         done = kept.select("path", "mtime", "size", F.lit(float(now)).alias("read_at"), "hash", F.coalesce(T.detect_lang(F.col("path")), F.lit("text")).alias("lang"))

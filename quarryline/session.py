@@ -5,10 +5,11 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
@@ -45,6 +46,14 @@ def shared_folder(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read again: its lineage is cut,
+    and a lost executor costs only running tasks."""
+    path = f"{shared_folder(df.sparkSession)}/quarryline-tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def local_session(cpus: int = 8, **conf: str) -> SparkSession:
     """A single-machine session with the settings that tests and bench use."""
     builder = (
