@@ -146,26 +146,42 @@ def in_buckets(column: str, keys: Iterable[str]) -> Column:
     return F.col("bucket").isin(sorted({zlib.crc32(k.encode()) % BUCKETS for k in keys})) & F.col(column).isin(keys)
 
 
+_COLUMNS = ("body", "header", "tokens")
+
+
 def _places(batches: Iterator) -> Iterator:
     """Chunks with their words by column to one row for each term."""
+    import numpy as np
     import pyarrow as pa
 
     for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            part = batch.slice(at, 256)
-            rows = []
-            for chunk, length, *columns in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                found: dict[str, tuple[list, list, list]] = {}
-                for k, words in enumerate(columns):
-                    for i, w in enumerate(words):
-                        places = found.get(w)
-                        if places is None:
-                            places = found[w] = ([], [], [])
-                        places[k].append(i)
-                rows += [(w, chunk, length, *places) for w, places in found.items()]
-            if rows:
-                kinds = (pa.string(), pa.string(), pa.int32(), *[pa.list_(pa.int32())] * 3)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["term", "content_hash", "length", "body", "header", "tokens"])
+        for at in range(0, batch.num_rows, 2048):
+            part = batch.slice(at, 2048)
+            words, chunk, column, place = [], [], [], []
+            for k, name in enumerate(_COLUMNS):
+                lists = part.column(name)
+                offsets = lists.offsets.to_numpy()
+                sizes = np.diff(offsets)
+                words.append(lists.flatten())
+                chunk.append(np.repeat(np.arange(len(sizes)), sizes))
+                column.append(np.full(sizes.sum(), k))
+                place.append(np.arange(sizes.sum()) - np.repeat(offsets[:-1] - offsets[0], sizes))
+            coded = pa.concat_arrays(words).dictionary_encode()
+            chunk, column, place = (np.concatenate(x) for x in (chunk, column, place))
+            if not len(chunk):
+                continue
+            key = chunk * len(coded.dictionary) + coded.indices.to_numpy()
+            order = np.lexsort((place, column, key))
+            key, column, place = key[order], column[order], place[order].astype(np.int32)
+            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            row = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]))
+            own, term = np.divmod(key[first], len(coded.dictionary))
+            arrays = [coded.dictionary.take(pa.array(term)), part.column("content_hash").take(pa.array(own)), part.column("length").take(pa.array(own))]
+            for k in range(len(_COLUMNS)):
+                mine = column == k
+                ends = np.concatenate([[0], np.cumsum(np.bincount(row[mine], minlength=len(first)))]).astype(np.int32)
+                arrays.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(place[mine])))
+            yield pa.RecordBatch.from_arrays(arrays, names=["term", "content_hash", "length", *_COLUMNS])
 
 
 def fts_table(chunks: DataFrame) -> DataFrame:
@@ -256,7 +272,10 @@ def save(index: Index, path: str) -> None:
         if table in _INVERTED:
             key = _INVERTED[table]
             rest = "content_hash" if table != "grams" else "ident"
-            rows = rows.repartitionByRange("bucket", key, rest).sortWithinPartitions("bucket", key, rest)  # noqa: PLW2901
+            # A bucket is split by what stands beside its key, so a term in every chunk is in no task alone.
+            n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+            part = F.pmod(F.xxhash64(rest), F.lit(max(1, n // BUCKETS)))
+            rows = rows.repartition(n, "bucket", part).sortWithinPartitions("bucket", key, rest)  # noqa: PLW2901
             rows.write.partitionBy("bucket").parquet(f"{path}/{name}/{table}")
         else:
             rows.write.parquet(f"{path}/{name}/{table}")
