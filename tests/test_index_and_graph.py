@@ -35,15 +35,16 @@ def test_rows(index):
 
 
 def test_update_replaces_paths_and_keeps_chunks(spark, index):
-    same = indexing.update(index, frame(spark, FILES[:1]))
+    held = lambda x: {k: v.cache() for k, v in x.items()}
+    same = held(indexing.update(index, frame(spark, FILES[:1])))
     for name in index:
         assert name == "stats" or same[name].count() == index[name].count()
     assert totals(same) == totals(index)
-    new = indexing.update(index, frame(spark, [("quay/crane.ts", "export function other() {}\n")]))
+    new = held(indexing.update(index, frame(spark, [("quay/crane.ts", "export function other() {}\n")])))
     assert [r.name for r in new["symbols"].filter("path = 'quay/crane.ts'").collect()] == ["other"]
     dead = indexing.garbage(new).count()
     assert dead > 0
-    clean = indexing.collect_garbage(new)
+    clean = held(indexing.collect_garbage(new))
     assert indexing.garbage(clean).count() == 0
     anew = indexing.searchable({k: v for k, v in clean.items() if k in ("chunks", "file_chunks", "symbols", "edges")})
     assert totals(clean) == totals(anew)  # kept up or made anew, the search tables are the same
