@@ -13,7 +13,8 @@ the last return the columns of ``documents``.
    average (standard deviation under 6), unrelated texts in 128 (8).  Texts
    within 64 bits that share one of 96 sampled bands of 14 bits are
    candidates, as are texts of at most 40 shingles that share a shingle of
-   their prefixes.  Candidates are verified: only texts whose shingle sets
+   their prefixes, in both where their numbers of shingles allow a similarity
+   of 0.8.  Candidates are verified: only texts whose shingle sets
    have a Jaccard similarity of 0.8 are linked.
    Of each group the smallest doc_id stays.
 4. Mixing: documents are left out or repeated towards the source targets.

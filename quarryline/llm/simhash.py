@@ -14,7 +14,9 @@ i + d, so one pass over the planes counts the distances of all pairs at that
 offset together, in carry-save counters of a few planes.  A pass is abandoned
 as soon as every pair of the block exceeds the radius.  Buckets larger than
 ``TILE`` rows are split into pairs of tiles, each its own unit of work.  A
-bucket gives out a spanning forest of its links, never all pairs.
+bucket gives out a spanning forest of its links, never all pairs.  Where links
+are verified by similarity afterwards, rows of a bucket are sorted by the
+number of their shingles and compared only while that similarity is possible.
 
 Components come from alternating large-star and small-star rounds over tables
 in the shared folder until the edges no longer change.  Keys that many rows
@@ -43,8 +45,9 @@ from quarryline.llm.common import materialise, partitions, slices, text_bytes
 
 #: Rows of a bucket that are compared in one unit.
 TILE = 8192
-#: Rows of small buckets that share one bit-sliced block.
-BLOCK = 4096
+#: Rows of buckets that share one bit-sliced block; a bucket with more than a
+#: quarter of them has its own.
+BLOCK = 16_384
 #: Shingle sets, and hashes in them, of a tile.
 SET_TILE, SET_HASHES = 1024, 2_000_000
 #: Sets of up to so many shingles also meet by shared shingles, within a radius
@@ -182,24 +185,39 @@ class Forest:
         return a != b
 
 
-def links(fps: np.ndarray, runs: np.ndarray, radius: int, tile_of: np.ndarray | None = None) -> list[tuple[int, int]]:
+def reach_of(runs: np.ndarray, sizes: np.ndarray | None = None, threshold: tuple[int, int] = (0, 1)) -> np.ndarray:
+    """How far behind each row the last one is that it can link to: the last
+    of its run or, where rows of a run are sorted by the sizes of their sets, the
+    last whose size still allows a Jaccard similarity of ``threshold``, as two
+    sets are at most as similar as the lesser size is to the larger."""
+    at = np.arange(len(runs))
+    run = np.cumsum(np.diff(runs, prepend=runs[:1]) != 0)
+    if sizes is None:
+        return np.searchsorted(run, run, "right") - 1 - at
+    (over, under), span = threshold, int(sizes.max(initial=0)) + 1
+    most = np.minimum(sizes.astype(np.int64) * under // over, span - 1)
+    return np.searchsorted(run * span + sizes, run * span + most, "right") - 1 - at
+
+
+def links(fps: np.ndarray, runs: np.ndarray, radius: int, tile_of: np.ndarray | None = None, reach: np.ndarray | None = None) -> list[tuple[int, int]]:
     """A spanning forest of the pairs within the radius, within runs of rows.
     Pairs of one tree are masked out, and nothing is compared once each run is
     one tree: a dense bucket gives out its tree and not its pairs.
 
     ``runs`` numbers the run of each row; rows of a run are adjacent.  With
-    ``tile_of``, pairs within one tile are left to the unit of that tile.
+    ``tile_of``, pairs within one tile are left to the unit of that tile; with
+    ``reach``, a row is compared with so many rows behind it.
     """
     n = len(fps)
     planes = planes_of(fps)
     forest, out = Forest(n), []
     label = np.arange(n)  # of the tree that a row is in
-    length = np.bincount(runs - runs[0]) if n else np.zeros(0, dtype=np.int64)
-    trees = int(np.maximum(length - 1, 0).sum())  # edges until every run is one tree
-    for d in range(1, int(length.max(initial=0))):
+    reach = reach_of(runs) if reach is None else reach
+    trees = n - len(np.unique(runs))  # edges until every run is one tree
+    for d in range(1, int(reach.max(initial=0)) + 1):
         if len(out) == trees:
             break
-        open_ = (runs[d:] == runs[:-d]) & (label[d:] != label[:-d])
+        open_ = (reach[:-d] >= d) & (label[d:] != label[:-d])
         if tile_of is not None:
             open_ &= tile_of[d:] != tile_of[:-d]
         if not open_.any():
@@ -217,12 +235,21 @@ def links(fps: np.ndarray, runs: np.ndarray, radius: int, tile_of: np.ndarray |
     return out
 
 
-def _compare(words: int, radius: int):
-    """Units of work in, edges out.  Rows come sorted by unit."""
+def _compare(words: int, radius: int, threshold: tuple[int, int] | None = None):
+    """Units of work in, edges out.  Rows come sorted by unit; with a
+    ``threshold`` they end in the size of their sets."""
 
-    def edges(fps: list[bytes], runs: list[int], tiles) -> list[tuple[bytes, bytes]]:
-        rows = np.frombuffer(b"".join(fps), dtype=">u8").reshape(len(fps), words).astype(np.uint64)
-        return [(fps[i], fps[j]) for i, j in links(rows, np.array(runs), radius, tiles)]
+    def edges(rows: list[tuple], runs: list[int], crossed: bool = False) -> list[tuple[bytes, bytes]]:
+        run, reach = np.array(runs), None
+        if threshold:
+            sizes = np.array([r[2] for r in rows], dtype=np.int64)
+            order = np.lexsort((sizes, run))
+            rows, run = [rows[i] for i in order.tolist()], run[order]
+            reach = reach_of(run, sizes[order], threshold)
+        tiles = np.array([r[0] for r in rows]) if crossed else None
+        fps = [r[1] for r in rows]
+        bits = np.frombuffer(b"".join(fps), dtype=">u8").reshape(len(fps), words).astype(np.uint64)
+        return [(fps[i], fps[j]) for i, j in links(bits, run, radius, tiles, reach)]
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -231,9 +258,8 @@ def _compare(words: int, radius: int):
             return pa.RecordBatch.from_arrays([pa.array([min(p) for p in pairs], pa.binary()), pa.array([max(p) for p in pairs], pa.binary())], names=["a", "b"])
 
         unit, number = None, -1
-        held: list[bytes] = []
-        marks: list[int] = []
-        small: list[bytes] = []
+        held: list[tuple] = []
+        small: list[tuple] = []
         runs: list[int] = []
 
         def close():
@@ -241,15 +267,13 @@ def _compare(words: int, radius: int):
             nonlocal small, runs
             pairs = []
             if len(held) > 1:
-                if unit[2] != unit[3]:
-                    pairs += edges(held, [0] * len(held), np.array(marks))
-                elif len(held) > 64:
-                    pairs += edges(held, [0] * len(held), None)
+                if unit[2] != unit[3] or len(held) > BLOCK // 4:
+                    pairs += edges(held, [0] * len(held), unit[2] != unit[3])
                 else:
                     small += held
                     runs += [number] * len(held)
             if len(small) >= BLOCK:
-                pairs += edges(small, runs, None)
+                pairs += edges(small, runs)
                 small, runs = [], []
             return pairs
 
@@ -260,14 +284,13 @@ def _compare(words: int, radius: int):
                 if row[:4] != unit:
                     pairs += close()
                     unit, number = row[:4], number + 1
-                    held, marks = [], []
-                held.append(row[5])
-                marks.append(row[4])
+                    held = []
+                held.append(row[4:])
             if pairs:
                 yield out(pairs)
         pairs = close()
         if small:
-            pairs += edges(small, runs, None)
+            pairs += edges(small, runs)
         if pairs:
             yield out(pairs)
 
@@ -275,14 +298,14 @@ def _compare(words: int, radius: int):
 
 
 def _keys(bands: Bands):
-    """Each fingerprint's key in each band."""
+    """Each fingerprint's key in each band, with the other columns."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
-                fps = batch.column(0).slice(at, 4096)
+                fps, *more = (c.slice(at, 4096) for c in batch.columns)
                 raw = fps.to_pylist()
                 if not raw:
                     continue
@@ -292,7 +315,7 @@ def _keys(bands: Bands):
                 bits = bits.reshape(len(raw), words, 64)[:, ::-1].reshape(len(raw), -1)  # word 0 first, as in planes_of
                 for b, band in enumerate(bands):
                     key = bits[:, band].astype(np.int64) @ (1 << np.arange(len(band), dtype=np.int64))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(raw), b, np.int32)), pa.array(key), fps], names=["band", "key", "fp"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(raw), b, np.int32)), pa.array(key), fps, *more], names=["band", "key", *batch.schema.names])
 
     return run
 
@@ -304,9 +327,11 @@ def near_edges(nodes: DataFrame, *, radius: int, bands: Bands, words: int = 1, t
     return keyed_edges(materialise(keyed, "simhash-keyed"), radius=radius, words=words, tile=tile)
 
 
-def keyed_edges(keyed: DataFrame, *, radius: int, words: int = 1, tile: int = TILE) -> DataFrame:
+def keyed_edges(keyed: DataFrame, *, radius: int, words: int = 1, tile: int = TILE, threshold: tuple[int, int] | None = None) -> DataFrame:
     """Edges (a, b) between rows (band, key, fp) of one band and key: the same
-    components as all of their pairs within the radius."""
+    components as all of their pairs within the radius.  With a ``threshold``,
+    rows carry the size ``n`` of their sets, and only pairs count whose sizes
+    allow this Jaccard similarity."""
     spark = keyed.sparkSession
     large = keyed.groupBy("band", "key").count().filter(F.col("count") > tile).select(F.col("band").alias("lb"), F.col("key").alias("lk"), F.ceil(F.col("count") / tile).cast("int").alias("tiles"))
     large = materialise(large, "simhash-large")
@@ -316,9 +341,9 @@ def keyed_edges(keyed: DataFrame, *, radius: int, words: int = 1, tile: int = TI
         dealt = dealt.withColumn("tile", F.pmod(F.xxhash64("fp"), "tiles").cast("int"))
         dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
         dealt = dealt.withColumns({"ta": F.least("tile", "other"), "tb": F.greatest("tile", "other")})
-    columns = ["band", "key", "ta", "tb", "tile", "fp"]
+    columns = ["band", "key", "ta", "tb", "tile", "fp", *(["n"] if threshold else [])]
     dealt = dealt.select(*columns).repartition(partitions(spark), "band", "key", "ta", "tb").sortWithinPartitions(*columns)
-    return materialise(dealt.mapInArrow(_compare(words, radius), "a binary, b binary").distinct(), "simhash-edges")
+    return materialise(dealt.mapInArrow(_compare(words, radius, threshold), "a binary, b binary").distinct(), "simhash-edges")
 
 
 #: At most so many keys are hot: those that more than this share of all rows
@@ -492,7 +517,7 @@ def near_copies(docs: DataFrame, *, threshold: tuple[int, int], shingle: int, wo
     similarity of at least ``threshold``, a fraction.  SimHash, here over each
     text's distinct shingles, only proposes groups: fingerprints linked within
     the radius in a band, and those of short texts that share a hash of their
-    ``prefix``.  With ``exact`` texts of every length meet by their prefixes, at
+    ``prefix``, in both where the sizes of the sets allow the similarity.  With ``exact`` texts of every length meet by their prefixes, at
     any distance of fingerprints, so that no pair is missed.  In each group all
     pairs of shingle sets, as 64-bit hashes, are compared in units of two tiles.
     Rows without an id are kept.
@@ -501,11 +526,11 @@ def near_copies(docs: DataFrame, *, threshold: tuple[int, int], shingle: int, wo
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("sha"), text.alias("text"))
     fps = materialise(rows.mapInArrow(_prints(shingle, words, threshold, 1 << 62 if exact else SHORT), "doc_id long, sha binary, fp binary, n int, keys array<long>"), "simhash-fp")
-    nodes = materialise(fps.select("fp").distinct(), "simhash-nodes")
-    banded = nodes.mapInArrow(_keys(bands), "band int, key long, fp binary")  # not kept: wider than the texts
-    near = keyed_edges(banded, radius=radius, words=words, tile=tile)
-    short = fps.select(F.lit(-1).alias("band"), F.explode("keys").alias("key"), "fp").distinct()
-    near = near.unionByName(keyed_edges(short, radius=64 * words if exact else SHORT_RADIUS * words // 4, words=words, tile=tile))
+    nodes = materialise(fps.select("fp", "n").distinct(), "simhash-nodes")
+    banded = nodes.mapInArrow(_keys(bands), "band int, key long, fp binary, n int")  # not kept: wider than the texts
+    near = keyed_edges(banded, radius=radius, words=words, tile=tile, threshold=threshold)
+    short = fps.select(F.lit(-1).alias("band"), F.explode("keys").alias("key"), "fp", "n").distinct()
+    near = near.unionByName(keyed_edges(short, radius=64 * words if exact else SHORT_RADIUS * words // 4, words=words, tile=tile, threshold=threshold))
     groups = materialise(components(near), "simhash-groups")
 
     texts = fps.select("sha", "fp", "n").distinct().join(groups, F.col("fp") == F.col("node"), "left").select("sha", "n", F.coalesce("root", "fp").alias("grp"))

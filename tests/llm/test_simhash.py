@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -115,3 +116,43 @@ def test_query_against_brute_force(spark, sf_dir):
     least = {q: min(r.doc_id for r, x in zip(docs, roots, strict=True) if x == q) for q in set(roots)}
     got = {r.doc_id: (r.fingerprint, r.component_id) for r in op10_simhash(spark, sf_dir).collect()}
     assert got == {r.doc_id: (f"{p:016x}", least[q]) for r, p, q in zip(docs, prints, roots, strict=True)}
+
+
+def units(buckets, crossed=False):
+    """Rows of ``_compare``: buckets of (fingerprint, size), one unit each."""
+    rows = [(0, k, 0, int(crossed), i % 2, v.to_bytes(32, "big"), n) for k, bucket in enumerate(buckets) for i, (v, n) in enumerate(bucket)]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["band", "key", "ta", "tb", "tile", "fp", "n"])
+
+
+@pytest.mark.parametrize(("threshold", "most"), [((), 171), (((4, 5),), 60)])
+def test_middling_buckets_share_passes(monkeypatch, threshold, most):
+    """Buckets of 172 unrelated rows, as bands of 14 bits have at 6 GB: one
+    pass for each offset in all of them, or for each that sizes allow."""
+    draw, passes, within = random.Random(0), [], simhash.within
+    monkeypatch.setattr(simhash, "within", lambda *a: passes.append(a) or within(*a))
+    batch = units([[(draw.getrandbits(256), int(draw.lognormvariate(5.5, 1.1)) + 1) for _ in range(172)] for _ in range(20)])
+    assert not list(simhash._compare(4, 64, *threshold)(iter([batch if threshold else batch.drop_columns(["n"])])))
+    assert 0 < len(passes) <= most
+
+
+@pytest.mark.parametrize("crossed", [False, True])
+@pytest.mark.parametrize("block", [8, 200, 16_384])
+def test_sizes_leave_out_only_pairs_that_cannot_be_alike(monkeypatch, block, crossed):
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    draw, buckets, want = random.Random(1), [], simhash.Forest(500)
+    for size in (1, 2, 30, 90, 60):
+        base = [draw.getrandbits(256) for _ in range(1 + size // 8)]
+        near = [draw.choice(base) ^ sum(1 << b for b in draw.sample(range(256), draw.randint(0, 40))) for _ in range(size)]
+        buckets.append([(v, draw.choice((0, 1, 4, 5, 79, 80, 99, 100, 101, 125, 126))) for v in near])
+    number = {v: i for i, v in enumerate(v for bucket in buckets for v, _ in bucket)}
+    for bucket in buckets:
+        for i, (a, n) in enumerate(bucket):
+            for j, (b, m) in enumerate(bucket[:i]):
+                if (a ^ b).bit_count() <= 64 and 5 * min(n, m) >= 4 * max(n, m) and not (crossed and (i - j) % 2 == 0):
+                    want.join(number[a], number[b])
+    got = simhash.Forest(500)
+    for out in simhash._compare(4, 64, (4, 5))(iter([units(buckets, crossed)])):
+        for a, b in zip(*(c.to_pylist() for c in out.columns), strict=True):
+            got.join(number[int.from_bytes(a, "big")], number[int.from_bytes(b, "big")])
+    assert [got.root(i) for i in range(500)] == [want.root(i) for i in range(500)]
+    assert len({want.root(i) for i in range(183)}) not in (1, 183)
