@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.llm import chat_format, exact_dedup, langid, mixing, quality, sentencepiece_codec, simhash, substring_dedup, topk_search, url_filter
+from quarryline.llm import chat_format, exact_dedup, filter_audit, langid, mixing, packing, quality, sentencepiece_codec, simhash, substring_dedup, topk_search, url_filter, vector_codes
 from quarryline.llm.common import read
 
 
@@ -247,6 +247,87 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"), shingle=3, radius=3)
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+OP11_SQL = r"""
+WITH split AS (
+    SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, [x for x in regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+') if x <> ''] AS w FROM documents
+), judged AS (
+    SELECT part, [len(w) < 50, 100 * len(list_distinct(w)) < 65 * len(w), 100 * len(regexp_extract_all(t, '[A-Z]')) > 5 * length(t), regexp_matches(t, '[#$%&*|]'),
+                  coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)] AS fails,
+           doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL) AS good, doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL) AS toxic
+    FROM split
+), cells AS (
+    SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM judged GROUP BY part, fails
+), numbers AS (
+    SELECT unnest([1, 2, 3, 4, 5]) AS i
+), orders AS (
+    SELECT [a.i, b.i, c.i, d.i, e.i] AS o FROM numbers a, numbers b, numbers c, numbers d, numbers e
+    WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5
+), steps AS (
+    SELECT array_to_string([substr('ABCDE', x, 1) for x in o], '') AS filter_order, i AS step, o[i] AS f, o[:i - 1] AS before FROM orders, numbers
+), counted AS (
+    SELECT part, filter_order, step, f,
+           sum(CASE WHEN NOT fails[f] AND NOT earlier THEN n ELSE 0 END)::BIGINT AS kept,
+           sum(CASE WHEN fails[f] AND NOT earlier THEN n ELSE 0 END)::BIGINT AS removed,
+           sum(CASE WHEN fails[f] AND earlier THEN n ELSE 0 END)::BIGINT AS redundant,
+           sum(CASE WHEN fails[f] AND len([x for x in fails if x]) = 1 THEN n ELSE 0 END)::BIGINT AS unique_fails,
+           sum(CASE WHEN fails[f] AND NOT earlier THEN good ELSE 0 END)::BIGINT AS good_lost,
+           sum(CASE WHEN fails[f] AND NOT earlier THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
+    FROM (SELECT *, len([x for x in before if fails[x]]) > 0 AS earlier FROM cells, steps) GROUP BY part, filter_order, step, f
+)
+SELECT part, filter_order, step::INTEGER AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley
+FROM counted
+"""
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, books = vector_codes.compress(read(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(books.sha256()).alias("codebooks_sha256"))
+
+
+def _op12_sql(rounds: int = 4) -> str:
+    """The rounds written out, one after the other."""
+    nearest = """a{k} AS MATERIALIZED (
+    SELECT r.row, r.p, min(len2 + c2 - 2 * list_inner_product(v, c)::BIGINT) AS d, arg_min(e, (len2 + c2 - 2 * list_inner_product(v, c)::BIGINT) * 256 + e) AS e
+    FROM parts r JOIN b{k} b ON r.p = b.p GROUP BY r.row, r.p
+)"""
+    replaced = """s{k} AS (
+    SELECT a.p, a.e, list(floor(total / n)::DOUBLE ORDER BY i) AS c FROM (
+        SELECT a.p, a.e, i, sum(v[i])::DOUBLE AS total, count(*)::DOUBLE AS n FROM a{k} a JOIN parts r ON r.row = a.row AND r.p = a.p, (SELECT unnest(range(1, max(len(v)) + 1)) AS i FROM parts) GROUP BY a.p, a.e, i
+    ) a GROUP BY a.p, a.e
+), b{next} AS MATERIALIZED (
+    SELECT b.p, b.e, coalesce(s.c, b.c) AS c, list_inner_product(coalesce(s.c, b.c), coalesce(s.c, b.c))::BIGINT AS c2 FROM b{k} b LEFT JOIN s{k} s ON s.p = b.p AND s.e = b.e
+)"""
+    steps = [step.format(k=k, next=k + 1) for k in range(rounds) for step in (nearest, replaced)] + [nearest.format(k=rounds)]
+    return """
+WITH kept AS MATERIALIZED (
+    SELECT row_number() OVER (ORDER BY vec_id NULLS LAST) AS row, vec_id, label, [floor(1024 * x::DOUBLE) for x in embedding] AS q FROM embeddings
+    WHERE embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0
+), parts AS MATERIALIZED (
+    SELECT row, p, v, list_inner_product(v, v)::BIGINT AS len2
+    FROM (SELECT row, p, q[p * (len(q) // 4) + 1:(p + 1) * (len(q) // 4)] AS v FROM kept, (SELECT unnest([0, 1, 2, 3]) AS p))
+), b0 AS MATERIALIZED (
+    SELECT p, row - 1 AS e, v AS c, len2 AS c2 FROM parts WHERE row <= 256
+), """ + ", ".join(steps) + """, coded AS (
+    SELECT row, string_agg(lpad(lower(hex(e)), 2, '0'), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a{n} GROUP BY row
+)
+SELECT k.vec_id, c.code, c.error, (sum(c.error) OVER (PARTITION BY k.label))::BIGINT AS label_error,
+       (SELECT sha256(string_agg(array_to_string([x::BIGINT for x in c], ','), ',' ORDER BY p, e)) FROM b{n}) AS codebooks_sha256
+FROM coded c JOIN kept k ON k.row = c.row
+""".format(n=rounds)
+
+
+OP12_SQL = _op12_sql()
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = packing.pack(read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+    return found.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -265,6 +346,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mixing": op8_mixing,
         "op9_quality": op9_quality,
         "op10_simhash": op10_simhash,
+        "op11_filter_audit": op11_filter_audit,
+        "op12_vector_codes": op12_vector_codes,
+        "op13_packing": op13_packing,
         "pipeline": pipeline,
     }
 
@@ -277,4 +361,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_substring_dedup": OP6_SQL,
         "op7_chat_format": OP7_SQL,
         "op8_mixing": OP8_SQL,
+        "op11_filter_audit": OP11_SQL,
+        "op12_vector_codes": OP12_SQL,
     }
