@@ -30,8 +30,8 @@ Extra columns are not read.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -39,8 +39,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarryline.llm.sentencepiece_codec import pack_ids
+
 #: Cached words in a worker; beyond it the cache starts afresh.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 1_000_000
 #: Characters of a text that are cut into words at once.
 STRETCH = 1 << 20
 #: Pieces in a task's pool; above it sequences are made until half are left.
@@ -73,35 +75,97 @@ class WordEncoder:
         self.library.encode_special_tokens = True
         self.split_words = split_words
         self.cache: dict[str, bytes] = {}
+        upper, lower, stop = self.plain(["Ab Zy", "ab zy", "ab. zy."])
+        self.lower = upper == lower
+        size, suffix = self.library.get_vocab_size(), json.loads(definition)["model"].get("end_of_word_suffix")
+        self.ends = np.zeros(size, dtype=bool) if suffix else None
+        for token, i in self.library.get_vocab().items() if suffix else ():
+            self.ends[i] = token.endswith(suffix)
+        word, dot = self.plain(["ab", "."])
+        self.cut_signs = stop == word + dot + self.plain(["zy"])[0] + dot
 
     def plain(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """Ids of each text; the first is checked against the library."""
-        if not self.split_words:
-            yield from self.plain(texts)
-            return
-        for i, text in enumerate(texts):
-            ids = b"".join(map(self._words, _stretches(text.translate(_BLANKS) if _BLANK.search(text) else text)))
-            if i == 0 and ids != self.plain([text])[0]:
-                raise ValueError("this tokenizer's pieces cross white space: use split_words=False")
-            yield ids
-
-    def _words(self, text: str) -> bytes:
-        words = text.split(" ")
+        return [pack_ids(e.ids) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text."""
+        if not self.split_words or not texts:
+            return self.plain(texts)
+        out: list[bytes] = []
+        group: list[str] = []
+        size = 0
+        for text in texts:
+            for blank in "\t\n\r":
+                if blank in text:
+                    text = text.replace(blank, " ")
+            if size + len(text) > STRETCH:
+                out += self._known(group)
+                group, size = [], 0
+            if len(text) > STRETCH:
+                out.append(b"".join(self._known([part])[0] for part in _stretches(text)))
+            else:
+                group.append(text)
+                size += len(text)
+        return out + self._known(group)
+
+    def check(self, text: str, ids: bytes) -> None:
+        """The library's ids of a whole text, against ours."""
+        if ids != self.plain([text])[0]:
+            raise ValueError("this tokenizer's pieces cross white space: use split_words=False")
+
+    def _apart(self, words: list[str]) -> list[bytes]:
+        """Ids of single words.  Those of letters alone go through the library
+        joined by spaces and are told apart by the tokens that end a word; any
+        part whose ends do not match its words goes through one by one."""
+        if self.ends is None:
+            return self.plain(words)
+        letters = [w for w in words if w.isalpha()]
+        rest = [w for w in words if not w.isalpha()]
+        found = dict(zip(rest, self.plain(rest), strict=True))
+        for at in range(0, len(letters), 2000):
+            part = letters[at : at + 2000]
+            raw = self.plain([" ".join(part)])[0]
+            stops = (4 * (np.flatnonzero(self.ends[np.frombuffer(raw, dtype="<u4")]) + 1)).tolist()
+            if len(stops) == len(part) and stops[-1] == len(raw):
+                found.update(zip(part, [raw[a:b] for a, b in zip([0, *stops], stops, strict=False)], strict=True))
+            else:
+                found.update(zip(part, self.plain(part), strict=True))
+        return [found[w] for w in words]
+
+    def _known(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts, each distinct word being encoded once."""
         cache = self.cache
-        new = list({w for w in words if w not in cache})
-        if new:
-            if len(cache) + len(new) > CACHE_ENTRIES:
+        split = [text.split(" ") for text in texts]
+        words = set().union(*split)
+        missing = words.difference(cache)
+        if missing:
+            if len(cache) + 2 * len(missing) > CACHE_ENTRIES:
                 cache.clear()
-                new = list(set(words))
-            cache.update(zip(new, self.plain(new), strict=True))
-        return b"".join(map(cache.__getitem__, words))
+                missing = words
+            self._learn(missing)
+        get = cache.__getitem__
+        return [b"".join(map(get, own)) for own in split]
+
+    def _learn(self, words: set[str]) -> None:
+        """Encode words, those that differ by case or a closing sign once, if
+        the tokenizer is found to lower-case and to cut there."""
+        cache, whole, cut = self.cache, {}, {}
+        for w in words:
+            key = w.lower() if self.lower and w.isascii() else w
+            if self.cut_signs and key[-1:] in _SIGNS and "a" <= key[-2:-1] <= "z":
+                cut[w] = key[:-1], key[-1]
+            else:
+                whole[w] = key
+        new = list({*whole.values(), *(x for own in cut.values() for x in own)}.difference(cache))
+        cache.update(zip(new, self._apart(new), strict=True))
+        for w, key in whole.items():
+            cache[w] = cache[key]
+        for w, (stem, sign) in cut.items():
+            cache[w] = cache[stem] + cache[sign]
 
 
-#: White space that is cut at, beside the space.
-_BLANK, _BLANKS = re.compile("[\t\n\r]"), str.maketrans("\t\n\r", "   ")
+#: Signs that end a word of letters, if the tokenizer cuts there.
+_SIGNS = frozenset(".,;:!?")
 
 
 def _stretches(text: str) -> Iterator[str]:
@@ -273,6 +337,9 @@ def pack(docs: DataFrame, tokenizer: str, *, limits: Limits = Limits(), end_id:
         kind = None
         for batch in batches:
             kind = batch.schema.field(0).type
+            if split_words and batch.num_rows:
+                text = batch.column(1)[0].as_py() or ""
+                encoder.check(text, encoder.encode([text])[0])
             for at in range(0, batch.num_rows, 256):
                 ids, texts, prompts = (c.to_pylist() for c in batch.slice(at, 256).columns)
                 for row, prompt, packed in zip(ids, prompts, encoder.encode([t or "" for t in texts]), strict=True):
