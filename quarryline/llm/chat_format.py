@@ -26,9 +26,14 @@ formatted each; of exactly repeated calls the identifier links all rows of
 that call's turn.  ``issues`` names what is wrong, in alphabetical order and
 joined by commas: ``bad_arguments``, ``cyclic_call``, ``repeated_call``,
 ``repeated_result``, ``unanswered_call``, ``unknown_call`` (a result without a
-call), ``unknown_tool``.  White space around a JSON object does not matter; a
-text that is no JSON object of this form, however long, is plain content, and
-very long texts stay whole in their line.  Equal turns order by position in the
+call), ``unknown_tool``.  Results of the turn that answers a call are all
+linked, also where they differ.  White space around a JSON object does not
+matter.  A text counts as structured only if the whole of it is one JSON object
+with no other keys than these (once each), ``content``, ``tool_call_id``, ``id``
+and ``name`` strings or null, and ``tool_calls`` a list of objects or null; any
+other text is plain content, as is one longer than a variant can be.  Arguments
+that are no JSON are kept as they are, with ``bad_arguments``.  Very long texts
+stay whole in their line.  Equal turns order by position in the
 message.  Extra columns are left out; an empty table gives an empty result.
 """
 
@@ -52,14 +57,42 @@ _MESSAGE = "content string, tool_call_id string, tool_calls array<struct<id stri
 _TYPES = {"string": "STRING", "integer": "BIGINT", "number": "BIGINT|DECIMAL.*|DOUBLE|FLOAT", "boolean": "BOOLEAN", "object": "OBJECT.*", "array": "ARRAY.*"}
 
 
+def _whole_json(text: Column) -> Column:
+    """The variant of a text that is one JSON value from end to end, else null.
+    The parser overlooks what stands behind a value; as the first of two
+    elements, with the text's digest as the second, a value is whole only if
+    the digest is found in its place."""
+    digest = F.sha2(text, 256)
+    both = F.try_parse_json(F.concat(F.lit("["), text, F.lit(',"'), digest, F.lit('"]')))
+    return F.when(F.try_variant_get(both, "$[1]", "string") == digest, F.try_variant_get(both, "$[0]", "variant"))
+
+
+def _is_message(value: Column) -> Column:
+    """Whether a variant is an object of the form that messages have."""
+
+    def known(keys: Column, *names: str) -> Column:
+        return F.size(F.array_except(F.map_keys(keys), F.array(*map(F.lit, names)))) == 0
+
+    def null_or(v: Column, kind: str) -> Column:
+        found = F.schema_of_variant(v)
+        return found.isNull() | found.isin("VOID", kind)
+
+    fields = F.try_variant_get(value, "$", "map<string,variant>")
+    calls = F.try_variant_get(value, "$.tool_calls", "array<map<string,variant>>")
+    form = lambda c: F.coalesce(known(c, "id", "name", "arguments") & null_or(F.try_element_at(c, F.lit("id")), "STRING") & null_or(F.try_element_at(c, F.lit("name")), "STRING"), F.lit(False))
+    listed = F.coalesce(F.forall(calls, form), null_or(F.try_element_at(fields, F.lit("tool_calls")), "VOID"))
+    texts = null_or(F.try_element_at(fields, F.lit("content")), "STRING") & null_or(F.try_element_at(fields, F.lit("tool_call_id")), "STRING")
+    return F.coalesce(known(fields, "content", "tool_call_id", "tool_calls") & texts & listed, F.lit(False))
+
+
 def _canonical(text: Column) -> Column:
-    """JSON with sorted keys and no spaces; null if it is no JSON."""
-    return F.to_json(F.try_parse_json(text))
+    """JSON with sorted keys and no spaces; a text that is no JSON as it is."""
+    return F.coalesce(F.to_json(_whole_json(text)), text)
 
 
 def _valid(name: Column, arguments: Column, schemas: Schemas) -> Column:
     """Whether arguments are an object that fits the tool's schema."""
-    value = F.try_parse_json(F.coalesce(arguments, F.lit("{}")))
+    value = _whole_json(F.coalesce(arguments, F.lit("{}")))
     ok = F.lit(None).cast("boolean")
     for tool, parameters in schemas.items():
         fits = F.coalesce(F.schema_of_variant(value).startswith("OBJECT"), F.lit(False))
@@ -115,7 +148,7 @@ def format_chats(messages: DataFrame, schemas: Schemas | None = None) -> DataFra
     """One row for each message: ``conv_id``, ``turn``, ``role``, ``order_turn``,
     ``level``, ``n_calls``, ``n_linked``, ``issues`` and ``json``."""
     schemas = schemas or {}
-    parsed = F.when(F.col("text").rlike(r"^[ \t\r\n]*\{"), F.from_json("text", _MESSAGE))
+    parsed = F.when(F.col("text").rlike(r"^[ \t\r\n]*\{") & _is_message(_whole_json(F.col("text"))), F.from_json("text", _MESSAGE))
     structured = F.col("m.content").isNotNull() | F.col("m.tool_call_id").isNotNull() | F.col("m.tool_calls").isNotNull()
     rows = messages.select(F.col("conv_id"), F.col("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
     rows = rows.withColumn("m", parsed).withColumn("m", F.when(structured, F.col("m")))
@@ -171,7 +204,7 @@ def format_chats(messages: DataFrame, schemas: Schemas | None = None) -> DataFra
         rows = rows.selectExpr("*", "cast(null as array<struct<n int, call_id string, name string, arguments string>>) calls", "0 level", "0L n_linked", "cast(null as long) after", "cast(null as array<string>) issues")
 
     content = F.when(F.col("m").isNull(), F.col("text")).otherwise(F.col("m.content"))
-    tool_calls = F.transform("calls", lambda c: F.struct(F.coalesce(c["arguments"], F.lit("null")).alias("arguments"), c["call_id"].alias("id"), c["name"].alias("name")))
+    tool_calls = F.transform("calls", lambda c: F.struct(c["arguments"].alias("arguments"), c["call_id"].alias("id"), c["name"].alias("name")))
     line = F.to_json(F.struct(content.alias("content"), F.col("conv_id"), F.col("role"), F.col("m.tool_call_id").alias("tool_call_id"), F.when(F.size("calls") > 0, tool_calls).alias("tool_calls"), F.col("turn")))
     return rows.select(
         "conv_id", "turn", "role",

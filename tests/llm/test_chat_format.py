@@ -81,6 +81,37 @@ def test_chains_have_no_bound_and_cycles_hold_what_waits_for_them(spark):
     assert got == {**{i: (i, False) for i in range(n - 3)}, n - 3: (0, True), n - 2: (0, True), n - 1: (0, True)}
 
 
+def test_only_whole_objects_of_the_form_are_structured(spark):
+    """Nothing of any other text is lost: it is content, letter for letter."""
+    plain = [
+        '{"content":"a"} trailing', '{"content":"a"}{"content":"b"}', '{"content":"a","title":"kept?"}', '{"content":1}', '{"content":["a"]}', '{"content":"a","content":"b"}',
+        '{"tool_call_id":5}', '{"tool_calls":{"id":"a"}}', '{"tool_calls":[{"id":"a","name":"search","arguments":{},"extra":1}]}', '{"tool_calls":[{"id":1}]}', '{"tool_calls":["a"]}', '{"tool_calls":[null]}',
+        '{"content":"a"}] x', '{"content":"a"},1]', '{"content":"a"},', "{}", '{"content":null}', '{"content":"a"',
+    ]
+    structured = {'{"content":"a"}': "a", ' {"content" : "\\u00e9\\n" }\n': "é\n", '{"content":"b","tool_calls":null}': "b", '{"content":"c","tool_calls":[]}': "c", '{"content":""}': ""}
+    texts = [*plain, *structured]
+    df = spark.createDataFrame([(i, 0, "user", t) for i, t in enumerate(texts)], "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: json.loads(r.json) for r in format_chats(df, TOOL_SCHEMAS).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == {"content": structured.get(t, t), "conv_id": i, "role": "user", "turn": 0}, t
+
+
+def test_arguments_that_are_no_json_stay(spark):
+    calls = [call("a", "search", "not json"), call("b", "search", '{"query":"x"} tail'), call("c", "search", '{ "query" : "x"}'), call("d", "search", None), call("e", "search", [1])]
+    df = spark.createDataFrame([(1, 0, "assistant", message(tool_calls=calls))], "conv_id long, turn long, role string, text string")
+    row = format_chats(df, TOOL_SCHEMAS).first()
+    assert [c["arguments"] for c in json.loads(row.json)["tool_calls"]] == ["not json", '{"query":"x"} tail', '{"query":"x"}', "{}", "[1]"]
+    assert row.issues == "bad_arguments,unanswered_call"
+
+
+def test_results_of_one_turn(spark):
+    """Two different results in the turn that answers are both linked."""
+    rows = [(1, 0, "assistant", message(tool_calls=[call("a", "calculate", {"expression": "1"})])), *((1, t, "tool", message(tool_call_id="a", content=c)) for t, c in [(1, "x"), (1, "y"), (2, "z")])]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {(r.turn, json.loads(r.json).get("content")): (r.n_linked, r.issues) for r in format_chats(df, TOOL_SCHEMAS).collect()}
+    assert got == {(0, None): (1, ""), (1, "x"): (1, ""), (1, "y"): (1, ""), (2, "z"): (0, "repeated_result")}
+
+
 def test_white_space_and_very_long_texts(spark):
     long = "x" * 2_000_000
     rows = [(1, 0, "assistant", " \n\t" + message(content=long, tool_calls=[call("a", "calculate", {"expression": "y" * 1_000_000})]) + "\n"), (1, 1, "tool", " " + message(tool_call_id="a")), (1, 2, "user", long)]
