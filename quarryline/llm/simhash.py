@@ -18,6 +18,12 @@ bucket gives out a spanning forest of its links, never all pairs.  Where links
 are verified by similarity afterwards, rows of a bucket are sorted by the
 number of their shingles and compared only while that similarity is possible.
 
+Verification goes by groups of candidates, cut into tiles.  A few leaders of a
+large group join each of its tiles, so a group of copies of one text becomes one
+tree at once, each set moving once.  Only sets that the group's largest tree
+does not hold then meet the rest of the group, tile by tile, until all are one
+tree or all pairs have been compared.
+
 Components come from alternating large-star and small-star rounds over tables
 in the shared folder until the edges no longer change.  Keys that many rows
 share (the centre of a star, a fingerprint of a third of all rows) are joined
@@ -33,12 +39,13 @@ whole, some of their shingles at a time being summed.
 
 from __future__ import annotations
 
+import math
 import random
 from collections.abc import Iterator
 from itertools import accumulate
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarryline.llm.common import materialise, partitions, slices, text_bytes
@@ -48,8 +55,12 @@ TILE = 8192
 #: Rows of buckets that share one bit-sliced block; a bucket with more than a
 #: quarter of them has its own.
 BLOCK = 16_384
-#: Shingle sets, and hashes in them, of a tile.
-SET_TILE, SET_HASHES = 1024, 2_000_000
+#: Shingle sets, and hashes in them, of a tile, and sets of a large group that
+#: each of its tiles is compared with.
+SET_TILE, SET_HASHES, LEADERS = 256, 2_000_000, 16
+#: Fingerprints that a bucket of a band shall hold, and the share of pairs at the
+#: threshold that bands shall find.
+BUCKET, RECALL = 128, 0.999
 #: Sets of up to so many shingles also meet by shared shingles, within a radius
 #: in 256 bits that tells unrelated texts (128) from near ones (48 or less).
 SHORT, SHORT_RADIUS = 40, 96
@@ -80,6 +91,19 @@ def sampled_bands(count: int, width: int, bits: int, seed: int = 0) -> Bands:
     return [sorted(draw.sample(range(bits), width)) for _ in range(count)]
 
 
+def fitting_bands(nodes: int, bits: int, threshold: tuple[int, int], recall: float = RECALL, bucket: int = BUCKET) -> Bands:
+    """Sampled bands whose width follows the number of fingerprints, so that a
+    bucket holds about ``bucket`` of unrelated texts at any size of the input,
+    and whose count gives the wanted recall at that width.
+
+    Bits of two sets agree with probability 1 - arccos(c) / pi, c being their
+    cosine, 2 s / (1 + s) for sets of one size with similarity s."""
+    s = threshold[0] / threshold[1]
+    agree = 1 - math.acos(2 * s / (1 + s)) / math.pi
+    width = min(62, bits, max(8, math.ceil(math.log2(max(nodes, 1) / bucket))))
+    return sampled_bands(max(1, math.ceil(math.log(1 - recall) / math.log(1 - agree**width))), width, bits)
+
+
 def shingle_hashes(text: bytes, size: int, words: int, distinct: bool = False) -> np.ndarray:
     """XXH64 hashes of a text's shingles, seeds 42, 43, ...: shape (n, words).
     Repeated shingles count each time unless ``distinct``."""
@@ -414,29 +438,37 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 # Verified near copies
 
 
-def alike(sets: list[np.ndarray], threshold: tuple[int, int], tile_of: np.ndarray | None = None) -> list[tuple[int, int]]:
+def alike(sets: list[np.ndarray], threshold: tuple[int, int], labels: list | None = None, probes: list[int] | None = None) -> list[tuple[int, int]]:
     """A spanning forest of the pairs of sets (distinct hashes) whose Jaccard
-    similarity is at least the fraction ``threshold``.  With ``tile_of``, pairs
-    within one tile are left to the unit of that tile."""
+    similarity is at least the fraction ``threshold``.  Sets of one label (that
+    is not null) are known to be one tree.  With ``probes``, only pairs with one
+    of these rows are compared.  Ends when all sets are one tree."""
     n, (over, under) = len(sets), threshold
+    forest, out, first_of = Forest(n), [], {}
+    trees = n
+    for i, label in enumerate(labels or ()):
+        if label is not None:
+            trees -= forest.join(first_of.setdefault(label, i), i)
+    if trees == 1:
+        return out
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
     ends = np.cumsum(sizes)
     values, ids = np.unique(np.concatenate(sets), return_inverse=True)
     holders = np.repeat(np.arange(n), sizes)[np.argsort(ids, kind="stable")]
     starts = np.concatenate([[0], np.cumsum(np.bincount(ids, minlength=len(values)))])
-    forest, out = Forest(n), []
-    for i in range(n):
-        if len(out) == n - 1:
-            break
+    for i in range(n) if probes is None else probes:
         own = ids[ends[i] - sizes[i] : ends[i]]
         first, count = starts[own], starts[own + 1] - starts[own]
         at = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
         shared = np.bincount(holders[at], minlength=n)
         near = under * shared >= over * (sizes[i] + sizes - shared)
-        near[: i + 1] = False
-        if tile_of is not None:
-            near &= tile_of != tile_of[i]
-        out += [(i, j) for j in np.flatnonzero(near).tolist() if forest.join(i, j)]
+        if probes is None:
+            near[: i + 1] = False
+        new = [(i, j) for j in np.flatnonzero(near).tolist() if forest.join(i, j)]
+        out += new
+        trees -= len(new)
+        if trees == 1:
+            break
     return out
 
 
@@ -469,37 +501,40 @@ def _sets(shingle: int):
         import pyarrow as pa
 
         for batch in slices(batches):
-            sets = [np.unique(shingle_hashes(text, shingle, 1)[:, 0]).tobytes() for text in text_bytes(batch.column(2))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.binary())], names=["sha", "grp", "hashes"])
+            sets = [np.unique(shingle_hashes(text, shingle, 1)[:, 0]).tobytes() for text in text_bytes(batch.column(4))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(sets, pa.binary())], names=["sha", "grp", "tile", "tiles", "hashes"])
 
     return run
 
 
 def _verify(threshold: tuple[int, int]):
-    """Units of work in, verified edges out.  Rows come sorted by unit."""
+    """Units of work in, verified edges out.  Rows (grp, ta, tb, probe, label,
+    sha, hashes) come sorted by unit; where some are probes, only pairs with
+    one of them are compared."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        unit, shas, tiles, sets = None, [], [], []
+        unit, probes, labels, shas, sets = None, [], [], [], []
 
         def edges():
             if len(sets) < 2:
                 return []
-            found = alike(sets, threshold, np.array(tiles) if unit[1] != unit[2] else None)
-            return [(shas[i], shas[j]) for i, j in found]
+            some = [i for i, p in enumerate(probes) if p]
+            return [(shas[i], shas[j]) for i, j in alike(sets, threshold, labels, some or None)]
 
         def out(pairs):
             return pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*pairs, strict=True)], names=["a", "b"])
 
         for batch in slices(batches):
             pairs = []
-            for *key, tile, sha, hashes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for *key, probe, label, sha, hashes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if key != unit:
                     pairs += edges()
-                    unit, shas, tiles, sets = key, [], [], []
+                    unit, probes, labels, shas, sets = key, [], [], [], []
+                probes.append(probe)
+                labels.append(label)
                 shas.append(sha)
-                tiles.append(tile)
                 sets.append(np.frombuffer(hashes, dtype=np.uint64))
             if pairs:
                 yield out(pairs)
@@ -509,7 +544,48 @@ def _verify(threshold: tuple[int, int]):
     return run
 
 
-def near_copies(docs: DataFrame, *, threshold: tuple[int, int], shingle: int, words: int, radius: int, bands: Bands, exact: bool = False, tile: int = TILE, set_tile: int = SET_TILE) -> DataFrame:
+def _units(rows: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    columns = ["grp", "ta", "tb", "probe", "label", "sha", "hashes"]
+    dealt = rows.select(*columns).repartition(partitions(rows.sparkSession), "grp", "ta", "tb").sortWithinPartitions("grp", "ta", "tb")
+    return materialise(dealt.mapInArrow(_verify(threshold), "a binary, b binary"), "simhash-verified")
+
+
+def _alone(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({"probe": F.lit(False), "label": F.lit(None).cast("binary")})
+
+
+def verified(sets: DataFrame, threshold: tuple[int, int], set_tile: int) -> DataFrame:
+    """Edges (a, b) of sets (sha, grp, tile, tiles, hashes), a table with the
+    groups' tiles: the same components as all similar pairs of each group."""
+    own = _alone(sets.select("sha", "grp", F.col("tile").alias("ta"), F.lit(0).alias("tb"), "hashes"))
+    large = sets.filter("tiles > 1")
+    if large.isEmpty():
+        return _units(own, threshold)
+    order = Window.partitionBy("grp").orderBy(F.xxhash64("sha"), "sha")
+    leaders = large.select("sha", "grp", "tile", "tiles").withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= LEADERS)
+    leaders = materialise(leaders.select(F.col("sha").alias("s"), F.col("tile").alias("home"), "tiles").withColumn("ta", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).filter("ta <> home").select("s", "ta"), "simhash-leaders")
+    guests = _alone(large.join(leaders, F.col("sha") == F.col("s")).select("sha", "grp", "ta", F.lit(0).alias("tb"), "hashes"))
+    edges = _units(own.unionByName(guests), threshold)
+
+    # Sets that are not in the largest tree of their group, against all of it.
+    trees = large.select("sha", "grp", F.octet_length("hashes").alias("size")).join(components(edges), F.col("sha") == F.col("node"), "left")
+    trees = materialise(trees.select("sha", "grp", "size", F.coalesce("root", "sha").alias("label")), "simhash-trees")
+    by_tree = trees.groupBy("grp", "label").agg(F.count("*").alias("count"), F.sum("size").alias("bytes"))
+    by_group = by_tree.groupBy("grp").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.count("*").alias("trees"), F.sum("count").alias("rows"), (F.sum("count") - F.max("count")).alias("rest"), F.sum("bytes").alias("bytes"))
+    parts = lambda n: F.greatest(F.ceil(n / (4 * set_tile)), F.ceil(F.col("bytes") / (8 * SET_HASHES))).cast("int")
+    open_ = materialise(by_group.filter("trees > 1").select(F.col("grp").alias("c"), "main", parts(F.col("rest")).alias("probed"), parts(F.col("rows")).alias("met"), "rows"), "simhash-open")
+    if open_.isEmpty():
+        return edges
+    told = hot_join(trees.select("sha", "grp", "label"), "grp", open_, trees.count())
+    told = told.select(F.col("sha").alias("s"), "label", "main", "probed", "met", F.xxhash64("sha").alias("h"))
+    told = large.select("sha", "grp", "hashes").join(told, F.col("sha") == F.col("s"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    probing = told.filter("label <> main").select("grp", F.pmod(F.col("h"), F.col("probed")).cast("int").alias("ta"), every("met").alias("tb"), F.lit(True).alias("probe"), "label", "sha", "hashes")
+    meeting = told.select("grp", every("probed").alias("ta"), F.pmod(F.col("h"), F.col("met")).cast("int").alias("tb"), F.lit(False).alias("probe"), "label", "sha", "hashes")
+    return edges.unionByName(_units(probing.unionByName(meeting), threshold))
+
+
+def near_copies(docs: DataFrame, *, threshold: tuple[int, int], shingle: int, words: int, radius: int, bands: Bands | None = None, exact: bool = False, tile: int = TILE, set_tile: int = SET_TILE) -> DataFrame:
     """One row per input row: ``doc_id``, ``text_sha256``, ``component_id`` (the
     smallest id of the component) and ``kept``, which one row of a component is.
 
@@ -518,15 +594,16 @@ def near_copies(docs: DataFrame, *, threshold: tuple[int, int], shingle: int, wo
     text's distinct shingles, only proposes groups: fingerprints linked within
     the radius in a band, and those of short texts that share a hash of their
     ``prefix``, in both where the sizes of the sets allow the similarity.  With ``exact`` texts of every length meet by their prefixes, at
-    any distance of fingerprints, so that no pair is missed.  In each group all
-    pairs of shingle sets, as 64-bit hashes, are compared in units of two tiles.
+    any distance of fingerprints, so that no pair is missed.  Without ``bands``
+    they fit the number of fingerprints.  In each group shingle sets, as 64-bit
+    hashes, are compared until the group is one tree or no pair is left.
     Rows without an id are kept.
     """
-    spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("sha"), text.alias("text"))
     fps = materialise(rows.mapInArrow(_prints(shingle, words, threshold, 1 << 62 if exact else SHORT), "doc_id long, sha binary, fp binary, n int, keys array<long>"), "simhash-fp")
     nodes = materialise(fps.select("fp", "n").distinct(), "simhash-nodes")
+    bands = bands or fitting_bands(nodes.count(), 64 * words, threshold)
     banded = nodes.mapInArrow(_keys(bands), "band int, key long, fp binary, n int")  # not kept: wider than the texts
     near = keyed_edges(banded, radius=radius, words=words, tile=tile, threshold=threshold)
     short = fps.select(F.lit(-1).alias("band"), F.explode("keys").alias("key"), "fp", "n").distinct()
@@ -538,16 +615,11 @@ def near_copies(docs: DataFrame, *, threshold: tuple[int, int], shingle: int, wo
     sizes = texts.groupBy("grp").agg(F.count("*").alias("count"), F.sum("n").alias("hashes")).filter("count > 1")
     tiles = F.greatest(F.ceil(F.col("count") / set_tile), F.ceil(F.col("hashes") / SET_HASHES)).cast("int")
     sizes = materialise(sizes.select(F.col("grp").alias("c"), tiles.alias("tiles"), F.col("count").alias("rows")), "simhash-sizes")
-    chosen = materialise(hot_join(texts, "grp", sizes, texts.count()).select(F.col("sha").alias("s"), "grp", "tiles"), "simhash-chosen")
-    sets = rows.select("sha", "text").join(chosen.select("s", "grp"), F.col("sha") == F.col("s")).dropDuplicates(["sha"]).select("sha", "grp", "text")
-    sets = materialise(sets.mapInArrow(_sets(shingle), "sha binary, grp binary, hashes binary"), "simhash-sets")
-
-    dealt = sets.join(chosen.select("s", "tiles"), F.col("sha") == F.col("s")).withColumn("tile", F.pmod(F.xxhash64("sha"), "tiles").cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    dealt = dealt.withColumns({"ta": F.least("tile", "other"), "tb": F.greatest("tile", "other")})
-    columns = ["grp", "ta", "tb", "tile", "sha", "hashes"]
-    dealt = dealt.select(*columns).repartition(partitions(spark), "grp", "ta", "tb").sortWithinPartitions("grp", "ta", "tb")
-    edges = materialise(dealt.mapInArrow(_verify(threshold), "a binary, b binary"), "simhash-verified")
+    chosen = hot_join(texts, "grp", sizes, texts.count()).withColumn("tile", F.pmod(F.xxhash64("sha"), "tiles").cast("int"))
+    chosen = materialise(chosen.select(F.col("sha").alias("s"), "grp", "tile", "tiles"), "simhash-chosen")
+    sets = rows.select("sha", "text").join(chosen, F.col("sha") == F.col("s")).dropDuplicates(["sha"]).select("sha", "grp", "tile", "tiles", "text")
+    sets = materialise(sets.mapInArrow(_sets(shingle), "sha binary, grp binary, tile int, tiles int, hashes binary"), "simhash-sets")
+    edges = verified(sets, threshold, set_tile)
 
     member = materialise(components(edges), "simhash-members")
     found = fps.join(member, F.col("sha") == F.col("node"), "left").select("doc_id", "sha", F.coalesce("root", "sha").alias("root"))

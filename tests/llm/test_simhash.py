@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -156,3 +157,69 @@ def test_sizes_leave_out_only_pairs_that_cannot_be_alike(monkeypatch, block, cro
             got.join(number[int.from_bytes(a, "big")], number[int.from_bytes(b, "big")])
     assert [got.root(i) for i in range(500)] == [want.root(i) for i in range(500)]
     assert len({want.root(i) for i in range(183)}) not in (1, 183)
+
+
+def test_bands_fit_the_number_of_fingerprints():
+    """Buckets stay near one size and recall near its goal at any input."""
+    before = 0
+    for nodes in (10, 10_000, 235_000, 2_800_000, 470_000_000, 50_000_000_000):
+        bands = simhash.fitting_bands(nodes, 256, (4, 5))
+        width, agree = len(bands[0]), 1 - math.acos(1.6 / 1.8) / math.pi
+        assert width >= before and nodes / 2**width <= 128
+        assert width == 8 or nodes / 2**width > 60
+        assert 0.999 <= 1 - (1 - agree**width) ** len(bands) < 0.9999
+        before = width
+
+
+def families(draw, sizes):
+    """Sets of several texts with their edited copies, some of them bridges."""
+    sets = []
+    for size in sizes:
+        base = draw.sample(range(1 << 40), 60)
+        for _ in range(size):
+            own = set(base)
+            for x in draw.sample(base, draw.randint(0, 9)):
+                own.remove(x)
+            own |= set(draw.sample(range(1 << 40), draw.randint(0, 4)))
+            sets.append(np.array(sorted(own), dtype=np.uint64))
+    return sets
+
+
+def similar(a, b):
+    both = len(np.intersect1d(a, b))
+    return 5 * both >= 4 * (len(a) + len(b) - both)
+
+
+@pytest.mark.parametrize("leaders", [0, 1, 16])
+@pytest.mark.parametrize("sizes", [[90], [40, 40, 3, 1, 1], [1] * 30])
+def test_tiles_of_a_group_give_its_components(spark, monkeypatch, leaders, sizes):
+    monkeypatch.setattr(simhash, "LEADERS", leaders)
+    draw = random.Random(sum(sizes) + leaders)
+    sets = families(draw, sizes)
+    want = simhash.Forest(len(sets))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if similar(a, sets[j]):
+                want.join(i, j)
+    tiles = 7
+    rows = [(bytes([i]), b"g", draw.randrange(tiles), tiles, s.tobytes()) for i, s in enumerate(sets)] + [(b"x1", b"h", 0, 1, sets[0].tobytes()), (b"x2", b"h", 0, 1, sets[0].tobytes())]
+    frame = spark.createDataFrame(rows, "sha binary, grp binary, tile int, tiles int, hashes binary").repartition(3)
+    got = simhash.Forest(len(sets))
+    edges = simhash.verified(frame, (4, 5), 4).collect()
+    assert sum(bytes(e.a)[:1] == b"x" for e in edges) == 1
+    for e in edges:
+        if bytes(e.a)[:1] != b"x":
+            assert similar(sets[e.a[0]], sets[e.b[0]])
+            got.join(e.a[0], e.b[0])
+    assert [got.root(i) for i in range(len(sets))] == [want.root(i) for i in range(len(sets))]
+
+
+def test_one_tree_ends_the_comparison(monkeypatch):
+    """A tile of copies of one text, and a leader: one pass each, not all."""
+    calls, count = [], np.bincount
+    monkeypatch.setattr(simhash.np, "bincount", lambda *a, **k: calls.append(1) or count(*a, **k))
+    base = np.arange(100, dtype=np.uint64)
+    sets = [np.append(base, np.uint64(1000 + i)) for i in range(500)]
+    assert len(simhash.alike(sets, (4, 5))) == 499 and len(calls) == 2
+    assert simhash.alike(sets, (4, 5), labels=["a"] * 500) == [] and len(calls) == 2
+    assert len(simhash.alike(sets, (4, 5), labels=["a"] * 499 + ["b"], probes=[499])) == 1
