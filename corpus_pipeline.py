@@ -11,8 +11,9 @@ the last return the columns of ``documents``.
 3. SimHash near-dedup: distinct five-word shingles, 256-bit fingerprints.  Texts whose
    shingle sets have a similarity of 0.8 differ in 39 of these bits on
    average (standard deviation under 6), unrelated texts in 128 (8).  Texts
-   within 64 bits that share one of 96 sampled bands of 14 bits are
-   candidates, as are texts of at most 40 shingles that share a shingle of
+   within 64 bits that share a sampled band of bits are candidates (the bands'
+   width follows the number of texts, so buckets keep their size, and their
+   number follows from a recall of 0.999 at that width), as are texts of at most 40 shingles that share a shingle of
    their prefixes, in both where their numbers of shingles allow a similarity
    of 0.8.  Candidates are verified: only texts whose shingle sets
    have a Jaccard similarity of 0.8 are linked.
@@ -21,7 +22,7 @@ the last return the columns of ``documents``.
 5. SentencePiece: token count and digests for each document.
 
 Candidates for longer texts come from sampled bands, so a pair at a similarity
-of 0.8 is missed once in some thousands; the exact way is ``EXACT = True``,
+of 0.8 is missed once in some hundreds; the exact way is ``EXACT = True``,
 which lets texts of every length meet by the hashes of their prefixes, at the
 cost of a row for each fifth shingle.
 
@@ -51,7 +52,6 @@ ANY = "any"
 SHINGLE, WORDS, RADIUS = 5, 4, 64
 EXACT = False
 SIMILARITY = (4, 5)
-BANDS = simhash.sampled_bands(96, 14, 64 * WORDS)
 
 
 def _without(docs: DataFrame, drop: DataFrame, keys: dict[str, object]) -> DataFrame:
@@ -84,7 +84,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = docs.select(*COLUMNS)
-    found = simhash.near_copies(docs, threshold=SIMILARITY, shingle=SHINGLE, words=WORDS, radius=RADIUS, bands=BANDS, exact=EXACT)
+    found = simhash.near_copies(docs, threshold=SIMILARITY, shingle=SHINGLE, words=WORDS, radius=RADIUS, exact=EXACT)
     sha = F.sha2(F.coalesce("text", F.lit("")), 256)
     return _without(docs, found.filter("not kept"), {"doc_id": F.col("doc_id"), "text_sha256": sha})
 
