@@ -25,7 +25,9 @@ def top_k(vectors: DataFrame, query: list[float], k: int = 20, *, id_col: str =
     """The k rows of greatest inner product with one query, ties by id.
 
     Arrow batches go through one matrix product each and give out at most k
-    rows; a final ordered limit merges them.
+    rows; a final ordered limit merges them.  Scores are rounded to six digits
+    once, before any row is chosen, so near ties go by id however rows lie in
+    batches.
     """
     target = np.asarray(query, dtype=np.float64)
     if int8:
@@ -49,16 +51,29 @@ def top_k(vectors: DataFrame, query: list[float], k: int = 20, *, id_col: str =
             else:
                 score = data @ target
             ids = batch.column(0).to_numpy()
-            best = np.lexsort((ids, -score.round(9)))[:k]
+            score = score.round(6)
+            best = np.lexsort((ids, -score))[:k]
             yield pa.RecordBatch.from_arrays([pa.array(ids[best]), pa.array(score[best])], names=["id", "score"])
 
     rows = vectors.filter(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), vector_col)
-    rows = rows.mapInArrow(run, "id long, score double").withColumn("score", F.round("score", 6))
+    rows = rows.mapInArrow(run, "id long, score double")
     return rows.orderBy(F.desc("score"), "id").limit(k).withColumnRenamed("id", id_col)
 
 
-#: Rows and queries of a unit of ``top_k_each``.
-BLOCK_ROWS, GROUP_QUERIES = 65_536, 1024
+#: Rows and queries of a unit of ``top_k_each``, and queries of one product.
+BLOCK_ROWS, GROUP_QUERIES, STRETCH = 65_536, 1024, 32
+
+
+def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k greatest scores, ties by id: only scores not below the
+    k-th greatest are sorted."""
+    if len(scores) > k:
+        least = np.partition(scores, len(scores) - k)[len(scores) - k]
+        among = np.flatnonzero(scores >= least)
+    else:
+        among = np.arange(len(scores))
+    among = among[scores[among] > -np.inf]
+    return among[np.lexsort((ids[among], -scores[among]))[:k]]
 
 
 def top_k_each(vectors: DataFrame, queries: DataFrame, k: int, *, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -72,22 +87,27 @@ def top_k_each(vectors: DataFrame, queries: DataFrame, k: int, *, id_col: str =
     left = rows.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), every(groups).alias("group"), "id", "v")
     right = asked.select(every(blocks).alias("block"), F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int").alias("group"), "id", "v")
 
+    def matrix(column) -> np.ndarray:
+        column = column.combine_chunks()
+        return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
     def best(a, b):
-        import pandas as pd
+        import pyarrow as pa
 
-        out = {"query_id": [], "id": [], "score": []}
-        if len(a) and len(b):
+        out: list[list[np.ndarray]] = [[np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]]
+        if a.num_rows and b.num_rows:
             ids, wanted = a["id"].to_numpy(), b["id"].to_numpy()
-            scores = np.round(np.stack(b["v"]).astype(np.float64) @ np.stack(a["v"]).astype(np.float64).T, 6)
-            scores[wanted[:, None] == ids[None, :]] = -np.inf
-            for q, row in zip(wanted.tolist(), scores, strict=True):
-                found = np.lexsort((ids, -row))[:k]
-                found = found[row[found] > -np.inf]
-                out["query_id"] += [q] * len(found)
-                out["id"] += ids[found].tolist()
-                out["score"] += row[found].tolist()
-        return pd.DataFrame(out).astype({"query_id": "int64", "id": "int64", "score": "float64"})
-
-    found = left.groupBy("block", "group").cogroup(right.groupBy("block", "group")).applyInPandas(best, "query_id long, id long, score double")
+            rows, asked = matrix(a["v"]).T, matrix(b["v"])
+            for at in range(0, len(wanted), STRETCH):
+                scores = np.round(asked[at : at + STRETCH] @ rows, 6)
+                own = wanted[at : at + STRETCH]
+                scores[own[:, None] == ids[None, :]] = -np.inf
+                for q, row in zip(own.tolist(), scores, strict=True):
+                    found = _best(ids, row, k)
+                    for column, values in zip(out, (np.full(len(found), q), ids[found], row[found]), strict=True):
+                        column.append(values)
+        return pa.table([np.concatenate(c) for c in out], names=["query_id", "id", "score"])
+
+    found = left.groupBy("block", "group").cogroup(right.groupBy("block", "group")).applyInArrow(best, "query_id long, id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k)
