@@ -1,8 +1,8 @@
 """Symbols, imports, calls and chunks of source files.
 
 Python goes through ``ast``.  TypeScript, JavaScript, Go and Rust go through a
-masking lexer (strings and comments become blanks of the same length) and a
-brace matcher; definitions are then patterns on the masked text.  A file that
+pushdown scanner (``lexer``), which blanks what is no code and pairs the
+brackets; definitions are then patterns on the masked text.  A file that
 does not parse still gives what was found, with ``has_errors`` set.  A file
 that breaks the parser itself (nesting beyond any stack) is cut into windows of
 lines and marked the same way, so no file can fail another.
@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarryline.functions.code_text import lang_of
+from quarryline.operators.lexer import scan
 
 # Limits of chunks and signatures.
 MAX_CHUNK_LINES, SMALL_LINES, MERGE_GAP, MAX_MERGED_LINES, SIGNATURE_CHARS = 120, 3, 2, 40, 400
@@ -155,39 +156,13 @@ def _parse_python(source: str, out: Parsed) -> None:
 
 
 class _Masked:
-    """A source whose strings and comments are blanked, and its braces."""
+    """A scanned source, its lines and the comments above a place."""
 
     def __init__(self, source: str, lang: str):
-        self.source, self.comments, self.errors = source, [], False
-        code = list(source)
-        patterns = [r"//[^\n]*", r"/\*.*?(?:\*/|\Z)", r'"(?:\\.|[^"\\\n])*"?']
-        if lang == "rust":
-            patterns += [r'r(#*)".*?"\1', r"'(?:\\[^\n]|[^'\\\n])'"]
-        elif lang == "go":
-            patterns += [r"`[^`]*`?", r"'(?:\\.|[^'\\\n])+'"]
-        else:
-            patterns += [r"'(?:\\.|[^'\\\n])*'?", r"`(?:\\.|[^`\\])*`?"]
-        for m in re.finditer("|".join(patterns), source, re.S):
-            comment = m[0].startswith(("//", "/*"))
-            if comment:
-                self.comments.append((m.start(), m.end()))
-            for i in range(m.start() + (not comment), m.end() - (not comment)):
-                if code[i] != "\n":
-                    code[i] = " "
-        self.code = "".join(code)
+        found = scan(source, lang)
+        self.source, self.code, self.comments = source, found.code, found.comments
+        self.close, self.errors = found.close, found.errors
         self.line_starts = [0, *(m.end() for m in re.finditer("\n", source))]
-        self.close: dict[int, int] = {}
-        stack = []
-        for m in re.finditer(r"[{}()\[\]]", self.code):
-            if m[0] in "{([":
-                stack.append((m[0], m.start()))
-            elif stack and stack[-1][0] + m[0] in ("{}", "()", "[]"):
-                self.close[stack.pop()[1]] = m.start()
-            else:
-                self.errors = True
-        self.errors |= bool(stack)
-        for _, at in stack:
-            self.close[at] = len(source) - 1
 
     def line(self, at: int) -> int:
         return bisect.bisect_right(self.line_starts, at)
@@ -256,7 +231,7 @@ _RUST_DEFS = re.compile(
 _WORD = re.compile(r"[\w$#]+")
 _MACRO = re.compile(r"\w!\s*[(\[{]")
 _GO_INTERFACE = re.compile(r"\binterface\s*\{")
-_CALL = re.compile(rf"(?P<name>{_NAME})\s*(?:::<[^()]*?>|<[\w$,\s\[\]|.]*>)?\(")
+_CALL = re.compile(rf"(?<![\w$])(?P<name>{_NAME})\s*(?:::<[^()]*?>|<[\w$,\s\[\]|.]*>)?\(")
 
 
 @dataclass
@@ -418,7 +393,7 @@ def _statement_end(m: _Masked, at: int) -> int:
     """End of ``const x = ...``: its semicolon, or a line end where no operator waits."""
     while at < len(m.code):
         c = m.code[at]
-        if c in "{([":
+        if c in "{([" or at in m.close:
             at = m.close.get(at, len(m.code) - 1)
         elif c == ";":
             return at

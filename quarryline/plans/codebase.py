@@ -44,7 +44,7 @@ export abstract class Dock{K} extends Quay {
   line: Rope,
 ): number {
   checkTide(line);
-  return [line].map(tieKnot).length;
+  return [line].map(tieKnot).length / /[{`]\/'/.source.length;
 }
 
 '''),
@@ -108,7 +108,7 @@ static LANTERN_{K}: &str = "it's {S}";
 
 ''', '''pub fn launch_{K}_{I}(n: u32) -> u32 {
     let m = tow_out(n) + tide::read(n);
-    m + {I}
+    m + {I} /* hold /* fn no() { */ on( */
 }
 
 '''),
@@ -128,6 +128,12 @@ export const fog{K} = (horn) => {
   return "no call(" + `nor ${speed}`;
 }
 
+const hitch{K}_{I} = /["'`{(]\/[/}]/g;
+let splice{K}_{I} = `${[1].map((r) => `${coilUp(r)} }`).length / 2} {`;
+export const Flag{K}_{I} = ({ tint }) => (
+  <b title="{(" onClick={() => hoist(tint)}>don't call( {`${waveAt(tint)}`} <br/></b>
+);
+
 '''),
 )
 

@@ -27,6 +27,11 @@ PARTS = {
         ("let ripeness{n} = measure{n}(\n  0.5,\n);", [("constant", "ripeness{n}", None, 1, 3, False)], [], [("measure{n}", 1, None)]),
         ("const sorter{n} = async <T>(xs: T[]) => {\n  await shelve{n}<T>(xs);\n};", [("function", "sorter{n}", None, 1, 3, False)], [], [("shelve{n}", 2, None)]),
         ("export const peel{n} = function (x) {\n  return x;\n};", [("function", "peel{n}", None, 1, 3, True)], [], []),
+        ("const quote{n} = /[\"'`{/]\\/(?:\\()/gi;", [("constant", "quote{n}", None, 1, 1, False)], [], []),
+        ("let half{n} = total{n} / 2 / fold{n}(/}/.exec(s)) /* } */ / 3;", [("constant", "half{n}", None, 1, 1, False)], [], [("fold{n}", 1, None), ("exec", 1, None)]),
+        ("function crop{n}(s) {\n  if (s) /[)}]/.test(s);\n  return /`{/.test(`${s ? `${thresh{n}(s)} }` : '`'} {`);\n}",
+         [("function", "crop{n}", None, 1, 4, False)], [], [("test", 2, "crop{n}"), ("test", 3, "crop{n}"), ("thresh{n}", 3, "crop{n}")]),
+        ("export const label{n} = `a\n${[1, 2].map((x) => {\n  return `${x / 2}/${ { a: '}' }.a }`;\n})} /* not ${ '`' } a comment`;", [("constant", "label{n}", None, 1, 4, True)], [], [("map", 2, None)]),
         ('/* class No{n} {} */ // function nor{n}() {}\nlog{n}("function not{n}() {", `and ${1} not`);', [], [], [("log{n}", 2, None)]),
     ],
     "m.py": [
@@ -54,6 +59,8 @@ PARTS = {
     "m.rs": [
         ("use mine::shaft{n};", [], [("mine::shaft{n}", 1)], []),
         ("pub enum Ore{n} {\n    Iron,\n    Tin(u8),\n}", [("enum", "Ore{n}", None, 1, 4, True)], [], []),
+        ("/* outer /* fn no{n}() { */ still( */\nstruct Sack{n};", [("struct", "Sack{n}", None, 2, 2, False)], [], []),
+        ("fn sift{n}() -> u8 {\n    let q = (b'{', '\\'', '\\u{7b}', \"\\\"{\", br##\"{\"#{\"##);\n    b'}'\n}", [("function", "sift{n}", None, 1, 4, False)], [], []),
         ("struct Cart{n}(u32);", [("struct", "Cart{n}", None, 1, 1, False)], [], []),
         ("pub trait Dig{n} {\n    fn deeper{n}(&self) -> bool;\n}", [("interface", "Dig{n}", None, 1, 3, True), ("function", "deeper{n}", None, 2, 2, False)], [], []),
         ("mod vein{n} {\n    pub async fn follow{n}<'a>(x: &'a str) -> char {\n        trace{n}(x);\n        '}'\n    }\n}", [("module", "vein{n}", None, 1, 6, False), ("function", "follow{n}", "vein{n}", 2, 5, True)], [], [("trace{n}", 3, "follow{n}")]),
@@ -63,6 +70,14 @@ PARTS = {
     ],
 }
 PARTS["m.js"] = [p for p in PARTS["m.ts"] if not any(x in p[0] for x in ("declare", "protected", "enum", "type ", "interface", "<T>"))]
+PARTS["m.tsx"] = PARTS["m.ts"][:12] + [
+    ("export function Shed{n}({ open }: Props) {\n  return (\n    <section title=\"{(\" {...rest{n}(open)}>\n      don't {open ? <b>it's {count{n}(1)}</b> : <i/>} call{n}( {/* } */ '}'}\n    </section>\n  );\n}",
+     [("function", "Shed{n}", None, 1, 7, True)], [], [("rest{n}", 3, "Shed{n}"), ("count{n}", 4, "Shed{n}")]),
+    ("const Gate{n} = () => <><Latch key={`${turn{n}(1)}`} onPull={() => { pull{n}(); }}>{'<'}</Latch> {\"}\"} } </>;", [("function", "Gate{n}", None, 1, 1, False)], [], [("turn{n}", 1, None), ("pull{n}", 1, None)]),
+    ("const same{n} = <T,>(x: T) => (x < limit{n}(x) ? x : `${x}`);", [("function", "same{n}", None, 1, 1, False)], [], [("limit{n}", 1, None)]),
+    ("function less{n}(a, b) {\n  return a < b && b > cmp{n}(a) / 2;\n}", [("function", "less{n}", None, 1, 3, False)], [], [("cmp{n}", 2, "less{n}")]),
+]
+PARTS["m.jsx"] = PARTS["m.js"] + PARTS["m.tsx"][-1:] + PARTS["m.tsx"][-3:-2]
 
 
 def program(path, seed, size=9):
@@ -180,6 +195,32 @@ def test_files_that_break_a_parser_are_marked(path, source):
     check_chunks(source, found)
 
 
+@pytest.mark.parametrize("depth", [3, 400])
+def test_modes_nest_to_any_depth(depth):
+    """Templates in templates in markup, each closed in turn."""
+    inner = "deep()"
+    for i in range(depth):
+        inner = f"`}} ${{{inner}}} {{`" if i % 2 else f"<p a={{{inner}}}>it's</p>"
+    found = parse_source(f"const a = {inner};\nconst b = 1;\n", "a.tsx")
+    assert not found.has_errors
+    assert [(s.name, s.start_line, s.end_line) for s in found.symbols] == [("a", 1, 1), ("b", 2, 2)]
+    assert found.calls == [("deep", 1, None)]
+
+
+@pytest.mark.parametrize("source", ["const a = `${ { `;\n", "const a = `${(}`;\nconst b = 2;\n", "const A = () => <p>\n", "const r = /[/;\n", "f(`${`${`", "<", "/", "`"])
+def test_what_is_never_closed_is_marked_or_plain(source):
+    found = parse_source(source, "a.tsx")
+    check_chunks(source, found)
+
+
+def test_a_very_long_word_takes_time_in_proportion():
+    import time
+
+    began = time.process_time()
+    assert not parse_source("const a = '" + "x" * 300_000 + "';\n" + "y" * 300_000 + ";\n", "a.ts").has_errors
+    assert time.process_time() - began < 5
+
+
 def test_large_files_take_time_in_proportion():
     import time
 
