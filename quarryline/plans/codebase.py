@@ -44,7 +44,7 @@ export abstract class Dock{K} extends Quay {
   line: Rope,
 ): number {
   checkTide(line);
-  return [line].map(tieKnot).length / /[{`]\/'/.source.length;
+  return [line].map(tieKnot).length / /[{`]\\/'/.source.length;
 }
 
 '''),
@@ -128,10 +128,10 @@ export const fog{K} = (horn) => {
   return "no call(" + `nor ${speed}`;
 }
 
-const hitch{K}_{I} = /["'`{(]\/[/}]/g;
-let splice{K}_{I} = `${[1].map((r) => `${coilUp(r)} }`).length / 2} {`;
+const hitch{K}_{I} = /["'`{(]\\/[/}]/g;
+let splice{K}_{I} = `${[1].map((r) => `${coilUp{I}(r)} }`).length / 2} {`;
 export const Flag{K}_{I} = ({ tint }) => (
-  <b title="{(" onClick={() => hoist(tint)}>don't call( {`${waveAt(tint)}`} <br/></b>
+  <b title="{(" onClick={() => hoist{I}(tint)}>don't call( {`${waveAt{I}(tint)}`} <br/></b>
 );
 
 '''),

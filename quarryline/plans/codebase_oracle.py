@@ -39,8 +39,8 @@ SYMBOLS = {
         ("head", "fog{K}", "function", None, 8, 10, True, "const fog{K} = (horn) => { soundHorn(horn); };", None),
         ("block", "knot{K}_{I}", "function", None, 1, 4, False, "function knot{K}_{I}(speed)", None),
         ("block", "hitch{K}_{I}", "constant", None, 6, 6, False, "const hitch{K}_{I} = /[\"'`{(]\\/[/}]/g;", None),
-        ("block", "splice{K}_{I}", "constant", None, 7, 7, False, "let splice{K}_{I} = `${[1].map((r) => `${coilUp(r)} }`).length / 2} {`;", None),
-        ("block", "Flag{K}_{I}", "function", None, 8, 10, True, "const Flag{K}_{I} = ({ tint }) => ( <b title=\"{(\" onClick={() => hoist(tint)}>don't call( {`${waveAt(tint)}`} <br/></b> );", None),
+        ("block", "splice{K}_{I}", "constant", None, 7, 7, False, "let splice{K}_{I} = `${[1].map((r) => `${coilUp{I}(r)} }`).length / 2} {`;", None),
+        ("block", "Flag{K}_{I}", "function", None, 8, 10, True, "const Flag{K}_{I} = ({ tint }) => ( <b title=\"{(\" onClick={() => hoist{I}(tint)}>don't call( {`${waveAt{I}(tint)}`} <br/></b> );", None),
     ),
 }
 # part of the file, caller ('' at the top), callee, kind, line
@@ -49,7 +49,7 @@ EDGES = {
     ".py": (("head", "", "harbour.part_{N}", "imports", 2), ("head", "", "anchored", "calls", 8), ("head", "drift", "swing_round", "calls", 10), ("block", "haul_{K}_{I}", "print", "calls", 4), ("block", "haul_{K}_{I}", "count_rope", "calls", 4)),
     ".go": (("head", "", "shore/d{D}", "imports", 3), ("head", "Lift", "swingArm", "calls", 11), ("block", "winch{K}_{I}", "pullIn", "calls", 3), ("block", "winch{K}_{I}", "len", "calls", 3)),
     ".rs": (("head", "", "shore::d{D}::tide", "imports", 1), ("head", "rent", "take_slip", "calls", 12), ("block", "launch_{K}_{I}", "tow_out", "calls", 2)),
-    ".js": (("head", "", "../d{D}/part_{N}.js", "imports", 1), ("head", "ring{K}", "strike", "calls", 5), ("head", "", "soundHorn", "calls", 9), ("block", "knot{K}_{I}", "readLog", "calls", 2), ("block", "", "map", "calls", 7), ("block", "", "coilUp", "calls", 7), ("block", "", "hoist", "calls", 9), ("block", "", "waveAt", "calls", 9)),
+    ".js": (("head", "", "../d{D}/part_{N}.js", "imports", 1), ("head", "ring{K}", "strike", "calls", 5), ("head", "", "soundHorn", "calls", 9), ("block", "knot{K}_{I}", "readLog", "calls", 2), ("block", "", "coilUp{I}", "calls", 7), ("block", "", "hoist{I}", "calls", 9), ("block", "", "waveAt{I}", "calls", 9)),
 }
 # part of the file, first and last line of a chunk, name of the symbol whose signature heads it
 CHUNKS = {

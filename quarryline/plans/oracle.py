@@ -50,12 +50,8 @@ def _occurrences(column: str, phrase: list[str]) -> str:
     return f"coalesce(len([w for w, i in {column} if w = '{phrase[0]}'{more}]), 0)"
 
 
-def bm25(terms: list[list[str]], where: str = "true", chunks: str = CHUNKS) -> str:
-    """CTEs up to ``hits`` (content_hash, score) for phrases of words."""
-    counts = ", ".join(f"{_occurrences('body_w', t)} + 2.0 * {_occurrences('header_w', t)} + 1.5 * {_occurrences('token_w', t)} AS f{i}" for i, t in enumerate(terms))
-    totals = ", ".join(f"count(*) FILTER (f{i} > 0) AS n{i}" for i in range(len(terms)))
-    idf = lambda i: f"CASE WHEN ln((n - n{i} + 0.5) / (n{i} + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - n{i} + 0.5) / (n{i} + 0.5)) END"
-    score = " + ".join(f"({idf(i)}) * f{i} * 2.2 / (f{i} + 1.2 * (0.25 + 0.75 * length / mean))" for i in range(len(terms)))
+def fts_rows(chunks: str = CHUNKS) -> str:
+    """CTEs up to ``fts`` (content_hash, body_w, header_w, token_w)."""
     return rf"""{chunks}, raws AS (
     SELECT content_hash, unnest(raws) AS raw, generate_subscripts(raws, 1) AS nth FROM (SELECT content_hash, {RAWS.format("header || E'" + chr(92) + "n' || body")} AS raws FROM chunks)
 ), vocabulary AS (
@@ -67,7 +63,16 @@ def bm25(terms: list[list[str]], where: str = "true", chunks: str = CHUNKS) -> s
 ), fts AS (
     SELECT c.content_hash, {FTS.format("c.body")} AS body_w, {FTS.format("c.header")} AS header_w, t.token_w
     FROM chunks c LEFT JOIN token_words t USING (content_hash)
-), counted AS (
+)"""
+
+
+def bm25(terms: list[list[str]], where: str = "true", chunks: str = CHUNKS) -> str:
+    """CTEs up to ``hits`` (content_hash, score) for phrases of words."""
+    counts = ", ".join(f"{_occurrences('body_w', t)} + 2.0 * {_occurrences('header_w', t)} + 1.5 * {_occurrences('token_w', t)} AS f{i}" for i, t in enumerate(terms))
+    totals = ", ".join(f"count(*) FILTER (f{i} > 0) AS n{i}" for i in range(len(terms)))
+    idf = lambda i: f"CASE WHEN ln((n - n{i} + 0.5) / (n{i} + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - n{i} + 0.5) / (n{i} + 0.5)) END"
+    score = " + ".join(f"({idf(i)}) * f{i} * 2.2 / (f{i} + 1.2 * (0.25 + 0.75 * length / mean))" for i in range(len(terms)))
+    return rf"""{fts_rows(chunks)}, counted AS (
     SELECT content_hash, len(body_w) + len(header_w) + coalesce(len(token_w), 0) AS length, {counts} FROM fts
 ), totals AS (
     SELECT count(*)::DOUBLE AS n, avg(length) AS mean, {totals} FROM counted
@@ -78,6 +83,34 @@ def bm25(terms: list[list[str]], where: str = "true", chunks: str = CHUNKS) -> s
 )"""
 
 
+#: ``fused``: ranks of every query by configuration, for queries of single plain words.
+BATCH = rf"""{fts_rows()}, asked AS (
+    SELECT doc_id AS query_id, source || '/' || doc_id || '.txt' AS own, list_distinct_in_order[1:CASE WHEN doc_id % 200 = 0 THEN 1 ELSE 2 END] AS terms
+    FROM (SELECT doc_id, source, [x for x, i in w if list_position(w, x) = i] AS list_distinct_in_order FROM (SELECT doc_id, source, [x for x in string_split(text, ' ') if regexp_full_match(x, '[a-z]{{6,}}')] AS w FROM documents WHERE doc_id % 100 = 0))
+    WHERE len(list_distinct_in_order) > 1
+), lengths AS (
+    SELECT *, len(body_w) + len(header_w) + coalesce(len(token_w), 0) AS length FROM fts
+), totals AS (
+    SELECT count(*)::DOUBLE AS n, avg(length) AS mean FROM lengths
+), f AS (
+    SELECT query_id, term, content_hash, length, len([w for w in body_w if w = term]) + 2.0 * len([w for w in header_w if w = term]) + 1.5 * coalesce(len([w for w in token_w if w = term]), 0) AS f
+    FROM lengths, (SELECT query_id, unnest(terms) AS term FROM asked)
+), idf AS (
+    SELECT query_id, term, ln((n - count(*) + 0.5) / (count(*) + 0.5)) AS raw FROM f, totals WHERE f > 0 GROUP BY query_id, term, n
+), scored AS (
+    SELECT query_id, content_hash, sum(CASE WHEN raw <= 0 THEN 1e-6 ELSE raw END * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * length / mean))) AS score FROM f JOIN idf USING (query_id, term), totals WHERE f > 0 GROUP BY query_id, content_hash
+), arms AS (
+    SELECT query_id, path, start_line, end_line, 0 AS arm, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, path, start_line) AS rank FROM scored JOIN chunks USING (content_hash) QUALIFY rank <= 30
+    UNION ALL
+    SELECT query_id, path, start_line, end_line, 1, row_number() OVER (PARTITION BY query_id ORDER BY path, start_line) AS rank
+    FROM (SELECT *, {IDENTS.format("body")} AS idents FROM chunks) JOIN asked ON len(terms) = 1 AND contains(array_to_string(idents, ' '), terms[1]) QUALIFY rank <= 30
+), fused AS (
+    SELECT config, query_id, path, start_line, end_line, round(sum(([1.0, 0.7]::DOUBLE[])[arm + 1] / (60 + rank)), 9) AS score, string_agg(['bm25', 'trigram'][arm + 1], '+' ORDER BY arm) AS matched, min((arm, rank)) AS first
+    FROM arms, (SELECT unnest([['all', '2'], ['without bm25', '0'], ['without trigram', '1']]) AS c), LATERAL (SELECT c[1] AS config) WHERE arm <> c[2]::INTEGER GROUP BY config, query_id, path, start_line, end_line
+), best AS (
+    SELECT *, row_number() OVER (PARTITION BY config, query_id ORDER BY score DESC, first, path, start_line, end_line)::INTEGER AS rank FROM fused QUALIFY rank <= 10
+)"""
+
 _TERMS = [[w] for w in PHRASE.lower().split()]
 _SPAN_ID = "'sp_' || substr(sha256(content_hash || ':' || path || ':' || start_line || ':' || end_line), 1, 12)"
 
@@ -356,6 +389,32 @@ WITH d AS (SELECT doc_id, doc_id % 8 AS k FROM documents)
 SELECT CASE k WHEN 0 THEN 'src/a' WHEN 1 THEN 'src/b' WHEN 2 THEN 'src/c' WHEN 3 THEN 'new/d' WHEN 4 THEN 'src/e' WHEN 5 THEN 'src/f' WHEN 6 THEN 'src/g' ELSE 'new/h' END || doc_id || CASE WHEN k < 4 THEN '.ts' ELSE '.py' END AS path,
        CASE WHEN k IN (2, 6) THEN 'delete' ELSE 'parse' END AS kind, 10 AS priority FROM d
 UNION ALL SELECT CASE k WHEN 3 THEN 'old/d' || doc_id || '.ts' ELSE 'old/h' || doc_id || '.py' END, 'delete', 10 FROM d WHERE k IN (3, 7)""",
+    "merkle_changes": """
+WITH b AS (
+    SELECT doc_id, lang IN ('de', 'fr') AS touched, doc_id % 11 AS k, source || '/' || lang || '/' || doc_id % 7 || '/' || doc_id || '.txt' AS path, md5(text) AS hash FROM documents
+), a AS (
+    SELECT CASE WHEN touched AND k = 2 THEN 'moved/' || doc_id % 3 || '/' || doc_id ELSE path END AS path, CASE WHEN touched AND k = 1 THEN md5(path) ELSE hash END AS hash FROM b WHERE NOT (touched AND k = 0)
+    UNION ALL SELECT 'copies/' || path, hash FROM b WHERE touched AND k = 3
+), d AS (
+    SELECT coalesce(a.path, b.path) AS path, b.hash AS was_hash, a.hash AS is_hash FROM b FULL JOIN a ON a.path = b.path WHERE a.hash IS DISTINCT FROM b.hash
+), gone AS (SELECT path, was_hash AS hash, count(*) OVER (PARTITION BY was_hash) AS n FROM d WHERE is_hash IS NULL),
+come AS (SELECT path, is_hash AS hash, count(*) OVER (PARTITION BY is_hash) AS n FROM d WHERE was_hash IS NULL),
+moves AS (SELECT c.path, g.path AS was FROM gone g JOIN come c ON g.hash = c.hash AND g.n = 1 AND c.n = 1)
+SELECT path, 'moved' AS change, was FROM moves
+UNION ALL SELECT path, 'changed', NULL FROM d WHERE was_hash IS NOT NULL AND is_hash IS NOT NULL
+UNION ALL SELECT path, 'added', NULL FROM come WHERE path NOT IN (SELECT path FROM moves)
+UNION ALL SELECT path, 'removed', NULL FROM gone WHERE path NOT IN (SELECT was FROM moves)""",
+    "batch_search": f"WITH {BATCH} SELECT query_id, rank, path, start_line, end_line, matched, round(score, 6) AS score FROM best WHERE config = 'all'",
+    "eval_ablation": f"""
+WITH {BATCH}, read AS (
+    SELECT b.config, b.query_id, b.rank, path = own AS hit, ceil(length(body) / 4.0)::INTEGER + 32 AS cost FROM best b JOIN chunks USING (path, start_line, end_line) JOIN asked USING (query_id)
+), firsts AS (
+    SELECT *, min(rank) FILTER (hit) OVER (PARTITION BY config, query_id) AS first FROM read
+), per AS (
+    SELECT config, query_id, any_value(first) AS first, sum(cost) FILTER (first IS NULL OR rank <= first) AS tokens FROM firsts GROUP BY config, query_id
+)
+SELECT c.config, count(*) AS queries, round(avg(CASE WHEN first IS NULL THEN 0.0::DOUBLE ELSE 1 END), 6) AS recall, round(avg(coalesce(1.0::DOUBLE / first, 0)), 6) AS mrr, round(avg(coalesce(tokens, 0)::DOUBLE), 6) AS tokens
+FROM asked JOIN (SELECT DISTINCT config FROM best) c ON true LEFT JOIN per ON per.config = c.config AND per.query_id = asked.query_id GROUP BY c.config""",
     "vector_topk": """
 WITH q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings ORDER BY vec_id LIMIT 1)
 SELECT vec_id, round(list_inner_product(embedding::DOUBLE[], q), 6) AS score FROM embeddings, q ORDER BY score DESC, vec_id LIMIT 20""",

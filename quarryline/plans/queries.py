@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarryline.functions import code_text as T
-from quarryline.operators import changefeed, graph, ignore, indexing, prose, retrieval, status, vectors
+from quarryline.operators import batch, changefeed, graph, ignore, indexing, merkle, prose, retrieval, status, vectors
 from quarryline.operators.parse import parse_files
 from quarryline.plans import codebase
 from quarryline.session import shared_folder, ship, stored
@@ -545,6 +545,47 @@ def git_changes(spark, sf_dir):
     return git.changes(lines)
 
 
+def _states(spark, sf_dir):
+    """Documents in folders, before and after: where the language is German or
+    French some are gone, changed, moved or copied."""
+    docs = read(spark, sf_dir, "documents")
+    folder = F.concat_ws("/", "source", "lang", (F.col("doc_id") % 7).cast("string"))
+    before = docs.select("doc_id", "lang", F.concat(folder, F.lit("/"), "doc_id", F.lit(".txt")).alias("path"), F.md5("text").alias("hash"))
+    touched, k = F.col("lang").isin("de", "fr"), F.col("doc_id") % 11
+    after = before.filter(~touched | (k != 0)).select("doc_id", F.when(touched & (k == 2), F.concat(F.lit("moved/"), (F.col("doc_id") % 3).cast("string"), F.lit("/"), "doc_id")).otherwise(F.col("path")).alias("path"), F.when(touched & (k == 1), F.md5("path")).otherwise(F.col("hash")).alias("hash"))
+    copies = before.filter(touched & (k == 3)).select("doc_id", F.concat(F.lit("copies/"), "path").alias("path"), "hash")
+    return before.select("path", "hash"), after.unionByName(copies).select("path", "hash")
+
+
+@query
+def merkle_changes(spark, sf_dir):
+    """What changed between two states, found from the hashes of folders."""
+    before, after = _states(spark, sf_dir)
+    return merkle.compare(merkle.tree(before), merkle.tree(after)).changes
+
+
+def _asked(spark, sf_dir):
+    """Queries from every hundredth document: its first long word, and for
+    every other one of them its second too."""
+    words = F.array_distinct(F.filter(F.split("text", " "), lambda w: w.rlike("^[a-z]{6,}$")))
+    rows = corpus(spark, sf_dir).filter("doc_id % 100 = 0").withColumn("words", words).filter(F.size("words") > 1)
+    return rows.select(F.col("doc_id").alias("query_id"), "path", F.when(F.col("doc_id") % 200 == 0, F.col("words")[0]).otherwise(F.array_join(F.slice("words", 1, 2), " ")).alias("query"))
+
+
+@query
+def batch_search(spark, sf_dir):
+    found = batch.search_each(ready_index(spark, sf_dir), _asked(spark, sf_dir).select("query_id", "query"), limit=10)
+    return found.select("query_id", "rank", "path", "start_line", "end_line", F.array_join("matched", "+").alias("matched"), F.round("score", 6).alias("score"))
+
+
+@query
+def eval_ablation(spark, sf_dir):
+    """Does a query find the document it was taken from, and at what cost?"""
+    asked = stored(_asked(spark, sf_dir))
+    costs = chunk_rows(spark, sf_dir).select("path", "start_line", "end_line", (F.ceil(F.length("body") / 4).cast("int") + retrieval.SPAN_COST).alias("cost"))
+    return batch.ablation(ready_index(spark, sf_dir), asked.select("query_id", "query"), asked.select("query_id", "path"), costs, k=10, arms=("bm25", "trigram"))
+
+
 # Vectors, prose, evaluation
 
 
