@@ -19,6 +19,8 @@ ARMS = tuple(ARM_WEIGHTS)
 RANK_CONSTANT = 60
 # Cost of a span beside its text, files before one may repeat.
 SPAN_COST, VARIETY = 32, 3
+# Levels of detail, and the share kept for what the graph adds.
+LEVELS, RESERVE = ("full", "skeleton", "reference"), 0.2
 
 
 def _phrase_count(words: Column, phrase: list[str]) -> Column:
@@ -250,6 +252,45 @@ def pack(spans: DataFrame, max_tokens: int, *, by: list[str] | None = None, cost
     return rows.select(*by, F.col("packed.kept").alias("spans"), F.col("packed.tokens").alias("tokens"), (F.size("packed.kept") < F.size("items")).alias("truncated"))
 
 
+def pack_levels(spans: DataFrame, max_tokens: int, *, by: list[str] | None = None, reserve: float = RESERVE) -> DataFrame:
+    """Spans at the level of detail that lets most of them in.
+
+    ``spans`` has rank, path, ``expanded`` (reached over the graph) and the costs
+    ``full``, ``skeleton`` and ``reference``.  What was found goes first and may use
+    all but the reserve; what was reached over the graph gets the rest.  In order of
+    rank, a span takes the fullest level that still leaves room for the references of
+    those behind it, else a reference if that fits, else it is left out.  While fewer
+    than three files are in, a further span of a file is a reference.  One row for
+    each group ``by``: spans (array of rank, path, level, cost), tokens, truncated.
+    A group is one answer, so small."""
+    by = by or []
+    kind = "struct<expanded:boolean,rank:int,path:string,full:int,skeleton:int,reference:int>"
+    item = F.struct(F.coalesce("expanded", F.lit(False)).alias("expanded"), F.col("rank").cast("int").alias("rank"), "path", *(F.col(c).cast("int").alias(c) for c in LEVELS))
+    rows = spans.groupBy(*by).agg(F.array_sort(F.collect_list(item)).cast(f"array<{kind}>").alias("items"))
+    behind = lambda flag: F.aggregate("items", F.lit(0), lambda a, x: a + F.when(x["expanded"] == flag, x["reference"]).otherwise(0))
+    start = F.struct(
+        F.lit(0).alias("tokens"), F.array().cast("array<struct<rank:int,path:string,level:string,cost:int>>").alias("kept"), F.array().cast("array<string>").alias("paths"),
+        behind(False).alias("found"), behind(True).alias("reached"),
+    )
+
+    def step(acc: Column, x: Column) -> Column:
+        room = F.when(x["expanded"], F.lit(max_tokens)).otherwise(F.lit(int(max_tokens * (1 - reserve)))) - acc["tokens"]
+        later = F.when(x["expanded"], acc["reached"]).otherwise(acc["found"]) - x["reference"]
+        seen = F.array_contains(acc["paths"], x["path"])
+        whole = ~(seen & (F.size(acc["paths"]) < VARIETY))
+        level = F.when(whole & (x["full"] <= room - later), F.lit("full")).when(whole & (x["skeleton"] <= room - later), F.lit("skeleton")).when(x["reference"] <= room, F.lit("reference"))
+        cost = F.when(level == "full", x["full"]).when(level == "skeleton", x["skeleton"]).when(level == "reference", x["reference"]).otherwise(0)
+        return F.struct(
+            (acc["tokens"] + cost).alias("tokens"),
+            F.when(level.isNull(), acc["kept"]).otherwise(F.concat(acc["kept"], F.array(F.struct(x["rank"].alias("rank"), x["path"].alias("path"), level.alias("level"), cost.alias("cost"))))).alias("kept"),
+            F.when(level.isNull() | seen, acc["paths"]).otherwise(F.concat(acc["paths"], F.array(x["path"]))).alias("paths"),
+            (acc["found"] - F.when(x["expanded"], 0).otherwise(x["reference"])).alias("found"), (acc["reached"] - F.when(x["expanded"], x["reference"]).otherwise(0)).alias("reached"),
+        )
+
+    rows = rows.withColumn("packed", F.aggregate("items", start, step))
+    return rows.select(*by, F.col("packed.kept").alias("spans"), F.col("packed.tokens").alias("tokens"), (F.size("packed.kept") < F.size("items")).alias("truncated"))
+
+
 def envelope(packed: DataFrame, jobs: DataFrame) -> DataFrame:
     """Packed answers as JSON, each with the state of the index: whether jobs
     wait, and how many.  Other columns of ``packed`` are kept."""

@@ -404,6 +404,42 @@ SELECT path, 'moved' AS change, was FROM moves
 UNION ALL SELECT path, 'changed', NULL FROM d WHERE was_hash IS NOT NULL AND is_hash IS NOT NULL
 UNION ALL SELECT path, 'added', NULL FROM come WHERE path NOT IN (SELECT path FROM moves)
 UNION ALL SELECT path, 'removed', NULL FROM gone WHERE path NOT IN (SELECT was FROM moves)""",
+    "pack_levels": """
+WITH RECURSIVE spans AS (
+    SELECT conv_id, (turn + 1)::INTEGER AS rank, role || (turn % 4) AS path, role = 'assistant' AS expanded, ceil(length(text) / 4.0)::INTEGER + 32 AS full_, ceil(length(text) / 16.0)::INTEGER + 20 AS skeleton,
+           row_number() OVER (PARTITION BY conv_id ORDER BY role = 'assistant', turn, role) AS n, 12 * (count(*) OVER (PARTITION BY conv_id, role = 'assistant' ORDER BY turn DESC, role DESC ROWS UNBOUNDED PRECEDING) - 1) AS later
+    FROM conversations
+), fold AS (
+    SELECT conv_id, 0::BIGINT AS n, 0::BIGINT AS tokens, []::VARCHAR[] AS paths, []::VARCHAR[] AS kept FROM (SELECT DISTINCT conv_id FROM conversations)
+    UNION ALL
+    SELECT conv_id, n, tokens + CASE level WHEN 'full' THEN full_ WHEN 'skeleton' THEN skeleton WHEN 'reference' THEN 12 ELSE 0 END, CASE WHEN level IS NULL THEN paths ELSE list_distinct(paths || [path]) END, CASE WHEN level IS NULL THEN kept ELSE kept || [rank || ':' || level] END
+    FROM (
+        SELECT *, CASE WHEN whole AND full_ <= room - later THEN 'full' WHEN whole AND skeleton <= room - later THEN 'skeleton' WHEN 12 <= room THEN 'reference' END AS level
+        FROM (SELECT f.conv_id, s.n, f.tokens, f.paths, f.kept, s.path, s.rank, s.full_, s.skeleton, s.later, CASE WHEN expanded THEN 240 ELSE 192 END - f.tokens AS room, NOT (list_contains(f.paths, s.path) AND len(f.paths) < 3) AS whole FROM fold f JOIN spans s ON s.conv_id = f.conv_id AND s.n = f.n + 1)
+    )
+)
+SELECT conv_id, array_to_string(kept, ',') AS levels, tokens::INTEGER AS tokens, len(kept) < n AS truncated FROM fold QUALIFY n = max(n) OVER (PARTITION BY conv_id)""",
+    "expand_graph": """
+WITH RECURSIVE pairs AS (
+    SELECT near, far, max(weight) AS weight, min(relation) AS relation FROM (
+        SELECT 'o' || l_orderkey AS near, 'p' || l_partkey AS far, CASE WHEN l_linenumber = 1 THEN 1.0 ELSE 0.5 END::DOUBLE AS weight, 'callee' AS relation FROM lineitem
+        UNION ALL SELECT 'p' || l_partkey, 'o' || l_orderkey, CASE WHEN l_linenumber = 1 THEN 1.0 ELSE 0.5 END::DOUBLE, 'caller' FROM lineitem
+    ) GROUP BY near, far
+), small AS (
+    SELECT near AS node FROM pairs GROUP BY near HAVING count(*) <= 40
+), links AS (
+    SELECT * FROM pairs WHERE near IN (SELECT node FROM small) AND far IN (SELECT node FROM small)
+), walk AS (
+    SELECT o_orderkey AS answer_id, 'o' || o_orderkey AS node, 0 AS hop, NULL::VARCHAR AS relation, 1.0::DOUBLE AS score FROM orders WHERE o_orderkey % 100 = 0
+    UNION ALL
+    SELECT answer_id, far, hop + 1, l.relation, score * weight * 0.5::DOUBLE FROM walk JOIN links l ON l.near = walk.node WHERE hop < 2
+), reached AS (
+    SELECT answer_id, node, hop, min(relation) AS relation, max(score) AS score FROM (SELECT *, min(hop) OVER (PARTITION BY answer_id, node) AS nearest FROM walk) WHERE hop = nearest GROUP BY answer_id, node, hop
+), costs AS (
+    SELECT 'o' || o_orderkey AS node, o_orderkey % 7 + 10 AS cost FROM orders UNION ALL SELECT 'p' || p_partkey, p_size + 5 FROM part
+)
+SELECT answer_id, row_number() OVER w::INTEGER AS rank, node, hop, relation, score, (sum(cost) OVER (w ROWS UNBOUNDED PRECEDING))::BIGINT AS tokens
+FROM reached JOIN costs USING (node) WHERE hop > 0 WINDOW w AS (PARTITION BY answer_id ORDER BY hop, score DESC, node) QUALIFY tokens <= 320""",
     "batch_search": f"WITH {BATCH} SELECT query_id, rank, path, start_line, end_line, matched, round(score, 6) AS score FROM best WHERE config = 'all'",
     "eval_ablation": f"""
 WITH {BATCH}, read AS (

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarryline.functions import code_text as T
-from quarryline.operators import batch, changefeed, graph, ignore, indexing, merkle, prose, retrieval, status, vectors
+from quarryline.operators import batch, changefeed, expansion, graph, ignore, indexing, merkle, prose, retrieval, status, vectors
 from quarryline.operators.parse import parse_files
 from quarryline.plans import codebase
 from quarryline.session import shared_folder, ship, stored
@@ -277,6 +277,15 @@ def pack_budget(spark, sf_dir):
     return packed.select("conv_id", F.array_join(F.transform("spans", lambda s: s["rank"].cast("string")), ",").alias("ranks"), "tokens", "truncated")
 
 
+@query
+def pack_levels(spark, sf_dir):
+    """Turns as spans, assistants' turns as what the graph adds."""
+    size = F.length("text")
+    rows = read(spark, sf_dir, "conversations").select("conv_id", (F.col("turn") + 1).cast("int").alias("rank"), F.concat("role", (F.col("turn") % 4).cast("string")).alias("path"), (F.col("role") == "assistant").alias("expanded"), (F.ceil(size / 4) + 32).alias("full"), (F.ceil(size / 16) + 20).alias("skeleton"), F.lit(12).alias("reference"))
+    packed = retrieval.pack_levels(rows, 240, by=["conv_id"])
+    return packed.select("conv_id", F.array_join(F.transform("spans", lambda s: F.concat(s["rank"].cast("string"), F.lit(":"), s["level"])), ",").alias("levels"), "tokens", "truncated")
+
+
 @query
 def expand_span(spark, sf_dir):
     """Every chunk with five lines around it."""
@@ -564,6 +573,20 @@ def merkle_changes(spark, sf_dir):
     return merkle.compare(merkle.tree(before), merkle.tree(after)).changes
 
 
+@query
+def expand_graph(spark, sf_dir):
+    """Two hops from every hundredth order: orders call parts, the first item
+    of an order is a precise edge."""
+    items = read(spark, sf_dir, "lineitem")
+    edges = items.select(F.concat(F.lit("o"), "l_orderkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst"), F.when(F.col("l_linenumber") == 1, F.lit("precise")).otherwise(F.lit("heuristic")).alias("precision"))
+    orders = read(spark, sf_dir, "orders")
+    anchors = orders.filter("o_orderkey % 100 = 0").select(F.col("o_orderkey").alias("answer_id"), F.concat(F.lit("o"), "o_orderkey").alias("node"))
+    costs = orders.select(F.concat(F.lit("o"), "o_orderkey").alias("node"), (F.col("o_orderkey") % 7 + 10).alias("cost"))
+    costs = costs.unionByName(read(spark, sf_dir, "part").select(F.concat(F.lit("p"), "p_partkey").alias("node"), (F.col("p_size") + 5).cast("long").alias("cost")))
+    found = expansion.within_budget(expansion.expand_each(edges, anchors, hops=2), costs, 800)
+    return found.select("answer_id", "rank", "node", "hop", "relation", "score", "tokens")
+
+
 def _asked(spark, sf_dir):
     """Queries from every hundredth document: its first long word, and for
     every other one of them its second too."""

@@ -150,3 +150,33 @@ def test_plan_pushes_filters_down(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     plan = docs.filter(F.col("source") == "src1").select("doc_id")._jdf.queryExecution().toString()
     assert "PushedFilters: [IsNotNull(source), EqualTo(source,src1)]" in plan and "text" not in plan.rsplit("ReadSchema", 1)[1]
+
+
+def levels_of(items, budget, reserve=0.2):
+    """The choice of levels, span by span."""
+    tokens, files, out = 0, set(), []
+    order = sorted(items, key=lambda x: (x[0], x[1]))
+    for i, (expanded, rank, path, full, skeleton, reference) in enumerate(order):
+        room = (budget if expanded else int(budget * (1 - reserve))) - tokens
+        later = sum(x[5] for x in order[i + 1 :] if x[0] == expanded)
+        whole = not (path in files and len(files) < 3)
+        costs = [("full", full)] * whole + [("skeleton", skeleton)] * whole
+        level, cost = next(((n, c) for n, c in costs if c <= room - later), ("reference", reference) if reference <= room else (None, 0))
+        if level:
+            tokens += cost
+            files.add(path)
+            out.append((rank, path, level, cost))
+    return out, tokens
+
+
+def test_levels_of_detail_against_a_plain_fold(spark):
+    draw = random.Random(4)
+    rows = [(g, draw.random() < 0.4, r, draw.choice("abcde"), (f := draw.randint(20, 120)), f // 3 + 5, draw.randint(4, 10)) for g in range(30) for r in range(1, draw.randint(2, 12))]
+    frame = spark.createDataFrame(rows, "g int, expanded boolean, rank int, path string, full int, skeleton int, reference int").repartition(3)
+    for budget in (60, 200, 2000):
+        got = {r.g: ([tuple(s) for s in r.spans], r.tokens, r.truncated) for r in retrieval.pack_levels(frame, budget, by=["g"]).collect()}
+        for g in {r[0] for r in rows}:
+            own = [r[1:] for r in rows if r[0] == g]
+            kept, tokens = levels_of(own, budget)
+            assert got[g] == (kept, tokens, len(kept) < len(own))
+            assert tokens <= budget and sum(c for *_, c in [k for k in kept if not next(o[0] for o in own if o[1] == k[0])]) <= budget * 0.8
