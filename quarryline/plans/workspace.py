@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryline.functions import code_text as T
-from quarryline.operators import changefeed, graph, ignore, indexing, retrieval, status
+from quarryline.operators import changefeed, graph, ignore, indexing, merkle, retrieval, status
 from quarryline.sources import files as source_files
 
 _FILES = "path string, disk_mtime double, disk_size long, read_at double, indexed_hash string, indexed_at long, lang string, parse_state string, skip_reason string"
@@ -33,6 +33,7 @@ class Workspace:
         self.index: indexing.Index | None = None
         self.files = spark.createDataFrame([], _FILES)
         self.jobs = spark.createDataFrame([], _JOBS)
+        self.seen: DataFrame | None = None  # the hash tree of the last look at the disk
 
     # Life
 
@@ -142,7 +143,24 @@ class Workspace:
         except Exception as together:  # noqa: BLE001 - whatever a file does, the others go on
             if len(set(paths)) == 1:
                 return {paths[0]: str(together)}
-        return {p: e for path in dict.fromkeys(paths) for p, e in self._work([path]).items()}
+        paths = list(dict.fromkeys(paths))
+        half = len(paths) // 2  # a few bad files cost a few batches, not one each for all
+        return self._work(paths[:half]) | self._work(paths[half:])
+
+    def catch_up(self) -> int:
+        """Queue what changed on disk while nothing watched; how many jobs were
+        admitted.  Hash trees of what is known and of what is there now are
+        compared, so only differing folders are looked into.  Edited and new
+        files are due for parsing, those that are gone for deletion.  A file that
+        was skipped has no known state and is looked at again the first time."""
+        stat = F.concat_ws(":", "disk_mtime", "disk_size")
+        now = merkle.tree(source_files.walk(self.spark, self.root, ignore_files=self.rules).select("path", stat.alias("hash")))
+        known = self.seen if self.seen is not None else merkle.tree(self.files.select("path", F.when(F.col("disk_mtime").isNotNull(), stat).alias("hash")))
+        due = merkle.jobs(merkle.compare(known, now).changes, EDITED).orderBy("path").collect()
+        admitted = self.enqueue([(r.path, r.kind, r.priority) for r in due]) if due else 0
+        if admitted == len(due):
+            self.seen = now
+        return admitted
 
     # Tools
 

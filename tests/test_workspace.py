@@ -100,6 +100,24 @@ def test_new_files_reach_the_index_by_the_stream(spark, root, tmp_path):
     assert w.jobs.count() == 0 and json.loads(w.symbol("hoistFlag"))["symbols"][0]["path"] == "deck/later.ts"
 
 
+def test_edits_and_deletes_reach_the_queue_by_hash_trees(spark, root):
+    w = Workspace(spark, str(root), clock=lambda: 1000)
+    w.cold_index()
+    assert w.catch_up() == 3 and {r.path for r in w.jobs.collect()} == {"big.txt", "bad.dat", "deep.py"}  # skipped ones have no known state
+    w.drain()
+    assert w.catch_up() == 0
+    (root / "deck/winch.ts").write_text("export function turnCapstan() {}\n")
+    (root / "deck/use.ts").unlink()
+    (root / "hold/new").mkdir(parents=True)
+    (root / "hold/new/cargo.ts").write_text("export function stow() {}\n")
+    (root / "skip2.log").write_text("ignored\n")
+    assert w.catch_up() == 3
+    assert {(r.path, r.kind) for r in w.jobs.collect()} == {("deck/winch.ts", "parse"), ("deck/use.ts", "delete"), ("hold/new/cargo.ts", "parse")}
+    assert w.drain() == 3 and w.catch_up() == 0
+    names = {r.name for r in w.index["symbols"].collect()}
+    assert {"turnCapstan", "stow"} <= names and not {"turnWinch", "sail"} & names
+
+
 def test_server_routes_and_command_line(spark, root, tmp_path):
     out = io.StringIO()
     run = lambda *args: server.main(["--root", str(root), *args], spark=spark, out=out, home=str(tmp_path / "home"))
