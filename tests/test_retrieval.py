@@ -142,7 +142,7 @@ def test_outline_and_expand(index, texts):
     assert retrieval.outline(index["symbols"], "d0/part").count() == 0
     span = index["file_chunks"].filter("path = 'd4/part_4.js'").select(T.span_id(F.col("content_hash"), F.col("path"), F.col("start_line"), F.col("end_line")).alias("id"), "start_line").orderBy(F.desc("start_line")).first()
     r = retrieval.expand(index["file_chunks"], texts, span.id, 1, 99).first()
-    assert (r.path, r.start_line) == ("d4/part_4.js", span.start_line - 1) and r.text.startswith("\nfunction knot4_0")
+    assert (r.path, r.start_line) == ("d4/part_4.js", span.start_line - 1) and r.text.startswith("\nconst hitch4_0")
     assert retrieval.expand(index["file_chunks"], texts, "sp_none").first() is None
 
 
