@@ -128,3 +128,13 @@ def test_prose(spark):
     assert refs == {("issue", "#12", 2), ("ticket", "ENG-45", 1), ("todo", "TODO", 1), ("link", "https://x.org/a", 1)}
     secret = spark.createDataFrame([("key AKIA" + "A" * 16 + ' password = "hunter2hunter2" end',)], "t string").select(prose.redacted(F.col("t")).alias("t")).first().t
     assert secret == "key [redacted:aws-key] [redacted:assigned] end"
+
+
+@pytest.mark.parametrize("parts", [1, 7, 20])
+def test_near_ties_go_by_id_however_rows_lie(spark, parts):
+    """Scores that agree to six digits are ties, in one batch or in many."""
+    rows = [(i, [1.0 + i * 1e-9, 0.0]) for i in range(40)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(parts, "vec_id")
+    assert [r.vec_id for r in vectors.top_k(df, [1.0, 0.0], 3).collect()] == [0, 1, 2]
+    each = vectors.top_k_each(df, df.filter("vec_id = 5"), 3).orderBy("rank").collect()
+    assert [(r.query_id, r.id) for r in each] == [(5, 0), (5, 1), (5, 2)]
