@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarryline.operators import graph, indexing, prose, retrieval, status, vectors
+from quarryline.plans import queries
 
 FILES = [
     ("quay/crane.ts", "// Lifts.\nexport class Crane {\n    lift(a: number) { return swingArm(a) + swingArm(a) + max(a); }\n}\nexport const REACH = 9;\nexport function spare() { return makeCrane(); }\n"),
@@ -34,6 +35,22 @@ def test_rows(index):
     assert head == "file: quay/crane.ts\nmodule: quay\nsignature: class Crane\ndoc: // Lifts.\nlang: typescript"
 
 
+def test_edges_come_from_one_parse(spark):
+    twice = ("tools/twice.ts", 'import "./rope";\nimport "./rope";\nexport function f() { g.map(hold()); hold(); }\nhold();\n')
+    edges = indexing.build(frame(spark, [*FILES, twice]))["edges"]
+    assert edges._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert edges.columns == ["path", "src", "dst", "kind", "line", "precision"]
+    got = sorted((r.src, r.dst, r.kind, r.line) for r in edges.filter("path = 'tools/twice.ts'").collect())
+    assert got == [("", "./rope", "imports", 1), ("", "./rope", "imports", 2), ("", "hold", "calls", 4), ("f", "hold", "calls", 3)]
+
+
+def test_source_files_are_spread_over_tasks(spark, tmp_path):
+    spark.range(5000).selectExpr("id as p_partkey", "cast(id % 50 as int) as p_size").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    files = queries.source_files(spark, str(tmp_path))
+    assert files.rdd.getNumPartitions() >= 4
+    assert files.count() == 5000
+
+
 def test_update_replaces_paths_and_keeps_chunks(spark, index):
     held = lambda x: {k: v.cache() for k, v in x.items()}
     same = held(indexing.update(index, frame(spark, FILES[:1])))
