@@ -44,6 +44,16 @@ def test_edges_come_from_one_parse(spark):
     assert got == [("", "./rope", "imports", 1), ("", "./rope", "imports", 2), ("", "hold", "calls", 4), ("f", "hold", "calls", 3)]
 
 
+def test_import_edges_send_no_files_to_the_driver(spark):
+    paths = ["a/x.ts", "a/b/index.ts", "a/b.js", "a/x.d.ts", "a/x", "x.ts", "a/b/index.js", "a/noext", "index.ts"]
+    wanted = [("a/q.ts", d) for d in ("./x", "./b", "./b/", "./x.d", "./noext", "../x", "./lost", ".", "..", "./b/index", "./x.ts")]
+    edges = spark.createDataFrame([(p, "imports", d) for p, d in wanted] + [("a/x.ts", "imports", "./x"), ("a/q.ts", "calls", "./x")], "path string, kind string, dst string")
+    found = graph.import_edges(edges, spark.createDataFrame([(p,) for p in paths], "path string"))
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.target for r in found.filter("source = 'a/q.ts'").collect()) == sorted(["a/x.ts", "a/x", "a/b.js", "a/b/index.ts", "a/b/index.js", "a/b/index.ts", "a/b/index.js", "a/b.js", "a/x.d.ts", "a/noext", "x.ts", "a/b/index.ts", "a/b/index.js", "a/x.ts"])
+    assert [r.target for r in found.filter("source = 'a/x.ts'").collect()] == ["a/x"]
+
+
 def test_source_files_are_spread_over_tasks(spark, tmp_path):
     spark.range(5000).selectExpr("id as p_partkey", "cast(id % 50 as int) as p_size").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
     files = queries.source_files(spark, str(tmp_path))
