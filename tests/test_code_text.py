@@ -154,3 +154,19 @@ def test_headers_and_languages(spark):
     paths = [f"deck.old/x{e.upper() if i % 2 else e}" for i, e in enumerate(T.EXTENSIONS)] + ["Makefile", "a.txt", ".rs", "a.ts.bak"]
     want = [*T.EXTENSIONS.values(), None, None, "rust", None]
     assert values(spark, paths, T.detect_lang) == want == [T.lang_of(p) for p in paths]
+
+
+def test_arrow_forms_equal_the_expressions(spark, sf_dir):
+    from quarryline.operators import indexing
+
+    every = "".join(chr(c) for c in range(0x20, 0x30000) if not 0xD800 <= c < 0xE000)
+    assert "".join(T.fast_words(every)) == "".join(T.fts_words_of(every)) and len(T.fast_words(every)) == len(T.fts_words_of(every))
+    texts = ["", "Déjà vu_Été fooBar foo.bar/BAZ_9 x-y--z $a HTTPServer ΑΣ Straße \ue000k ½ x²", "aB " * 3, "MAX_LOAD max_load 1.2.3.4 ----"]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").union(spark.createDataFrame([(t,) for t in texts], "text string"))
+    rows = docs.select(F.sha2("text", 256).alias("content_hash"), F.lit("file: a/bC.ts").alias("header"), F.col("text").alias("body"))
+    got = indexing.fts_table(rows).select("content_hash", "body", "header", "tokens", "length")
+    want = rows.select("content_hash", T.fts_words(F.col("body")).alias("body"), T.fts_words(F.col("header")).alias("header"), T.fts_words(T.token_column(F.concat_ws("\n", "header", "body"))).alias("tokens"))
+    want = want.withColumn("length", F.size("body") + F.size("header") + F.size("tokens"))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    pair = rows.select(F.array_sort(T.identifiers_local(F.col("body"))).alias("a"), F.array_sort(T.identifiers(F.col("body"))).alias("b"))
+    assert pair.filter("a <> b").count() == 0

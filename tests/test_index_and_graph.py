@@ -61,6 +61,17 @@ def test_source_files_are_spread_over_tasks(spark, tmp_path):
     assert files.count() == 5000
 
 
+def test_index_is_made_without_moving_words(spark, tmp_path):
+    docs = spark.range(300).selectExpr("id as doc_id", "concat('word', id, ' fooBar') as text", "'en' as lang", "'src1' as source", "12L as n_chars")
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = queries.spread_chunks(spark, str(tmp_path))
+    assert rows.rdd.getNumPartitions() >= 4
+    made = indexing.inverted(rows)
+    plan = made["postings"].sortWithinPartitions("bucket", "term")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and plan.count("Exchange") == 1  # that of the documents alone
+    assert made["stats"].first().asDict() == {"n": 300, "total": rows.transform(indexing.fts_table).agg(F.sum("length")).first()[0]}
+
+
 def test_update_replaces_paths_and_keeps_chunks(spark, index):
     held = lambda x: {k: v.cache() for k, v in x.items()}
     same = held(indexing.update(index, frame(spark, FILES[:1])))
