@@ -240,3 +240,12 @@ def test_parse_files(spark):
     got = {r.path: r for r in parse_files(df).collect()}
     assert set(got) == {"x/m.rs", "c.py", "deep.py"}
     assert len(got["x/m.rs"].symbols) == len(symbols) and got["deep.py"].has_errors and got["c.py"].chunks
+
+
+def test_symbols_alone_are_those_of_the_whole_parse(spark):
+    files = [("a.ts", "// Winds.\nexport class Winch {\n  pull(n: number) { return haul(n); }\n}\nimport x from 'y';\n"), ("b.rs", "use a::b;\npub fn row(n: u32) -> u32 {\n  oar(n)\n}\n"), ("c.py", "import os\ndef dock():\n    return os.getcwd()\n"), ("d.txt", "no code"), ("e.go", None)]
+    files = spark.createDataFrame(files, "path string, source string")
+    whole, only = parse.parse_files(files), parse.parse_files(files, parts=["symbols"])
+    assert only.columns == ["path", "lang", "has_errors", "symbols"]  # nothing else is made or sent back
+    assert sorted(only.collect()) == sorted(whole.select(only.columns).collect())
+    assert {r.path: len(r.symbols) for r in only.collect()} == {"a.ts": 2, "b.rs": 1, "c.py": 1, "e.go": 0}
