@@ -176,3 +176,13 @@ def test_near_ties_go_by_id_however_rows_lie(spark, parts):
     assert [r.vec_id for r in vectors.top_k(df, [1.0, 0.0], 3).collect()] == [0, 1, 2]
     each = vectors.top_k_each(df, df.filter("vec_id = 5"), 3).orderBy("rank").collect()
     assert [(r.query_id, r.id) for r in each] == [(5, 0), (5, 1), (5, 2)]
+
+
+def test_chunks_are_named_where_files_are_parsed(spark):
+    source = "// Winds.\nexport class Winch {\n  pull(n: number) {\n    return haul(n);\n  }\n}\n\n\n\nexport const A = 1; export const BB = 2;\n"
+    index = indexing.build(spark.createDataFrame([("d/a.ts", source)], "path string, source string"))
+    plan = index["file_chunks"]._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan  # symbols meet chunks without a shuffle
+    got = {r.kind: (r.header, r.body) for r in index["chunks"].collect()}
+    assert got["class"][0].split("\n")[1:4] == ["module: d", "signature: class Winch", "doc: // Winds."] and got["class"][1].startswith("export class Winch")
+    assert "signature: const BB = 2" in got["constant"][0]  # of several, the last by line and name
