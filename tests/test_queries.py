@@ -45,5 +45,16 @@ def test_every_sql_has_a_query():
     assert set(SQL) <= set(QUERIES)
 
 
+def test_merging_sql_does_not_depend_on_the_order_of_equal_spans():
+    con = duckdb.connect()
+    con.sql("SET threads = 8")
+    con.sql("CREATE TABLE lineitem AS SELECT i // 6 AS l_orderkey, (i % 2)::INTEGER AS l_linenumber, (hash(i // 2) % 3 * 20)::DOUBLE AS l_quantity, 0.1 AS l_discount FROM range(1200000) t(i)")
+    con.sql("INSERT INTO lineitem SELECT * FROM lineitem")
+    wanted = con.sql("SELECT count(*), count(DISTINCT (l_orderkey, l_quantity)) FROM lineitem").fetchall()[0][1]  # spans of one first line are one
+    for _ in range(3):
+        found = con.sql(f"SELECT count(*), count(DISTINCT (path, start_line)) FROM ({SQL['merge_near_spans']})").fetchall()[0]
+        assert found == (wanted, wanted)
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
