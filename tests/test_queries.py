@@ -45,6 +45,25 @@ def test_every_sql_has_a_query():
     assert set(SQL) <= set(QUERIES)
 
 
+@pytest.fixture(scope="module")
+def repeated(spark, tmp_path_factory):
+    """Documents of which some repeat a window of lines."""
+    path = str(tmp_path_factory.mktemp("repeated"))
+    line = "An ention. of the general public license, free software foundation, harbour lantern\n"
+    texts = [(i, line * (45 + i % 50) if i % 7 == 0 else f"mention ention. harbour{'s' * (i % 3)} winter tides {i}\n" * (i % 30) + line * (i % 2)) for i in range(0, 400, 2)]
+    rows = [(i, t, "en", f"src{i % 3}", len(t)) for i, t in texts]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{path}/documents.parquet")
+    return path
+
+
+@pytest.mark.parametrize("name", ["bm25_topk", "bm25_scoped", "bm25_phrases", "bm25_without_index", "trigram_search", "rrf_search", "batch_search", "eval_ablation"])
+def test_repeated_chunks_count_once(spark, repeated, name):
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{repeated}/documents.parquet/*.parquet')")
+    got, want = QUERIES[name](spark, repeated), con.sql(SQL[name])
+    assert rows(got.columns, [tuple(r) for r in got.collect()]) == rows(want.columns, want.fetchall())
+
+
 def test_merging_sql_does_not_depend_on_the_order_of_equal_spans():
     con = duckdb.connect()
     con.sql("SET threads = 8")
