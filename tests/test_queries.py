@@ -8,6 +8,9 @@ import __spark_entry__ as entry
 import duckdb
 import pytest
 
+from quarryline.operators import indexing
+from quarryline.plans import queries as plans
+
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 QUERIES, SQL = entry.queries(), entry.oracle_sql()
 
@@ -64,6 +67,20 @@ def test_repeated_chunks_count_once(spark, repeated, name):
     assert rows(got.columns, [tuple(r) for r in got.collect()]) == rows(want.columns, want.fetchall())
 
 
+def test_tasks_that_invert_chunks_are_bounded(spark, repeated, tmp_path, monkeypatch):
+    files = lambda: [p for p in (tmp_path / "index").glob("v-*/postings/bucket=*/*.parquet")]
+    monkeypatch.setattr(indexing, "SPLIT", 1 << 20, raising=False)
+    split = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    chunks = plans.chunk_rows(spark, repeated).repartition(12, "path").select("content_hash", "header", "body")
+    chunks.write.parquet(str(tmp_path / "chunks"))
+    chunks = spark.read.parquet(str(tmp_path / "chunks"))
+    assert chunks.rdd.getNumPartitions() < 12  # Spark would pack small files into fewer tasks
+    indexing.save({"empty": chunks.limit(0)}, str(tmp_path / "index"), search=chunks)
+    assert len({p.name.split("-")[1] for p in files()}) == 12
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") == split
+    assert all(p.name.endswith(".zstd.parquet") for p in files())
+
+
 def test_merging_sql_does_not_depend_on_the_order_of_equal_spans():
     con = duckdb.connect()
     con.sql("SET threads = 8")
